@@ -13,6 +13,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -78,7 +79,7 @@ def map_columns(df: DataFrame, schema: str, content: str, make: Callable[[], Cal
 def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    return to_arrow_schema(StructType.fromDDL(schema), timezone="UTC")
+    return to_arrow_schema(StructType.fromDDL(schema))
 
 
 def keyed(df: DataFrame, key: str, content: str, as_key: str = "doc_id", as_content: str = "text") -> DataFrame:
