@@ -218,22 +218,24 @@ def decode(df: DataFrame, vocabulary: str, key: str = "doc_id", ids: str = "ids"
     return map_columns(df, f"doc_id {kind}, text string", "text", make)
 
 
-def digests(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Encode, then decode the ids, and keep digests of both: one pass, no shuffle."""
+def digests(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+    """Encode, then decode the ids, and keep digests of both, and the ids themselves if they are
+    asked for: one pass, no shuffle."""
     shared, kind = _share(df, vocabulary), df.schema[key].dataType.simpleString()
 
     def make():
         auto = _automaton(shared)
 
         def run(c):
-            n, ids_sha, text_sha = [], [], []
+            n, ids_sha, text_sha, every = [], [], [], []
             for x in c["text"]:
                 ids = auto.encode(x)
                 n.append(len(ids))
+                every.append(ids if with_ids else None)
                 ids_sha.append(hashlib.sha256(",".join(map(auto.decimal.__getitem__, ids)).encode()).hexdigest())
                 text_sha.append(hashlib.sha256(auto.decode(ids).decode("utf-8", "replace").encode()).hexdigest())
-            return {"doc_id": c["doc_id"], "n_tokens": n, "ids_sha256": ids_sha, "decoded_sha256": text_sha}
+            return {"doc_id": c["doc_id"], "n_tokens": n, "ids_sha256": ids_sha, "decoded_sha256": text_sha, "ids": every}
 
         return run
 
-    return map_columns(keyed(df, key, text), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string", "text", make)
+    return map_columns(keyed(df, key, text), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids, "text", make)

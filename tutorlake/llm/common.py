@@ -47,6 +47,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_side(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """``df``, written to the shared folder, for the small side of a join: as a broadcast where its
+    rows, counted, are at most ``most`` (8 MB of keys), else as it is, for a shuffled join."""
+    df = materialize(df)
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that a slice holds SLICE_CHARS characters of ``column``, or one row."""
     start = size = 0

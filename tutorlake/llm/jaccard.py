@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tutorlake.llm import shingles
-from tutorlake.llm.common import keyed, map_columns, materialize
+from tutorlake.llm.common import keyed, map_columns, materialize, small_side
 
 WORDS = 5
 PERCENT = 80
@@ -237,3 +237,9 @@ def components(df: DataFrame, key: str = "doc_id", text: str = "text", words: in
     final = sets_of.join(label.withColumnRenamed("node", "first"), "first", "left").select("sig", F.col("n").alias("m"), F.coalesce("label", "first").alias("component_id"))
     got = short.select("doc_id", "n", "sig").join(final, (F.col("n") == F.col("m")) & (short["sig"] == final["sig"]), "left")
     return got.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def keep_first(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``df`` whose key is the smallest of its class; rows without a key stay."""
+    gone = components(df, key, text, words, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("__copy")).distinct()
+    return df.join(small_side(gone), F.col(key) == F.col("__copy"), "left_anti")

@@ -15,11 +15,12 @@ nothing to learn from. No row is dropped.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tutorlake.llm import grams
-from tutorlake.llm.common import held_out, map_columns
+from tutorlake.llm.common import SLICE_CHARS, held_out, keyed, map_columns
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
@@ -142,34 +143,54 @@ def train(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     return {"langs": langs, "table": (SCALE * idf[:, None] * w[:-1]).astype(np.float32), "bias": w[-1], "temperature": float(grid[int(np.argmin(loss))])}
 
 
-def predict(df: DataFrame, model: dict | None, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def _classify(model: dict | None, texts: list[str]) -> tuple[list[str], np.ndarray]:
+    """Language and calibrated probability of each text."""
+    if model is None or not texts:
+        return ["und"] * len(texts), np.zeros(len(texts))
+    buckets, alpha, starts, has = _grams(texts)
+    logits = np.empty((len(texts), len(model["langs"])))
+    for k in range(len(model["langs"])):
+        column = np.ascontiguousarray(model["table"][:, k])
+        total = column[buckets[0]]
+        for b in buckets[1:]:
+            total += column[b]
+        total *= alpha
+        logits[:, k] = grams.per_text(total.astype(np.float64), starts)
+    p = softmax((logits / (len(ORDERS) * np.maximum(has, 1))[:, None] + model["bias"]) / model["temperature"])
+    names = [model["langs"][b] if n else "und" for b, n in zip(p.argmax(1).tolist(), has.tolist())]
+    return names, np.where(has > 0, p.max(1), 0.0)
+
+
+def predict(df: DataFrame, model: dict | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score) of every row. The model goes to the executors as a broadcast of
     BUCKETS x languages numbers, whatever the corpus."""
     kind = df.schema[key].dataType.simpleString()
     shared = df.sparkSession.sparkContext.broadcast(model)
 
-    def make():
-        m = shared.value
-        columns = None if m is None else np.ascontiguousarray(m["table"].T)
+    def run(c):
+        names, score = _classify(shared.value, c["text"])
+        return {"doc_id": c["doc_id"], "lang_pred": names, "score": score}
 
-        def run(c):
-            texts = c["text"]
-            if m is None or not texts:
-                return {"doc_id": c["doc_id"], "lang_pred": ["und"] * len(texts), "score": [0.0] * len(texts)}
-            buckets, alpha, starts, has = _grams(texts)
-            logits = np.empty((len(texts), len(m["langs"])))
-            for k, column in enumerate(columns):
-                total = column[buckets[0]]
-                for b in buckets[1:]:
-                    total += column[b]
-                total *= alpha
-                logits[:, k] = grams.per_text(total.astype(np.float64), starts)
-            p = softmax((logits / (len(ORDERS) * np.maximum(has, 1))[:, None] + m["bias"]) / m["temperature"])
-            best = p.argmax(1)
-            names = [m["langs"][b] if n else "und" for b, n in zip(best.tolist(), has.tolist())]
-            return {"doc_id": c["doc_id"], "lang_pred": names, "score": np.where(has > 0, p.max(1), 0.0)}
+    return map_columns(keyed(df, key, text), f"doc_id {kind}, lang_pred string, score double", "text", lambda: run)
 
-        return run
 
-    rows = df.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return map_columns(rows, f"doc_id {kind}, lang_pred string, score double", "text", make)
+def language(df: DataFrame, model: dict | None, text: str = "text") -> Column:
+    """The prediction as a column (lang_pred, score) of ``df``, to filter rows without a join."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("lang_pred string, score double")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        names, score, at = [], [], 0
+        values = texts.fillna("").tolist()
+        while at < len(values):
+            end, size = at, 0
+            while end < len(values) and (end == at or size + len(values[end]) <= SLICE_CHARS):
+                size += len(values[end])
+                end += 1
+            got = _classify(shared.value, values[at:end])
+            names += got[0]
+            score += got[1].tolist()
+            at = end
+        return pd.DataFrame({"lang_pred": names, "score": score})
+
+    return of(F.col(text))
