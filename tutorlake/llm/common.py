@@ -20,6 +20,7 @@ from pyspark.sql.types import StructType
 
 #: Characters handled at once inside a Python task; larger Arrow batches are cut to this.
 SLICE_CHARS = 4_000_000
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,7 +44,12 @@ def materialize(df: DataFrame) -> DataFrame:
     outlive any executor, and the lineage is cut."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/tutorlake-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")  # this write's shuffle files are of no use after it
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

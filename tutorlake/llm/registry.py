@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tutorlake.llm import q_leaks, q_lines, q_media, q_models, q_near, q_pages, q_pii, q_tokens
+from tutorlake.llm import q_leaks, q_lines, q_media, q_models, q_near, q_pages, q_pii, q_suffixes, q_tokens
 
-MODULES = (q_tokens, q_pages, q_lines, q_media, q_leaks, q_near, q_models, q_pii)
+MODULES = (q_tokens, q_suffixes, q_pages, q_lines, q_media, q_leaks, q_near, q_models, q_pii)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
