@@ -4,11 +4,13 @@ Two sets link when 100 * intersection >= percent * union; a class is what links
 
 1. Every text becomes a set of hashed shingles, its size, a signature of the whole set and a
    bitmap of hashed bits. Equal sets are one node from here on.
-2. Sets that link share a shingle among the first n - ceil(n * percent / 100) + 1 of any common
-   order. The order puts shingles that are frequent (found by counting in slices, summed by
-   Spark; the list is bounded and any list gives right results) last, so passages that many
-   texts share make no groups. Each shingle's group is sorted by size.
-3. Every node of a group is paired with the node before it and with the first. Sizes and bitmaps
+2. Sets that link share k shingles among the first n - ceil(n * percent / 100) + k of any common
+   order, for every k; here k grows with the size. The order puts shingles that are frequent
+   (found by counting in slices, summed by Spark; the list is bounded and any list gives right
+   results) last, so passages that many texts share make no groups. A set that shares fewer of
+   its first shingles with any other than a link needs has none and drops out, and so on while
+   this frees others; what stays is nearly only what links.
+3. Each shingle's group is sorted by size. Every node of a group is paired with the node before it and with the first. Sizes and bitmaps
    bound the intersection from above; what may link is verified by intersecting the sorted
    arrays. Links give classes.
 4. Groups that still hold more than one class are cut into tiles by size band: a node meets those
@@ -41,6 +43,10 @@ BITS = 1024
 FREQUENT = 1 << 17
 #: Rows of a tile compared at once.
 BLOCK = 1024
+#: One in so many shingles of a set must be shared among the first ones.
+SHARE = 16
+#: Rounds of dropping sets; more change no result.
+ROUNDS = 2
 
 
 def _signature(s: np.ndarray) -> int:
@@ -70,6 +76,11 @@ def nodes(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return map_columns(docs, f"doc_id {kind}, n int, sig long, bits binary, common array<struct<h:long,n:int>>", "text", lambda: run)
 
 
+def _shared_least(n):
+    """Shingles that two linked sets, the smaller of n, share among the first of both, at least."""
+    return n // SHARE + 1
+
+
 def _prefixes(docs: DataFrame, frequent: np.ndarray, words: int, percent: int) -> DataFrame:
     """(token, sig, n): the prefix of each set, rare shingles first."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
@@ -85,7 +96,7 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray, words: int, percent: int) -
                 if not len(s) or g in done:
                     continue
                 done.add(g)
-                take = len(s) - (len(s) * percent + 99) // 100 + 1
+                take = min(len(s), len(s) - (len(s) * percent + 99) // 100 + _shared_least(len(s)))
                 if len(often):
                     at = np.searchsorted(often, s)
                     hit = often[np.minimum(at, len(often) - 1)] == s
@@ -102,6 +113,15 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray, words: int, percent: int) -
     return map_columns(docs.select("text"), "token long, sig long, n int", "text", make)
 
 
+def _thin(groups: DataFrame, percent: int) -> DataFrame:
+    """Without the sets that have too few rows for a link, and groups that hold one set then."""
+    smallest = F.floor((F.col("n") * percent + 99) / 100)  # of a partner
+    enough = groups.groupBy("sig", "n").agg(F.count("*").alias("c")).where(F.col("c") >= F.floor(smallest / SHARE) + 1).select("sig")
+    rows = groups.join(enough, "sig", "left_semi")
+    shared = rows.groupBy("token").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo <> hi").select("token")
+    return rows.join(shared, "token", "left_semi")
+
+
 def _may_link(n_a, n_b, percent: int):
     """Sizes alone allow a link."""
     return F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent
@@ -207,10 +227,12 @@ def components(df: DataFrame, key: str = "doc_id", text: str = "text", words: in
 
     by_size = Window.partitionBy("token").orderBy("n", "sig")
     whole = by_size.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    groups = _prefixes(docs, frequent, words, percent).select(
-        "token", "sig", "n", F.lag("sig").over(by_size).alias("prev"), F.lag("n").over(by_size).alias("n_prev"), F.first("sig").over(whole).alias("head"), F.first("n").over(whole).alias("n_head"), F.last("sig").over(whole).alias("tail")
-    )
-    groups = materialize(groups.where("head <> tail"))
+    first_ones = _prefixes(docs, frequent, words, percent).select("token", "sig", "n", F.lag("sig").over(by_size).alias("prev"), F.first("sig").over(whole).alias("head"), F.last("sig").over(whole).alias("tail"))
+    groups = first_ones.where("head <> tail and not (sig <=> prev)").select("token", "sig", "n")
+    for _ in range(ROUNDS):
+        groups = _thin(materialize(groups), percent)
+    groups = groups.select("token", "sig", "n", F.lag("sig").over(by_size).alias("prev"), F.lag("n").over(by_size).alias("n_prev"), F.first("sig").over(by_size).alias("head"), F.first("n").over(by_size).alias("n_head"))
+    groups = materialize(groups)
     with_prev = groups.where(_may_link(F.col("n"), F.col("n_prev"), percent)).select("sig", F.col("prev").alias("to"))
     with_head = groups.where(_may_link(F.col("n"), F.col("n_head"), percent)).select("sig", F.col("head").alias("to"))
     pairs = with_prev.unionByName(with_head).where("sig <> to").select(F.least("sig", "to").alias("a"), F.greatest("sig", "to").alias("b")).distinct()
