@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ()
+from tutorlake.plans import q_screening
+
+MODULES = (q_screening,)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
