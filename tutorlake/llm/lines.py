@@ -10,8 +10,8 @@ equal. Lines are judged on the input, not on what is left; blank lines are alway
 2. One edit leaves one half of a line untouched. Hashes of the halves (for a line of n words, as
    seen by lines of n and of n - 1 words) find the lines that share a half with another one; all
    others, mostly nearly all of them, can have no near duplicate and go no further.
-3. The rest emit their deletion neighbourhood: the other half with each word left out, hashed
-   together with the shared half. Equal variants with the same word left out are substitutions of
+3. The rest emit their deletion neighbourhood beside each shared half: the other half with each
+   word left out, hashed together with the shared one. Equal variants with the same word left out are substitutions of
    one another; a variant that equals an untouched line is one insertion away from it. Only the
    earliest line of a variant is looked at, by aggregation and join, so no pairs within a group
    are made, however often a line recurs.
@@ -59,6 +59,10 @@ def lines(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return df.select(F.col(key).alias("doc_id"), F.posexplode(split).alias("line_no", "line"))
 
 
+def _half_hash(side: int, size: Column, part: Column) -> Column:
+    return F.xxhash64(F.lit(side), size.cast("int"), part)
+
+
 def _halves(line: Column, n: Column, least: int) -> Column:
     """Hashes of the halves by which another line of n words (m = n), or one of fewer or more
     words (m the smaller count), would know this line."""
@@ -66,7 +70,7 @@ def _halves(line: Column, n: Column, least: int) -> Column:
     for m in (n, n - 1):
         h = _half(m)
         for side, part, size in ((0, _head(line, h), h), (1, _tail(line, m - h), m - h)):
-            out.append(F.when(m >= least, F.xxhash64(F.lit(side), size, part)))
+            out.append(F.when(m >= least, _half_hash(side, size, part)))
     return F.array_compact(F.array_distinct(F.array(*out)))
 
 
@@ -81,11 +85,13 @@ def _distinct(df: DataFrame, key: str, text: str, least: int) -> tuple[DataFrame
 
 
 def _sharing(first: DataFrame) -> DataFrame:
-    """(doc_id, line_no): first places of the distinct lines that share a half with another one."""
+    """(doc_id, line_no, halves): first places of the distinct lines that share a half with another
+    one, and the halves that are shared."""
     keys = first.select("id", "first", F.explode(F.array_compact(F.array("k0", "k1", "k2", "k3"))).alias("half"))
     w = Window.partitionBy("half").orderBy("id")
-    keys = keys.select("first", F.lag("first").over(w).alias("one"), F.lead("first").over(w).alias("other"))
-    return keys.where("one is not null or other is not null").select("first.doc_id", "first.line_no").distinct()
+    keys = keys.select("first", "half", F.lag("first").over(w).alias("one"), F.lead("first").over(w).alias("other"))
+    shared = keys.where("one is not null or other is not null").select("first.doc_id", "first.line_no", "half")
+    return shared.groupBy("doc_id", "line_no").agg(F.collect_set("half").alias("halves"))
 
 
 def _variants(near: DataFrame, least: int) -> DataFrame:
@@ -98,8 +104,9 @@ def _variants(near: DataFrame, least: int) -> DataFrame:
         kept = _head(line, h) if side == 0 else _tail(line, m - h)
         size = n - h if side == 0 else n - (m - h)
         rest = _tail(line, size) if side == 0 else _head(line, size)
+        shared = F.array_contains("halves", _half_hash(side, h if side == 0 else m - h, kept))
         start = F.struct(F.lit(kind).alias("kind"), F.lit(side).alias("side"), m.cast("int").alias("m"), _ident(kept).alias("kept"), rest.alias("rest"), size.cast("int").alias("size"))
-        return F.when(m >= least, start)
+        return F.when((m >= least) & shared, start)
 
     parts = F.array_compact(F.array(*(of(side, m, kind) for side in (0, 1) for m, kind in ((n, 0), (n, 1), (n - 1, 2)))))
     each = near.select("place", F.explode(parts).alias("p")).select("place", "p.*")
@@ -120,11 +127,11 @@ def _variants(near: DataFrame, least: int) -> DataFrame:
 def near_duplicates(first: DataFrame, df: DataFrame, key: str, text: str, least: int) -> DataFrame:
     """(doc_id, line_no, by): first places of lines with an earlier line one edit away."""
     at = _sharing(first)
-    asked = at.groupBy("doc_id").agg(F.collect_list("line_no").alias("wanted"))
+    asked = at.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "halves")).alias("wanted"))
     split = F.split(F.coalesce(F.col("text"), F.lit("")), "\n")
     docs = df.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).join(asked, "doc_id")
-    found = docs.select("doc_id", F.explode("wanted").alias("line_no"), split.alias("all")).select("doc_id", "line_no", F.get("all", F.col("line_no")).alias("line"))
-    near = found.where("line is not null").select(F.struct("doc_id", "line_no").alias("place"), "line", _n_words(F.col("line")).cast("int").alias("n"))
+    found = docs.select("doc_id", F.inline("wanted"), split.alias("all")).select("doc_id", "line_no", "halves", F.get("all", F.col("line_no")).alias("line"))
+    near = found.where("line is not null").select(F.struct("doc_id", "line_no").alias("place"), "line", "halves", _n_words(F.col("line")).cast("int").alias("n"))
     near = materialize(near.where(F.col("n") >= least).dropDuplicates(["place"]))
     rows = _variants(near, least)
     low = rows.groupBy("key").agg(F.min(F.when(F.col("whole") | F.col("swap"), F.col("place"))).alias("plain"), F.min(F.when(~F.col("whole") & ~F.col("swap"), F.col("place"))).alias("cut"), F.count("*").alias("c"))
