@@ -13,9 +13,10 @@ Two sets link when 100 * intersection >= percent * union; a class is what links
 3. Each shingle's group is sorted by size. Every node of a group is paired with the node before it and with the first. Sizes and bitmaps
    bound the intersection from above; what may link is verified by intersecting the sorted
    arrays. Links give classes.
-4. Groups that still hold more than one class are cut into tiles by size band: a node meets those
-   of its own band and of the next, compared as bitmaps block by block. Pairs of two classes that
-   pass the bound and were not tried before are verified, and classes are built again. After
+4. Groups that still hold more than one class, sorted by size, are cut into tiles: a tile meets
+   those within its size band, compared as bitmaps all at once. Pairs of two classes that pass
+   the bound, meet in as many groups as a link needs and were not tried before are verified, and
+   classes are built again. After
    that, no link is missing: each one lies inside a class or was tried.
 
 No task needs a whole group in memory but for tile blocks of bounded size, groups are never
@@ -44,9 +45,9 @@ FREQUENT = 1 << 17
 #: Rows of a tile compared at once.
 BLOCK = 1024
 #: One in so many shingles of a set must be shared among the first ones.
-SHARE = 16
+SHARE = 5
 #: Rounds of dropping sets; more change no result.
-ROUNDS = 2
+ROUNDS = 3
 
 
 def _signature(s: np.ndarray) -> int:
@@ -172,49 +173,45 @@ def classes(links: DataFrame) -> DataFrame:
 
 
 def _tiles(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of two classes in one group whose sizes and bitmaps allow a link. ``rows`` has token,
-    sig, n, bits and label; home rows of a (token, band) meet each other and the next band's."""
-    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9)
-    rows = rows.withColumn("band", band.cast("int")).withColumn("at", F.explode(F.array(F.lit(0), F.lit(1))))
-    rows = rows.select("token", (F.col("band") - F.col("at")).alias("band"), "at", "sig", "n", "bits", F.xxhash64("label").alias("label"))
-    rows = rows.repartition("token", "band").sortWithinPartitions("token", "band", "at", "n", "sig")
+    """(a, b) of two classes whose sizes and bitmaps allow a link and that share enough shingles.
+
+    ``rows`` has token, sig, n, bits and label. A group comes sorted by size and is cut into tiles
+    of BLOCK rows; a tile meets itself and those before it whose size band it reaches."""
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
+    rows = rows.select("token", "sig", "n", "bits", F.xxhash64("label").alias("label")).repartition("token").sortWithinPartitions("token", "n", "sig")
 
     def compare(home, other, same):
         bits = np.bitwise_count(home["bits"][:, None, :] ^ other["bits"][None, :, :]).sum(2, dtype=np.int64)
         total = home["n"][:, None] + other["n"][None, :]
         ok = ((total - bits) * (100 + percent) >= 2 * percent * total) & (home["label"][:, None] != other["label"][None, :])
-        ok &= np.minimum(home["n"][:, None], other["n"][None, :]) * 100 >= np.maximum(home["n"][:, None], other["n"][None, :]) * percent
+        ok &= home["n"][:, None] * 100 >= other["n"][None, :] * percent
         i, j = np.nonzero(np.triu(ok, 1) if same else ok)
         a, b = home["sig"][i], other["sig"][j]
-        return np.minimum(a, b), np.maximum(a, b)
+        return np.minimum(a, b), np.maximum(a, b), home["n"][i]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, blocks, last = None, [], None  # home blocks of the tile that is being read
-
-        def block(part):
-            bits = np.frombuffer(b"".join(part.column("bits").to_pylist()), np.uint64).reshape(part.num_rows, -1)
-            return {"bits": bits} | {k: part.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("sig", "n", "label")}
-
+        key, tiles = None, []  # tiles of the group that is being read, as far as they reach
         for batch in batches:
-            t, b, at = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("token", "band", "at"))
-            cuts = np.flatnonzero((t[1:] != t[:-1]) | (b[1:] != b[:-1]) | (at[1:] != at[:-1])) + 1
-            for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(t)]):
-                if key != (t[s], b[s]):
-                    key, blocks = (t[s], b[s]), []
-                if at[s] and not blocks:
-                    continue  # nobody is at home
+            token, n, sig, label = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("token", "n", "sig", "label"))
+            bits = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(len(token), -1)
+            cuts = np.flatnonzero(token[1:] != token[:-1]) + 1
+            found = []
+            for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(token)]):
+                if key != token[s]:
+                    key, tiles = token[s], []
                 for lo in range(s, e, BLOCK):
-                    last = block(batch.slice(lo, min(e, lo + BLOCK) - lo))
-                    found = [compare(x, last, False) for x in blocks]
-                    if not at[s]:
-                        found.append(compare(last, last, True))
-                        blocks.append(last)
-                    x, y = (np.concatenate([f[i] for f in found]) for i in (0, 1))
-                    if len(x):
-                        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], schema=out)
-
-    return rows.mapInArrow(run, "a long, b long").distinct()
+                    hi = min(e, lo + BLOCK)
+                    now = {"sig": sig[lo:hi], "n": n[lo:hi], "label": label[lo:hi], "bits": bits[lo:hi]}
+                    tiles = [t for t in tiles if t["n"][-1] * 100 >= now["n"][0] * percent]
+                    found += [compare(t, now, False) for t in tiles]
+                    if hi - lo > 1:
+                        found.append(compare(now, now, True))
+                    tiles.append(now)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[i] for f in found])) for i in range(3)], schema=out)
+
+    found = rows.mapInArrow(run, "a long, b long, n long").groupBy("a", "b", "n").agg(F.count("*").alias("c"))
+    return found.where(F.col("c") >= F.floor(F.col("n") / SHARE) + 1).select("a", "b")
 
 
 def components(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
