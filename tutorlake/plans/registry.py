@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tutorlake.plans import q_memory, q_scores, q_screening, q_search
+from tutorlake.plans import q_books, q_flow, q_memory, q_scores, q_screening, q_search
 
-MODULES = (q_screening, q_memory, q_scores, q_search,)
+MODULES = (q_screening, q_memory, q_scores, q_search, q_books, q_flow,)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
