@@ -47,7 +47,7 @@ BLOCK = 1024
 #: One in so many shingles of a set must be shared among the first ones.
 SHARE = 5
 #: Rounds of dropping sets; more change no result.
-ROUNDS = 3
+ROUNDS = 2
 
 
 def _signature(s: np.ndarray) -> int:
@@ -115,12 +115,21 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray, words: int, percent: int) -
 
 
 def _thin(groups: DataFrame, percent: int) -> DataFrame:
-    """Without the sets that have too few rows for a link, and groups that hold one set then."""
+    """Without the sets that have too few rows for a link, and the groups that hold one set then."""
     smallest = F.floor((F.col("n") * percent + 99) / 100)  # of a partner
     enough = groups.groupBy("sig", "n").agg(F.count("*").alias("c")).where(F.col("c") >= F.floor(smallest / SHARE) + 1).select("sig")
-    rows = groups.join(enough, "sig", "left_semi")
-    shared = rows.groupBy("token").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo <> hi").select("token")
-    return rows.join(shared, "token", "left_semi")
+    return _grouped(groups.join(small_side(enough), "sig", "left_semi").select("token", "sig", "n"))
+
+
+def _grouped(rows: DataFrame) -> DataFrame:
+    """Rows (token, sig, n) of tokens with two sets or more, each set once, with the set before it
+    by size and the first one."""
+    by_size = Window.partitionBy("token").orderBy("n", "sig")
+    whole = by_size.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.select(
+        "token", "sig", "n", F.lag("sig").over(by_size).alias("prev"), F.lag("n").over(by_size).alias("n_prev"), F.first("sig").over(whole).alias("head"), F.first("n").over(whole).alias("n_head"), F.last("sig").over(whole).alias("tail")
+    )
+    return rows.where("head <> tail and not (sig <=> prev)").drop("tail")
 
 
 def _may_link(n_a, n_b, percent: int):
@@ -173,12 +182,16 @@ def classes(links: DataFrame) -> DataFrame:
 
 
 def _tiles(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of two classes whose sizes and bitmaps allow a link and that share enough shingles.
+    """(a, b) of two classes whose sizes and bitmaps allow a link and that share enough shingles,
+    from groups that hold two classes or more.
 
     ``rows`` has token, sig, n, bits and label. A group comes sorted by size and is cut into tiles
     of BLOCK rows; a tile meets itself and those before it whose size band it reaches."""
     out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
-    rows = rows.select("token", "sig", "n", "bits", F.xxhash64("label").alias("label")).repartition("token").sortWithinPartitions("token", "n", "sig")
+    rows = rows.select("token", "sig", "n", "bits", F.xxhash64("label").alias("label"))
+    w = Window.partitionBy("token").orderBy("n", "sig").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.select("*", F.min("label").over(w).alias("lo"), F.max("label").over(w).alias("hi")).where("lo <> hi").drop("lo", "hi")
+    rows = rows.sortWithinPartitions("token", "n", "sig")  # where the window left each group whole
 
     def compare(home, other, same):
         bits = np.bitwise_count(home["bits"][:, None, :] ^ other["bits"][None, :, :]).sum(2, dtype=np.int64)
@@ -222,14 +235,9 @@ def components(df: DataFrame, key: str = "doc_id", text: str = "text", words: in
     frequent = np.sort(np.array([r["h"] for r in counted.orderBy(F.desc("n"), "h").limit(FREQUENT).select("h").collect()], np.int64).view(np.uint64))
     sets_of = short.where("n > 0").groupBy("sig", "n").agg(F.min("doc_id").alias("first"), F.first("bits").alias("bits"))
 
-    by_size = Window.partitionBy("token").orderBy("n", "sig")
-    whole = by_size.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    first_ones = _prefixes(docs, frequent, words, percent).select("token", "sig", "n", F.lag("sig").over(by_size).alias("prev"), F.first("sig").over(whole).alias("head"), F.last("sig").over(whole).alias("tail"))
-    groups = first_ones.where("head <> tail and not (sig <=> prev)").select("token", "sig", "n")
+    groups = materialize(_grouped(_prefixes(docs, frequent, words, percent)))
     for _ in range(ROUNDS):
-        groups = _thin(materialize(groups), percent)
-    groups = groups.select("token", "sig", "n", F.lag("sig").over(by_size).alias("prev"), F.lag("n").over(by_size).alias("n_prev"), F.first("sig").over(by_size).alias("head"), F.first("n").over(by_size).alias("n_head"))
-    groups = materialize(groups)
+        groups = materialize(_thin(groups, percent))
     with_prev = groups.where(_may_link(F.col("n"), F.col("n_prev"), percent)).select("sig", F.col("prev").alias("to"))
     with_head = groups.where(_may_link(F.col("n"), F.col("n_head"), percent)).select("sig", F.col("head").alias("to"))
     pairs = with_prev.unionByName(with_head).where("sig <> to").select(F.least("sig", "to").alias("a"), F.greatest("sig", "to").alias("b")).distinct()
@@ -237,7 +245,7 @@ def components(df: DataFrame, key: str = "doc_id", text: str = "text", words: in
 
     grouped = groups.select("sig").distinct()
     table = materialize(sets_of.join(grouped, "sig", "left_semi"))
-    texts = docs.join(table.select(F.col("first").alias("doc_id")), "doc_id", "left_semi")
+    texts = docs.join(small_side(table.select(F.col("first").alias("doc_id"))), "doc_id", "left_semi")
     signed = lambda c: {"sig": [_signature(s) for s in shingles.sets(c["text"], words)], "text": c["text"]}
     texts = map_columns(texts.select("text"), "sig long, text string", "text", lambda: signed)
     texts = materialize(texts.join(table.select("sig"), "sig", "left_semi").dropDuplicates(["sig"]))
@@ -247,9 +255,8 @@ def components(df: DataFrame, key: str = "doc_id", text: str = "text", words: in
     named = lambda x: x.join(first.select(F.col("sig").alias("a"), F.col("first").alias("fa")), "a").join(first.select(F.col("sig").alias("b"), F.col("first").alias("fb")), "b").select(F.col("fa").alias("a"), F.col("fb").alias("b"))
     label = classes(named(links))
     of_sig = table.join(label.withColumnRenamed("node", "first"), "first", "left").select("sig", "n", "bits", F.coalesce("label", "first").alias("label"))
-    rows = groups.select("token", "sig").distinct().join(of_sig, "sig")
-    mixed = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
-    more = _tiles(rows.join(mixed, "token", "left_semi"), percent).join(pairs, ["a", "b"], "left_anti")
+    rows = groups.select("token", "sig").join(small_side(of_sig, 100_000), "sig")  # 160 bytes a row
+    more = _tiles(rows, percent).join(pairs, ["a", "b"], "left_anti")
     more = materialize(_verify(more, table, texts, words, percent))
     if not more.isEmpty():
         label = classes(named(links.unionByName(more)))
