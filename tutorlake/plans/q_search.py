@@ -216,5 +216,5 @@ ORACLE_SQL = {
     "rr4_cross_rerank": f"""WITH {BM25}, p AS (SELECT query_id, chunk_id, score, (chunk_id * 13 + query_id) % 17 AS ps FROM found WHERE rank <= 10), m AS (SELECT *, min(ps) OVER w AS lo, max(ps) OVER w AS hi, count(*) OVER w AS n FROM p WINDOW w AS (PARTITION BY query_id)),
         s AS (SELECT query_id, chunk_id, round(0.7 * CASE WHEN n = 1 THEN ps WHEN hi = lo THEN 0.5 ELSE (ps - lo) / (hi - lo) END + 0.3 * score, 9) AS combined FROM m) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY combined DESC, chunk_id) AS rank, chunk_id, round(combined, 6) AS combined FROM s QUALIFY rank <= 5""",
     "rr5_maxsim_rerank": "WITH v AS (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, round(0.6 * (list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) + list_cosine_similarity(list_reverse(q.embedding)::DOUBLE[], e.embedding::DOUBLE[])) / 2 + 0.4 * e.label / 10, 6) AS combined FROM embeddings q, embeddings e WHERE q.vec_id < 10 AND e.vec_id >= 400) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY combined DESC, chunk_id) AS rank, chunk_id, combined FROM v QUALIFY rank <= 5",
-    "rr6_judge_rerank": f"WITH {BM25}, r AS (SELECT query_id, chunk_id, {REPLY} AS reply FROM found WHERE rank <= 10), j AS (SELECT *, coalesce(least(10, try_cast(regexp_extract(reply, '([0-9]+(?:\\.[0-9]+)?)', 1) AS DOUBLE)) / 10, 0.5) AS judge FROM r) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY judge DESC, chunk_id) AS rank, chunk_id, round(judge, 6) AS judge FROM j QUALIFY rank <= 5",
+    "rr6_judge_rerank": f"WITH {BM25}, r AS (SELECT query_id, chunk_id, {REPLY} AS reply FROM found WHERE rank <= 10), j AS (SELECT *, CASE WHEN regexp_matches(reply, '[0-9]') THEN least(10, try_cast(regexp_extract(reply, '([0-9]+(?:\\.[0-9]+)?)', 1) AS DOUBLE)) / 10 ELSE 0.5 END AS judge FROM r) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY judge DESC, chunk_id) AS rank, chunk_id, round(judge, 6) AS judge FROM j QUALIFY rank <= 5",
 }
