@@ -27,10 +27,13 @@ def ranked(df: DataFrame, by: Column, k: int, *ties: str) -> DataFrame:
 
 
 # --- keywords -----------------------------------------------------------------------------------
-def postings(chunks: DataFrame, text: str = "content", key: str = "chunk_id") -> DataFrame:
-    """(chunk_id, term, tf, size): terms of each chunk with their counts."""
+def postings(chunks: DataFrame, text: str = "content", key: str = "chunk_id", only: DataFrame | None = None) -> DataFrame:
+    """(chunk_id, term, tf, size): terms of each chunk with their counts; of those in ``only`` if given,
+    the others being dropped before anything is shuffled."""
     toks = tokens(clean_for_tokens(F.coalesce(F.col(text), F.lit(""))))
     rows = chunks.select(F.col(key).alias("chunk_id"), toks.alias("t")).select("chunk_id", F.size("t").alias("size"), F.explode("t").alias("term"))
+    if only is not None:
+        rows = rows.join(only.select("term").distinct(), "term", "left_semi")
     return rows.groupBy("chunk_id", "size", "term").agg(F.count("*").alias("tf"))
 
 
@@ -39,7 +42,8 @@ def bm25_stats(chunks: DataFrame, text: str = "content", key: str = "chunk_id")
     of the chunks has a negative idf; EPSILON times the mean idf of all terms stands in for it."""
     sizes = chunks.select(F.size(tokens(clean_for_tokens(F.coalesce(F.col(text), F.lit(""))))).alias("size"))
     corpus = sizes.agg(F.count("*").alias("n"), F.avg("size").alias("avg_size"))
-    raw = postings(chunks, text, key).groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(corpus.select("n")))
+    toks = F.array_distinct(tokens(clean_for_tokens(F.coalesce(F.col(text), F.lit("")))))
+    raw = chunks.select(F.explode(toks).alias("term")).groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(corpus.select("n")))
     raw = raw.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.coalesce(F.avg("raw"), F.lit(0.0)).alias("mean_idf"))
     terms = raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
@@ -49,11 +53,11 @@ def bm25_stats(chunks: DataFrame, text: str = "content", key: str = "chunk_id")
 def bm25_scores(queries: DataFrame, chunks: DataFrame, text: str = "content", key: str = "chunk_id") -> DataFrame:
     """(query_id, chunk_id, score); a term counts as often as the query has it."""
     corpus, terms = bm25_stats(chunks, text, key)
-    asked = queries.select("query_id", F.explode(tokens(clean_for_tokens(F.col("query")))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    asked = asked.join(terms, "term").join(F.broadcast(corpus.select("avg_size")))
+    wanted = queries.select("query_id", F.explode(tokens(clean_for_tokens(F.col("query")))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    asked = wanted.join(terms, "term").join(F.broadcast(corpus.select("avg_size")))
     tf, size = F.col("tf"), F.col("size")
     part = F.col("times") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / F.col("avg_size")))
-    return postings(chunks, text, key).join(asked, "term").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
+    return postings(chunks, text, key, wanted).join(asked, "term").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
 
 
 def bm25_topk(scores: DataFrame, k: int) -> DataFrame:
