@@ -159,6 +159,10 @@ ORACLE_SQL = {
     "p5_carry_section": f"WITH {IN_CHAPTERS}, o AS (SELECT *, {SECTION_OF} AS own FROM inside) SELECT book, page_idx::INT AS page_idx, coalesce(last_value(own IGNORE NULLS) OVER (PARTITION BY book, chapter_pos ORDER BY page_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'Introduction') AS section FROM o",
     "p6_formulas": f"""WITH {TEXTS}, f AS (SELECT doc_id, 'latex_inline' AS type, unnest(regexp_extract_all(text, '\\$([^$]+)\\$', 1)) AS x FROM texts UNION ALL SELECT doc_id, 'latex_display', unnest(regexp_extract_all(text, '\\$\\$([^$]+)\\$\\$', 1)) FROM texts
         UNION ALL SELECT doc_id, 'expression', unnest(regexp_extract_all(text, {D.q(B.FORMULAS[2][1])})) FROM texts) SELECT doc_id, type, count(*) AS n, md5(string_agg(x, '|' ORDER BY x)) AS contents FROM f GROUP BY ALL""",
+    "p10_split_example": f"WITH {TEXTS}, cutat AS (SELECT doc_id, text, CASE {' '.join(f'WHEN regexp_matches(text, {D.q(m)}) THEN length(regexp_extract(text, {D.q(f'(?s)^(.*?)(?:{m})')}, 1))' for m in B.SOLUTION)} END AS n FROM texts) SELECT doc_id, md5(CASE WHEN n IS NULL THEN split_part(text, chr(10) || chr(10), 1) ELSE {D.strip('substr(text, 1, n)')} END) AS problem, md5(CASE WHEN n IS NULL THEN CASE WHEN contains(text, chr(10) || chr(10)) THEN substr(text, strpos(text, chr(10) || chr(10)) + 2) ELSE '' END ELSE {D.strip('substr(text, n + 1)')} END) AS solution FROM cutat",
+    "c6_chunk_formulas": f"""WITH {TEXTS}, l AS (SELECT doc_id, book, split_part(text, chr(10), 1) AS t FROM texts), f AS (SELECT doc_id, book, 'latex_inline' AS type, unnest(regexp_extract_all(t, '\\$([^$]+)\\$', 1)) AS x FROM l UNION ALL SELECT doc_id, book, 'latex_display', unnest(regexp_extract_all(t, '\\$\\$([^$]+)\\$\\$', 1)) FROM l
+        UNION ALL SELECT doc_id, book, 'expression', unnest(regexp_extract_all(t, {D.q(B.FORMULAS[2][1])})) FROM l)
+        SELECT doc_id AS passage_id, substr(md5(book || '_0_' || substr(x, 1, 50)), 1, 12) AS chunk_id, {_best("(x || ' Limits')")}[3] AS topic, md5('Formula: ' || x || chr(10) || chr(10) || 'Context: Found in Limits, ' || chr(10) || chr(10) || 'Type: ' || type) AS content FROM f""",
     "p11_titles": f"WITH {TEXTS} SELECT doc_id, CASE WHEN {NAMED} <> '' THEN {NAMED} WHEN length(split_part(text, '.', 1)) < 100 THEN split_part(text, '.', 1) ELSE 'Theorem' END AS theorem FROM texts",
     "p12_book_type": f"WITH {TEXTS} SELECT book, bool_or(contains(lower(text), 'limit')) AS is_known FROM texts WHERE doc_id < 500 GROUP BY book",
     "p13_book_summary": f"""WITH {TYPED}, p AS (SELECT 'src' || (doc_id % 4) AS book, count(*) AS pages, count(*) FILTER (doc_id % 12 = 0) AS chapters FROM asked GROUP BY 1)

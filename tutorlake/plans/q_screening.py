@@ -118,7 +118,8 @@ QUERIES = {
     "g6_injections": _by_text(labels=lambda t: _join(F.transform(S.injections(t), lambda x: x["category"]))),
     "g7_injection_check": _by_text(verdict=S.injection_check, strict=lambda t: S.injection_check(t, True)),
     "g8_math_indicators": _by_text(n=S.math_indicators),
-    "g9_content_labels": _by_text(harm=S.harm_label, profane=S.has_profanity, pii=S.pii_label, injected=S.content_injection_label),
+    "g9_content_labels": _by_text(harm=S.harm_label, profane=S.has_profanity, pii=S.pii_label),
+    "g9_content_injection": _by_text(injected=S.content_injection_label),
     "g10_math_score": _by_text(score=lambda t: F.round(S.math_score(t), 6)),
     "g11_word_problem": _by_text(is_word_problem=S.is_word_problem),
     "g12_off_topic": _by_text(label=S.off_topic_label),
@@ -140,6 +141,7 @@ ORACLE_SQL = {
     "g4_length": _sql(verdict=LENGTH),
     "g5_dangerous": _sql(label=D.first_label(LOW, R.DANGEROUS)),
     "g8_math_indicators": _sql(n=D.count_hits(LOW, R.QUICK_MATH)),
+    "g9_content_labels": _sql(harm=D.first_label(LOW, R.HARM), profane=D.has(LOW, "|".join(R.PROFANITY)), pii=D.first_label("text", R.PII)),
     "g10_math_score": _sql(score=f"round({SCORE}, 6)"),
     "g11_word_problem": _sql(is_word_problem=f"({D.has('text', r'[0-9]')} AND {D.has('text', r'\b\d+\b')} AND {D.has(LOW, '|'.join(R.WORD_PROBLEM + R.STRUCTURE))})"),
     "g14_rule_boost": _sql(boost=f"round({BOOST}, 6)"),

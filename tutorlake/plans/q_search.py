@@ -188,7 +188,16 @@ QUERIES = {
     "rr6_judge_rerank": lambda s, d: R.judge_rerank(_keyword(s, d, 10), _replies(s, d), 5).select("query_id", "rank", "chunk_id", F.round("judge", 6).alias("judge")),
 }
 
+CLEAN = [(f"[{R.BOXES}─═║╔╗╚╝╠╣╦╩╬]+", ""), (r"\s+/\s+", "/"), (r"\n{3,}", "\n\n"), (r" {2,}", " "), (r"\t+", " "), (r"^(Example|Definition|Theorem)\s*\(Part \d+/\d+\):\s*", "")]
+LIST_OF = lambda xs: "[" + ", ".join(map(D.q, xs)) + "]"
+FOUND = ", ".join(f"CASE WHEN {D.contains_any('low', [k.lower() for k in ks])} THEN {LIST_OF(ts)} ELSE []::VARCHAR[] END" for _, ks, ts in LEXICON)
 ORACLE_SQL = {
+    "r1_expand": f"""WITH {TEXTS}, l AS (SELECT doc_id AS query_id, split_part(text, chr(10), 1) AS query, lower(split_part(text, chr(10), 1)) AS low FROM texts),
+        m AS (SELECT *, list_filter(string_split_regex(low, '\\s+'), lambda w: w <> '') AS own, flatten([{FOUND}, CASE WHEN regexp_matches(query, '\\b52\\b') THEN {LIST_OF(['deck of cards', 'standard deck', 'playing cards'])} ELSE []::VARCHAR[] END]) AS more FROM l),
+        t AS (SELECT *, list_filter(more, lambda x, i: list_position(more, x) = i AND NOT list_has_any(string_split(lower(x), ' '), own)) AS terms FROM m)
+        SELECT query_id, CASE {' '.join(f"WHEN {D.contains_any('low', [k.lower() for k in ks])} THEN {D.q(t)}" for t, ks, _ in LEXICON)} ELSE 'general' END AS topic, array_to_string(terms[1:10], '|') AS terms FROM t""",
+    "r8_clean_content": f"""WITH {TEXTS}, c AS (SELECT doc_id, {D.chain('text', CLEAN)} AS t FROM texts), h AS (SELECT *, 3001 - strpos(reverse(substr(t, 1, 3000)), '.') AS stop FROM c)
+        SELECT doc_id, md5({D.strip("CASE WHEN length(t) <= 3000 THEN t WHEN stop <= 3000 AND stop - 1 > 2100 THEN substr(t, 1, stop) ELSE substr(t, 1, 3000) || '...' END")}) AS clean FROM h""",
     "k1_clean_for_tokens": f"WITH {TEXTS} SELECT doc_id, md5({D.chain('text', RU.TOKEN_SIGNS)}) AS clean FROM texts",
     "k2_tokens": f"WITH {TEXTS}, t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS t FROM texts) SELECT doc_id, len(t) AS n, md5(array_to_string(t, ' ')) AS tokens FROM t",
     "k3_bm25_stats": f"WITH {BM25} SELECT term, df, round(idf, 6) AS idf FROM terms",
