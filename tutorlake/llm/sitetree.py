@@ -31,7 +31,7 @@ from html.parser import HTMLParser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tutorlake.llm.common import map_columns
+from tutorlake.llm.common import map_columns, materialize
 
 # What elements, roles and class names stand for.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -168,32 +168,40 @@ def host(url: str) -> Column:
     return F.lower(F.coalesce(F.nullif(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")), F.lit("")))
 
 
-def nodes(df: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """One row for each style node and feature of a page: its layout (kind 0) and its texts (kind 1)."""
+def nodes(df: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """(host, path, kind, feature, page_id, n), from one reading of the pages: on how many pages a
+    style node has a layout (kind 0) or a text (kind 1), equal pages once; and the nodes of each
+    page (kind 2) whose blocks are judged by recurrence."""
 
     def run(c):
-        out = {"host": [], "path": [], "kind": [], "feature": [], "page": []}
-        for h, x in zip(c["host"], c["html"]):
+        out = {"host": [], "path": [], "kind": [], "feature": [], "page": [], "page_id": []}
+        for k, h, x in zip(c["page_id"], c["host"], c["html"]):
             page = parse(x)
             texts = Counter((b[0], b[1]) for b in page.blocks)
             same = _hash("\0".join(b[1] for b in page.blocks))
-            own = [(_hash(p), 1, _hash(t)) for p, t in texts]
-            own += [(_hash(p), 0, _hash(" ".join(page.layout.get(p, ())))) for p in {p for p, _ in texts}]
-            for name, values in zip(("path", "kind", "feature"), zip(*own)):
+            own = [(_hash(p), 1, _hash(t), None) for p, t in texts]
+            own += [(_hash(p), 0, _hash(" ".join(page.layout.get(p, ()))), None) for p in {p for p, _ in texts}]
+            own += [(_hash(p), 2, 0, k) for p in {b[0] for b in page.blocks if b[3] and (b[2] or not page.has_main)}]
+            for name, values in zip(("path", "kind", "feature", "page_id"), zip(*own)):
                 out[name] += values
             out["host"] += [h] * len(own)
             out["page"] += [same] * len(own)
         return out
 
-    df = df.select(host(url).alias("host"), F.coalesce(F.col(html), F.lit("")).alias("html"))
-    return map_columns(df, "host string, path long, kind int, feature long, page long", "html", lambda: run)
+    kind = df.schema[key].dataType.simpleString()
+    df = df.select(F.col(key).alias("page_id"), host(url).alias("host"), F.coalesce(F.col(html), F.lit("")).alias("html"))
+    rows = map_columns(df, f"host string, path long, kind int, feature long, page long, page_id {kind}", "html", lambda: run)
+    return rows.groupBy("host", "path", "kind", "feature", "page_id").agg(F.count_distinct("page").alias("n"))
 
 
-def style_tree(df: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+def style_tree(df: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(host, path, pages, presentation, content): the importances of each style node of a host."""
-    each = nodes(df, url, html).groupBy("host", "path", "kind", "feature").agg(F.count_distinct("page").alias("n"))
+    return importances(nodes(df, key, url, html))
+
+
+def importances(each: DataFrame) -> DataFrame:
     layouts = F.col("kind") == 0
-    of = each.groupBy("host", "path").agg(
+    of = each.where("kind < 2").groupBy("host", "path").agg(
         F.sum(F.when(layouts, F.col("n"))).alias("pages"),
         F.sum(F.when(layouts, F.col("n") * F.log("n"))).alias("layout_sum"),
         F.avg(F.when(~layouts, F.log("n"))).alias("text_mean"),
@@ -216,19 +224,9 @@ def extract(df: DataFrame, key: str = "page_id", url: str = "url", html: str = "
     """(page_id, url, text) of every page."""
     kind = df.schema[key].dataType.simpleString()
     df = df.select(F.col(key).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
-
-    def judged(c):
-        out = {"page_id": [], "host": [], "path": []}
-        for k, h, x in zip(c["page_id"], c["host"], c["html"]):
-            page = parse(x)
-            for path in {_hash(b[0]) for b in page.blocks if b[3] and (b[2] or not page.has_main)}:
-                for name, v in (("page_id", k), ("host", h), ("path", path)):
-                    out[name].append(v)
-        return out
-
-    asked = map_columns(df.select("page_id", host("url").alias("host"), "html"), f"page_id {kind}, host string, path long", "html", lambda: judged)
-    low = low_branches(style_tree(df, "url", "html"), least, min_pages)
-    cut = asked.join(low, ["host", "path"]).groupBy("page_id").agg(F.collect_set("path").alias("low"))
+    each = materialize(nodes(df))
+    low = low_branches(importances(each), least, min_pages)
+    cut = each.where("kind = 2").join(low, ["host", "path"]).groupBy("page_id").agg(F.collect_set("path").alias("low"))
 
     def run(c):
         return {"page_id": c["page_id"], "url": c["url"], "text": [text_of(parse(x), set(low or ())) for x, low in zip(c["html"], c["low"])]}
