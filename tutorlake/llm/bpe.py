@@ -32,7 +32,7 @@ from tutorlake.llm.common import keyed, map_columns
 #: The public pre-splitting pattern of byte-level vocabularies (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words kept in a worker's cache before it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 
 _WORKER: dict = {}  # one automaton per worker process, kept between tasks
 

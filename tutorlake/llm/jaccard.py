@@ -70,7 +70,7 @@ def nodes(docs: DataFrame, words: int = WORDS) -> DataFrame:
         sigs = [_signature(s) for s in got]
         once = list({g: s for g, s in zip(sigs, got)}.values())
         seen, n = np.unique(np.concatenate(once), return_counts=True) if once else (np.zeros(0, np.uint64), np.zeros(0))
-        often = n >= 4
+        often = n >= 3
         common = [[{"h": h, "n": k} for h, k in zip(seen[often].astype(np.int64).tolist(), n[often].tolist())]]
         return {"doc_id": c["doc_id"], "n": [len(s) for s in got], "sig": sigs, "bits": [_bitmap(s) for s in got], "common": common + [None] * (len(got) - 1)}
 
