@@ -103,3 +103,8 @@ def keyed(df: DataFrame, key: str, content: str, as_key: str = "doc_id", as_cont
 def held_out(key: str = "doc_id"):
     """True for the rows that no training may look at: crc32 of the key as text, modulo 3, is 1."""
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def sample_order(key: str):
+    """A number from 0 to 1 by the hash of a key: the rows of a sample are those with the smallest."""
+    return F.pmod(F.xxhash64(key), F.lit(1 << 31)) / float(1 << 31)

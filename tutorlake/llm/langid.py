@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tutorlake.llm import grams
-from tutorlake.llm.common import SLICE_CHARS, held_out, keyed, map_columns
+from tutorlake.llm.common import SLICE_CHARS, held_out, keyed, map_columns, sample_order, small_side
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
@@ -80,9 +80,12 @@ def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
 def sample(rows: DataFrame, most: int) -> list:
     """(lang, buckets, counts) of at most ``most`` rows a language; ties of the hash included
     only as far as the bound goes."""
-    order = F.xxhash64("doc_id")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id"))
-    last = rows.select("lang", "doc_id", order.alias("h"), rank.alias("r")).where(F.col("r") <= most).groupBy("lang").agg(F.max("h").alias("h")).collect()
+    order = sample_order("doc_id")
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    # about twice as many rows as asked for go on to the ranking, however many a language has
+    near = rows.select("lang", "doc_id", order.alias("h")).join(small_side(counts), "lang").where(F.col("h") <= 2 * most / F.col("n"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
+    last = near.select("lang", "h", rank.alias("r")).where(F.col("r") <= most).groupBy("lang").agg(F.max("h").alias("h")).collect()
     if not last:
         return []
     limit = F.coalesce(*(F.when(F.col("lang") == r["lang"], F.lit(r["h"])) for r in last))

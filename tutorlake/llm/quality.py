@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tutorlake.llm import grams
-from tutorlake.llm.common import held_out, map_columns
+from tutorlake.llm.common import held_out, map_columns, sample_order
 
 BUCKETS = 1 << 16
 ORDERS = (2, 3, 4)
@@ -58,8 +58,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str =
     shares = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(shares) < 2:
         return None
-    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    picked = known.withColumn("r", rank).where(F.col("r") <= rows_per_label).select("doc_id", "label")
+    # about twice as many rows as asked for go on to the ranking, however many a label has
+    near = known.withColumn("h", sample_order("doc_id")).where(F.col("h") <= F.when(F.col("label") == 1, 2 * rows_per_label / shares[1]).otherwise(2 * rows_per_label / shares[0]))
+    rank = F.row_number().over(Window.partitionBy("label").orderBy("h", "doc_id"))
+    picked = near.withColumn("r", rank).where(F.col("r") <= rows_per_label).select("doc_id", "label")
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
     rows = rows.join(F.broadcast(picked), "doc_id").select("label", "text")  # at most 2 x rows_per_label keys
     run = lambda c: dict(zip(("label", "buckets", "counts"), zip(*((l, *x) for l, x in zip(c["label"], _counts(c["text"])))))) if c["label"] else {"label": [], "buckets": [], "counts": []}  # noqa: E731, E741
