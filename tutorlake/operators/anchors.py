@@ -15,9 +15,11 @@ def classify(texts: DataFrame, anchors: DataFrame, boost: Column | None = None,
     largest cosine and of the average of the five largest; the sigmoid of 12 times the difference
     plus the rule boost decides at one half.
 
-    anchors (is_math, topic, embedding) are a fixed small set, at most ``most`` of them, and travel
-    as one broadcast row; each text is compared in its own row, without a shuffle."""
-    one = anchors.limit(most).agg(F.collect_list(F.struct("is_math", "topic", F.col("embedding").alias("v"))).alias("anchors"))
+    anchors (is_math, topic, embedding) are a fixed small set and travel as one broadcast row, which
+    is why more than ``most`` are refused; each text is compared in its own row, without a shuffle."""
+    if (n := anchors.count()) > most:
+        raise ValueError(f"{n} anchors; at most {most} can be broadcast")
+    one = anchors.agg(F.collect_list(F.struct("is_math", "topic", F.col("embedding").alias("v"))).alias("anchors"))
     rows = texts.join(F.broadcast(one))
     scored = F.transform("anchors", lambda a: F.struct(cosine(F.col("embedding"), a["v"]).alias("s"), a["topic"].alias("topic"), a["is_math"].alias("m")))
 

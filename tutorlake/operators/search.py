@@ -406,9 +406,9 @@ def expand(queries: DataFrame, lexicon: DataFrame, most: int = 10) -> DataFrame:
     """(query_id, topic, terms, expanded): terms of every lexicon entry with a keyword in the query,
     without those that share a word with it, in lexicon order, at most ``most``.
 
-    lexicon: pos, topic, keywords array, terms array - a few dozen rows, broadcast as they are."""
+    lexicon: pos, topic, keywords array, terms array - usually a few dozen rows."""
     low = F.lower("query")
-    rows = queries.join(F.broadcast(lexicon.limit(10_000)), F.exists("keywords", lambda k: F.contains(low, F.lower(k))), "left")
+    rows = queries.join(lexicon, F.exists("keywords", lambda k: F.contains(low, F.lower(k))), "left")
     by = rows.groupBy("query_id", "query").agg(F.sort_array(F.collect_list(F.when(F.col("topic").isNotNull(), F.struct("pos", "topic", "terms")))).alias("found"))
     more = F.concat(
         F.flatten(F.transform("found", lambda x: x["terms"])),
