@@ -189,6 +189,7 @@ QUERIES = {
 }
 
 CLEAN = [(f"[{R.BOXES}─═║╔╗╚╝╠╣╦╩╬]+", ""), (r"\s+/\s+", "/"), (r"\n{3,}", "\n\n"), (r" {2,}", " "), (r"\t+", " "), (r"^(Example|Definition|Theorem)\s*\(Part \d+/\d+\):\s*", "")]
+CUT = D.strip("CASE WHEN length({t}) <= 3000 THEN {t} WHEN strpos(reverse(substr({t}, 1, 3000)), '.') > 0 AND 3000 - strpos(reverse(substr({t}, 1, 3000)), '.') > 2100 THEN substr({t}, 1, 3001 - strpos(reverse(substr({t}, 1, 3000)), '.')) ELSE substr({t}, 1, 3000) || '...' END")
 LIST_OF = lambda xs: "[" + ", ".join(map(D.q, xs)) + "]"
 FOUND = ", ".join(f"CASE WHEN {D.contains_any('low', [k.lower() for k in ks])} THEN {LIST_OF(ts)} ELSE []::VARCHAR[] END" for _, ks, ts in LEXICON)
 ORACLE_SQL = {
@@ -196,6 +197,12 @@ ORACLE_SQL = {
         m AS (SELECT *, list_filter(string_split_regex(low, '\\s+'), lambda w: w <> '') AS own, flatten([{FOUND}, CASE WHEN regexp_matches(query, '\\b52\\b') THEN {LIST_OF(['deck of cards', 'standard deck', 'playing cards'])} ELSE []::VARCHAR[] END]) AS more FROM l),
         t AS (SELECT *, list_filter(more, lambda x, i: list_position(more, x) = i AND NOT list_has_any(string_split(lower(x), ' '), own)) AS terms FROM m)
         SELECT query_id, CASE {' '.join(f"WHEN {D.contains_any('low', [k.lower() for k in ks])} THEN {D.q(t)}" for t, ks, _ in LEXICON)} ELSE 'general' END AS topic, array_to_string(terms[1:10], '|') AS terms FROM t""",
+    "r7_build_hits": f"""WITH {CANDS}, w AS (SELECT *, sum(length(content)) OVER (PARTITION BY section_id ORDER BY pos) AS upto FROM chunks),
+        fo AS (SELECT *, upto - length(content) AS bef, min(CASE WHEN upto > 3000 THEN pos END) OVER (PARTITION BY section_id) AS fo FROM w),
+        sec AS (SELECT section_id, string_agg(CASE WHEN upto <= 3000 THEN content WHEN pos = fo AND 3000 - bef > 200 THEN substr(content, 1, (3000 - bef)::BIGINT) || '...' END, chr(10) || chr(10) ORDER BY pos) AS full_content FROM fo GROUP BY section_id),
+        b AS (SELECT query_id, chunk_id, {TITLE} AS title, clean AS chapter, {D.chain('content', CLEAN)} AS o, {D.chain("coalesce(full_content, '')", CLEAN)} AS f FROM cands LEFT JOIN sec USING (section_id)),
+        n AS (SELECT query_id, chunk_id, title, chapter, length({CUT.format(t='o')}) AS own, length({CUT.format(t='f')}) AS whole FROM b)
+        SELECT query_id, chunk_id, title, chapter, CASE WHEN whole > own * 1.5 THEN whole ELSE own END AS n FROM n""",
     "r8_clean_content": f"""WITH {TEXTS}, c AS (SELECT doc_id, {D.chain('text', CLEAN)} AS t FROM texts), h AS (SELECT *, 3001 - strpos(reverse(substr(t, 1, 3000)), '.') AS stop FROM c)
         SELECT doc_id, md5({D.strip("CASE WHEN length(t) <= 3000 THEN t WHEN stop <= 3000 AND stop - 1 > 2100 THEN substr(t, 1, stop) ELSE substr(t, 1, 3000) || '...' END")}) AS clean FROM h""",
     "k1_clean_for_tokens": f"WITH {TEXTS} SELECT doc_id, md5({D.chain('text', RU.TOKEN_SIGNS)}) AS clean FROM texts",
