@@ -76,6 +76,9 @@ PACKED = f"""WITH RECURSIVE {TEXTS}, sent AS (SELECT doc_id, string_split(regexp
                CASE WHEN length(now) + length(s[i + 1]) <= 1000 THEN now || s[i + 1] || ' ' ELSE s[i + 1] || ' ' END
         FROM pack p JOIN sent USING (doc_id) WHERE i < len(s))
     SELECT p.doc_id, len(done) + CAST(now <> '' AS INT) AS n_parts, md5(array_to_string(CASE WHEN now <> '' THEN list_append(done, {D.strip('now')}) ELSE done END, '|')) AS parts FROM pack p JOIN sent USING (doc_id) WHERE i = len(s)"""
+DEFS = PACKED.replace("WHERE length(text) < 4000", "WHERE length(text) > 1000").split("\n    SELECT p.doc_id")[0] + f""", parts AS (SELECT p.doc_id, CASE WHEN now <> '' THEN list_append(done, {D.strip('now')}) ELSE done END AS parts FROM pack p JOIN sent USING (doc_id) WHERE i = len(s))
+    SELECT doc_id AS passage_id, len(parts) AS n_chunks, list_max(list_transform(parts, lambda x, i: length('Definition (Part ' || i || '/' || len(parts) || '):') + 2 + length(x))) AS longest FROM parts
+    UNION ALL SELECT doc_id, 1, length('Definition: T' || doc_id) + 2 + length(text) FROM texts WHERE length(text) <= 1000"""
 STEPS = f"list_filter(list_transform(string_split(regexp_replace(t, '(?i)(Step\\s*[0-9]+[:.]|First[,:]|Second[,:]|Then[,:]|Finally[,:]|Therefore[,:])', chr(1) || '\\1', 'g'), chr(1)), lambda x: {D.strip('x')}), lambda x: x <> '')"
 PARAS = f"list_filter(list_transform(string_split(t, chr(10) || chr(10)), lambda x: {D.strip('x')}), lambda x: x <> '')"
 SIMPLE = "|".join(f"(?:{p})" for p in RU.SIMPLE)
@@ -169,6 +172,7 @@ ORACLE_SQL = {
         SELECT book, pages, chapters, count(*) FILTER (content_type = 'definition') AS definitions, count(*) FILTER (content_type = 'theorem') AS theorems, count(*) FILTER (content_type = 'example') AS examples, count(*) FILTER (content_type = 'formula') AS formulas FROM p JOIN kb ON book = source GROUP BY ALL""",
     "c1_classify_topic": f"WITH {TEXTS}, b AS (SELECT doc_id, {_best('text')} AS best FROM texts) SELECT doc_id, best[3] AS topic, best[4] AS subtopic FROM b",
     "c2_chunk_id": f"WITH {TEXTS} SELECT doc_id AS passage_id, substr(md5(book || '_' || doc_id || '_' || substr(text, 1, 50)), 1, 12) AS chunk_id FROM texts",
+    "c3_chunk_definitions": DEFS,
     "c7_pack_sentences": PACKED,
     "c8_split_steps": f"WITH {ASKED}, t AS (SELECT doc_id, text AS t FROM asked), s AS (SELECT doc_id, CASE WHEN len({STEPS}) > 1 THEN {STEPS} WHEN len({PARAS}) > 0 THEN {PARAS} ELSE [t] END AS p FROM t) SELECT doc_id, len(p) AS n, array_to_string(p, '|') AS steps FROM s",
     "c10_topic_counts": f"WITH {TYPED} SELECT topic, subtopic, {BUCKET} AS bucket, count(*) AS n FROM kb WHERE {BUCKET} IS NOT NULL GROUP BY ALL",
