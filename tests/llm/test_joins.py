@@ -230,3 +230,30 @@ def test_leaks(docs, odd_rows, spark):
     kept = decon.clean(df, bench)
     assert kept.count() == len(rows) + len(odd_rows) - len(planted) and kept.columns == df.columns
     assert decon.leaks(docs([]), bench).count() == 0 and decon.leaks(df, bench.limit(0)).count() == 0
+
+
+def test_leaks_in_many_documents(docs, spark):
+    """Copies that make all n-grams they keep frequent: with every fifth word edited, of half an
+    item, of nothing but stock phrases; and items of one and two words."""
+    rng = random.Random(9)
+    items = [(i, prose(rng, rng.randint(15, 30))) for i in range(6)]
+    stock = " ".join(items[2][1].split()[:4])
+    rows = [(i, prose(rng, 30)) for i in range(30)] + [(100 + i, prose(rng, 20) + " " + stock) for i in range(50)]
+    for i in range(50):
+        edited, half = items[0][1].split(), items[1][1].split()
+        edited[::5] = [f"edited{i}x{j}" for j in range(len(edited[::5]))]
+        rows.append((200 + i, prose(rng, 15) + " " + " ".join(edited) + " " + prose(rng, 15)))
+        rows.append((300 + i, prose(rng, 15) + " " + " ".join(half[: (len(half) + 1) // 2]) + " " + prose(rng, 15)))
+    rows.append((400, " ".join([stock] * 200) + " " + items[3][1] + " oneword " + "two words " * 3))
+    items += [(50, "Oneword"), (51, "two words"), (52, "words two three")]
+    want = {}
+    for k, text in rows:
+        w = text.lower().split()
+        for item, t in items:
+            asked = t.lower().split()
+            if len(asked) > 2 and (score := brute_align(asked, w)) >= decon.LEAST and any(asked[j : j + 3] == w[p : p + 3] for j in range(len(asked) - 2) for p in range(len(w))):
+                want[k, item] = pytest.approx(score)
+    want |= {(400, 50): 1.0, (400, 51): 1.0}
+    assert {(k, i) for k, i in want} >= {(200 + i, 0) for i in range(50)} | {(300 + i, 1) for i in range(50)}
+    found = decon.leaks(docs(rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert len(found) == len(want) and {(r["doc_id"], r["item_id"]): r["score"] for r in found} == want

@@ -1,16 +1,18 @@
-"""Benchmark decontamination: rare n-gram seeds, then local alignment.
+"""Benchmark decontamination: n-gram seeds, then local alignment.
 
-Test items are cut into word n-grams. Their document frequencies are counted over the whole
-corpus; an item's seeds are its n-grams that are not far more frequent than the item's median
-n-gram (a passage that leaked often keeps all of its seeds; stock phrases go). A document that
-holds two seeds of an item, or one of a very short item, is aligned with it around those places:
+Test items are cut into word n-grams, and all of them are seeds, however frequent they are in the
+corpus: a passage that leaked into many documents, whole or in part, makes its own n-grams
+frequent. An item of fewer than n words has one seed, its whole text. A document that holds two
+seeds of an item, or one of a very short item, is aligned with it around those places:
 Smith-Waterman over words, one point for an equal word, ``PENALTY`` off for another, a missing or
 an additional one. The score is the share of the item's words that the best local alignment
 gains; ``least`` or more is a leak, so copies with a fifth of their words edited still count.
+What a document shares by stock phrases alone is told by counting: stretches of it with too few
+words of the item to reach ``least`` are not aligned.
 
 The benchmark is the stated query set: it is taken in blocks of bounded size, each broadcast to
-the tasks that read the documents, of which nothing is shuffled but counts of seeds. Items
-without words match nothing; null texts count as empty. Repeated rows give equal rows.
+the tasks that read the documents, of which nothing is shuffled. Items without words match
+nothing; null texts count as empty. Repeated rows give equal rows.
 """
 
 from __future__ import annotations
@@ -27,11 +29,11 @@ from tutorlake.llm.common import keyed, map_columns, small_side
 WORDS = 3
 PENALTY = 0.5
 LEAST = 0.45
-#: An n-gram stays a seed up to RARE times the median document frequency of its item, plus 10.
-RARE = 10
 #: Characters of test items in a block.
 BLOCK_CHARS = 8_000_000
 _TABLE = 1 << 20
+#: Pairs of a place in a text and a place in an item that are looked at together.
+_PAIRS = 1 << 20
 
 
 def align(item: np.ndarray, words: np.ndarray) -> float:
@@ -49,37 +51,74 @@ def align(item: np.ndarray, words: np.ndarray) -> float:
     return best / len(item)
 
 
+def _stretches(item: np.ndarray, words: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """The parts of ``words`` that can hold an alignment of ``least`` or more: it has ``least`` of
+    the item's words, and too few others for it to be longer than ``width``."""
+    width = min(len(words), int(len(item) * (1 + (1 - least) / PENALTY)) + 1)
+    upto = np.concatenate([[0], np.cumsum(np.isin(words, item))])
+    start = np.flatnonzero(upto[width:] - upto[:-width] >= least * len(item) - 1e-9) if width else np.zeros(0, np.int64)
+    parts = np.split(start, np.flatnonzero(np.diff(start) > 1) + 1) if len(start) else []
+    return [(int(p[0]), int(p[-1]) + width) for p in parts]
+
+
 class _Seeds:
     """Items of a block by their seeds."""
 
-    def __init__(self, items: list[np.ndarray], keep: set[int] | None = None, n: int = WORDS):
+    def __init__(self, items: list[np.ndarray], n: int = WORDS):
         self.items, self.n = items, n
+        self.sizes = sorted({min(n, len(words)) for words in items} - {0})
         rows = []
         for i, words in enumerate(items):
             size = min(n, len(words))
             if size:
-                grams = shingles.runs_of(words, size) if size == n else np.zeros(0, np.uint64)
-                rows += [(g, i, p) for p, g in enumerate(grams.tolist()) if keep is None or g in keep]
+                rows += [(g, i, p) for p, g in enumerate(shingles.runs_of(words, size).tolist())]
         rows.sort()
         self.gram = np.array([r[0] for r in rows], np.uint64)
         self.item = np.array([r[1] for r in rows], np.int64)
         self.place = np.array([r[2] for r in rows], np.int64)
+        self.needed = np.array([2 if len(words) >= 2 * n else 1 for words in items], np.int64)
         self.maybe = np.zeros(_TABLE, bool)
         self.maybe[(self.gram % np.uint64(_TABLE)).astype(np.int64)] = True
 
     def hits(self, texts: list[str]):
-        """Words of all texts, first word of each, and (text, position, gram) of seeds in them."""
+        """Words of all texts, first word of each, and (text, position, gram) of seeds in them, by
+        text."""
         hashes, _, _, first, _ = shingles.words(texts)
-        grams = shingles.runs_of(hashes, self.n)
-        at = np.flatnonzero(self.maybe[(grams & np.uint64(_TABLE - 1)).astype(np.int64)])
-        if len(self.gram):
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+        for size in self.sizes:
+            grams = shingles.runs_of(hashes, size)
+            at = np.flatnonzero(self.maybe[(grams & np.uint64(_TABLE - 1)).astype(np.int64)])
             lo = np.searchsorted(self.gram, grams[at])
             at = at[self.gram[np.minimum(lo, len(self.gram) - 1)] == grams[at]]
-        else:
-            at = at[:0]
-        doc = np.searchsorted(first, at, "right") - 1
-        inside = at + self.n <= first[doc + 1]
-        return hashes, first, doc[inside], at[inside], grams[at[inside]]
+            doc = np.searchsorted(first, at, "right") - 1
+            inside = at + size <= first[doc + 1]
+            found.append((doc[inside], at[inside], grams[at[inside]]))
+        doc, at, grams = map(np.concatenate, zip(*found))
+        order = np.argsort(doc, kind="stable")
+        return hashes, first, doc[order], at[order], grams[order]
+
+    def near(self, doc: np.ndarray, at: np.ndarray, grams: np.ndarray):
+        """(text, item, positions, places in the item) of the texts with enough seeds of an item."""
+        lo = np.searchsorted(self.gram, grams)
+        times = np.searchsorted(self.gram, grams, "right") - lo
+        upto = np.cumsum(times)
+        begin = 0
+        while begin < len(doc):
+            # whole texts at once, at least one
+            end = int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + _PAIRS, "right"))
+            end = int(np.searchsorted(doc, doc[end], "left")) if end < len(doc) else end
+            end = end if end > begin else int(np.searchsorted(doc, doc[begin], "right"))
+            k = times[begin:end]
+            seed = np.repeat(lo[begin:end] - np.cumsum(k) + k, k) + np.arange(k.sum())
+            pair = np.repeat(doc[begin:end], k) * len(self.items) + self.item[seed]
+            rows = np.stack([pair, np.repeat(at[begin:end], k), self.place[seed]])
+            rows = rows[:, np.lexsort((rows[2], rows[1], rows[0]))]
+            edge = np.flatnonzero(np.diff(rows[0], prepend=-1))
+            for a, b in zip(edge.tolist(), [*edge[1:].tolist(), rows.shape[1]]):
+                d, i = divmod(int(rows[0, a]), len(self.items))
+                if b - a >= self.needed[i]:
+                    yield d, i, rows[1, a:b], rows[2, a:b]
+            begin = end
 
 
 def _block(items: DataFrame) -> tuple[list, list[np.ndarray]]:
@@ -89,60 +128,19 @@ def _block(items: DataFrame) -> tuple[list, list[np.ndarray]]:
     return got["item_id"].tolist(), [hashes[a:b] for a, b in zip(first[:-1], first[1:])]
 
 
-def frequencies(docs: DataFrame, items: list[np.ndarray], n: int = WORDS) -> dict[int, int]:
-    """Document frequency of every n-gram of a block of items, over all documents."""
-    shared = docs.sparkSession.sparkContext.broadcast(items)
-
-    def make():
-        seeds = _Seeds(shared.value, n=n)
-
-        def run(c):
-            _, _, doc, _, grams = seeds.hits(c["text"])
-            pairs = np.unique(np.stack([doc.astype(np.uint64), grams], 1), axis=0) if len(doc) else np.zeros((0, 2), np.uint64)
-            gram, k = np.unique(pairs[:, 1], return_counts=True)
-            return {"gram": gram.astype(np.int64), "k": k.astype(np.int64)}
-
-        return run
-
-    got = map_columns(docs.select("text"), "gram long, k long", "text", make).groupBy("gram").agg(F.sum("k").alias("k")).toPandas()
-    return dict(zip(got["gram"].to_numpy(np.int64).view(np.uint64).tolist(), got["k"].tolist()))
-
-
-def rare(items: list[np.ndarray], df: dict[int, int], n: int = WORDS) -> set[int]:
-    """The n-grams that are a seed of an item."""
-    keep: set[int] = set()
-    for words in items:
-        grams = shingles.runs_of(words, n).tolist() if len(words) >= n else []
-        if grams:
-            bound = RARE * float(np.median([df.get(g, 0) for g in grams])) + 10
-            keep.update(g for g in grams if df.get(g, 0) <= bound)
-    return keep
-
-
 def _scores(seeds: _Seeds, texts: list[str], least: float):
     """(text, item, score, seeds) of what is a leak."""
     hashes, first, doc, at, grams = seeds.hits(texts)
-    lo, hi = np.searchsorted(seeds.gram, grams), np.searchsorted(seeds.gram, grams, "right")
-    near: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for d, a, s, e in zip(doc.tolist(), at.tolist(), lo.tolist(), hi.tolist()):
-        for k in range(s, e):
-            near.setdefault((d, int(seeds.item[k])), []).append((a, int(seeds.place[k])))
-    for (d, i), places in sorted(near.items()):
+    for d, i, places, own in seeds.near(doc, at, grams):
         item = seeds.items[i]
-        needed = 2 if len(item) >= 2 * seeds.n else 1
-        places.sort()
-        groups, reach = [[places[0]]], 2 * len(item)
-        for p in places[1:]:
-            if p[0] - groups[-1][-1][0] > reach:
-                groups.append([])
-            groups[-1].append(p)
         best = found = 0
-        for g in groups:
-            own = len({p for _, p in g})
-            if own >= needed:
-                score = align(item, hashes[max(first[d], g[0][0] - len(item)) : min(first[d + 1], g[-1][0] + len(item) + seeds.n)])
+        for g in np.split(np.arange(len(places)), np.flatnonzero(np.diff(places) > 2 * len(item)) + 1):
+            n_own = len(np.unique(own[g]))
+            if n_own >= seeds.needed[i]:
+                words = hashes[max(first[d], places[g[0]] - len(item)) : min(first[d + 1], places[g[-1]] + len(item) + seeds.n)]
+                score = max((align(item, words[a:b]) for a, b in _stretches(item, words, least)), default=0.0)
                 if score > best:
-                    best, found = score, own
+                    best, found = score, n_own
         if best >= least:
             yield d, i, best, found
 
@@ -156,11 +154,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     found = []
     for b in range(blocks):
         ids, words = _block(items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b))
-        shared = docs.sparkSession.sparkContext.broadcast((ids, words, rare(words, frequencies(rows, words))))
+        shared = docs.sparkSession.sparkContext.broadcast((ids, words))
 
         def make(shared=shared):
-            names, known, keep = shared.value
-            seeds = _Seeds(known, keep)
+            names, known = shared.value
+            seeds = _Seeds(known)
 
             def run(c):
                 got = list(_scores(seeds, c["text"], least))
