@@ -131,6 +131,25 @@ def test_line_dedup(docs, odd_rows, seed):
     assert got == brute_lines(rows)
 
 
+def spaced_lines(seed):
+    """Lines that begin or end with spaces, and edits next to those."""
+    rng = random.Random(seed)
+    rows = [(0, " b1 b2 b3 b4 b5\nc1 c2 c3 c4 c5 "), (1, " X b1 b2 b3 b4 b5\nc1 c2 c3 c4 c5 X ")]
+    for k in range(2, 60):
+        w = [f"w{k % 5}{j}" for j in range(rng.randint(5, 7))]
+        for _ in range(rng.randint(0, 2)):
+            w.insert(rng.choice([0, 1, len(w) - 1, len(w)]), rng.choice(["", "", "x", "y"]))
+        rows.append((k, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_line_dedup_of_spaces(docs, seed):
+    rows = spaced_lines(seed)
+    got = {(r["doc_id"], r["line_no"]) for r in lines.removed(docs(rows)).collect()}
+    assert got == brute_lines(rows) and {(1, 0), (1, 1)} <= got
+
+
 def test_line_dedup_rebuilds_texts(docs):
     rows = [(1, "a b c d e\nx"), (2, "x\n\na b c d f\nnew"), (3, None), (None, "x"), (4, "x")]
     got = {r["doc_id"]: r["text"] for r in lines.dedup(docs(rows)).collect()}

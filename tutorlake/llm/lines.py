@@ -117,7 +117,9 @@ def _variants(near: DataFrame, least: int) -> DataFrame:
         F.struct(_head(F.col("rest"), F.col("i") - 1).alias("a"), F.when(F.col("i") < F.col("size"), _tail(F.col("rest"), F.col("size") - F.col("i"))).otherwise("").alias("b"))
     )
     each = each.select("*", left.alias("left"))
-    joined = F.when((F.col("left.a") == "") | (F.col("left.b") == ""), F.concat("left.a", "left.b")).otherwise(F.concat_ws(" ", "left.a", "left.b"))
+    # words may be empty, so counts tell whether there is a part on either side, not the strings
+    ends = (F.col("kind") == 1) | (F.col("i") == 1) | (F.col("i") == F.col("size"))
+    joined = F.when(ends, F.concat("left.a", "left.b")).otherwise(F.concat_ws(" ", "left.a", "left.b"))
     # an insertion may leave nothing of a half, or one empty word: the count of words tells them apart
     count = F.when(F.col("kind") == 1, F.col("size")).otherwise(F.col("size") - 1)
     where = F.when(F.col("kind") == 0, F.col("i")).otherwise(F.lit(0))
