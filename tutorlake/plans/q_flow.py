@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tutorlake.operators import anchors, books
-from tutorlake.plans.inputs import CORRECTIONS, FEEDBACK, PROBLEMS, TEXTS, corrections, feedback, phrases, problems, table
+from tutorlake.plans.inputs import CORRECTIONS, FEEDBACK, PROBLEMS, TEXTS, corrections, feedback, problems, table, texts
 from tutorlake.plans.q_books import TYPED, _rows, _typed, pages
 from tutorlake.sources import tables as T
 from tutorlake.streaming import jobs as J
@@ -68,7 +68,7 @@ def g13(s, d):
 
 
 def t1(s, d):
-    return J.screen_stream(phrases(s, d)).groupBy("status").agg(F.count("*").alias("n"))
+    return J.screen_stream(texts(s, d)).groupBy("status").agg(F.count("*").alias("n"))
 
 
 def _marks(s, d):

@@ -10,7 +10,7 @@ from tutorlake.operators import evaluation as V
 from tutorlake.operators import memory as M
 from tutorlake.operators import review as H
 from tutorlake.plans import duck as D
-from tutorlake.plans.inputs import FEEDBACK, PROBLEMS, corrections, feedback, phrases, problems, table
+from tutorlake.plans.inputs import FEEDBACK, PROBLEMS, corrections, feedback, problems, table, texts
 from tutorlake.plans.q_memory import COUNTS
 
 W = lambda t: f"list_filter(string_split_regex({t}, '\\s+'), lambda w: w <> '')"
@@ -48,7 +48,7 @@ def _answers(s, d):
 
 
 def v5(s, d):
-    rows = table(s, d, "labels").join(S.screen_inputs(phrases(s, d)).select("doc_id", "status"), "doc_id")
+    rows = table(s, d, "labels").join(S.screen_inputs(texts(s, d)).select("doc_id", "status"), "doc_id")
     got = V.eval_screening(rows.select((F.col("toxic") == 0).alias("should_pass"), (F.col("status") != "blocked").alias("passed")))
     return got.select(*(F.round(c, 6).alias(c) for c in got.columns))
 
@@ -155,7 +155,7 @@ QUERIES = {
     "h1_route_extractions": lambda s, d: _review(H.route_extractions(extractions(s, d))),
     "h2_route_parses": lambda s, d: _review(H.route_parses(parses(s, d))),
     "h3_route_verifications": lambda s, d: _review(H.route_verifications(parses(s, d))),
-    "h4_route_warnings": lambda s, d: H.route_warnings(S.screen_inputs(phrases(s, d))).select("doc_id", "reason", "review_confidence"),
+    "h4_route_warnings": lambda s, d: H.route_warnings(S.screen_inputs(texts(s, d))).select("doc_id", "reason", "review_confidence"),
     "h5_resolve": lambda s, d: _resolved(s, d).select("request_id", "action", F.md5("final").alias("final"), F.col("correction").isNotNull().alias("corrects")),
     "h6_pending": lambda s, d: H.pending(requests(s, d), resolutions(s, d)).select("request_id", "trigger"),
     "h7_review_stats": lambda s, d: (lambda r: r.select("metric", "name", F.round("value", 6).alias("value")))(H.review_stats(requests(s, d), _resolved(s, d))),

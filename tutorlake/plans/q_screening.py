@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from tutorlake.functions import rules as R
 from tutorlake.functions import screening as S
 from tutorlake.plans import duck as D
-from tutorlake.plans.inputs import ASKED, PROBLEMS, phrases, problems
+from tutorlake.plans.inputs import ASKED, PROBLEMS, phrases, problems, texts
 
 
 
-def _by_text(**columns):
-    return lambda spark, sf: phrases(spark, sf).select("doc_id", *(f(F.col("text")).alias(k) for k, f in columns.items()))
+def _by_text(rows=phrases, **columns):
+    return lambda spark, sf: rows(spark, sf).select("doc_id", *(f(F.col("text")).alias(k) for k, f in columns.items()))
 
 
 def _sql(**columns: str) -> str:
@@ -79,19 +79,19 @@ def g2(spark, sf):
 
 
 def g15(spark, sf):
-    rows = phrases(spark, sf)
+    rows = texts(spark, sf)
     c = F.col("text")
     score = S.math_score(c)
     return rows.select("doc_id", S.content_verdict(c, score >= 0.3, score, F.lit("general")).alias("v")).select("doc_id", "v.level", "v.category", F.round("v.confidence", 6).alias("confidence"))
 
 
 def g16(spark, sf):
-    got = S.screen_inputs(phrases(spark, sf))
+    got = S.screen_inputs(texts(spark, sf))
     return got.select("doc_id", "status", "category", _join("warnings").alias("warnings"))
 
 
 def g17(spark, sf):
-    got = S.screen_inputs(phrases(spark, sf)).where("status = 'blocked'")
+    got = S.screen_inputs(texts(spark, sf)).where("status = 'blocked'")
     return got.select("doc_id", S.rejection(F.col("category")).alias("message"), _join(S.suggestions(F.col("category"))).alias("suggestions"))
 
 
@@ -115,14 +115,14 @@ QUERIES = {
     "g3_pre_sanitize": _by_text(clean=S.pre_sanitize),
     "g4_length": _by_text(verdict=S.length_check),
     "g5_dangerous": _by_text(label=S.dangerous_label),
-    "g6_injections": _by_text(labels=lambda t: _join(F.transform(S.injections(t), lambda x: x["category"]))),
-    "g7_injection_check": _by_text(verdict=S.injection_check, strict=lambda t: S.injection_check(t, True)),
+    "g6_injections": _by_text(texts, labels=lambda t: _join(F.transform(S.injections(t), lambda x: x["category"]))),
+    "g7_injection_check": _by_text(texts, verdict=S.injection_check, strict=lambda t: S.injection_check(t, True)),
     "g8_math_indicators": _by_text(n=S.math_indicators),
     "g9_content_labels": _by_text(harm=S.harm_label, profane=S.has_profanity, pii=S.pii_label),
-    "g9_content_injection": _by_text(injected=S.content_injection_label),
+    "g9_content_injection": _by_text(texts, injected=S.content_injection_label),
     "g10_math_score": _by_text(score=lambda t: F.round(S.math_score(t), 6)),
     "g11_word_problem": _by_text(is_word_problem=S.is_word_problem),
-    "g12_off_topic": _by_text(label=S.off_topic_label),
+    "g12_off_topic": _by_text(texts, label=S.off_topic_label),
     "g14_rule_boost": _by_text(boost=lambda t: F.round(S.rule_boost(t), 6)),
     "g15_content_verdict": g15,
     "g16_screen_inputs": g16,
