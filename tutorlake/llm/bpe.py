@@ -6,14 +6,15 @@ that merging by rank would give. It starts as one state with a loop for each byt
 has an arc ``v``, an arc ``uv`` to the end of ``v`` is added beside ``u``, and ``u`` is led to a
 copy of its state without ``v``. Targets depend on the token alone, so a state is the last
 token read; a copy differs from its origin by one removed arc. The compiled form is therefore
-the list of gadgets with the time of each, from which the transition table is filled row by
-row as texts need it (a full table of 50,000 x 50,000 bits would not fit a worker).
+the list of gadgets with the time of each, from which the slots of a transition table of fixed size
+are filled as texts need them (a full table of 50,000 x 50,000 bits would not fit a worker).
 
 Texts are pre-split into words; a word is run through the table from the first state, longest
 label first, backing out of positions that no allowed arc leaves. Decoding emits the byte label
 of each arc.
 
-Nulls and empty texts encode to no token. Equal rows get equal results; no row is dropped.
+Nulls and empty texts encode to no token; a word of any length is one run. Equal rows get equal
+results; no row is dropped, an empty table gives none, and other columns are never looked at.
 Strings of special tokens inside a text are taken as those tokens, as the vocabulary file says.
 """
 
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from itertools import chain
 
 import regex
@@ -31,8 +33,11 @@ from tutorlake.llm.common import keyed, map_columns
 
 #: The public pre-splitting pattern of byte-level vocabularies (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words kept in a worker's cache before it starts anew.
-CACHE_WORDS = 250_000
+#: Words of up to 64 characters kept in each of a worker's two caches before it starts anew (about 25 MB).
+CACHE_WORDS = 100_000
+#: The transition table has 2 ** TABLE_BITS slots of 8 bytes, whatever texts come (8 MB).
+TABLE_BITS = 20
+_SLOTS, _SPREAD = (1 << TABLE_BITS) - 1, 0x9E3779B97F4B
 
 _WORKER: dict = {}  # one automaton per worker process, kept between tasks
 
@@ -68,7 +73,7 @@ class Automaton:
         self.born = dict.fromkeys((i for i, x in enumerate(labels) if len(x) == 1), -1)
         self.parts: dict[int, tuple[int, int]] = {}
         self.removed: dict[tuple[int, int], int] = {}
-        self.table: dict[tuple[int, int], bool] = {}
+        self.table = array("q", bytes(8 << TABLE_BITS))  # a slot holds the last pair met there and its answer
         for rank, (u, v, uv) in enumerate(merges):
             self._gadget(rank, u, v, uv)
         self.arcs = {labels[t]: t for t in self.born}  # of the first state
@@ -85,6 +90,8 @@ class Automaton:
         self.stops = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
         self.decimal = [str(i) for i in range(len(labels))]
         self.words: dict[str, tuple[int, ...]] = {}
+        self.spaced: dict[str, list[int]] = {}
+        self.blank = regex.compile(r"\s").match
 
     def _gadget(self, rank: int, u: int, v: int, uv: int) -> None:
         if u in self.born and v in self.born and self._has_arc(u, v, rank):
@@ -107,12 +114,12 @@ class Automaton:
 
     def step(self, x: int, t: int) -> bool:
         """The transition table: may ``t`` follow ``x``?"""
-        found = self.table.get((x, t))
-        if found is None:
-            if len(self.table) > 4_000_000:
-                self.table.clear()
-            found = self.table[x, t] = self._has_arc(x, t, 1 << 60)
-        return found
+        pair = x << 24 | t
+        slot = pair * _SPREAD >> 20 & _SLOTS
+        held = self.table[slot]
+        if held >> 1 != pair:
+            held = self.table[slot] = pair << 1 | self._has_arc(x, t, 1 << 60)
+        return held & 1
 
     def _longest(self, data: bytes, at: int) -> int:
         """The longest arc label of the first state that ``data`` has at ``at``."""
@@ -156,10 +163,10 @@ class Automaton:
                 t = self._shorter(back)
         return tuple(path)
 
-    def _plain(self, text: str) -> list[int]:
+    def _words(self, text: str) -> list[int]:
+        """Pre-split by the pattern, then word by word."""
         words, got = self.words, []
-        parts = self.split(text)
-        for w in parts:
+        for w in self.split(text):
             ids = words.get(w)
             if ids is None:
                 if len(words) >= CACHE_WORDS:
@@ -170,6 +177,26 @@ class Automaton:
             got.append(ids)
         return list(chain.from_iterable(got))
 
+    def _plain(self, text: str) -> list[int]:
+        """The pattern always begins a word at a space with other than white space behind it, or
+        before it; so what follows such a space is split and encoded on its own, and kept."""
+        first, *parts = text.split(" ")
+        spaced, blank, before, got = self.spaced, self.blank, first, [self._words(first)]
+        for p in parts:
+            ids = spaced.get(p)
+            if ids is None:
+                inside = not p or blank(p[0])
+                if inside and (not before or blank(before[-1])):
+                    return self._words(text)  # a space amid white space begins no word
+                ids = self._words(" " + p)
+                if not inside and len(p) <= 64:
+                    if len(spaced) >= CACHE_WORDS:
+                        spaced.clear()
+                    spaced[p] = ids
+            got.append(ids)
+            before = p
+        return list(chain.from_iterable(got))
+
     def encode(self, text: str) -> list[int]:
         if self.stops is None or not self.stops.search(text):
             return self._plain(text)
