@@ -10,18 +10,24 @@ Two sets link when 100 * intersection >= percent * union; a class is what links
    results) last, so passages that many texts share make no groups. A set that shares fewer of
    its first shingles with any other than a link needs has none and drops out, and so on while
    this frees others; what stays is nearly only what links.
-3. Each shingle's group is sorted by size. Every node of a group is paired with the node before it and with the first. Sizes and bitmaps
-   bound the intersection from above; what may link is verified by intersecting the sorted
-   arrays. Links give classes.
+3. Each shingle's group is sorted by size. A set is paired with the one that stands before it in
+   the most of its groups and with the one that leads the most of them. Sizes and bitmaps bound
+   the intersection from above; what may link is verified by intersecting the sorted arrays.
+   Links give classes.
 4. Groups that still hold more than one class, sorted by size, are cut into tiles: a tile meets
-   those within its size band, compared as bitmaps all at once. Pairs of two classes that pass
-   the bound, meet in as many groups as a link needs and were not tried before are verified, and
-   classes are built again. After
-   that, no link is missing: each one lies inside a class or was tried.
-
-No task needs a whole group in memory but for tile blocks of bounded size, groups are never
-expanded to all pairs of copies, and nothing of the corpus but the bounded list of frequent
-shingles reaches the driver. Null texts count as empty; a text without words links with nothing.
+   those within its size band, compared as bitmaps all at once. Here a group takes the sets that
+   have its shingle among their first n - ceil(n * percent / 100) + 1, as linked sets share one of
+   those. A row carries the shingles before its own, so that a pair with one of them in common
+   is not told again: it was met there. First each row tells its closest partner of another class,
+   and classes are built anew; then all pairs of two classes that the bounds allow are told.
+   Those not tried before are verified, and classes are built again. After that, no link is
+   missing: each one lies inside a class or was tried.
+
+A task holds the tiles of a size band of a group, 200 bytes a row; groups are never expanded to all
+pairs of copies, and nothing of the corpus but the bounded list of frequent shingles reaches the
+driver. Null texts count as empty; a text without words links with nothing. Repeated rows count
+as equal sets; an empty table gives no row; other columns are never looked at. Texts of any length
+are read whole.
 """
 
 from __future__ import annotations
@@ -48,6 +54,8 @@ BLOCK = 1024
 SHARE = 5
 #: Rounds of dropping sets; more change no result.
 ROUNDS = 2
+#: Shingles before its own that a row of a tile carries; any number gives the same pairs.
+BEFORE = 6
 
 
 def _signature(s: np.ndarray) -> int:
@@ -83,21 +91,23 @@ def _shared_least(n):
 
 
 def _prefixes(docs: DataFrame, frequent: np.ndarray, words: int, percent: int) -> DataFrame:
-    """(token, sig, n): the prefix of each set, rare shingles first."""
+    """(token, sig, n, early): the prefix of each set, rare shingles first; ``early`` marks those of
+    which linked sets share at least one."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def make():
         often = shared.value
 
         def run(c):
-            token, sig, size = [], [], []
+            token, sig, size, early = [], [], [], []
             done = set()
             for s in shingles.sets(c["text"], words):
                 g = _signature(s)
                 if not len(s) or g in done:
                     continue
                 done.add(g)
-                take = min(len(s), len(s) - (len(s) * percent + 99) // 100 + _shared_least(len(s)))
+                one = len(s) - (len(s) * percent + 99) // 100 + 1
+                take = min(len(s), one - 1 + _shared_least(len(s)))
                 if len(often):
                     at = np.searchsorted(often, s)
                     hit = often[np.minimum(at, len(often) - 1)] == s
@@ -106,28 +116,29 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray, words: int, percent: int) -
                 token.append(s[:take].astype(np.int64))
                 sig.append(np.full(take, g, np.int64))
                 size.append(np.full(take, len(s), np.int32))
+                early.append(np.arange(take) < one)
             joined = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-            return {"token": joined(token, np.int64), "sig": joined(sig, np.int64), "n": joined(size, np.int32)}
+            return {"token": joined(token, np.int64), "sig": joined(sig, np.int64), "n": joined(size, np.int32), "early": joined(early, bool)}
 
         return run
 
-    return map_columns(docs.select("text"), "token long, sig long, n int", "text", make)
+    return map_columns(docs.select("text"), "token long, sig long, n int, early boolean", "text", make)
 
 
 def _thin(groups: DataFrame, percent: int) -> DataFrame:
     """Without the sets that have too few rows for a link, and the groups that hold one set then."""
     smallest = F.floor((F.col("n") * percent + 99) / 100)  # of a partner
     enough = groups.groupBy("sig", "n").agg(F.count("*").alias("c")).where(F.col("c") >= F.floor(smallest / SHARE) + 1).select("sig")
-    return _grouped(groups.join(small_side(enough), "sig", "left_semi").select("token", "sig", "n"))
+    return _grouped(groups.join(small_side(enough), "sig", "left_semi").select("token", "sig", "n", "early"))
 
 
 def _grouped(rows: DataFrame) -> DataFrame:
-    """Rows (token, sig, n) of tokens with two sets or more, each set once, with the set before it
-    by size and the first one."""
+    """Rows (token, sig, n, early) of tokens with two sets or more, each set once, with the set before
+    it by size and the first one."""
     by_size = Window.partitionBy("token").orderBy("n", "sig")
     whole = by_size.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = rows.select(
-        "token", "sig", "n", F.lag("sig").over(by_size).alias("prev"), F.lag("n").over(by_size).alias("n_prev"), F.first("sig").over(whole).alias("head"), F.first("n").over(whole).alias("n_head"), F.last("sig").over(whole).alias("tail")
+        "token", "sig", "n", "early", F.lag("sig").over(by_size).alias("prev"), F.lag("n").over(by_size).alias("n_prev"), F.first("sig").over(whole).alias("head"), F.first("n").over(whole).alias("n_head"), F.last("sig").over(whole).alias("tail")
     )
     return rows.where("head <> tail and not (sig <=> prev)").drop("tail")
 
@@ -181,14 +192,33 @@ def classes(links: DataFrame) -> DataFrame:
         label = step.select("node", "label")
 
 
-def _tiles(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of two classes whose sizes and bitmaps allow a link and that share enough shingles,
-    from groups that hold two classes or more.
+def _partners(groups: DataFrame, percent: int) -> DataFrame:
+    """(a, b): each set with the one that precedes it in the most groups, and with the one that
+    leads the most of its groups; two pairs a set at most."""
+    found = []
+    for to, n in (("prev", "n_prev"), ("head", "n_head")):
+        rows = groups.where(_may_link(F.col("n"), F.col(n), percent)).where(F.col("sig") != F.col(to))
+        often = rows.groupBy("sig", F.col(to).alias("to")).agg(F.count("*").alias("c")).groupBy("sig").agg(F.max(F.struct("c", "to"))["to"].alias("to"))
+        found.append(often.select(F.least("sig", "to").alias("a"), F.greatest("sig", "to").alias("b")))
+    return found[0].unionByName(found[1]).distinct()
 
-    ``rows`` has token, sig, n, bits and label. A group comes sorted by size and is cut into tiles
-    of BLOCK rows; a tile meets itself and those before it whose size band it reaches."""
-    out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
-    rows = rows.select("token", "sig", "n", "bits", F.xxhash64("label").alias("label"))
+
+def _looking_back(groups: DataFrame) -> DataFrame:
+    """The early rows of the groups, each with the BEFORE early shingles of its set before its own."""
+    w = Window.partitionBy("sig").orderBy("token")
+    before = [F.coalesce(F.lag("token", i + 1).over(w), F.lit(0)).alias(f"t{i}") for i in range(BEFORE)]
+    return groups.where("early").select("token", "sig", *before)
+
+
+def _tiles(rows: DataFrame, percent: int, closest: bool) -> DataFrame:
+    """(a, b) of two classes whose sizes and bitmaps allow a link, from groups that hold two classes
+    or more; with ``closest``, the nearest partner of each row only.
+
+    ``rows`` has token, sig, n, bits, label and the shingles before. A group comes sorted by size and
+    is cut into tiles of BLOCK rows; a tile meets itself and those before it whose size band it
+    reaches. A pair that shares one of the shingles before has met in that one's group."""
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    rows = rows.select("token", "sig", "n", "bits", F.xxhash64("label").alias("label"), *(f"t{i}" for i in range(BEFORE)))
     w = Window.partitionBy("token").orderBy("n", "sig").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = rows.select("*", F.min("label").over(w).alias("lo"), F.max("label").over(w).alias("hi")).where("lo <> hi").drop("lo", "hi")
     rows = rows.sortWithinPartitions("token", "n", "sig")  # where the window left each group whole
@@ -198,33 +228,44 @@ def _tiles(rows: DataFrame, percent: int) -> DataFrame:
         total = home["n"][:, None] + other["n"][None, :]
         ok = ((total - bits) * (100 + percent) >= 2 * percent * total) & (home["label"][:, None] != other["label"][None, :])
         ok &= home["n"][:, None] * 100 >= other["n"][None, :] * percent
-        i, j = np.nonzero(np.triu(ok, 1) if same else ok)
+        if same:
+            ok = np.triu(ok, 1)
+        if closest:
+            j = np.flatnonzero(ok.any(0))
+            i = np.where(ok[:, j], bits[:, j], 1 << 40).argmin(0)
+        else:
+            i, j = np.nonzero(ok)
+        if len(i):
+            x, y = home["before"][i], other["before"][j]
+            new = ~((x[:, :, None] == y[:, None, :]) & (x[:, :, None] != 0)).any((1, 2))
+            i, j = i[new], j[new]
         a, b = home["sig"][i], other["sig"][j]
-        return np.minimum(a, b), np.maximum(a, b), home["n"][i]
+        return np.minimum(a, b), np.maximum(a, b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, tiles = None, []  # tiles of the group that is being read, as far as they reach
         for batch in batches:
-            token, n, sig, label = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("token", "n", "sig", "label"))
+            long = lambda k, b=batch: b.column(k).to_numpy(zero_copy_only=False).astype(np.int64)
+            token, n, sig, label = map(long, ("token", "n", "sig", "label"))
+            before = np.stack([long(f"t{i}") for i in range(BEFORE)], 1)
             bits = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(len(token), -1)
             cuts = np.flatnonzero(token[1:] != token[:-1]) + 1
             found = []
             for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(token)]):
-                if key != token[s]:
+                if s < e and key != token[s]:
                     key, tiles = token[s], []
                 for lo in range(s, e, BLOCK):
                     hi = min(e, lo + BLOCK)
-                    now = {"sig": sig[lo:hi], "n": n[lo:hi], "label": label[lo:hi], "bits": bits[lo:hi]}
+                    now = {"sig": sig[lo:hi], "n": n[lo:hi], "label": label[lo:hi], "bits": bits[lo:hi], "before": before[lo:hi]}
                     tiles = [t for t in tiles if t["n"][-1] * 100 >= now["n"][0] * percent]
                     found += [compare(t, now, False) for t in tiles]
                     if hi - lo > 1:
                         found.append(compare(now, now, True))
                     tiles.append(now)
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[i] for f in found])) for i in range(3)], schema=out)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[i] for f in found])) for i in range(2)], schema=out)
 
-    found = rows.mapInArrow(run, "a long, b long, n long").groupBy("a", "b", "n").agg(F.count("*").alias("c"))
-    return found.where(F.col("c") >= F.floor(F.col("n") / SHARE) + 1).select("a", "b")
+    return rows.mapInArrow(run, "a long, b long").distinct()
 
 
 def components(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -238,10 +279,7 @@ def components(df: DataFrame, key: str = "doc_id", text: str = "text", words: in
     groups = materialize(_grouped(_prefixes(docs, frequent, words, percent)))
     for _ in range(ROUNDS):
         groups = materialize(_thin(groups, percent))
-    with_prev = groups.where(_may_link(F.col("n"), F.col("n_prev"), percent)).select("sig", F.col("prev").alias("to"))
-    with_head = groups.where(_may_link(F.col("n"), F.col("n_head"), percent)).select("sig", F.col("head").alias("to"))
-    pairs = with_prev.unionByName(with_head).where("sig <> to").select(F.least("sig", "to").alias("a"), F.greatest("sig", "to").alias("b")).distinct()
-    pairs = materialize(pairs)
+    pairs = materialize(_partners(groups, percent))
 
     grouped = groups.select("sig").distinct()
     table = materialize(sets_of.join(grouped, "sig", "left_semi"))
@@ -254,13 +292,19 @@ def components(df: DataFrame, key: str = "doc_id", text: str = "text", words: in
     first = table.select("sig", "first")
     named = lambda x: x.join(first.select(F.col("sig").alias("a"), F.col("first").alias("fa")), "a").join(first.select(F.col("sig").alias("b"), F.col("first").alias("fb")), "b").select(F.col("fa").alias("a"), F.col("fb").alias("b"))
     label = classes(named(links))
-    of_sig = table.join(label.withColumnRenamed("node", "first"), "first", "left").select("sig", "n", "bits", F.coalesce("label", "first").alias("label"))
-    rows = groups.select("token", "sig").join(small_side(of_sig, 100_000), "sig")  # 160 bytes a row
-    more = _tiles(rows, percent).join(pairs, ["a", "b"], "left_anti")
-    more = materialize(_verify(more, table, texts, words, percent))
-    if not more.isEmpty():
-        label = classes(named(links.unionByName(more)))
+    back = _looking_back(groups)
+    for closest in (True, False):
+        of_sig = table.join(label.withColumnRenamed("node", "first"), "first", "left").select("sig", "n", "bits", F.coalesce("label", "first").alias("label"))
+        more = _tiles(back.join(of_sig, "sig"), percent, closest)
+        more = materialize(more.join(pairs, ["a", "b"], "left_anti"))
+        found = materialize(_verify(more, table, texts, words, percent))
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            label = classes(named(links))
+        pairs = pairs.unionByName(more)
     final = sets_of.join(label.withColumnRenamed("node", "first"), "first", "left").select("sig", F.col("n").alias("m"), F.coalesce("label", "first").alias("component_id"))
+    # from a table, so that a signature with very many copies can be split in the join
+    final = materialize(final)
     got = short.select("doc_id", "n", "sig").join(final, (F.col("n") == F.col("m")) & (short["sig"] == final["sig"]), "left")
     return got.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
