@@ -33,8 +33,8 @@ from tutorlake.llm.common import keyed, map_columns
 
 #: The public pre-splitting pattern of byte-level vocabularies (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words of up to 64 characters kept in each of a worker's two caches before it starts anew (about 25 MB).
-CACHE_WORDS = 100_000
+#: Words of up to 64 characters kept in a worker's cache before it starts anew (about 40 MB).
+CACHE_WORDS = 150_000
 #: The transition table has 2 ** TABLE_BITS slots of 8 bytes, whatever texts come (8 MB).
 TABLE_BITS = 20
 _SLOTS, _SPREAD = (1 << TABLE_BITS) - 1, 0x9E3779B97F4B
@@ -77,21 +77,17 @@ class Automaton:
         for rank, (u, v, uv) in enumerate(merges):
             self._gadget(rank, u, v, uv)
         self.arcs = {labels[t]: t for t in self.born}  # of the first state
-        self.longest = max(map(len, self.arcs), default=1)
         self.prefix: dict[int, int] = {}
-        self.walk: dict[int, tuple[int, int]] = {}  # (node, byte) -> (node, token that ends there)
+        self.walk: dict[int, tuple] = {}  # byte -> (token that ends there or -1, the same one byte on)
         for label, t in self.arcs.items():
-            node = 0
-            for i, byte in enumerate(label):
-                slot = node << 8 | byte
-                node, ends = self.walk.get(slot) or (len(self.walk) + 1, -1)
-                self.walk[slot] = node, t if i == len(label) - 1 else ends
+            at = self.walk
+            for byte in label[:-1]:
+                at = at.setdefault(byte, (-1, {}))[1]
+            at[label[-1]] = t, at.get(label[-1], (-1, {}))[1]
         self.split = regex.compile(PATTERN).findall
         self.stops = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
         self.decimal = [str(i) for i in range(len(labels))]
         self.words: dict[str, tuple[int, ...]] = {}
-        self.spaced: dict[str, list[int]] = {}
-        self.blank = regex.compile(r"\s").match
 
     def _gadget(self, rank: int, u: int, v: int, uv: int) -> None:
         if u in self.born and v in self.born and self._has_arc(u, v, rank):
@@ -123,12 +119,12 @@ class Automaton:
 
     def _longest(self, data: bytes, at: int) -> int:
         """The longest arc label of the first state that ``data`` has at ``at``."""
-        walk, node, found = self.walk.get, 0, -1
-        for byte in data[at : at + self.longest]:
-            hit = walk(node << 8 | byte)
+        on, found = self.walk, -1
+        for byte in data[at:]:
+            hit = on.get(byte)
             if hit is None:
                 break
-            node, t = hit
+            t, on = hit
             if t >= 0:
                 found = t
         return found
@@ -163,39 +159,19 @@ class Automaton:
                 t = self._shorter(back)
         return tuple(path)
 
-    def _words(self, text: str) -> list[int]:
-        """Pre-split by the pattern, then word by word."""
-        words, got = self.words, []
-        for w in self.split(text):
-            ids = words.get(w)
-            if ids is None:
-                if len(words) >= CACHE_WORDS:
-                    words.clear()
-                ids = self.word(w)
-                if len(w) <= 64:
-                    words[w] = ids
-            got.append(ids)
-        return list(chain.from_iterable(got))
-
     def _plain(self, text: str) -> list[int]:
-        """The pattern always begins a word at a space with other than white space behind it, or
-        before it; so what follows such a space is split and encoded on its own, and kept."""
-        first, *parts = text.split(" ")
-        spaced, blank, before, got = self.spaced, self.blank, first, [self._words(first)]
-        for p in parts:
-            ids = spaced.get(p)
-            if ids is None:
-                inside = not p or blank(p[0])
-                if inside and (not before or blank(before[-1])):
-                    return self._words(text)  # a space amid white space begins no word
-                ids = self._words(" " + p)
-                if not inside and len(p) <= 64:
-                    if len(spaced) >= CACHE_WORDS:
-                        spaced.clear()
-                    spaced[p] = ids
-            got.append(ids)
-            before = p
-        return list(chain.from_iterable(got))
+        """Pre-split by the pattern, then word by word; words met before are kept."""
+        parts, words = self.split(text), self.words
+        if len(words) > CACHE_WORDS:
+            words.clear()
+        new = set(parts).difference(words)
+        for w in new:
+            words[w] = self.word(w)
+        ids = list(chain.from_iterable(map(words.__getitem__, parts)))
+        for w in new:
+            if len(w) > 64:
+                del words[w]
+        return ids
 
     def encode(self, text: str) -> list[int]:
         if self.stops is None or not self.stops.search(text):
