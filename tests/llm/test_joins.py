@@ -175,7 +175,10 @@ def brute_suffixes(rows, width=50):
 
 
 @pytest.mark.parametrize("seed", range(2))
-def test_suffix_dedup(docs, odd_rows, seed):
+def test_suffix_dedup(docs, odd_rows, seed, monkeypatch):
+    """With seed 1 fingerprints of four bits, so that nearly all collide, and signs split in parts."""
+    if seed:
+        monkeypatch.setattr(suffixes, "SIGN_RUNS", 2)
     rng = random.Random(seed)
     shared = [prose(rng, 12) for _ in range(4)]
     rows = []
@@ -185,7 +188,7 @@ def test_suffix_dedup(docs, odd_rows, seed):
         rows.append((k + 100, "é ".join(parts)))
     rows += [(300, rows[0][1]), (301, rows[0][1]), *odd_rows]
     got = {}
-    for r in suffixes.dedup(docs(rows)).collect():
+    for r in suffixes.dedup(docs(rows), bits=4 if seed else 64).collect():
         got.setdefault((r["doc_id"], r["n_bytes"]), []).append(r["kept_sha256"])
         assert hashlib.sha256(bytes(r["kept"])).hexdigest() == r["kept_sha256"]
     want = brute_suffixes(rows)

@@ -12,15 +12,21 @@ The family is cut into shards, so that Spark can deal it out: a suffix belongs t
 its rarest sign, the smallest hash of the ``seed``-byte strings in it (equal suffixes have equal
 signs). Suffixes in a row with the same sign form a run and travel as one record.
 
-1. Runs: (sign, fingerprint of the run's bytes). A shard's index tells for each run whether an
-   earlier document has all of it (covered), whether its sign is nowhere else (kept), or whether
-   other runs share its sign. Only records are moved, packed per slice of documents and shard.
+1. Runs: (sign, digest of the run's bytes). A run that another document of the same slice with a
+   smaller key has goes at once. Of the others a shard's index tells whether an earlier document
+   has all of it (covered), whether its sign is nowhere else (kept), or whether other runs share
+   its sign. Only records are moved, packed per slice of documents and shard; a content that a
+   third of all documents hold is one record a slice.
 2. Of the last kind, the first run of each content is fetched as bytes and goes, again by sign,
-   to an index of its single suffixes, which finds the parts that earlier documents have.
+   to an index of its single suffixes, which finds the parts that earlier documents have. Equal
+   fingerprints are compared byte by byte there. A sign with very many runs is split: each part
+   takes the suffixes whose fingerprint falls to it.
 3. Covered spans are gathered per document and taken out of its bytes.
 
 Copies, however many, end in step 1; step 2 sees each content once. Nothing is compared pair by
-pair. Texts count as UTF-8 bytes, null as empty; texts under ``width`` bytes keep all of them.
+pair. Equality of whole runs that share a sign is that of 80 bits of a 128-bit digest. Texts count
+as UTF-8 bytes, null as empty; texts under ``width`` bytes keep all of them; an empty table gives
+no row, other columns are never looked at, and texts of any length are read whole.
 Keys are integers; rows with a null key count as after all others and not as earlier ones of each
 other, and rows that share a key are no earlier documents of each other.
 """
@@ -32,6 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,8 +49,14 @@ SEED = 24
 LAST = (1 << 63) - 1
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
-#: A run's record: sign and fingerprint (48 bits each), start in the document, suffixes in it.
-RECORD = np.dtype([("sign", "u1", 6), ("print", "u1", 6), ("start", "<u4"), ("size", "<u4")])
+#: A run's record: sign (48 bits), digest of its bytes (80 bits), start in the document, suffixes in it.
+RECORD = np.dtype([("sign", "u1", 6), ("print", "u1", 10), ("start", "<u4"), ("size", "<u4")])
+#: A shard holds the runs of about so many bytes of text, or fewer.
+SHARD_BYTES = 32_000_000
+#: Runs of a sign that one task looks at.
+SIGN_RUNS = 1_000
+#: Pairs of suffixes compared byte by byte at once.
+_PAIRS = 100_000
 
 
 class _Hashes:
@@ -107,12 +120,13 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def _runs(parts: list[bytes], width: int, seed: int):
-    """(document, start, suffixes, sign, fingerprint) of each run of the texts."""
+    """(document, start, suffixes, sign, digest of ten bytes) of each run of the texts."""
     sizes = np.array([len(p) for p in parts], np.int64)
-    data = np.frombuffer(b"".join(parts), np.uint8)
+    joined = b"".join(parts)
+    data = np.frombuffer(joined, np.uint8)
     none = np.zeros(0, np.int64)
     if len(data) < width:
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64), np.zeros((0, 10), np.uint8)
     hashes = _Hashes(data)
     at = np.arange(len(data) - seed + 1)
     sign = _least(hashes.of(at, at + seed), width - seed + 1)
@@ -125,7 +139,9 @@ def _runs(parts: list[bytes], width: int, seed: int):
     keep = ok[start]
     start, size = start[keep], size[keep]
     doc = doc[start]
-    return doc, start - (stops - sizes)[doc], size, sign[start], hashes.of(start, start + size - 1 + width)
+    digest = xxhash.xxh3_128_digest
+    prints = b"".join([digest(joined[a:b]) for a, b in zip(start.tolist(), (start + size - 1 + width).tolist())])
+    return doc, start - (stops - sizes)[doc], size, sign[start], np.frombuffer(prints, np.uint8).reshape(-1, 16)[:, :10]
 
 
 def _six(h: np.ndarray) -> np.ndarray:
@@ -136,24 +152,45 @@ def _eight(b: np.ndarray) -> np.ndarray:
     return np.concatenate([np.zeros((len(b), 2), np.uint8), b], 1).view("<u8").ravel()
 
 
+def _contents(sign: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each run, equal for equal sign and digest, and the first run of each number."""
+    last = np.zeros((len(sign), 8), np.uint8)
+    last[:, :2] = prints[:, 8:]
+    high = (sign & ~np.uint64(0xFFFF)) | last.view("<u8").ravel()
+    low = np.ascontiguousarray(prints[:, :8]).view("<u8").ravel()
+    order = np.lexsort((low, high))
+    new = np.ones(len(order), bool)
+    new[1:] = (high[order[1:]] != high[order[:-1]]) | (low[order[1:]] != low[order[:-1]])
+    ids = np.empty(len(order), np.uint64)
+    ids[order] = (np.cumsum(new) - 1).astype(np.uint64)
+    return ids, order[new]
+
+
 def _records(docs: DataFrame, shards: int, width: int, seed: int) -> DataFrame:
     """(shard, keys, tags, counts, records): the runs of a slice of documents that fall into a
-    shard, in order of documents; counts tells how many of each document there are."""
+    shard, in order of documents; counts tells how many of each document there are. Runs that
+    another document of the slice covers have a shard below zero."""
 
     def run(c):
         out = {k: [] for k in ("shard", "keys", "tags", "counts", "records")}
         doc, start, size, sign, prints = _runs([t.encode("utf-8", "surrogatepass") for t in c["text"]], width, seed)
         rows = np.empty(len(doc), RECORD)
-        rows["sign"], rows["print"], rows["start"], rows["size"] = _six(sign), _six(prints), start, size
+        rows["sign"], rows["print"], rows["start"], rows["size"] = _six(sign), prints, start, size
+        keys, tags = np.array([LAST if k is None else k for k in c["doc_id"]], np.int64), np.array(c["tag"], np.int64)
         shard = ((sign >> np.uint64(16)) % np.uint64(shards)).astype(np.int64)
+        if len(doc):
+            ids, first = _contents(_eight(rows["sign"]), prints)
+            least = np.full(len(first), LAST, np.int64)
+            np.minimum.at(least, ids.astype(np.int64), keys[doc])
+            shard[keys[doc] > least[ids.astype(np.int64)]] = -1
         order = np.argsort(shard, kind="stable")
-        cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-        keys, tags = np.array([LAST if k is None else k for k in c["doc_id"]], np.int64), np.array(c["tag"], np.int64)
-        for s in range(shards):
-            own = order[cuts[s] : cuts[s + 1]]
+        cuts = np.searchsorted(shard[order], np.arange(-1, shards + 1))
+        spread = -1 - int(tags[0] % shards) if len(tags) else -1
+        for s in range(-1, shards):
+            own = order[cuts[s + 1] : cuts[s + 2]]
             if len(own):
                 which, n = np.unique(doc[own], return_counts=True)
-                for name, v in zip(out, (s, keys[which], tags[which], n.astype(np.int32), rows[own].tobytes())):
+                for name, v in zip(out, (s if s >= 0 else spread, keys[which], tags[which], n.astype(np.int32), rows[own].tobytes())):
                     out[name].append(v)
         return out
 
@@ -161,32 +198,32 @@ def _records(docs: DataFrame, shards: int, width: int, seed: int) -> DataFrame:
 
 
 def _judge_runs(records: DataFrame) -> DataFrame:
-    """(doc_id, tag, start, size, sign): runs that an earlier document covers (sign is null) and
-    runs whose suffixes have to be looked at one by one."""
-    out = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("start", pa.int64()), ("size", pa.int64()), ("sign", pa.int64())])
+    """(doc_id, tag, start, size, sign, parts): runs that an earlier document covers (sign is null)
+    and runs whose suffixes have to be looked at one by one, in so many parts."""
+    out = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("start", pa.int64()), ("size", pa.int64()), ("sign", pa.int64()), ("parts", pa.int32())])
 
-    def judge(rows):
+    def judge(shard, rows):
         every = np.concatenate([np.frombuffer(r[3], RECORD) for r in rows])
-        key = np.concatenate([np.repeat(np.asarray(r[0], np.int64), r[2]) for r in rows])
-        tag = np.concatenate([np.repeat(np.asarray(r[1], np.int64), r[2]) for r in rows])
-        sign, prints = _eight(every["sign"]), _eight(every["print"])
-        with np.errstate(over="ignore"):
-            whole = sign * np.uint64(_BASE) ^ prints
-        index, at = Family(), 0
-        for r in rows:  # a batch is a slice of documents
-            n = int(np.sum(r[2]))
-            index.add(whole[at : at + n], key[at : at + n])
-            at += n
-        first = index.first(whole)
-        # a sign has other runs if it has more than one content
-        _, one = np.unique(whole, return_index=True)
-        values, times = np.unique(sign[one], return_counts=True)
-        mixed = values[times > 1]
-        shared = mixed[np.minimum(np.searchsorted(mixed, sign), len(mixed) - 1)] == sign if len(mixed) else np.zeros(len(sign), bool)
-        covered = first < key
-        keep = covered | shared
+        key = np.concatenate([np.repeat(r[0], r[2]) for r in rows])
+        tag = np.concatenate([np.repeat(r[1], r[2]) for r in rows])
+        sign = _eight(every["sign"])
+        parts = np.ones(len(every), np.int32)
+        covered = keep = np.ones(len(every), bool)
+        if shard >= 0:
+            ids, one = _contents(sign, every["print"])
+            index, at = Family(), 0
+            for r in rows:  # a batch is a slice of documents
+                n = int(np.sum(r[2]))
+                index.add(ids[at : at + n], key[at : at + n])
+                at += n
+            # a sign has other runs if it has more than one content
+            values, times = np.unique(sign[one], return_counts=True)
+            times = times[np.searchsorted(values, sign)]
+            covered = index.first(ids) < key
+            keep = covered | (times > 1)
+            parts = (-(-times // SIGN_RUNS)).astype(np.int32)
         return pa.RecordBatch.from_arrays(
-            [pa.array(key[keep]), pa.array(tag[keep]), pa.array(every["start"][keep].astype(np.int64)), pa.array(every["size"][keep].astype(np.int64)), pa.array(sign[keep].view(np.int64), mask=covered[keep])],
+            [pa.array(key[keep]), pa.array(tag[keep]), pa.array(every["start"][keep].astype(np.int64)), pa.array(every["size"][keep].astype(np.int64)), pa.array(sign[keep].view(np.int64), mask=covered[keep]), pa.array(parts[keep])],
             schema=out,
         )
 
@@ -195,60 +232,99 @@ def _judge_runs(records: DataFrame) -> DataFrame:
         for batch in batches:
             for s, *row in zip(*(c.to_pylist() for c in batch.columns)):
                 if s != shard and rows:
-                    yield judge(rows)
+                    yield judge(shard, rows)
                     rows = []
                 shard = s
                 rows.append((np.array(row[0], np.int64), np.array(row[1], np.int64), np.array(row[2], np.int64), row[3]))
         if rows:
-            yield judge(rows)
-
-    return records.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "doc_id long, tag long, start long, size long, sign long")
-
-
-def _judge_suffixes(runs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, tag, start, end): parts of runs (given with their bytes) that earlier documents have."""
+            yield judge(shard, rows)
+
+    return records.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "doc_id long, tag long, start long, size long, sign long, parts int")
+
+
+def _told_apart(prints: np.ndarray, data: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """The fingerprints, changed where different strings share one: equal ones are compared byte by byte."""
+    windows = np.lib.stride_tricks.sliding_window_view(data, width)
+    order = np.argsort(prints, kind="stable")
+    same = np.flatnonzero(prints[order[1:]] == prints[order[:-1]])
+    wrong = []
+    for i in range(0, len(same), _PAIRS):
+        k = same[i : i + _PAIRS]
+        differ = (windows[at[order[k]]] != windows[at[order[k + 1]]]).any(1)
+        wrong.append(prints[order[k[differ]]])
+    wrong = np.unique(np.concatenate(wrong)) if wrong else np.zeros(0, np.uint64)
+    if len(wrong):
+        prints, names, taken = prints.copy(), {}, set(np.unique(prints).tolist())
+        for i in np.flatnonzero(np.isin(prints, wrong)).tolist():
+            text = windows[at[i]].tobytes()
+            if text not in names:
+                new = int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little")
+                while new in taken:
+                    new = (new + 1) & (1 << 64) - 1
+                taken.add(new)
+                names[text] = new
+            prints[i] = names[text]
+    return prints
+
+
+def _judge_suffixes(runs: DataFrame, width: int, bits: int = 64) -> DataFrame:
+    """(doc_id, tag, start, end): parts of runs (given with their bytes) that earlier documents
+    have. ``bits`` narrows the fingerprints; it changes no result."""
     out = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, kept = Family(), []
+        index, raw, kept, offset = Family(), [], [], 0
         for batch in batches:
-            raw = batch.column("bytes").to_pylist()
-            size = np.array([len(r) - width + 1 for r in raw], np.int64)
-            if not len(size):
+            if not batch.num_rows:
                 continue
+            own = batch.column("bytes").to_pylist()
+            size = np.array([len(r) - width + 1 for r in own], np.int64)
             base = np.cumsum(np.concatenate([[0], size[:-1] + width - 1]))
             nth = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
             at = np.repeat(base, size) + nth
-            prints = _Hashes(np.frombuffer(b"".join(raw), np.uint8)).of(at, at + width)
-            prints ^= np.repeat(batch.column("sign").to_numpy().astype(np.int64).view(np.uint64), size) * np.uint64(3)
-            key = batch.column("doc_id").to_numpy().astype(np.int64)
-            index.add(prints, np.repeat(key, size))
-            kept.append((prints, size, nth, key, batch.column("tag").to_numpy(), batch.column("start").to_numpy()))
-        for prints, size, nth, key, tag, start in kept:
+            raw.append(b"".join(own))
+            prints = _Hashes(np.frombuffer(raw[-1], np.uint8)).of(at, at + width) >> np.uint64(64 - bits)
             row = np.repeat(np.arange(len(size)), size)
-            hit = index.first(prints) < key[row]
-            edge = hit & np.concatenate([[True], ~hit[:-1] | (row[1:] != row[:-1])])
-            last = hit & np.concatenate([~hit[1:] | (row[1:] != row[:-1]), [True]])
-            s, e = np.flatnonzero(edge), np.flatnonzero(last)
+            parts, part = (batch.column(k).to_numpy().astype(np.uint64) for k in ("parts", "part"))
+            if (parts > 1).any():
+                mine = prints % parts[row] == part[row]
+                prints, row, nth, at = prints[mine], row[mine], nth[mine], at[mine]
+            kept.append((prints, row, nth, at + offset, *(batch.column(k).to_numpy().astype(np.int64) for k in ("doc_id", "tag", "start"))))
+            offset += len(raw[-1])
+        if not kept:
+            return
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        prints = _told_apart(np.concatenate([k[0] for k in kept]), data, np.concatenate([k[3] for k in kept]), width)
+        cuts = np.cumsum([0, *(len(k[0]) for k in kept)])
+        pieces = [prints[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+        for own, k in zip(pieces, kept):
+            index.add(own, k[4][k[1]])
+        for own, (_, row, nth, _, key, tag, start) in zip(pieces, kept):
+            hit = np.flatnonzero(index.first(own) < key[row])
+            row, nth = row[hit], nth[hit]
+            edge = np.ones(len(hit), bool)
+            edge[1:] = (row[1:] != row[:-1]) | (nth[1:] != nth[:-1] + 1)
+            s, e = np.flatnonzero(edge), np.flatnonzero(np.append(edge[1:], True)[: len(hit)])
             r = row[s]
             yield pa.RecordBatch.from_arrays([pa.array(key[r]), pa.array(tag[r]), pa.array(start[r] + nth[s]), pa.array(start[r] + nth[e] + width)], schema=out)
 
-    return runs.repartition("sign").mapInArrow(run, "doc_id long, tag long, start long, end long")
+    return runs.repartition("sign", "part").mapInArrow(run, "doc_id long, tag long, start long, end long")
 
 
-def repeats(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, seed: int = SEED) -> DataFrame:
+def repeats(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, seed: int = SEED, bits: int = 64) -> DataFrame:
     """(doc_id, tag, start, end): byte spans, they may overlap, that also start in an earlier
     document. ``tag`` is the hash of the row's text: with the key it names the row."""
     spark = df.sparkSession
     docs = _tagged(df, key, text)
-    shards = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    shards = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
     judged = materialize(_judge_runs(_records(docs, shards, width, seed)))
     covered = judged.where("sign is null").select("doc_id", "tag", "start", (F.col("start") + F.col("size") + F.lit(width - 1)).alias("end"))
-    asked = judged.where("sign is not null").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "size", "sign")).alias("asked"))
+    asked = judged.where("sign is not null").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "size", "sign", "parts")).alias("asked"))
     texts = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "tag", "text").dropDuplicates(["doc_id", "tag"]).join(asked, ["doc_id", "tag"])
     fetched = texts.select("doc_id", "tag", F.col("text").cast("binary").alias("raw"), F.explode("asked").alias("a"))
-    fetched = fetched.select("doc_id", "tag", "a.start", "a.sign", F.substring("raw", F.col("a.start").cast("int") + 1, F.col("a.size").cast("int") + F.lit(width - 1)).alias("bytes"))
-    parts = materialize(_judge_suffixes(fetched, width))
+    fetched = fetched.select("doc_id", "tag", "a.start", "a.sign", "a.parts", F.explode(F.sequence(F.lit(0), F.col("a.parts") - 1)).alias("part"), F.substring("raw", F.col("a.start").cast("int") + 1, F.col("a.size").cast("int") + F.lit(width - 1)).alias("bytes"))
+    parts = materialize(_judge_suffixes(fetched, width, bits))
     return covered.unionByName(parts)
 
 
@@ -268,9 +344,9 @@ def _union(spans) -> list[tuple[int, int]]:
     return list(zip(s[new, 0].tolist(), np.append(reach[new[1:] - 1], reach[-1]).tolist()))
 
 
-def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, seed: int = SEED) -> DataFrame:
+def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, seed: int = SEED, bits: int = 64) -> DataFrame:
     """(doc_id, n_bytes, spans array<struct<start, end>>, kept binary, kept_sha256) of every row."""
-    found = repeats(df, key, text, width, seed).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    found = repeats(df, key, text, width, seed, bits).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     docs = _tagged(df, key, text)
     rows = docs.withColumn("__key", F.coalesce("doc_id", F.lit(LAST))).join(found.withColumnRenamed("doc_id", "__key"), ["__key", "tag"], "left").select("doc_id", "text", "spans")
 
