@@ -8,8 +8,10 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from tests.llm.conftest import WORDS
 from tutorlake.llm import bpe, langid, media, pii, q_pii, quality, sitetree
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -156,15 +158,55 @@ def test_main_text(body, text):
 
 
 def test_site_tree_cuts_what_recurs(spark):
-    rows = [(i, f"http://h.example/{i}", f"<body><div class='top'>Same words on each page</div><div class='c{i}'>Own text {i}</div></body>") for i in range(6)]
+    rows = [(i, f"http://h.example/{i}", f"<body><div class='top'>Same words on each page</div><div class='c{i}'>Own text {i}</div></body>") for i in range(9)]
     rows += [(10, None, None), (11, "no url", ""), (None, "http://h.example/x", "<p>p"), (12, "http://g.example/", "<body><div class='top'>Same words on each page</div></body>")]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    got = {r["page_id"]: r["text"] for r in sitetree.extract(df).collect()}
+    rows += [(20 + i, None, "<body><div>Same words, no host</div></body>") for i in range(9)] + [(0, "http://h.example/0", rows[0][2])]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"low": F.lit(1), "node": F.lit("x"), "blocks": F.lit("y")})
+    got = sitetree.extract(df).collect()
     assert len(got) == len(rows)
-    assert all(got[i] == f"Own text {i}" for i in range(6)) and got[10] == got[11] == "" and got[None] == "p"
-    assert got[12] == "Same words on each page"
-    tree = {(r["host"], r["content"] < 0.3) for r in sitetree.style_tree(df).collect()}
-    assert ("h.example", True) in tree and ("g.example", False) in tree
+    got = {r["page_id"]: r["text"] for r in got}
+    assert all(got[i] == f"Own text {i}" for i in range(9)) and got[10] == got[11] == "" and got[None] == "p"
+    assert got[12] == "Same words on each page" and got[25] == "Same words, no host"
+    tree = {(r["host"], r["content"] < 0.3) for r in sitetree.style_tree(sitetree.parsed(df)).collect()}
+    assert tree == {("h.example", True), ("h.example", False), ("g.example", False)}
+    assert sitetree.extract(df.limit(0)).count() == 0
+
+
+def site_pages(seed=4, pages=40):
+    """(html, blocks of the article, other blocks) of two sites with menus, notices and footers out of
+    a stock, whose names say nothing; the article of one site stands in plain divisions."""
+    rng = np.random.default_rng(seed)
+    prose = lambda n: " ".join(rng.choice(WORDS, n)) + f" {rng.integers(1 << 40)}"
+    stock = [[prose(4) for _ in range(12)] for _ in range(4)]
+    out = []
+    for site in range(2):
+        for i in range(pages):
+            menu = stock[0][:5] if site else [str(x) for x in rng.choice(stock[0], 3)]
+            notice, foot, teaser = (str(rng.choice(x)) for x in stock[1:])
+            title, paras = prose(6), [prose(rng.integers(3, 60)) for _ in range(rng.integers(1, 9))]
+            body = f"<h1>{title}</h1>" + "".join(f"<p>{x}</p>" for x in paras)
+            inner = f"<div class='x2'><div>{teaser}</div></div>"
+            html = f"<body><div class='x1'><ul>{''.join(f'<li>{m}</li>' for m in menu)}</ul></div><div class='k{i}'>{body}</div>{inner}<div class='x3'>{notice}<p>{foot}</p></div></body>"
+            out.append((f"http://s{site}.example/{i}", html, [title, *paras], [*menu, notice, foot, teaser]))
+    return out
+
+
+def test_site_tree_alone_tells_article_from_stock(spark):
+    made = site_pages()
+    df = spark.createDataFrame([(i, url, html) for i, (url, html, _, _) in enumerate(made)], "page_id long, url string, html string")
+    for names in (False, True):
+        got = {r["page_id"]: r for r in sitetree.extract(df, names=names).collect()}
+        for i, (_, _, article, other) in enumerate(made):
+            assert got[i]["text"].split("\n\n") == article
+            assert got[i]["n_low"] == len(other) and got[i]["n_named"] == 0
+
+
+def test_site_tree_reads_very_long_pages(spark):
+    paras = [f"Paragraph {i} of a long page" for i in range(20_000)]
+    html = "<body><nav>menu</nav><article class='promo notice'>" + "".join(f"<p>{p}" for p in paras) + "</article>" + "<div>" * 300 + "deep</body>"
+    df = spark.createDataFrame([(1, "http://h.example/", html)], "page_id long, url string, html string")
+    assert sitetree.extract(df).first()["text"].split("\n\n") == paras
+    assert sitetree.text_of(sitetree.parse("<nav>menu<main><p>text</p></main>")) == "text"
 
 
 def test_site_tree_keeps_copied_articles(spark):

@@ -1,4 +1,4 @@
-"""op3: main text of web pages. Tests hold pages with known main texts."""
+"""op3: main text of web pages. Tests hold pages whose main text is known block by block."""
 
 from __future__ import annotations
 

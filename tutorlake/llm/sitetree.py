@@ -1,47 +1,57 @@
 """Main text of web pages by a site style tree.
 
-The pages of a host are merged into one tree of style nodes: a node is the path of tags with
-their classes and ids, numbers in them blanked. Two importances come from counts over the host's
-pages that have the node (m of them, equal pages counted once):
-
-* presentation: the entropy, to base m, of the node's layouts (the tags that begin in it);
-* content: 1 minus the mean, over the node's texts, of log(pages with this text) / log(m).
-
-A node whose texts recur on most pages (content importance under ``least``, on ``min_pages``
-pages or more) and whose layout hardly varies is a low branch and is cut from each page. Names
-are a second sign: elements that stand for menus, forms, adverts and so on are cut wherever they
-are. Running text inside ``article`` or ``main`` is never judged by recurrence, as copies of one
-article would then cut each other; where a page has such an element, what lies outside is no
-main text.
-
-Counting is done by Spark in two partial aggregations, so a host with a third of all pages is no
-hot spot; a page's low paths come back by a join on the page key.
-
-Null or empty html gives an empty text. Null keys and repeated keys stay rows of their own (rows
-that share a key share their low branches). Unclosed elements end where their parent does.
+The pages of a host are merged into one tree of style nodes: a node is the path of block elements
+with their classes and ids, numbers in them blanked. Each page is parsed once, into blocks of text
+with the nodes above them, and written. Counts over the host's pages that have a node (m of them,
+equal pages counted once) give its importances:
+
+* presentation: the entropy, to base m, of the node's layouts (the elements that begin in it);
+* content: the entropy, to base m, of the texts in it and in all that is below it, 1 where every
+  page has texts of its own and 0 where all have the same;
+* recurring: the share of those texts, counted by page, that other pages have there too. Where a
+  site deals out a stock of menus and adverts, the entropy of a small host says little, this does.
+
+A parent weighs its children by their texts. A node whose layout hardly varies is a low branch if
+its content importance is under ``least`` or ``often`` or more of its texts recur, on ``min_pages``
+pages or more, and no place in it has fresh texts; it is cut from each page of the host, with all
+below it. Names are a second sign:
+what the tree leaves is cut if elements or class names stand for menus, forms, adverts and so on.
+Running text inside ``article`` or ``main`` is never judged by recurrence, as copies of one article
+would then cut each other; where a page has such an element, what lies outside is no main text, and
+its own class names say nothing.
+
+Counting is done by Spark in partial aggregations, so a host with a third of all pages is no hot
+spot; the low branches of a host go to its pages by a broadcast behind a count of hosts.
+
+Null or empty html gives an empty text. Pages without a host in their url (null urls too) are no
+site and are judged by names alone. Repeated rows and keys, null keys too, stay rows of their own;
+html of any length is read whole; other columns are never looked at, an empty table gives no row.
+Unclosed elements end where their parent does. Of the elements around a block, the nearest LEVELS
+are nodes of the tree.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
-from collections import Counter
 from html.parser import HTMLParser
 
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tutorlake.llm.common import map_columns, materialize
+from tutorlake.llm.common import map_columns, materialize, small_side
 
 # What elements, roles and class names stand for.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NOISE_TAGS = frozenset("nav footer aside form script style noscript template iframe button select textarea svg object canvas dialog menu head title".split())
+UNREAD = frozenset("script style noscript template iframe button select option textarea svg object canvas head title".split())
+NOISE_TAGS = frozenset("nav footer aside form dialog menu".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 NOISE_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar"
     " footer masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup share sharing social related recommended"
     " comments comment commentlist disqus respond replies pagination pager toolbar widget login copyright disclaimer".split()
 )
+COMMENT_NAMES = frozenset("comment comments commentlist respond replies".split())
 BLOCKS = frozenset(
     "address article blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre"
     " section summary table tbody tfoot thead tr ul aside".split()
@@ -52,28 +62,42 @@ CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"},
 #: Tags that are running text rather than a branch of the layout.
 RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 b i em strong a span br blockquote pre code q li ul ol dl dt dd sup sub u s small mark table tbody thead tr td th figure figcaption".split())
 LEAST = 0.3
-MIN_PAGES = 3
+OFTEN = 0.35
+VARIES = 0.6
+MIN_PAGES = 8
+LEVELS = 32
 
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _NUMBER = re.compile(r"[0-9]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_CLEAN, _NAMED, _DROPPED = 0, 1, 2
 
 
 def _hash(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+    h = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
+    return h - (1 << 64) if h >> 63 else h
+
+
+class _Open:
+    """An open element. ``chain``: hashes of the block elements from below body down to it."""
+
+    __slots__ = ("tag", "path", "chain", "noise", "inside", "running", "layout")
+
+    def __init__(self, tag, path="", chain=(), noise=_CLEAN, inside=False, running=False, layout=None):
+        self.tag, self.path, self.chain, self.noise, self.inside, self.running, self.layout = tag, path, chain, noise, inside, running, layout
 
 
 class _Page(HTMLParser):
-    """Blocks of a page: (path, text, inside the main element, judged by recurrence)."""
+    """Blocks of a page: (text, chain of nodes, inside the main element, judged by recurrence,
+    named as noise), and the layouts of its nodes: [node, styles that begin in it]."""
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        # open elements: (tag, style, noise, in main, running text only since main)
-        self.open: list[tuple[str, str, bool, bool, bool]] = []
-        self.blocks: list[tuple[str, str, bool, bool]] = []
-        self.layout: dict[str, list[str]] = {}
+        self.open: list[_Open] = [_Open("")]
+        self.blocks: list[tuple[str, tuple, bool, bool, bool]] = []
+        self.layouts: list[tuple[int, list[str]]] = []
         self.text: list[str] = []
-        self.at: tuple[str, bool, bool] | None = None
+        self.at: tuple | None = None
         self.has_main = False
         self.feed(html)
         self.close()
@@ -82,16 +106,17 @@ class _Page(HTMLParser):
     def _end(self) -> None:
         text = " ".join("".join(self.text).split())
         if text and self.at:
-            self.blocks.append((self.at[0], text, *self.at[1:]))
+            self.blocks.append((text, *self.at))
         self.text, self.at = [], None
 
     def handle_starttag(self, tag: str, attrs) -> None:
-        if tag in BLOCKS or tag == "br":
-            if tag == "br":
-                self.text.append(" ")
-                return
+        block = tag in BLOCKS
+        if tag == "br":
+            self.text.append(" ")
+            return
+        if block:
             self._end()
-            if "p" in (x[0] for x in self.open):
+            if any(x.tag == "p" for x in self.open):
                 self._shut("p", BLOCKS - {"p"})
         elif tag in ("td", "th"):
             self.text.append(" ")
@@ -99,32 +124,41 @@ class _Page(HTMLParser):
             return
         for other in CLOSED_BY.get(tag, ()):
             self._shut(other, {"ul", "ol", "dl", "table", "tbody", "select"})
-        _, above, noise, inside, running = self.open[-1] if self.open else ("", "", False, False, False)
+        up = self.open[-1]
         got = {k: v or "" for k, v in attrs}
         label = " ".join(got[k] for k in ("class", "id") if k in got)
-        names = {n.lower() for n in _NAME.findall(label)} if label else set()
-        style = tag + ("." + ".".join(sorted(_NUMBER.sub("0", label).split())) if label else "")
         main = tag in ("article", "main") or got.get("role") == "main"
-        if not noise:
-            noise = tag in NOISE_TAGS or got.get("role") in NOISE_ROLES or bool(names & NOISE_NAMES) or "hidden" in got or bool(_HIDDEN.search(got.get("style", "")))
-            if (tag == "header" or "header" in names and tag not in HEADINGS) and not inside:
-                noise = True
-        if tag in HEADINGS and inside and not noise and any(x[0] == "header" for x in self.open):
-            running = True
+        noise = _CLEAN if tag == "main" and up.noise == _NAMED else up.noise
+        if tag in UNREAD:
+            noise = _DROPPED
+        elif not noise:
+            names = {n.lower() for n in _NAME.findall(label)} if label else set()
+            if main:
+                names &= COMMENT_NAMES
+            named = tag in NOISE_TAGS or got.get("role") in NOISE_ROLES or bool(names & NOISE_NAMES)
+            named |= (tag == "header" or "header" in names and tag not in HEADINGS) and not up.inside
+            hidden = "hidden" in got or bool(_HIDDEN.search(got.get("style", "")))
+            noise = _DROPPED if hidden or named and not block else _NAMED if named else _CLEAN
+        style = tag + ("." + ".".join(sorted(_NUMBER.sub("0", label).split())) if label else "")
+        if up.layout is not None and block:
+            up.layout.append(style)
         self.has_main |= main and not noise
-        here = f"{above}>{style}"
-        if above:
-            self.layout.setdefault(above, []).append(style)
-        running = True if main else running and tag in RUNNING and not label
-        self.open.append((tag, here, noise, inside or main, running))
+        running = main or up.running and tag in RUNNING and not label
+        running |= tag in HEADINGS and up.inside and not noise and any(x.tag == "header" for x in self.open)
+        path, chain, layout = f"{up.path}>{style}", up.chain, up.layout
+        if block and tag != "html":
+            node = _hash(path)
+            chain, layout = (*chain[1 - LEVELS :], node), []
+            self.layouts.append((node, layout))
+        self.open.append(_Open(tag, path, chain, noise, up.inside or main, running, layout))
 
     def _shut(self, tag: str, walls) -> None:
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
+        for i in range(len(self.open) - 1, 0, -1):
+            if self.open[i].tag == tag:
                 self._end()
                 del self.open[i:]
                 return
-            if self.open[i][0] in walls:
+            if self.open[i].tag in walls:
                 return
 
     def handle_startendtag(self, tag: str, attrs) -> None:
@@ -133,22 +167,18 @@ class _Page(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
             self._end()
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
+        for i in range(len(self.open) - 1, 0, -1):
+            if self.open[i].tag == tag:
                 del self.open[i:]
                 return
 
     def handle_data(self, data: str) -> None:
-        if not self.open:
-            if not data.isspace():
-                self.at = self.at or ("", False, False)
-                self.text.append(data)
-            return
-        tag, path, noise, inside, running = self.open[-1]
-        if noise or inside and any(x[0] == "header" for x in self.open) and not any(x[0] in HEADINGS for x in self.open):
+        x = self.open[-1]
+        if x.noise == _DROPPED:
             return
         if self.at is None and not data.isspace():
-            self.at = (path, inside, not running)
+            label = x.inside and any(o.tag == "header" for o in self.open) and not any(o.tag in HEADINGS for o in self.open)
+            self.at = (x.chain, x.inside, not x.running, x.noise == _NAMED or label)
         self.text.append(data)
 
 
@@ -157,78 +187,84 @@ def parse(html: str) -> _Page:
 
 
 def text_of(page: _Page, low: set[int] | None = None) -> str:
-    """The main text: blocks of the main element if there is one, without low branches."""
-    kept = [b for b in page.blocks if b[2] or not page.has_main]
-    if low:
-        kept = [b for b in kept if not (b[3] and _hash(b[0]) in low)]
-    return "\n\n".join(b[1] for b in kept)
+    """The main text of one page: blocks of the main element if there is one, without those named
+    as noise or in low branches."""
+    low = low or set()
+    return "\n\n".join(t for t, chain, main, judged, named in page.blocks if (main or not page.has_main) and not named and not (judged and low.intersection(chain)))
 
 
 def host(url: str) -> Column:
     return F.lower(F.coalesce(F.nullif(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")), F.lit("")))
 
 
-def nodes(df: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """(host, path, kind, feature, page_id, n), from one reading of the pages: on how many pages a
-    style node has a layout (kind 0) or a text (kind 1), equal pages once; and the nodes of each
-    page (kind 2) whose blocks are judged by recurrence."""
+def parsed(df: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """(page_id, url, host, same, has_main, blocks, layouts) of every page; ``same`` is equal for
+    pages of equal blocks."""
+    kind = df.schema[key].dataType.simpleString()
+    df = df.select(F.col(key).alias("page_id"), F.col(url).alias("url"), host(url).alias("host"), F.coalesce(F.col(html), F.lit("")).alias("html"))
 
     def run(c):
-        out = {"host": [], "path": [], "kind": [], "feature": [], "page": [], "page_id": []}
-        for k, h, x in zip(c["page_id"], c["host"], c["html"]):
+        out = {k: [] for k in ("same", "has_main", "blocks", "layouts")}
+        for x in c["html"]:
             page = parse(x)
-            texts = Counter((b[0], b[1]) for b in page.blocks)
-            same = _hash("\0".join(b[1] for b in page.blocks))
-            own = [(_hash(p), 1, _hash(t), None) for p, t in texts]
-            own += [(_hash(p), 0, _hash(" ".join(page.layout.get(p, ()))), None) for p in {p for p, _ in texts}]
-            own += [(_hash(p), 2, 0, k) for p in {b[0] for b in page.blocks if b[3] and (b[2] or not page.has_main)}]
-            for name, values in zip(("path", "kind", "feature", "page_id"), zip(*own)):
-                out[name] += values
-            out["host"] += [h] * len(own)
-            out["page"] += [same] * len(own)
-        return out
-
-    kind = df.schema[key].dataType.simpleString()
-    df = df.select(F.col(key).alias("page_id"), host(url).alias("host"), F.coalesce(F.col(html), F.lit("")).alias("html"))
-    rows = map_columns(df, f"host string, path long, kind int, feature long, page long, page_id {kind}", "html", lambda: run)
-    return rows.groupBy("host", "path", "kind", "feature", "page_id").agg(F.count_distinct("page").alias("n"))
-
-
-def style_tree(df: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """(host, path, pages, presentation, content): the importances of each style node of a host."""
-    return importances(nodes(df, key, url, html))
-
-
-def importances(each: DataFrame) -> DataFrame:
-    layouts = F.col("kind") == 0
-    of = each.where("kind < 2").groupBy("host", "path").agg(
-        F.sum(F.when(layouts, F.col("n"))).alias("pages"),
-        F.sum(F.when(layouts, F.col("n") * F.log("n"))).alias("layout_sum"),
-        F.avg(F.when(~layouts, F.log("n"))).alias("text_mean"),
-    )
-    m = F.log(F.col("pages").cast("double"))
-    return of.select(
+            out["same"].append(_hash("\0".join(b[0] for b in page.blocks)))
+            out["has_main"].append(page.has_main)
+            out["blocks"].append([dict(zip(("text", "chain", "main", "judged", "named"), b)) for b in page.blocks])
+            out["layouts"].append([{"node": n, "layout": _hash(" ".join(styles))} for n, styles in {n: s for n, s in page.layouts}.items()])
+        return {k: c[k] for k in ("page_id", "url", "host")} | out
+
+    blocks = "array<struct<text:string,chain:array<long>,main:boolean,judged:boolean,named:boolean>>"
+    return map_columns(df, f"page_id {kind}, url string, host string, same long, has_main boolean, blocks {blocks}, layouts array<struct<node:long,layout:long>>", "html", lambda: run)
+
+
+def style_tree(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """(host, node, pages, presentation, content, recurring, freshest): the importances of each style
+    node, from ``parsed`` pages, and the least share of recurring texts in any place below it."""
+    sites = pages.where("host <> ''")
+    entropy = lambda n, total: F.log(total) - F.sum(n * F.log(n)) / total
+    layouts = sites.select("host", "same", F.inline("layouts")).distinct().groupBy("host", "node", "layout").agg(F.count("*").cast("double").alias("n"))
+    layouts = layouts.groupBy("host", "node").agg(F.sum("n").alias("pages"), entropy(F.col("n"), F.sum("n")).alias("layout_entropy"))
+    texts = sites.select("host", "same", F.explode("blocks").alias("b")).select("host", "same", "b.chain", F.xxhash64("b.text").alias("t")).distinct()
+    texts = texts.groupBy("host", "chain", "t").agg(F.count("*").cast("double").alias("n"))
+    again = F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0.0))
+    own = texts.groupBy("host", "chain").agg(F.sum("n").alias("texts"), F.sum(F.col("n") * F.log("n")).alias("shared"), again.alias("again"))
+    fresh = F.when(F.col("texts") >= min_pages, F.col("again") / F.col("texts")).otherwise(1.0)
+    texts = own.select("host", F.explode("chain").alias("node"), "texts", "shared", "again", fresh.alias("fresh"))
+    texts = texts.groupBy("host", "node").agg(*(F.sum(c).alias(c) for c in ("texts", "shared", "again")), F.min("fresh").alias("freshest"))
+    m = F.greatest(F.log("pages"), F.lit(1e-9))
+    return layouts.join(texts, ["host", "node"]).select(
         "host",
-        "path",
-        "pages",
-        F.when(F.col("pages") > 1, (m - F.col("layout_sum") / F.col("pages")) / m).otherwise(1.0).alias("presentation"),
-        F.when(F.col("pages") > 1, 1 - F.coalesce("text_mean", F.lit(0.0)) / m).otherwise(1.0).alias("content"),
+        "node",
+        F.col("pages").cast("long").alias("pages"),
+        F.when(F.col("pages") > 1, F.col("layout_entropy") / m).otherwise(1.0).alias("presentation"),
+        F.when(F.col("pages") > 1, 1 - F.col("shared") / F.col("texts") / m).otherwise(1.0).alias("content"),
+        (F.col("again") / F.col("texts")).alias("recurring"),
+        "freshest",
     )
 
 
-def low_branches(tree: DataFrame, least: float = LEAST, min_pages: int = MIN_PAGES) -> DataFrame:
-    return tree.where((F.col("pages") >= min_pages) & (F.col("content") < least) & (F.col("presentation") < 0.5)).select("host", "path")
-
-
-def extract(df: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", least: float = LEAST, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(page_id, url, text) of every page."""
-    kind = df.schema[key].dataType.simpleString()
-    df = df.select(F.col(key).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
-    each = materialize(nodes(df))
-    low = low_branches(importances(each), least, min_pages)
-    cut = each.where("kind = 2").join(low, ["host", "path"]).groupBy("page_id").agg(F.collect_set("path").alias("low"))
-
-    def run(c):
-        return {"page_id": c["page_id"], "url": c["url"], "text": [text_of(parse(x), set(low or ())) for x, low in zip(c["html"], c["low"])]}
-
-    return map_columns(df.join(cut, "page_id", "left"), f"page_id {kind}, url string, text string", "html", lambda: run)
+def low_branches(tree: DataFrame, least: float = LEAST, often: float = OFTEN, min_pages: int = MIN_PAGES) -> DataFrame:
+    """(host, low array<long>): the low branches of each host that has any."""
+    low = tree.where((F.col("pages") >= min_pages) & (F.col("presentation") < VARIES) & ((F.col("content") < least) | (F.col("recurring") >= often)) & (F.col("freshest") >= often))
+    return low.groupBy("host").agg(F.collect_set("node").alias("low"))
+
+
+def extract(df: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", least: float = LEAST, often: float = OFTEN, min_pages: int = MIN_PAGES, names: bool = True) -> DataFrame:
+    """(page_id, url, text, n_blocks, n_low, n_named) of every page: the main text, the blocks of the
+    page, those that the tree cut, and those that names alone cut. Without ``names`` the tree alone
+    decides, over all blocks."""
+    pages = materialize(parsed(df, key, url, html))
+    low = small_side(low_branches(style_tree(pages, min_pages), least, often, min_pages), 10_000)
+    pages = pages.join(low, "host", "left").withColumn("low", F.coalesce("low", F.array().cast("array<long>")))
+    judged = lambda b: b["judged"] if names else F.lit(True)
+    is_low = lambda b: judged(b) & F.arrays_overlap(b["chain"], "low")
+    out = lambda b: (b["named"] | (F.col("has_main") & ~b["main"])) if names else F.lit(False)
+    count = lambda f: F.size(F.filter("blocks", f))
+    return pages.select(
+        "page_id",
+        "url",
+        F.array_join(F.transform(F.filter("blocks", lambda b: ~is_low(b) & ~out(b)), lambda b: b["text"]), "\n\n").alias("text"),
+        F.size("blocks").alias("n_blocks"),
+        count(is_low).alias("n_low"),
+        count(lambda b: out(b) & ~is_low(b)).alias("n_named"),
+    )
