@@ -6,7 +6,10 @@ question terms only, so the corpus's postings are never moved for terms nobody a
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -81,15 +84,17 @@ def encode(df: DataFrame, text: str = "text", key: str = "id", encoder: Callable
     return df.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInPandas(run, f"id {kind}, embedding array<float>")
 
 
-def hashed_bag(texts: list[str], size: int = 64) -> np.ndarray:
-    import re
-    import zlib
+@lru_cache(100_000)
+def _word_hash(word: str) -> int:
+    return int.from_bytes(hashlib.md5(word.encode("utf-8", "surrogatepass")).digest()[:4], "big")
+
 
+def hashed_bag(texts: list[str], size: int = 64) -> np.ndarray:
+    """Each word adds or takes one at a slot, both by its hash; then rows of length one."""
     out = np.zeros((len(texts), size), np.float32)
     for row, text in zip(out, texts):
-        for w in re.findall(r"\w+", text.lower()):
-            h = zlib.crc32(w.encode())
-            row[h % size] += 1.0 if h >> 31 else -1.0
+        h = np.fromiter(map(_word_hash, re.findall(r"\w+", text.lower())), np.int64)
+        row += np.bincount(h % size, np.where(h >> 31, 1.0, -1.0), size)
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-8)
 
 
@@ -119,6 +124,7 @@ def vector_topk(queries: DataFrame, chunks: DataFrame, k: int, key: str = "chunk
     small set; they are taken in blocks of bounded size, each broadcast as a matrix. A batch of
     chunks is one product and keeps k a query, so no chunk vector is shuffled."""
     parts = []
+    queries = queries.where("embedding is not null")
     n = queries.count()
     blocks = max(1, -(-n // QUERY_BLOCK))
     kind = chunks.schema[key].dataType.simpleString()
@@ -132,14 +138,14 @@ def vector_topk(queries: DataFrame, chunks: DataFrame, k: int, key: str = "chunk
             for frame in frames:
                 if not len(ids) or not len(frame):
                     continue
-                score = matrix @ np.array(frame["embedding"].tolist(), np.float64).T
+                score = np.round(matrix @ np.array(frame["embedding"].tolist(), np.float64).T, 6)  # as ranked below
                 m = min(k, score.shape[1])
                 own = frame["chunk_id"].to_numpy()
                 low = np.partition(score, -m, axis=1)[:, -m]
                 q, c = np.nonzero(score >= low[:, None])  # ties stay for the final ranking
                 yield pd.DataFrame({"query_id": ids[q], "chunk_id": own[c], "score": score[q, c]})
 
-        parts.append(chunks.select(F.col(key).alias("chunk_id"), "embedding").mapInPandas(run, f"query_id {qkind}, chunk_id {kind}, score double"))
+        parts.append(chunks.where("embedding is not null").select(F.col(key).alias("chunk_id"), "embedding").mapInPandas(run, f"query_id {qkind}, chunk_id {kind}, score double"))
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)

@@ -44,12 +44,11 @@ TEXTS = f"""texts AS (
 
 
 def phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, text): the phrase and the first 60 characters of each document; short questions."""
-    return texts(spark, sf_dir).select("doc_id", "lang", F.concat(F.substring_index("text", "\n", 1), F.lit(" "), F.substring(F.substring(F.col("text"), F.length(F.substring_index("text", "\n", 1)) + 2, F.lit(60)), 1, 60)).alias("text"))
+    """(doc_id, lang, text): the whole text of each document with its phrase in front."""
+    return texts(spark, sf_dir).select("doc_id", "lang", "text")
 
 
-ASKED = TEXTS + """, asked AS (
-    SELECT doc_id, lang, split_part(text, chr(10), 1) || ' ' || substr(text, length(split_part(text, chr(10), 1)) + 2, 60) AS text FROM texts)"""
+ASKED = TEXTS + ", asked AS (SELECT doc_id, lang, text FROM texts)"
 
 
 def problems(spark: SparkSession, sf_dir: str) -> DataFrame:

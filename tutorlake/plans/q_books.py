@@ -46,7 +46,7 @@ def _examples(s, d):
 
 
 def _formulas(s, d):
-    rows = _rows(s, d).select("passage_id", "source", "chapter", F.explode(B.formulas(F.substring_index("content", "\n", 1))).alias("f"))
+    rows = _rows(s, d).select("passage_id", "source", "chapter", F.explode(B.formulas(F.col("content"))).alias("f"))
     return rows.select("passage_id", "source", "chapter", "f.type", "f.content")
 
 
@@ -70,13 +70,13 @@ def _best(text: str) -> str:
 
 TYPED = f"{ASKED}, typed AS (SELECT doc_id AS pos, substr(md5((doc_id % 300)::VARCHAR), 1, 12) AS chunk_id, {_best('text')} AS best, ['definition', 'theorem', 'proof', 'solved_example', 'formula', 'note'][doc_id % 6 + 1] AS content_type, 'src' || (doc_id % 4) AS source FROM asked), kb AS (SELECT *, best[3] AS topic, best[4] AS subtopic FROM typed)"
 BUCKET = "CASE WHEN content_type = 'definition' THEN 'definitions' WHEN content_type IN ('theorem', 'proof') THEN 'theorems' WHEN content_type = 'solved_example' THEN 'examples' WHEN content_type = 'formula' THEN 'formulas' END"
-PACKED = f"""WITH RECURSIVE {TEXTS}, sent AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS s FROM texts WHERE length(text) < 4000),
+PACKED = f"""WITH RECURSIVE {TEXTS}, sent AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS s FROM texts),
     pack(doc_id, i, done, now) AS (SELECT doc_id, 0, []::VARCHAR[], '' FROM sent UNION ALL
         SELECT p.doc_id, i + 1, CASE WHEN length(now) + length(s[i + 1]) <= 1000 OR now = '' THEN done ELSE list_append(done, {D.strip('now')}) END,
                CASE WHEN length(now) + length(s[i + 1]) <= 1000 THEN now || s[i + 1] || ' ' ELSE s[i + 1] || ' ' END
         FROM pack p JOIN sent USING (doc_id) WHERE i < len(s))
     SELECT p.doc_id, len(done) + CAST(now <> '' AS INT) AS n_parts, md5(array_to_string(CASE WHEN now <> '' THEN list_append(done, {D.strip('now')}) ELSE done END, '|')) AS parts FROM pack p JOIN sent USING (doc_id) WHERE i = len(s)"""
-DEFS = PACKED.replace("WHERE length(text) < 4000", "WHERE length(text) > 1000").split("\n    SELECT p.doc_id")[0] + f""", parts AS (SELECT p.doc_id, CASE WHEN now <> '' THEN list_append(done, {D.strip('now')}) ELSE done END AS parts FROM pack p JOIN sent USING (doc_id) WHERE i = len(s))
+DEFS = PACKED.replace("FROM texts),", "FROM texts WHERE length(text) > 1000),", 1).split("\n    SELECT p.doc_id")[0] + f""", parts AS (SELECT p.doc_id, CASE WHEN now <> '' THEN list_append(done, {D.strip('now')}) ELSE done END AS parts FROM pack p JOIN sent USING (doc_id) WHERE i = len(s))
     SELECT doc_id AS passage_id, len(parts) AS n_chunks, list_max(list_transform(parts, lambda x, i: length('Definition (Part ' || i || '/' || len(parts) || '):') + 2 + length(x))) AS longest FROM parts
     UNION ALL SELECT doc_id, 1, length('Definition: T' || doc_id) + 2 + length(text) FROM texts WHERE length(text) <= 1000"""
 STEPS = f"list_filter(list_transform(string_split(regexp_replace(t, '(?i)(Step\\s*[0-9]+[:.]|First[,:]|Second[,:]|Then[,:]|Finally[,:]|Therefore[,:])', chr(1) || '\\1', 'g'), chr(1)), lambda x: {D.strip('x')}), lambda x: x <> '')"
@@ -135,7 +135,7 @@ QUERIES = {
     "c4_chunk_theorems": lambda s, d: B.chunk_theorems(_rows(s, d)).groupBy("content_type").agg(F.count_distinct("passage_id").alias("n")),
     "c5_chunk_examples": lambda s, d: B.chunk_examples(_examples(s, d)).groupBy("content_type").agg(F.count_distinct("passage_id").alias("n")),
     "c6_chunk_formulas": lambda s, d: B.chunk_formulas(_formulas(s, d)).select("passage_id", "chunk_id", "topic", F.md5("content").alias("content")),
-    "c7_pack_sentences": lambda s, d: texts(s, d).where(F.length("text") < 4000).select("doc_id", B.pack_sentences(F.col("text")).alias("p")).select("doc_id", F.size("p").alias("n_parts"), F.md5(F.array_join("p", "|")).alias("parts")),
+    "c7_pack_sentences": lambda s, d: texts(s, d).select("doc_id", B.pack_sentences(F.col("text")).alias("p")).select("doc_id", F.size("p").alias("n_parts"), F.md5(F.array_join("p", "|")).alias("parts")),
     "c8_split_steps": lambda s, d: phrases(s, d).select("doc_id", B.split_steps(F.col("text")).alias("p")).select("doc_id", F.size("p").alias("n"), F.array_join("p", "|").alias("steps")),
     "c9_chunk_books": lambda s, d: _all(s, d).groupBy("part_of", "content_type", "topic").agg(F.count("*").alias("n")),
     "c10_topic_counts": lambda s, d: B.topic_counts(_typed(s, d)),
@@ -163,7 +163,7 @@ ORACLE_SQL = {
     "p6_formulas": f"""WITH {TEXTS}, f AS (SELECT doc_id, 'latex_inline' AS type, unnest(regexp_extract_all(text, '\\$([^$]+)\\$', 1)) AS x FROM texts UNION ALL SELECT doc_id, 'latex_display', unnest(regexp_extract_all(text, '\\$\\$([^$]+)\\$\\$', 1)) FROM texts
         UNION ALL SELECT doc_id, 'expression', unnest(regexp_extract_all(text, {D.q(B.FORMULAS[2][1])})) FROM texts) SELECT doc_id, type, count(*) AS n, md5(string_agg(x, '|' ORDER BY x)) AS contents FROM f GROUP BY ALL""",
     "p10_split_example": f"WITH {TEXTS}, cutat AS (SELECT doc_id, text, CASE {' '.join(f'WHEN regexp_matches(text, {D.q(m)}) THEN length(regexp_extract(text, {D.q(f'(?s)^(.*?)(?:{m})')}, 1))' for m in B.SOLUTION)} END AS n FROM texts) SELECT doc_id, md5(CASE WHEN n IS NULL THEN split_part(text, chr(10) || chr(10), 1) ELSE {D.strip('substr(text, 1, n)')} END) AS problem, md5(CASE WHEN n IS NULL THEN CASE WHEN contains(text, chr(10) || chr(10)) THEN substr(text, strpos(text, chr(10) || chr(10)) + 2) ELSE '' END ELSE {D.strip('substr(text, n + 1)')} END) AS solution FROM cutat",
-    "c6_chunk_formulas": f"""WITH {TEXTS}, l AS (SELECT doc_id, book, split_part(text, chr(10), 1) AS t FROM texts), f AS (SELECT doc_id, book, 'latex_inline' AS type, unnest(regexp_extract_all(t, '\\$([^$]+)\\$', 1)) AS x FROM l UNION ALL SELECT doc_id, book, 'latex_display', unnest(regexp_extract_all(t, '\\$\\$([^$]+)\\$\\$', 1)) FROM l
+    "c6_chunk_formulas": f"""WITH {TEXTS}, l AS (SELECT doc_id, book, text AS t FROM texts), f AS (SELECT doc_id, book, 'latex_inline' AS type, unnest(regexp_extract_all(t, '\\$([^$]+)\\$', 1)) AS x FROM l UNION ALL SELECT doc_id, book, 'latex_display', unnest(regexp_extract_all(t, '\\$\\$([^$]+)\\$\\$', 1)) FROM l
         UNION ALL SELECT doc_id, book, 'expression', unnest(regexp_extract_all(t, {D.q(B.FORMULAS[2][1])})) FROM l)
         SELECT doc_id AS passage_id, substr(md5(book || '_0_' || substr(x, 1, 50)), 1, 12) AS chunk_id, {_best("(x || ' Limits')")}[3] AS topic, md5('Formula: ' || x || chr(10) || chr(10) || 'Context: Found in Limits, ' || chr(10) || chr(10) || 'Type: ' || type) AS content FROM f""",
     "p11_titles": f"WITH {TEXTS} SELECT doc_id, CASE WHEN {NAMED} <> '' THEN {NAMED} WHEN length(split_part(text, '.', 1)) < 100 THEN split_part(text, '.', 1) ELSE 'Theorem' END AS theorem FROM texts",

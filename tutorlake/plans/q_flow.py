@@ -29,8 +29,9 @@ def s1(s, d):
 
 def s2(s, d):
     kinds = [("all_definitions", "definition", 0), ("all_theorems", "theorem", 1), ("all_examples", "example", 2)]
-    row = lambda k: F.struct(F.lit(k).alias("content_type"), "title", F.substring("content", 1, 80).alias("content"), "page_number", "chapter", "section")
-    rows = _rows(s, d).groupBy(F.col("source").alias("book")).agg(F.count("*").cast("int").alias("total_pages"), *(F.collect_list(F.when(F.col("passage_id") % 3 == i, row(k))).alias(c) for c, k, i in kinds))
+    row = lambda k: F.struct(F.lit(k).alias("content_type"), "title", "content", "page_number", "chapter", "section")
+    # a record holds at most 500 pages of a book
+    rows = _rows(s, d).groupBy(F.col("source").alias("book"), F.floor(F.col("page_number") / 500).alias("part")).agg(F.count("*").cast("int").alias("total_pages"), *(F.collect_list(F.when(F.col("passage_id") % 3 == i, row(k))).alias(c) for c, k, i in kinds))
     rows.write.json(path := _folder(s))
     return T.read_books(s, path, False).groupBy("book", "content_type").agg(F.count("*").alias("n"))
 

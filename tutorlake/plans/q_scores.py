@@ -12,6 +12,7 @@ from tutorlake.operators import review as H
 from tutorlake.plans import duck as D
 from tutorlake.plans.inputs import FEEDBACK, PROBLEMS, corrections, feedback, problems, table, texts
 from tutorlake.plans.q_memory import COUNTS
+from tutorlake.plans.q_search import BM25, _keyword
 
 W = lambda t: f"list_filter(string_split_regex({t}, '\\s+'), lambda w: w <> '')"
 
@@ -29,13 +30,13 @@ CASES = f"""cases AS (SELECT item_id AS case_id, ['algebra', 'calculus', 'statis
 
 
 def hits(s, d):
-    """Ranked documents by case: those whose key modulo 40 is the case."""
-    docs = table(s, d, "documents").where("doc_id < 400")
-    return docs.select((F.col("doc_id") % 40).alias("case_id"), (F.floor(F.col("doc_id") / 40) + 1).cast("int").alias("rank"), F.when(F.col("doc_id") % 5 == 0, "Algebra II").otherwise(F.col("lang")).alias("topic"), F.col("text").alias("content"), ((F.col("doc_id") * 37) % 101 / 100.0).alias("score"))
+    """The ten best documents of each case by BM25, over all documents."""
+    docs = table(s, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.when(F.col("doc_id") % 5 == 0, "Algebra II").otherwise(F.col("lang")).alias("topic"), F.col("text").alias("content"))
+    return _keyword(s, d, 10).join(docs, "chunk_id").select(F.col("query_id").alias("case_id"), "rank", "topic", "content", "score")
 
 
-HITS = """hits AS (SELECT doc_id % 40 AS case_id, doc_id // 40 + 1 AS rank, CASE WHEN doc_id % 5 = 0 THEN 'Algebra II' ELSE lang END AS topic, text AS content,
-    ((doc_id * 37) % 101) / 100.0::DOUBLE AS score FROM documents WHERE doc_id < 400)"""
+HITS = f"""{BM25}, hits AS (SELECT query_id AS case_id, rank, CASE WHEN d.doc_id % 5 = 0 THEN 'Algebra II' ELSE d.lang END AS topic, d.text AS content, score
+    FROM found JOIN documents d ON d.doc_id = chunk_id WHERE rank <= 10)"""
 
 
 def v2(s, d):

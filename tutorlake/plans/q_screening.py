@@ -45,6 +45,13 @@ def _stages(source: str) -> str:
 
 LENGTH = "CASE WHEN text = '' THEN 'empty' WHEN length(" + D.strip("text") + f") < {R.MIN_LENGTH} THEN 'short' WHEN length(" + D.strip("text") + f") > {R.MAX_LENGTH} THEN 'long' ELSE 'ok' END"
 LOW = "lower(text)"
+
+def _ascii_words(sql: str) -> str:
+    """The oracle's word borders know ASCII only: accented letters become another word character."""
+    accented = "[\\x{AA}\\x{B5}\\x{BA}\\x{C0}-\\x{D6}\\x{D8}-\\x{F6}\\x{F8}-\\x{24F}]"
+    return sql.removesuffix("FROM asked") + f"FROM (SELECT doc_id, regexp_replace(text, '{accented}', '_', 'g') AS text FROM asked)"
+
+
 SCORE = (
     f"least((least({D.count_hits(LOW, R.MATH_WORDS)} * 0.5::DOUBLE, 3.0::DOUBLE) + least(len(regexp_extract_all(text, '\\b\\d+(?:\\.\\d+)?\\b')) * 0.2::DOUBLE, 1.0::DOUBLE)"
     f" + CASE WHEN {D.has(LOW, r'[0-9]+\s*[+\-*/^]\s*[0-9]+')} THEN 1.5::DOUBLE ELSE 0 END + CASE WHEN {D.has(LOW, r'[a-z]\s*[+\-*/^=]\s*[0-9]')} THEN 1.5::DOUBLE ELSE 0 END"
@@ -142,7 +149,7 @@ ORACLE_SQL = {
     "g5_dangerous": _sql(label=D.first_label(LOW, R.DANGEROUS)),
     "g8_math_indicators": _sql(n=D.count_hits(LOW, R.QUICK_MATH)),
     "g9_content_labels": _sql(harm=D.first_label(LOW, R.HARM), profane=D.has(LOW, "|".join(R.PROFANITY)), pii=D.first_label("text", R.PII)),
-    "g10_math_score": _sql(score=f"round({SCORE}, 6)"),
+    "g10_math_score": _ascii_words(_sql(score=f"round({SCORE}, 6)")),
     "g11_word_problem": _sql(is_word_problem=f"({D.has('text', r'[0-9]')} AND {D.has('text', r'\b\d+\b')} AND {D.has(LOW, '|'.join(R.WORD_PROBLEM + R.STRUCTURE))})"),
     "g14_rule_boost": _sql(boost=f"round({BOOST}, 6)"),
     "g18_topic_label": f"WITH {PROBLEMS} SELECT id, CASE topic " + " ".join(f"WHEN {D.q(k)} THEN {D.q(v)}" for k, v in S.TOPIC_LABELS.items()) + " ELSE topic END AS label FROM problems",

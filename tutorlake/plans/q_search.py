@@ -36,11 +36,12 @@ def vectors(s, d):
 
 
 def asked(s, d):
-    return table(s, d, "embeddings").where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding", (F.col("label") + F.when(F.col("vec_id") < 3, 100).otherwise(0)).alias("topic"))
+    """The stated query set: every vector whose id is divisible by 100; a third of them of no known topic."""
+    return table(s, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding", (F.col("label") + F.when(F.col("vec_id") % 300 == 0, 100).otherwise(0)).alias("topic"))
 
 
 DOT = "round(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6)"
-NEAR = lambda k: f"near AS (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, {DOT} AS score, e.label FROM embeddings q, embeddings e WHERE q.vec_id < 20), top AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank, chunk_id, score, label FROM near QUALIFY rank <= {k})"
+NEAR = lambda k: f"near AS (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, {DOT} AS score, e.label FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0), top AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank, chunk_id, score, label FROM near QUALIFY rank <= {k})"
 TOK = lambda t: f"regexp_extract_all(lower({D.chain(t, RU.TOKEN_SIGNS)}), '[\\p{{L}}\\p{{N}}_]+')"
 BM25 = f"""{CHUNKS}, toks AS (SELECT chunk_id, {TOK('content')} AS t FROM chunks), words AS (SELECT chunk_id, len(t) AS size, unnest(t) AS term FROM toks),
     tf AS (SELECT chunk_id, size, term, count(*) AS tf FROM words GROUP BY ALL), corpus AS (SELECT count(*) AS n, avg(len(t)) AS avg_size FROM toks),
@@ -57,12 +58,21 @@ def _keyword(s, d, k=20):
 
 
 def _semantic(s, d):
-    """A stand-in vector side: chunks by a hash of query and chunk, on the same query ids."""
-    q, c = queries(s, d), chunks(s, d).select("chunk_id").where("chunk_id % 10 = 0")
-    return q.crossJoin(F.broadcast(c)).select("query_id", "chunk_id", (((F.col("query_id") * 31 + F.col("chunk_id") * 17) % 101) / 100.0).alias("score"))
+    """The vector side: the nearest chunks of each question among all, by the hashed encoder."""
+    q, c = R.encode(queries(s, d), "query", "query_id"), R.encode(chunks(s, d), "content", "chunk_id")
+    return R.vector_topk(q.withColumnRenamed("id", "query_id"), c.withColumnRenamed("id", "chunk_id"), 20).select("query_id", "chunk_id", "score")
 
 
-SEM = "sem AS (SELECT item_id AS query_id, chunk_id, ((item_id * 31 + chunk_id * 17) % 101) / 100.0::DOUBLE AS score FROM benchmark, chunks WHERE chunk_id % 10 = 0)"
+def bag(rows: str) -> str:
+    """The hashed encoder over rows (kind, id, text): numbers that are not zero by slot."""
+    return f"""bagged AS (SELECT kind, id, h % 64 AS slot, sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END)::FLOAT AS v
+        FROM (SELECT kind, id, ('0x' || substr(md5(w), 1, 8))::BIGINT AS h FROM (SELECT kind, id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS w FROM ({rows}))) GROUP BY ALL),
+    bags AS (SELECT kind, id, slot, (v / CAST(sqrt(sum(v::DOUBLE * v) OVER (PARTITION BY kind, id)) AS FLOAT))::FLOAT AS v FROM bagged WHERE v <> 0)"""
+
+
+SEM = bag("SELECT 'q' AS kind, item_id AS id, text FROM benchmark UNION ALL SELECT 'c', chunk_id, content FROM chunks") + """,
+    close AS (SELECT q.id AS query_id, c.id AS chunk_id, round(sum(q.v::DOUBLE * c.v), 6) AS score FROM bags q JOIN bags c ON q.slot = c.slot AND q.kind = 'q' AND c.kind = 'c' GROUP BY ALL),
+    sem AS (SELECT * FROM close QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 20)"""
 FUSED = f"""{BM25}, {SEM}, fused AS (SELECT coalesce(s.query_id, f.query_id) AS query_id, coalesce(s.chunk_id, f.chunk_id) AS chunk_id, coalesce(s.score, 0) AS semantic, coalesce(f.score, 0) AS keyword,
     round(0.6 * coalesce(s.score, 0) + 0.4 * coalesce(f.score, 0) + CASE WHEN s.score > 0.3 AND f.score > 0.3 THEN 0.1 ELSE 0 END, 9) AS combined FROM sem s FULL JOIN (SELECT * FROM found WHERE rank <= 20) f ON s.query_id = f.query_id AND s.chunk_id = f.chunk_id)"""
 CANDS = f"""{FUSED}, c1 AS (SELECT f.*, c.* EXCLUDE (chunk_id), row_number() OVER (PARTITION BY query_id, substr(content, 1, 200) ORDER BY combined DESC, chunk_id) AS r1 FROM fused f JOIN chunks c USING (chunk_id) WHERE combined >= 0.25 AND length(content) >= 50),
@@ -85,15 +95,13 @@ TITLE = "CASE content_type " + " ".join(f"WHEN {D.q(k)} THEN {D.q(v)}" for k, v
 LIST = lambda t: f"list_filter(string_split_regex({t}, '\\s+'), lambda w: w <> '')"
 FEATURE = f"""feat AS (SELECT *, least(1, 0.5 + {GAIN} + CASE WHEN contains(lower(topic), qtopic) THEN 0.2 ELSE 0 END
     + least(0.2, len(list_intersect(list_distinct({LIST('lower(query)')}), {LIST('lower(title)')})) * 0.05) + CASE WHEN regexp_matches(query, '[0-9]') AND content_type IN ('example', 'solved_example') THEN 0.15 ELSE 0 END) AS feature FROM typed)"""
-TYPED = f"asked AS (SELECT chunk_id AS query_id, content AS query FROM chunks WHERE chunk_id % 50 = 0), pairs AS (SELECT query_id, query, c.chunk_id, content_type, topic, {TITLE} AS title, c.chunk_id % 101 / 101.0 AS semantic, c.chunk_id % 7 / 7.0 AS keyword FROM asked, chunks c WHERE c.chunk_id % 20 = 3), typed AS (SELECT *, {QTYPE} AS qtype, {QTOPIC} AS qtopic FROM pairs)"
+TYPED = f"pairs AS (SELECT query_id, b.text AS query, chunk_id, content_type, topic, {TITLE} AS title, semantic, keyword FROM fused JOIN chunks c USING (chunk_id) JOIN benchmark b ON item_id = query_id), typed AS (SELECT *, {QTYPE} AS qtype, {QTOPIC} AS qtopic FROM pairs)"
 
 
 def _pairs(s, d):
-    c = chunks(s, d)
-    q = c.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), F.col("content").alias("query"))
-    i = F.col("chunk_id")
-    docs = c.where("chunk_id % 20 = 3").select("chunk_id", "content_type", "topic", R.hit_title(F.col("content_type")).alias("title"), ((i % 101) / 101.0).alias("semantic"), ((i % 7) / 7.0).alias("keyword"))
-    return q.crossJoin(docs)
+    """The fused hits of each question, with its text."""
+    docs = chunks(s, d).select("chunk_id", "content_type", "topic", R.hit_title(F.col("content_type")).alias("title"))
+    return R.fuse(_semantic(s, d), _keyword(s, d)).join(docs, "chunk_id").join(queries(s, d), "query_id")
 
 
 def _scored(s, d):
@@ -129,15 +137,22 @@ LEXICON = [
 ]
 
 
-def _first_lines(s, d):
-    return texts(s, d).select(F.col("doc_id").alias("query_id"), F.substring_index("text", "\n", 1).alias("query"))
+def _texts_asked(s, d):
+    return texts(s, d).select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def e1(s, d):
+    got = R.encode(texts(s, d), "text", "doc_id")
+    slots = F.filter(F.transform("embedding", lambda x, i: F.struct(i.alias("i"), x.cast("double").alias("x"))), lambda y: y["x"] != 0)
+    return got.select("id", F.size("embedding").alias("dim"), F.round(R.norm(F.col("embedding")), 4).alias("norm"), F.md5(F.array_join(F.transform(slots, lambda y: F.concat_ws(":", y["i"], F.floor(y["x"] * 10000 + 0.5))), ",")).alias("numbers"))
 
 
 def rr5(s, d):
     v = table(s, d, "embeddings").select("vec_id", F.col("label"), F.col("embedding"))
-    q = v.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.array("embedding", F.reverse("embedding")).alias("query_vectors"))
-    docs = v.where("vec_id >= 400").select(F.col("vec_id").alias("chunk_id"), F.array("embedding").alias("doc_vectors"), (F.col("label") / 10).alias("score"))
-    return R.maxsim_rerank(q.crossJoin(F.broadcast(docs)), 5).select("query_id", "rank", "chunk_id", "combined")
+    near = R.vector_topk(asked(s, d), vectors(s, d), 50).select("query_id", "chunk_id")
+    q = v.select(F.col("vec_id").alias("query_id"), F.array("embedding", F.reverse("embedding")).alias("query_vectors"))
+    docs = v.select(F.col("vec_id").alias("chunk_id"), F.array("embedding").alias("doc_vectors"), (F.col("label") / 10).alias("score"))
+    return R.maxsim_rerank(near.join(docs, "chunk_id").join(q, "query_id"), 5).select("query_id", "rank", "chunk_id", "combined")
 
 
 def r10(s, d):
@@ -160,14 +175,14 @@ QUERIES = {
     "k3_bm25_stats": lambda s, d: R.bm25_stats(chunks(s, d))[1].select("term", "df", F.round("idf", 6).alias("idf")),
     "k4_bm25_scores": lambda s, d: R.bm25_scores(queries(s, d), chunks(s, d)).select("query_id", "chunk_id", F.round("score", 6).alias("score")),
     "k5_bm25_topk": lambda s, d: _keyword(s, d, 5).select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score")),
-    "e1_encode": lambda s, d: R.encode(texts(s, d), "text", "doc_id").select("id", F.size("embedding").alias("dim"), F.round(R.norm(F.col("embedding")), 4).alias("norm")),
+    "e1_encode": lambda s, d: e1(s, d),
     "e2_normalize": lambda s, d: vectors(s, d).select("chunk_id", F.round(R.norm(R.normalize(F.transform("embedding", lambda x: x * 3))), 6).alias("norm")),
     "e3_cosine": lambda s, d: F.broadcast(vectors(s, d).where("chunk_id = 0").select(F.col("embedding").alias("q"))).crossJoin(vectors(s, d)).select("chunk_id", F.round(R.cosine(F.col("q"), F.col("embedding")), 6).alias("cosine")),
     "e4_vector_topk": lambda s, d: R.vector_topk(asked(s, d), vectors(s, d), 5),
     "e5_search_filtered": lambda s, d: R.search_filtered(asked(s, d).drop("topic"), vectors(s, d), 5, F.col("topic") < 5),
     "e6_search_in_topic": lambda s, d: R.search_in_topic(asked(s, d), vectors(s, d), 5),
     "e7_ann_topk": lambda s, d: R.ann_topk(asked(s, d).drop("topic"), vectors(s, d), 5),
-    "r1_expand": lambda s, d: R.expand(_first_lines(s, d), _lexicon(s)).select("query_id", "topic", F.array_join("terms", "|").alias("terms")),
+    "r1_expand": lambda s, d: R.expand(_texts_asked(s, d), _lexicon(s)).select("query_id", "topic", F.array_join("terms", "|").alias("terms")),
     "r2_fuse": lambda s, d: R.fuse(_semantic(s, d), _keyword(s, d)).select("query_id", "chunk_id", F.round("combined", 6).alias("combined")),
     "r3_section_id": lambda s, d: chunks(s, d).select("chunk_id", R.section_id(F.col("chapter"), F.col("section")).alias("section_id")),
     "r4_sections": lambda s, d: R.sections(chunks(s, d)).select("section_id", "topic", F.md5("full_content").alias("full_content")),
@@ -175,12 +190,12 @@ QUERIES = {
     "r6_candidates": lambda s, d: _cands(s, d).select("query_id", "rank", "chunk_id"),
     "r7_build_hits": lambda s, d: _hits(s, d).select("query_id", "chunk_id", "title", "chapter", F.length("shown").alias("n")),
     "r8_clean_content": lambda s, d: texts(s, d).select("doc_id", F.md5(R.clean_content(F.col("text"))).alias("clean")),
-    "r9_low_quality": lambda s, d: texts(s, d).select("doc_id", R.is_low_quality(F.substring_index("text", "\n", 1)).alias("low")),
+    "r9_low_quality": lambda s, d: texts(s, d).select("doc_id", R.is_low_quality(F.col("text")).alias("low")),
     "r10_retrieve": r10,
     "r11_pack_context": lambda s, d: R.pack_context(_hits(s, d), 1000).select("query_id", F.md5("context").alias("context")),
     "r12_format_hits": lambda s, d: R.format_hits(_cands(s, d), "EN").select("query_id", "rank", "chunk_id"),
     "r13_append_citations": r13,
-    "rr1_query_type": lambda s, d: _first_lines(s, d).select("query_id", R.query_type(F.col("query")).alias("kind"), R.query_topic(F.col("query")).alias("topic")),
+    "rr1_query_type": lambda s, d: _texts_asked(s, d).select("query_id", R.query_type(F.col("query")).alias("kind"), R.query_topic(F.col("query")).alias("topic")),
     "rr2_feature_score": lambda s, d: _pairs(s, d).select("query_id", "chunk_id", F.round(R.feature_score(F.col("query"), F.col("content_type"), F.col("topic"), F.col("title")), 6).alias("feature")),
     "rr3_hybrid_rerank": lambda s, d: R.hybrid_rerank(_pairs(s, d), 5).select("query_id", "rank", "chunk_id", F.round("combined", 6).alias("combined")),
     "rr4_cross_rerank": lambda s, d: R.cross_rerank(_scored(s, d), 5).select("query_id", "rank", "chunk_id", F.round("combined", 6).alias("combined")),
@@ -193,7 +208,7 @@ CUT = D.strip("CASE WHEN length({t}) <= 3000 THEN {t} WHEN strpos(reverse(substr
 LIST_OF = lambda xs: "[" + ", ".join(map(D.q, xs)) + "]"
 FOUND = ", ".join(f"CASE WHEN {D.contains_any('low', [k.lower() for k in ks])} THEN {LIST_OF(ts)} ELSE []::VARCHAR[] END" for _, ks, ts in LEXICON)
 ORACLE_SQL = {
-    "r1_expand": f"""WITH {TEXTS}, l AS (SELECT doc_id AS query_id, split_part(text, chr(10), 1) AS query, lower(split_part(text, chr(10), 1)) AS low FROM texts),
+    "r1_expand": f"""WITH {TEXTS}, l AS (SELECT doc_id AS query_id, text AS query, lower(text) AS low FROM texts),
         m AS (SELECT *, list_filter(string_split_regex(low, '\\s+'), lambda w: w <> '') AS own, flatten([{FOUND}, CASE WHEN regexp_matches(query, '\\b52\\b') THEN {LIST_OF(['deck of cards', 'standard deck', 'playing cards'])} ELSE []::VARCHAR[] END]) AS more FROM l),
         t AS (SELECT *, list_filter(more, lambda x, i: list_position(more, x) = i AND NOT list_has_any(string_split(lower(x), ' '), own)) AS terms FROM m)
         SELECT query_id, CASE {' '.join(f"WHEN {D.contains_any('low', [k.lower() for k in ks])} THEN {D.q(t)}" for t, ks, _ in LEXICON)} ELSE 'general' END AS topic, array_to_string(terms[1:10], '|') AS terms FROM t""",
@@ -210,27 +225,28 @@ ORACLE_SQL = {
     "k3_bm25_stats": f"WITH {BM25} SELECT term, df, round(idf, 6) AS idf FROM terms",
     "k4_bm25_scores": f"WITH {BM25} SELECT query_id, chunk_id, round(score, 6) AS score FROM scores",
     "k5_bm25_topk": f"WITH {BM25} SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM found WHERE rank <= 5",
+    "e1_encode": f"""WITH {TEXTS}, {bag("SELECT 'd' AS kind, doc_id AS id, text FROM texts")} SELECT id, 64 AS dim, round(sqrt(sum(v::DOUBLE * v)), 4) AS norm, md5(string_agg(slot || ':' || floor(v::DOUBLE * 10000 + 0.5)::BIGINT, ',' ORDER BY slot)) AS numbers FROM bags GROUP BY id""",
     "e2_normalize": "SELECT vec_id AS chunk_id, round(3 * sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) / (3 * sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) + 1e-8), 6) AS norm FROM embeddings",
     "e3_cosine": "SELECT e.vec_id AS chunk_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS cosine FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q",
     "e4_vector_topk": f"WITH {NEAR(5)} SELECT query_id, rank, chunk_id, score FROM top",
     "e5_search_filtered": f"WITH {NEAR(15)} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank, chunk_id, score FROM top WHERE label < 5 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 5",
-    "e6_search_in_topic": f"WITH near AS (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, {DOT} AS score FROM embeddings q, embeddings e WHERE q.vec_id < 20 AND (q.vec_id < 3 OR q.label = e.label)) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank, chunk_id, score FROM near QUALIFY rank <= 5",
+    "e6_search_in_topic": f"WITH near AS (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, {DOT} AS score FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0 AND (q.vec_id % 300 = 0 OR q.label = e.label)) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank, chunk_id, score FROM near QUALIFY rank <= 5",
     "r2_fuse": f"WITH {FUSED} SELECT query_id, chunk_id, round(combined, 6) AS combined FROM fused",
     "r3_section_id": f"WITH {CHUNKS} SELECT chunk_id, section_id FROM chunks",
     "r4_sections": f"""WITH {CHUNKS}, w AS (SELECT *, sum(length(content)) OVER (PARTITION BY section_id ORDER BY pos) AS upto FROM chunks), f AS (SELECT *, upto - length(content) AS bef, min(CASE WHEN upto > 3000 THEN pos END) OVER (PARTITION BY section_id) AS fo FROM w)
         SELECT section_id, min_by(topic, pos) AS topic, md5(coalesce(string_agg(CASE WHEN upto <= 3000 THEN content WHEN pos = fo AND 3000 - bef > 200 THEN substr(content, 1, (3000 - bef)::BIGINT) || '...' END, chr(10) || chr(10) ORDER BY pos), '')) AS full_content FROM f GROUP BY section_id""",
     "r5_clean_chapter": f"WITH {CHUNKS} SELECT chunk_id, clean AS chapter FROM chunks",
     "r6_candidates": f"WITH {CANDS} SELECT query_id, rank, chunk_id FROM cands",
-    "r9_low_quality": f"WITH {TEXTS}, t AS (SELECT doc_id, split_part(text, chr(10), 1) AS t FROM texts) SELECT doc_id, length(t) < 50 OR len(regexp_extract_all(t, '[a-zA-Z]')) / greatest(length(t), 1) < 0.3 OR len(regexp_extract_all(t, '[{R.BOXES}]')) / greatest(length(t), 1) > 0.05 AS low FROM t",
+    "r9_low_quality": f"WITH {TEXTS}, t AS (SELECT doc_id, text AS t FROM texts) SELECT doc_id, length(t) < 50 OR len(regexp_extract_all(t, '[a-zA-Z]')) / greatest(length(t), 1) < 0.3 OR len(regexp_extract_all(t, '[{R.BOXES}]')) / greatest(length(t), 1) > 0.05 AS low FROM t",
     "r12_format_hits": f"WITH {CANDS} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank, chunk_id FROM cands WHERE contains(lower(topic), 'en')",
     "r13_append_citations": f"""WITH {BM25}, top AS (SELECT query_id, rank, '  • [' || c.subtopic || '] ' || substr(c.content, 1, 200) || ' (relevance: ' || CAST(round_even(score * 100, 0) AS INT) || '%)' || chr(10) AS line, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM found JOIN chunks c USING (chunk_id) WHERE rank <= 5 AND score > 0.4),
         cited AS (SELECT query_id, string_agg(line, '' ORDER BY n) AS cited FROM top WHERE n <= 3 GROUP BY query_id)
         SELECT item_id AS query_id, md5('Worked.' || CASE WHEN item_id % 4 = 0 THEN chr(10) || chr(10) || '📚 Formulas Used (from knowledge base):' || chr(10) || '  • a=b' || chr(10) || '  • c=d' WHEN cited IS NOT NULL THEN chr(10) || chr(10) || '📚 Related Formulas (from knowledge base):' || chr(10) || cited ELSE '' END) AS explanation FROM benchmark LEFT JOIN cited ON item_id = query_id""",
-    "rr1_query_type": f"WITH {TEXTS}, t AS (SELECT doc_id AS query_id, split_part(text, chr(10), 1) AS query FROM texts) SELECT query_id, {QTYPE} AS kind, {QTOPIC} AS topic FROM t",
-    "rr2_feature_score": f"WITH {CHUNKS}, {TYPED}, {FEATURE} SELECT query_id, chunk_id, round(feature, 6) AS feature FROM feat",
-    "rr3_hybrid_rerank": f"WITH {CHUNKS}, {TYPED}, {FEATURE}, s AS (SELECT query_id, chunk_id, round(0.2 * semantic + 0.2 * keyword + 0.1 * feature, 9) AS combined FROM feat) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY combined DESC, chunk_id) AS rank, chunk_id, round(combined, 6) AS combined FROM s QUALIFY rank <= 5",
+    "rr1_query_type": f"WITH {TEXTS}, t AS (SELECT doc_id AS query_id, text AS query FROM texts) SELECT query_id, {QTYPE} AS kind, {QTOPIC} AS topic FROM t",
+    "rr2_feature_score": f"WITH {FUSED}, {TYPED}, {FEATURE} SELECT query_id, chunk_id, round(feature, 6) AS feature FROM feat",
+    "rr3_hybrid_rerank": f"WITH {FUSED}, {TYPED}, {FEATURE}, s AS (SELECT query_id, chunk_id, round(0.2 * semantic + 0.2 * keyword + 0.1 * feature, 9) AS combined FROM feat) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY combined DESC, chunk_id) AS rank, chunk_id, round(combined, 6) AS combined FROM s QUALIFY rank <= 5",
     "rr4_cross_rerank": f"""WITH {BM25}, p AS (SELECT query_id, chunk_id, score, (chunk_id * 13 + query_id) % 17 AS ps FROM found WHERE rank <= 10), m AS (SELECT *, min(ps) OVER w AS lo, max(ps) OVER w AS hi, count(*) OVER w AS n FROM p WINDOW w AS (PARTITION BY query_id)),
         s AS (SELECT query_id, chunk_id, round(0.7 * CASE WHEN n = 1 THEN ps WHEN hi = lo THEN 0.5 ELSE (ps - lo) / (hi - lo) END + 0.3 * score, 9) AS combined FROM m) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY combined DESC, chunk_id) AS rank, chunk_id, round(combined, 6) AS combined FROM s QUALIFY rank <= 5""",
-    "rr5_maxsim_rerank": "WITH v AS (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, round(0.6 * (list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) + list_cosine_similarity(list_reverse(q.embedding)::DOUBLE[], e.embedding::DOUBLE[])) / 2 + 0.4 * e.label / 10, 6) AS combined FROM embeddings q, embeddings e WHERE q.vec_id < 10 AND e.vec_id >= 400) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY combined DESC, chunk_id) AS rank, chunk_id, combined FROM v QUALIFY rank <= 5",
+    "rr5_maxsim_rerank": f"WITH {NEAR(50)}, v AS (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, round(0.6 * (list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) + list_cosine_similarity(list_reverse(q.embedding)::DOUBLE[], e.embedding::DOUBLE[])) / 2 + 0.4 * e.label / 10, 6) AS combined FROM top JOIN embeddings q ON q.vec_id = query_id JOIN embeddings e ON e.vec_id = chunk_id) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY combined DESC, chunk_id) AS rank, chunk_id, combined FROM v QUALIFY rank <= 5",
     "rr6_judge_rerank": f"WITH {BM25}, r AS (SELECT query_id, chunk_id, {REPLY} AS reply FROM found WHERE rank <= 10), j AS (SELECT *, CASE WHEN regexp_matches(reply, '[0-9]') THEN least(10, try_cast(regexp_extract(reply, '([0-9]+(?:\\.[0-9]+)?)', 1) AS DOUBLE)) / 10 ELSE 0.5 END AS judge FROM r) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY judge DESC, chunk_id) AS rank, chunk_id, round(judge, 6) AS judge FROM j QUALIFY rank <= 5",
 }
