@@ -150,3 +150,15 @@ def test_find_cached(spark):
     asked = spark.createDataFrame([(1, "find the  derivative of x squared plus two?"), (2, "find the derivative of x squared plus threes"), (3, "other")], "question_id int, question string")
     got = {r["question_id"]: r["id"] for r in M.find_cached(asked, stored).collect()}
     assert got == {1: "a", 2: "b"}
+
+
+def test_lexicon_from_a_table(spark):
+    from tutorlake.functions import lexicon
+
+    table = spark.createDataFrame([(2, "b", "y", ["two"]), (1, "a", "x", ["one", "uno"]), (3, "c", "z", None)], "pos int, topic string, subtopic string, keywords array<string>")
+    rows = lexicon.from_table(table)
+    texts = spark.createDataFrame([("One and two",), ("two",), ("three",)], "text string")
+    got = [r["t"]["topic"] for r in texts.select(lexicon.classify(texts["text"], rows).alias("t")).collect()]
+    assert rows[0] == ("a", "x", ["one", "uno"]) and got == ["a", "b", "general"]
+    with pytest.raises(ValueError):
+        lexicon.from_table(table, 2)

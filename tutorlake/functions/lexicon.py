@@ -1,14 +1,16 @@
 """Topic lexicon: topic, subtopic and keywords, in order of precedence.
 
-The full lexicon of a knowledge base is a parameter (rows of the same shape, any length); this is
-a short default with keywords of every subtopic.
+The full lexicon of a knowledge base is a parameter, as a list or from a table (``from_table``). The
+default is a short one with keywords of every subtopic; texts whose only keywords it lacks are
+classified otherwise than by a full one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# What words name a subtopic.
 DEFAULT = [
     ("calculus", "limits", ["limit", "approaches", "continuity"]),
     ("calculus", "derivatives", ["derivative", "differentiate", "d/dx", "rate of change", "tangent line"]),
@@ -47,6 +49,15 @@ DEFAULT = [
 ]
 
 
+def from_table(rows: DataFrame, most: int = 5_000) -> list[tuple[str, str, list[str]]]:
+    """The lexicon in a table (pos, topic, subtopic, keywords array<string>), in order of ``pos``. As it
+    becomes part of an expression, a table of more than ``most`` rows is refused."""
+    got = rows.select("pos", "topic", "subtopic", "keywords").orderBy("pos").limit(most + 1).collect()
+    if len(got) > most:
+        raise ValueError(f"a lexicon of more than {most} rows")
+    return [(r["topic"], r["subtopic"], list(r["keywords"] or ())) for r in got]
+
+
 def classify(text: Column, lexicon=DEFAULT) -> Column:
     """struct<topic, subtopic>: of the subtopic with most keywords in the text (as substrings, any
     case), the earlier of equals; general / miscellaneous if none occurs."""
