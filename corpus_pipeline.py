@@ -4,6 +4,10 @@ The stages: documents without a language go; repeated lines go (and documents th
 them); one document of each class of near duplicates stays; documents that hold a test item go;
 the rest becomes token ids, decoded again as a check. Each stage's rows are written to the shared
 folder as Parquet and read again.
+
+An empty table gives no row. Null and empty texts go in the first stage. Where no document has a
+language to learn from, that stage rejects none, and they go in the second. A table without
+``n_chars`` stays one without it; repeated rows stay as often as their stages keep them.
 """
 
 from __future__ import annotations
@@ -21,14 +25,19 @@ LEAST_SURE = 0.5
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents with a language: some letters, and a calibrated probability of a half or more."""
-    got = docs.withColumn("__lang", langid.language(docs, langid.train(docs)))
+    model = langid.train(docs)
+    if model is None:  # no labelled text to learn from: nothing tells that a document has no language
+        return docs
+    got = docs.withColumn("__lang", langid.language(docs, model))
     return got.where((F.col("__lang.lang_pred") != "und") & (F.col("__lang.score") >= LEAST_SURE)).select(*docs.columns)
 
 
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take out lines that repeat an earlier one; documents of which nothing is left go."""
     got = lines.dedup(docs).where(F.col("text").rlike(r"\S"))
-    return got.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        got = got.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return got.select(*docs.columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
