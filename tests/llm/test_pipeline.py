@@ -35,6 +35,16 @@ def test_stages(docs, odd_rows, spark, tmp_path):
     assert corpus_pipeline.run(spark, sf).count() == tables[5].count()
 
 
+def test_no_language_no_count_of_characters_no_rows(docs, spark, tmp_path):
+    """Without labelled languages none is rejected; null texts and those without words go later."""
+    rows = [(k, t, None) for k, t in [(1, "one line of the text"), (2, None), (3, ""), (4, "another line of it"), (5, "12 34")]]
+    for name, table in (("none", docs(rows)), ("empty", docs([]))):
+        table.select("doc_id", "text", "lang", "source").write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(7, "nothing that leaks")], "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.run(spark, f"{tmp_path}/none").collect()) == [1, 4, 5]
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
+
+
 def test_queries_are_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
