@@ -9,12 +9,13 @@ once a word has to end are too.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tutorlake.functions import rules as R
-from tutorlake.functions.text import chain, contains_any, count_hits, first_label, has, rx, strip
+from tutorlake.functions.text import chain, contains_any, count_hits, first_label, has, once, rx, strip
 
 
 def sanitize(text: Column, most: int = R.MAX_LENGTH) -> Column:
@@ -37,8 +38,7 @@ def deep_sanitize(df: DataFrame, text: str = "text") -> DataFrame:
         df = df.withColumn(f"__s{i}", chain(now, steps))
         labels.append(F.when(F.col(f"__s{i}") != now, F.lit(label)))
         now = F.col(f"__s{i}")
-    got = df.withColumn("clean", _tidy(now)).withColumn("threats", F.array_compact(F.array(*labels)))
-    return got.drop(*(f"__s{i}" for i in range(len(R.STAGES))))
+    return once(df, clean=_tidy(now), threats=F.array_compact(F.array(*labels))).drop(*(f"__s{i}" for i in range(len(R.STAGES))))
 
 
 def pre_sanitize(text: Column) -> Column:
@@ -65,9 +65,9 @@ def injections(text: Column) -> Column:
 
 def injection_check(text: Column, strict: bool = False) -> Column:
     """'dangerous' and 'blocked' stop a text, 'warning' lets it pass, 'ok' found nothing."""
-    found = injections(text)
-    high = F.exists(found, lambda x: x["severity"] == "high") | F.lit(strict)
-    return F.when(dangerous_label(text).isNotNull(), "dangerous").when(F.size(found) == 0, "ok").when(high, "blocked").otherwise("warning")
+    low = F.lower(text)
+    high, other = (reduce(Column.__or__, (has(low, p) for p, _, s in R.INJECTION if (s == "high") == want)) for want in (True, False))
+    return F.when(dangerous_label(text).isNotNull(), "dangerous").when(high, "blocked").when(other, "blocked" if strict else "warning").otherwise("ok")
 
 
 def math_indicators(text: Column) -> Column:
@@ -141,14 +141,14 @@ def screen_inputs(df: DataFrame, text: str = "text", strict: bool = False, is_ma
 
     Without the columns of a classifier the maths score stands in: mathematical from 0.3 on.
     """
-    df = deep_sanitize(df.withColumn("__basic", sanitize(F.col(text))), "__basic").drop("__basic")
+    df = deep_sanitize(once(df, __basic=sanitize(F.col(text))), "__basic").drop("__basic")
     clean = F.col("clean")
-    df = df.withColumn("__score", math_score(clean)).withColumn("__injection", injection_check(clean, strict)).withColumn("__length", length_check(clean))
+    df = once(df, __score=math_score(clean), __injection=injection_check(clean, strict), __length=length_check(clean))
     score = F.col("__score")
-    df = df.withColumn("__verdict", content_verdict(clean, is_math if is_math is not None else score >= 0.3, confidence if confidence is not None else score, topic if topic is not None else F.lit("general")))
+    df = once(df, __verdict=content_verdict(clean, is_math if is_math is not None else score >= 0.3, confidence if confidence is not None else score, topic if topic is not None else F.lit("general")))
     threats = F.size("threats") > 0
     stopped = F.col("__injection").isin("dangerous", "blocked")
-    category = (
+    stop = (
         F.when(clean == "", "nothing_left")
         .when(F.col("__length") != "ok", F.col("__length"))
         .when(stopped & (threats | F.lit(strict)), "injection")
@@ -162,9 +162,10 @@ def screen_inputs(df: DataFrame, text: str = "text", strict: bool = False, is_ma
             F.when(F.col("__verdict.level") == "warning", F.col("__verdict.category")),
         )
     )
-    df = df.withColumn("__stop", category).withColumn("warnings", F.when(F.col("__stop").isNull(), warnings).otherwise(F.array().cast("array<string>")))
-    df = df.withColumn("status", F.when(F.col("__stop").isNotNull(), "blocked").when(F.size("warnings") > 0, "warning").otherwise("passed"))
-    df = df.withColumn("category", F.coalesce("__stop", F.col("__verdict.category")))
+    none = F.array().cast("array<string>")
+    df = df.withColumn("__stop", stop).withColumn("warnings", F.when(F.col("__stop").isNull(), warnings).otherwise(none))
+    status = F.when(F.col("__stop").isNotNull(), "blocked").when(F.size("warnings") > 0, "warning").otherwise("passed")
+    df = df.withColumn("status", status).withColumn("category", F.coalesce("__stop", F.col("__verdict.category")))
     return df.drop("__score", "__injection", "__length", "__verdict", "__stop")
 
 

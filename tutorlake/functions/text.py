@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -47,6 +47,14 @@ def all_labels(text: Column, rules) -> Column:
     return F.array_compact(F.array(*(F.when(has(text, p), F.lit(label)) for p, label in rules)))
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are computed once a row: what a generator makes is not copied into the
+    filters and expressions that read it later, as plain projections are, which for a chain of costly
+    columns would double the work with every step."""
+    made = F.inline(F.array(F.struct(*(c.alias(k) for k, c in columns.items()))))
+    return df.select(*(F.col(c) for c in df.columns if c not in columns), made)
+
+
 def words(text: Column) -> Column:
     """Pieces between white space, none empty."""
     return F.filter(F.split(text, rx(r"\s+")), lambda w: w != "")
