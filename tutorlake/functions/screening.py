@@ -18,6 +18,11 @@ from tutorlake.functions import rules as R
 from tutorlake.functions.text import chain, contains_any, count_hits, first_label, has, once, rx, strip
 
 
+def _lower(text: Column, low: Column | None) -> Column:
+    """The text in lower case: ``low`` where the caller has it as a column already."""
+    return F.lower(text) if low is None else low
+
+
 def sanitize(text: Column, most: int = R.MAX_LENGTH) -> Column:
     """White space and control characters tidied, cut to ``most`` characters, stripped."""
     return strip(F.substring(chain(F.coalesce(text, F.lit("")), R.SANITIZE), 1, most))
@@ -53,8 +58,8 @@ def length_check(text: Column, least: int = R.MIN_LENGTH, most: int = R.MAX_LENG
     return F.when(text == "", "empty").when(n < least, "short").when(n > most, "long").otherwise("ok")
 
 
-def dangerous_label(text: Column) -> Column:
-    return first_label(F.lower(text), R.DANGEROUS)
+def dangerous_label(text: Column, low: Column | None = None) -> Column:
+    return first_label(_lower(text, low), R.DANGEROUS)
 
 
 def injections(text: Column) -> Column:
@@ -63,37 +68,36 @@ def injections(text: Column) -> Column:
     return F.array_compact(F.array(*(F.when(has(low, p), F.struct(F.lit(c).alias("category"), F.lit(s).alias("severity"))) for p, c, s in R.INJECTION)))
 
 
-def injection_check(text: Column, strict: bool = False) -> Column:
+def injection_check(text: Column, strict: bool = False, low: Column | None = None) -> Column:
     """'dangerous' and 'blocked' stop a text, 'warning' lets it pass, 'ok' found nothing."""
-    low = F.lower(text)
+    low = _lower(text, low)
     high, other = (reduce(Column.__or__, (has(low, p) for p, _, s in R.INJECTION if (s == "high") == want)) for want in (True, False))
-    return F.when(dangerous_label(text).isNotNull(), "dangerous").when(high, "blocked").when(other, "blocked" if strict else "warning").otherwise("ok")
+    return F.when(dangerous_label(text, low).isNotNull(), "dangerous").when(high, "blocked").when(other, "blocked" if strict else "warning").otherwise("ok")
 
 
 def math_indicators(text: Column) -> Column:
     return count_hits(F.lower(text), R.QUICK_MATH)
 
 
-def content_injection_label(text: Column) -> Column:
-    return first_label(F.lower(text), R.CONTENT_INJECTION)
+def content_injection_label(text: Column, low: Column | None = None) -> Column:
+    return first_label(_lower(text, low), R.CONTENT_INJECTION)
 
 
-def harm_label(text: Column) -> Column:
-    return first_label(F.lower(text), R.HARM)
+def harm_label(text: Column, low: Column | None = None) -> Column:
+    return first_label(_lower(text, low), R.HARM)
 
 
-def has_profanity(text: Column) -> Column:
-    low = F.lower(text)
-    return has(low, "|".join(R.PROFANITY))
+def has_profanity(text: Column, low: Column | None = None) -> Column:
+    return has(_lower(text, low), "|".join(R.PROFANITY))
 
 
 def pii_label(text: Column) -> Column:
     return first_label(text, R.PII)
 
 
-def math_score(text: Column) -> Column:
+def math_score(text: Column, low: Column | None = None) -> Column:
     """0 to 1: keywords up to 3 points, numbers 1, expressions 1.5 + 1.5 + 1, word problems 2, of 10."""
-    low = F.lower(text)
+    low = _lower(text, low)
     numbers = F.size(F.regexp_extract_all(text, F.lit(rx(r"\b\d+(?:\.\d+)?\b")), 0))
     points = F.least(count_hits(low, R.MATH_WORDS) * 0.5, F.lit(3.0)) + F.least(numbers * 0.2, F.lit(1.0))
     for pattern, gain in ((r"\d+\s*[+\-*/^]\s*\d+", 1.5), (r"[a-z]\s*[+\-*/^=]\s*\d", 1.5), (r"[a-z]\s*\^\s*\d", 1.0)):
@@ -108,27 +112,30 @@ def is_word_problem(text: Column) -> Column:
 
 
 def off_topic_label(text: Column) -> Column:
-    low, score = F.lower(text), math_score(text)
-    return F.when(score < 0.3, F.coalesce(first_label(low, R.OFF_TOPIC), F.when(score < 0.1, first_label(low, R.SMALL_TALK))))
+    low = F.lower(text)
+    off, small = first_label(low, R.OFF_TOPIC), first_label(low, R.SMALL_TALK)
+    score = math_score(text, low)  # only of the few texts that begin in such a way
+    return F.when(off.isNotNull() & (score < 0.3), off).when(off.isNull() & small.isNotNull() & (score < 0.1), small)
 
 
 def rule_boost(text: Column) -> Column:
     return F.least(count_hits(text, R.BOOST_STRONG) * 0.12 + count_hits(F.lower(text), R.BOOST_WORDS) * 0.08, F.lit(0.35))
 
 
-def content_verdict(text: Column, is_math: Column, confidence: Column, topic: Column) -> Column:
+def content_verdict(text: Column, is_math: Column, confidence: Column, topic: Column, low: Column | None = None) -> Column:
     """struct<level, category, confidence>, first rule that holds: empty, injection, harm,
     profanity, personal data (a warning that skips the topic test), not mathematical, safe."""
     text = strip(F.coalesce(text, F.lit("")))
+    low = _lower(text, low)
 
     def of(level, category, conf=1.0):
         return F.struct(F.lit(level).alias("level"), (category if isinstance(category, Column) else F.lit(category)).alias("category"), (conf if isinstance(conf, Column) else F.lit(conf)).cast("double").alias("confidence"))
 
     return (
         F.when(text == "", of("blocked", "empty"))
-        .when(content_injection_label(text).isNotNull(), of("blocked", "injection"))
-        .when(harm_label(text).isNotNull(), of("blocked", "harmful"))
-        .when(has_profanity(text), of("blocked", "profanity"))
+        .when(content_injection_label(text, low).isNotNull(), of("blocked", "injection"))
+        .when(harm_label(text, low).isNotNull(), of("blocked", "harmful"))
+        .when(has_profanity(text, low), of("blocked", "profanity"))
         .when(pii_label(text).isNotNull(), of("warning", "pii"))
         .when(~is_math & (confidence < 0.3), of("blocked", "off_topic", confidence))
         .when(~is_math, of("warning", "low_confidence", confidence))
@@ -142,10 +149,11 @@ def screen_inputs(df: DataFrame, text: str = "text", strict: bool = False, is_ma
     Without the columns of a classifier the maths score stands in: mathematical from 0.3 on.
     """
     df = deep_sanitize(once(df, __basic=sanitize(F.col(text))), "__basic").drop("__basic")
-    clean = F.col("clean")
-    df = once(df, __score=math_score(clean), __injection=injection_check(clean, strict), __length=length_check(clean))
+    clean, low = F.col("clean"), F.col("__low")
+    df = once(df, __low=F.lower(clean))
+    df = once(df, __score=math_score(clean, low), __injection=injection_check(clean, strict, low), __length=length_check(clean))
     score = F.col("__score")
-    df = once(df, __verdict=content_verdict(clean, is_math if is_math is not None else score >= 0.3, confidence if confidence is not None else score, topic if topic is not None else F.lit("general")))
+    df = once(df, __verdict=content_verdict(clean, is_math if is_math is not None else score >= 0.3, confidence if confidence is not None else score, topic if topic is not None else F.lit("general"), low))
     threats = F.size("threats") > 0
     stopped = F.col("__injection").isin("dangerous", "blocked")
     stop = (
@@ -166,7 +174,7 @@ def screen_inputs(df: DataFrame, text: str = "text", strict: bool = False, is_ma
     df = df.withColumn("__stop", stop).withColumn("warnings", F.when(F.col("__stop").isNull(), warnings).otherwise(none))
     status = F.when(F.col("__stop").isNotNull(), "blocked").when(F.size("warnings") > 0, "warning").otherwise("passed")
     df = df.withColumn("status", status).withColumn("category", F.coalesce("__stop", F.col("__verdict.category")))
-    return df.drop("__score", "__injection", "__length", "__verdict", "__stop")
+    return df.drop("__low", "__score", "__injection", "__length", "__verdict", "__stop")
 
 
 #: What a rejected text is told, by category (our own words), and what it might try.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -13,8 +14,23 @@ def rx(pattern: str) -> str:
     return "(?U)" + pattern
 
 
+#: A pattern that begins with a word or a group of words, neither of them repeated.
+_WORDS_FIRST = re.compile(r"(?:\\b)?(?:\((?:\?:)?(?P<group>(?:[a-z ?|-]|\\s\+)+)\)|(?P<word>[a-z]+))(?P<rest>(?:\\[bs].*)?)")
+
+
+def clues(pattern: str) -> list[str]:
+    """Strings of which every match of the pattern holds one; empty where its form does not tell."""
+    m = _WORDS_FIRST.fullmatch(pattern)
+    if not m or "|" in re.sub(r"\([^()]*\)", "", m["rest"]):
+        return []
+    parts = [re.sub(r".\?.*|\\.*", "", w) for w in (m["group"] or m["word"]).split("|")]
+    return parts if min(map(len, parts)) > 1 else []
+
+
 def has(text: Column, pattern: str) -> Column:
-    return text.rlike(rx(pattern))
+    """Whether the pattern occurs; where words tell that it cannot, it is not tried."""
+    found = text.rlike(rx(pattern))
+    return contains_any(text, words_in) & found if (words_in := clues(pattern)) else found
 
 
 def strip(text: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tutorlake.functions import rules as R
 from tutorlake.functions import screening as S
+from tutorlake.functions.text import once
 from tutorlake.plans import duck as D
 from tutorlake.plans.inputs import ASKED, PROBLEMS, phrases, problems, texts
 
@@ -86,10 +87,11 @@ def g2(spark, sf):
 
 
 def g15(spark, sf):
-    rows = texts(spark, sf)
-    c = F.col("text")
-    score = S.math_score(c)
-    return rows.select("doc_id", S.content_verdict(c, score >= 0.3, score, F.lit("general")).alias("v")).select("doc_id", "v.level", "v.category", F.round("v.confidence", 6).alias("confidence"))
+    rows = once(texts(spark, sf), low=F.lower("text"))
+    text, low, score = F.col("text"), F.col("low"), F.col("score")
+    rows = once(rows, score=S.math_score(text, low))
+    got = once(rows, v=S.content_verdict(text, score >= 0.3, score, F.lit("general"), low))
+    return got.select("doc_id", "v.level", "v.category", F.round("v.confidence", 6).alias("confidence"))
 
 
 def g16(spark, sf):
