@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tutorlake.functions.text import once
+
 # What words name a subtopic.
 DEFAULT = [
     ("calculus", "limits", ["limit", "approaches", "continuity"]),
@@ -58,13 +60,22 @@ def from_table(rows: DataFrame, most: int = 5_000) -> list[tuple[str, str, list[
     return [(r["topic"], r["subtopic"], list(r["keywords"] or ())) for r in got]
 
 
-def classify(text: Column, lexicon=DEFAULT) -> Column:
-    """struct<topic, subtopic>: of the subtopic with most keywords in the text (as substrings, any
-    case), the earlier of equals; general / miscellaneous if none occurs."""
-    low = F.lower(text)
+def _best(low: Column, lexicon) -> Column:
     rows = []
     for i, (topic, subtopic, keys) in enumerate(lexicon):
         score = sum((F.contains(low, F.lit(k.lower())).cast("int") for k in keys), F.lit(0))
         rows.append(F.struct(score.alias("score"), F.lit(-i).alias("order"), F.lit(topic).alias("topic"), F.lit(subtopic).alias("subtopic")))
-    best = F.array_max(F.array(*rows, F.struct(F.lit(0).alias("score"), F.lit(1).alias("order"), F.lit("general").alias("topic"), F.lit("miscellaneous").alias("subtopic"))))
+    return F.array_max(F.array(*rows, F.struct(F.lit(0).alias("score"), F.lit(1).alias("order"), F.lit("general").alias("topic"), F.lit("miscellaneous").alias("subtopic"))))
+
+
+def classify(text: Column, lexicon=DEFAULT) -> Column:
+    """struct<topic, subtopic>: of the subtopic with most keywords in the text (as substrings, any
+    case), the earlier of equals; general / miscellaneous if none occurs."""
+    best = _best(F.lower(text), lexicon)
     return F.struct(best["topic"].alias("topic"), best["subtopic"].alias("subtopic"))
+
+
+def with_topic(df: DataFrame, text: Column, lexicon=DEFAULT) -> DataFrame:
+    """``df`` with topic and subtopic of ``text`` by ``classify``, the text lowered and judged once a row."""
+    df = once(once(df, __low=F.lower(text)), __best=_best(F.col("__low"), lexicon))
+    return df.withColumns({"topic": F.col("__best.topic"), "subtopic": F.col("__best.subtopic")}).drop("__low", "__best")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tutorlake.functions import rules as R
-from tutorlake.functions.text import chain, count_contained, has, rx, squeeze, strip, words
+from tutorlake.functions.text import chain, contains_any, count_contained, has, rx, squeeze, strip, words
 
 
 def spoken_math(text: Column) -> Column:
@@ -46,8 +46,13 @@ def route(level: Column) -> Column:
     return F.when(level == "complex", "full").otherwise("fast")
 
 
+#: Every match of the rules of signs holds one of these (fixed values).
+SIGNS = ["^2", "^3", "²", "³", "√", "∫", "∑", "π", "d/dx", "dy/dx"]
+
+
 def clean_for_tokens(text: Column) -> Column:
-    return chain(text, R.TOKEN_SIGNS)
+    """Signs as words; a text without any is left as it is."""
+    return F.when(contains_any(text, SIGNS), chain(text, R.TOKEN_SIGNS)).otherwise(text)
 
 
 def tokens(text: Column) -> Column:

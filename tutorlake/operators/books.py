@@ -154,9 +154,9 @@ PASSAGE = ("source", "page_number", "chapter", "section", "title", "content")
 
 def _chunks(rows: DataFrame, body: Column, kind, ident: Column, **extra: Column) -> DataFrame:
     c = rows.select(*(x for x in rows.columns if x in (*PASSAGE, "passage_id")), *(v.alias(k) for k, v in extra.items()), body.alias("body"), ident.alias("ident"), (kind if isinstance(kind, Column) else F.lit(kind)).alias("content_type"))
-    t = lexicon.classify(F.col("content"))
+    c = lexicon.with_topic(c, F.col("content"))
     return c.select(
-        "passage_id", chunk_id(F.col("source"), F.col("page_number"), F.col("ident")).alias("chunk_id"), F.col("body").alias("content"), "content_type", t["topic"].alias("topic"), t["subtopic"].alias("subtopic"), "source", "page_number", "chapter", "section", *extra,
+        "passage_id", chunk_id(F.col("source"), F.col("page_number"), F.col("ident")).alias("chunk_id"), F.col("body").alias("content"), "content_type", "topic", "subtopic", "source", "page_number", "chapter", "section", *extra,
     )
 
 
@@ -204,9 +204,9 @@ def chunk_examples(rows: DataFrame) -> DataFrame:
 def chunk_formulas(rows: DataFrame) -> DataFrame:
     """Rows (passage_id, source, chapter, type, content): a chunk with its context, page 0, no section."""
     body = F.format_string("Formula: %s\n\nContext: Found in %s, \n\nType: %s", F.col("content"), F.coalesce("chapter", F.lit("")), F.col("type"))
-    t = lexicon.classify(F.concat_ws(" ", "content", F.coalesce("chapter", F.lit(""))))
+    rows = lexicon.with_topic(rows, F.concat_ws(" ", "content", F.coalesce("chapter", F.lit(""))))
     return rows.select(
-        "passage_id", chunk_id(F.col("source"), F.lit(0), F.col("content")).alias("chunk_id"), body.alias("content"), F.lit("formula").alias("content_type"), t["topic"].alias("topic"), t["subtopic"].alias("subtopic"), "source",
+        "passage_id", chunk_id(F.col("source"), F.lit(0), F.col("content")).alias("chunk_id"), body.alias("content"), F.lit("formula").alias("content_type"), "topic", "subtopic", "source",
         F.lit(0).alias("page_number"), "chapter", F.lit("").alias("section"), F.col("content").alias("raw_formula"), F.col("type").alias("formula_type"),
     )
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tutorlake.functions.normalize import clean_for_tokens, tokens
-from tutorlake.functions.text import chain, has, rx, strip, words
+from tutorlake.functions.text import chain, has, once, rx, strip, words
 
 K1, B, EPSILON = 1.5, 0.75, 0.25  # public BM25 defaults
 MIN_CONTENT, MAX_SECTION = 50, 3000
@@ -34,7 +34,7 @@ def postings(chunks: DataFrame, text: str = "content", key: str = "chunk_id", on
     """(chunk_id, term, tf, size): terms of each chunk with their counts; of those in ``only`` if given,
     the others being dropped before anything is shuffled."""
     toks = tokens(clean_for_tokens(F.coalesce(F.col(text), F.lit(""))))
-    rows = chunks.select(F.col(key).alias("chunk_id"), toks.alias("t")).select("chunk_id", F.size("t").alias("size"), F.explode("t").alias("term"))
+    rows = once(chunks.select(F.col(key).alias("chunk_id"), F.col(text)), t=toks).select("chunk_id", F.size("t").alias("size"), F.explode("t").alias("term"))
     if only is not None:
         rows = rows.join(only.select("term").distinct(), "term", "left_semi")
     return rows.groupBy("chunk_id", "size", "term").agg(F.count("*").alias("tf"))
@@ -43,10 +43,14 @@ def postings(chunks: DataFrame, text: str = "content", key: str = "chunk_id", on
 def bm25_stats(chunks: DataFrame, text: str = "content", key: str = "chunk_id") -> tuple[DataFrame, DataFrame]:
     """Corpus (one row: n, avg_size, mean_idf) and terms (term, df, idf). A term in more than half
     of the chunks has a negative idf; EPSILON times the mean idf of all terms stands in for it."""
-    sizes = chunks.select(F.size(tokens(clean_for_tokens(F.coalesce(F.col(text), F.lit(""))))).alias("size"))
-    corpus = sizes.agg(F.count("*").alias("n"), F.avg("size").alias("avg_size"))
-    toks = F.array_distinct(tokens(clean_for_tokens(F.coalesce(F.col(text), F.lit("")))))
-    raw = chunks.select(F.explode(toks).alias("term")).groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(corpus.select("n")))
+    toks = tokens(clean_for_tokens(F.coalesce(F.col(text), F.lit(""))))
+    rows = once(chunks.select(text), t=toks).select(F.size("t").alias("size"), F.explode(F.concat(F.array_distinct("t"), F.array(F.lit(None).cast("string")))).alias("term"))
+    # One pass: each chunk adds a row without a term, so that row's group tells the number of chunks
+    # and of words. Both parts below read both aggregates, and no condition on
+    # the term reaches below the aggregation, so that Spark computes it once.
+    counts = rows.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("size"))).alias("total"))
+    corpus = counts.where("total is not null").agg(F.coalesce(F.max("df"), F.lit(0).cast("long")).alias("n"), (F.max("total") / F.max("df")).alias("avg_size"))
+    raw = counts.where("total is null").select(F.coalesce("term", F.lit("")).alias("term"), "df").join(F.broadcast(corpus.select("n")))
     raw = raw.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.coalesce(F.avg("raw"), F.lit(0.0)).alias("mean_idf"))
     terms = raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))

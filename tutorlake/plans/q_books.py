@@ -59,8 +59,7 @@ def _typed(s, d):
     """Short typed chunks of every document, for the statistics."""
     i = F.col("doc_id")
     kinds = F.array(*map(F.lit, ("definition", "theorem", "proof", "solved_example", "formula", "note")))
-    t = lexicon.classify(F.col("text"))
-    return phrases(s, d).select(i.alias("pos"), F.substring(F.md5((i % 300).cast("string")), 1, 12).alias("chunk_id"), t["topic"].alias("topic"), t["subtopic"].alias("subtopic"), F.element_at(kinds, (i % 6 + 1).cast("int")).alias("content_type"), F.concat(F.lit("src"), i % 4).alias("source"))
+    return lexicon.with_topic(phrases(s, d), F.col("text")).select(i.alias("pos"), F.substring(F.md5((i % 300).cast("string")), 1, 12).alias("chunk_id"), "topic", "subtopic", F.element_at(kinds, (i % 6 + 1).cast("int")).alias("content_type"), F.concat(F.lit("src"), i % 4).alias("source"))
 
 
 def _best(text: str) -> str:
@@ -129,7 +128,7 @@ QUERIES = {
     "p11_titles": lambda s, d: texts(s, d).select("doc_id", B.theorem_title(F.col("text")).alias("theorem")),
     "p12_book_type": lambda s, d: B.book_type(pages(s, d), "limit", 500),
     "p13_book_summary": p13,
-    "c1_classify_topic": lambda s, d: texts(s, d).select("doc_id", lexicon.classify(F.col("text")).alias("t")).select("doc_id", "t.topic", "t.subtopic"),
+    "c1_classify_topic": lambda s, d: lexicon.with_topic(texts(s, d), F.col("text")).select("doc_id", "topic", "subtopic"),
     "c2_chunk_id": lambda s, d: _rows(s, d).select("passage_id", B.chunk_id(F.col("source"), F.col("page_number"), F.col("content")).alias("chunk_id")),
     "c3_chunk_definitions": lambda s, d: B.chunk_definitions(_rows(s, d)).groupBy("passage_id").agg(F.count("*").alias("n_chunks"), F.max(F.length("content")).alias("longest")),
     "c4_chunk_theorems": lambda s, d: B.chunk_theorems(_rows(s, d)).groupBy("content_type").agg(F.count_distinct("passage_id").alias("n")),
