@@ -4,21 +4,27 @@ Four kinds, each leftmost and not overlapping itself: e-mail address, IPv4 addre
 most 255), card number (12 to 19 digits that pass Luhn's check) and phone number with a leading
 plus (9 to 15 digits). A match that fails its check is dropped without a second try.
 
-Disguises are undone by transducers that keep, for every character they write, the span of
-source characters it came from: lookalike letters, full-width and other decimal digits become
-ASCII and invisible characters vanish; digits spelled in words become digits; ``at`` and ``dot``
-in brackets or between words become signs. Identifiers found in their output are mapped back.
+Disguises are undone by transducers: each reads tokens and emits, for a token, what it writes and
+the span it came from (``Traced``). Lookalike letters, full-width and other decimal digits become
+ASCII and invisible characters vanish; digits spelled in words, alone or mixed with figures, become
+digits; ``at`` and ``dot`` in brackets or between words become signs, on either side of the at.
+Identifiers found in what was written are mapped back through the spans, of which only those of
+rewritten places are kept. No length is bounded, and a text is read in one pass by each transducer.
 Spans that the plain patterns found always stay; found ones that lie inside a plain one of the
 same kind add nothing. Bare words count as disguise only where both ``at`` and ``dot`` are
-words, and spelled digits only in runs of seven or more, so that prose is left alone.
+words, and spelled digits only in runs of seven digits or more, at least half of the tokens and
+three of them words, so that prose is left alone.
 
-Null texts count as empty; no row is dropped; positions are code points, ends exclusive.
+Null texts count as empty, which has no spans; repeated rows are judged each; an empty table gives
+an empty one; no row is dropped; positions are code points, ends exclusive.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -58,20 +64,22 @@ _ASCII_OF = {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}  # full-wid
 _PLAIN = LOOKALIKES | _DIGITS_OF | _ASCII_OF
 _ODD = re.compile("[" + "".join(map(re.escape, [*_PLAIN, *INVISIBLE])) + "]")
 _WORDS = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
-_SPELLED = re.compile(rf"(?<!\w)(?:plus[ \t\r\n-]{{1,3}})?(?:{_WORDS})(?:[ \t\r\n,.-]{{1,3}}(?:{_WORDS})){{{LEAST_SPELLED - 1},}}(?!\w)", re.I)
+_TOKEN, _GAP = rf"(?:{_WORDS}|[0-9]++)(?!\w)", r"[ \t\r\n,.-]++"
+_SPELLED = re.compile(rf"(?<!\w)(?:plus{_GAP})?+{_TOKEN}(?:{_GAP}{_TOKEN})++", re.I)
 #: Two spelled digits in a row, with something before and after them, are in every such run; this
 #: is looked for first, in lower case, because it passes over prose many times faster.
 _TAILS = "|".join(f"{c}(?:{'|'.join(sorted((w[1:] for w in DIGIT_WORDS if w[0] == c), key=len, reverse=True))})" for c in sorted({w[0] for w in DIGIT_WORDS}))
-_PAIR = re.compile(rf"[ \t\r\n,.-](?:{_TAILS})[ \t\r\n,.-]{{1,3}}(?:{_TAILS})[ \t\r\n,.-]")
-_ONE = re.compile(rf"plus|{_WORDS}", re.I)
-_OPEN, _SHUT = r"\s{0,3}[\[({<]\s{0,2}", r"\s{0,2}[\])}>]\s{0,3}"
-_NAME, _HOST = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}", r"[A-Za-z0-9-]{1,63}"
-_MASKED = re.compile(
-    rf"({_NAME})(?:(?:{_OPEN}(?:at|@){_SHUT})({_HOST}(?:(?:\.|{_OPEN}(?:dot|\.){_SHUT}|\s{{1,3}}dot\s{{1,3}}){_HOST})+)"
-    rf"|(?:\s{{1,3}}at\s{{1,3}}|\s{{0,2}}@\s{{0,2}})({_HOST}(?:(?:{_OPEN}(?:dot|\.){_SHUT}|\s{{1,3}}dot\s{{1,3}}){_HOST})+))(?![A-Za-z0-9-])",
-    re.I,
-)
-_AT, _DOT = re.compile(r"[\[({<]\s*(?:at|@)\s*[\])}>]|\sat\s|@", re.I), re.compile(r"[\[({<]\s*(?:dot|\.)\s*[\])}>]|\sdot\s", re.I)
+_PAIR = re.compile(rf"[ \t\r\n,.-](?:{_TAILS})[ \t\r\n,.-]+(?:{_TAILS})[ \t\r\n,.-]")
+_ONE = re.compile(rf"plus|{_WORDS}|[0-9]++", re.I)
+_HOST, _LOCAL = r"[A-Za-z0-9-]++", r"[A-Za-z0-9._%+-]++"
+_SEPARATOR = r"(?:\s*+[\[({<]\s*+(?:dot|\.)\s*+[\])}>]\s*+|\s++dot\s++)"
+_AT = re.compile(r"[\[({<]\s*+(?:at|@)\s*+[\])}>]|(?<=\s)at(?=\s)|@", re.I)
+#: What follows the at: in brackets it is disguise enough, a bare one wants the first dot disguised.
+_AFTER = re.compile(rf"\s*+({_HOST}(?:(?:\.|{_SEPARATOR}){_HOST})++)", re.I)
+_AFTER_BARE = re.compile(rf"\s*+({_HOST}{_SEPARATOR}{_HOST}(?:(?:\.|{_SEPARATOR}){_HOST})*+)", re.I)
+#: What stands before it, read backwards.
+_BEFORE = re.compile(rf"\s*+{_LOCAL}(?:(?:\s*+[\])}}>]\s*+(?:tod|\.)\s*+[\[({{<]\s*+|\s++tod\s++){_LOCAL})*+", re.I)
+_PIECE = re.compile(rf"(?P<dot>{_SEPARATOR})|{_LOCAL}", re.I)
 
 
 def luhn(digits: str) -> bool:
@@ -125,51 +133,105 @@ def plain(text: str) -> list[tuple[int, int, int]]:
     return sorted(found + [(s, k, e) for k, s, e in _numbers(text)])
 
 
-def _rewrite(text: str, at: list[tuple[int, int]], changes: list[tuple[int, int, str]]) -> tuple[str, list[tuple[int, int]]]:
-    """Replace [start, end) of ``text`` by a string; each new character keeps the source span of
-    what it replaces. ``at`` has the source span of each character of ``text``."""
-    parts, spans, done = [], [], 0
-    for start, end, new in changes:
-        parts += [text[done:start], new]
-        spans += at[done:start] + [(at[start][0], at[end - 1][1])] * len(new)
-        done = end
-    return "".join([*parts, text[done:]]), spans + at[done:]
+class Traced:
+    """What a transducer wrote: ``parts`` are (output, start, end) of the source, the end None where
+    the source was copied. Only the parts are kept, nothing for each character."""
+
+    def __init__(self, parts) -> None:
+        texts, self.begins, self.sources, size = [], [], [], 0
+        for text, start, end in parts:
+            if text:
+                texts.append(text)
+                self.begins.append(size)
+                self.sources.append((start, end))
+                size += len(text)
+        self.text = "".join(texts)
+
+    def _span(self, i: int) -> tuple[int, int]:
+        part = bisect_right(self.begins, i) - 1
+        start, end = self.sources[part]
+        return (start, end) if end is not None else (start + i - self.begins[part], start + i - self.begins[part] + 1)
+
+    def cover(self, start: int, end: int) -> tuple[int, int]:
+        """The source span of the output [start, end)."""
+        return self._span(start)[0], self._span(end - 1)[1]
+
+
+def _characters(text: str) -> Iterator[tuple[str, int, int | None]]:
+    """The text with odd characters made plain."""
+    done = 0
+    for m in _ODD.finditer(text):
+        yield text[done : m.start()], done, None
+        yield _PLAIN.get(m.group(), ""), *m.span()
+        done = m.end()
+    yield text[done:], done, None
+
+
+def _pieces(text: str, start: int, end: int) -> Iterator[tuple[str, int, int | None]]:
+    for m in _PIECE.finditer(text, start, end):
+        yield (".", *m.span()) if m["dot"] else (m.group(), m.start(), None)
+
+
+def _addresses(text: str) -> Iterator[Traced]:
+    """Addresses with disguised signs, leftmost first, as they read without the disguise."""
+    free = 0
+    for m in _AT.finditer(text):
+        if m.start() < free:
+            continue
+        after = (_AFTER if m.group()[0] in "[({<" else _AFTER_BARE).match(text, m.end())
+        if not after:
+            continue
+        before = _BEFORE.match(text[free : m.start()][::-1])
+        free = after.end() if before else m.end()
+        if before:
+            yield Traced([*_pieces(text, m.start() - before.end(), m.start()), ("@", *m.span()), *_pieces(text, *after.span(1))])
+
+
+def _spelled(text: str) -> Iterator[tuple[int, int, int]]:
+    """(start, kind, end) of cards and phones told in words."""
+    for m in _SPELLED.finditer(text):
+        tokens = [x.group().lower() for x in _ONE.finditer(m.group())]
+        words = sum(x in DIGIT_WORDS for x in tokens)
+        digits = "".join(str(DIGIT_WORDS.get(x, x)) for x in tokens if x != "plus")
+        if len(digits) < LEAST_SPELLED or words < 3 or 2 * words < len(tokens):
+            continue
+        if tokens[0] != "plus" and 12 <= len(digits) <= 19 and luhn(digits):
+            yield m.start(), 2, m.end()
+        elif len(digits) <= 15:
+            yield m.start(), 3, m.end()
 
 
 def disguised(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end), in the source, of identifiers that show after normalising."""
     found: set[tuple[int, int, int]] = set()
-    at = None
+    back = lambda start, end: (start, end)
+    keep = lambda start, kind, end: found.add((back(start, end)[0], kind, back(start, end)[1]))
     if _ODD.search(text):
-        at = [(i, i + 1) for i in range(len(text))]
-        text, at = _rewrite(text, at, [(m.start(), m.end(), _PLAIN.get(m.group(), "")) for m in _ODD.finditer(text)])
-        found |= {(at[s][0], k, at[e - 1][1]) for s, k, e in plain(text)}
-    back = lambda i: (i, i + 1) if at is None else at[i]
+        traced = Traced(_characters(text))
+        text, back = traced.text, traced.cover
+        for span in plain(text):
+            keep(*span)
     lower = text.lower()
     if "dot" in lower or any(sign in text for sign in "[({<") and _AT.search(text):
-        for m in _MASKED.finditer(text):
-            piece, own = _rewrite(m.group(), [back(i) for i in range(*m.span())], [(x.start(), x.end(), ".") for x in _DOT.finditer(m.group())])
-            sign = next(_AT.finditer(piece), None)
-            if sign:
-                piece, own = _rewrite(piece, own, [(*sign.span(), "@")])
-            keep = [i for i, c in enumerate(piece) if not c.isspace()]
-            piece, own = "".join(piece[i] for i in keep), [own[i] for i in keep]
-            found |= {(own[s][0], 0, own[e - 1][1]) for s, e in _emails(piece)}
-    for m in _SPELLED.finditer(text) if _PAIR.search(lower) else ():
-        changes = [(x.start(), x.end(), str(DIGIT_WORDS.get(x.group().lower(), "+"))) for x in _ONE.finditer(m.group())]
-        piece, own = _rewrite(m.group(), [back(i) for i in range(*m.span())], changes)
-        digits = "".join(c for c in piece if c in "+0123456789")
-        n = len(digits.lstrip("+"))
-        kind = 2 if digits[0] != "+" and 12 <= n <= 19 and luhn(digits) else 3 if n <= 15 else None
-        if kind:
-            found.add((own[0][0], kind, own[-1][1]))
+        for address in _addresses(text):
+            for start, end in _emails(address.text):
+                first, last = address.cover(start, end)
+                keep(first, 0, last)
+    if _PAIR.search(lower):
+        for span in _spelled(text):
+            keep(*span)
     return sorted(found)
 
 
 def detect(text: str) -> list[dict]:
     base = plain(text)
-    more = [x for x in disguised(text) if not any(k == x[1] and s <= x[0] and x[2] <= e for s, k, e in base)]
-    rows = sorted([(*x, True) for x in base] + [(*x, False) for x in more])
+    known = [[(s, e) for s, k, e in base if k == kind] for kind in range(len(KINDS))]  # sorted, not overlapping
+
+    def inside(start: int, kind: int, end: int) -> bool:
+        i = bisect_right(known[kind], (start, len(text) + 1)) - 1
+        return i >= 0 and end <= known[kind][i][1]
+
+    rows = sorted([(*x, True) for x in base] + [(*x, False) for x in disguised(text) if not inside(*x)])
     return [{"kind": KINDS[k], "start": s, "end": e, "plain": p} for s, k, e, p in rows]
 
 
