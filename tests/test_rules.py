@@ -1,5 +1,8 @@
 """Literal cases of the rules: what each text must give."""
 
+import random
+from difflib import SequenceMatcher
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -152,6 +155,39 @@ def test_find_cached(spark):
     assert got == {1: "a", 2: "b"}
 
 
+@pytest.mark.parametrize("ratio", [0.92, 0.8, 0.6])
+def test_find_cached_misses_nothing(spark, ratio):
+    """Edited copies from a few characters to some hundred, against every pair compared."""
+    rng = random.Random(11)
+    words = "what is the derivative of x squared sin cos integral area 2 and find limit".split()
+    known = [" ".join(rng.choice(words) for _ in range(n)) for n in [1, 1, 2, 2, 3, 4, 6, 8, 12, 20, 30, 40]]
+
+    def edited(text):
+        for _ in range(rng.randint(1, max(1, len(text) // 14))):
+            i = rng.randrange(len(text))
+            text = text[:i] + rng.choice(["", "z", text[i] * 2]) + text[i + rng.randint(0, 1) :]
+        return text
+
+    stored = spark.createDataFrame([(str(i), x, "s", None) for i, x in enumerate(known + [edited(x) for x in known])], "id string, question string, solution string, created_at timestamp")
+    asked = spark.createDataFrame([(i, edited(x)) for i, x in enumerate(known * 6)] + [(999, None)], "question_id int, question string")
+    got = {(r["question_id"], round(r["ratio"], 9)) for r in M.find_cached(asked, stored, ratio).collect()}
+    keys = lambda df, i: [(r[i], r["k"]) for r in df.select(i, M.cache_key(F.col("question")).alias("k")).collect()]
+    old = sorted(keys(stored, "id"))
+    want = set()
+    for q, k in keys(asked, "question_id"):
+        if k is not None:
+            hits = [i for i in old if i[1] == k] or [i for i in old if SequenceMatcher(None, k, i[1]).ratio() >= ratio]
+            want |= {(q, round(SequenceMatcher(None, k, hits[0][1]).ratio(), 9))} if hits else set()
+    assert got == want and len(want) > 30
+
+
+def test_search_in_blocks(spark):
+    rows = spark.createDataFrame([(i, f"about {w}", None, None, None) for i, w in enumerate(["sin", "cos", "SIN x", "tan"])], "id int, question string, solution string, topic string, created_at timestamp")
+    asked = spark.createDataFrame([(1, "sin"), (2, "tan"), (3, "no"), (4, "about")], "query_id int, query string")
+    got = sorted((r["query_id"], r["id"]) for r in M.search(asked, rows, 2, block=1).collect())
+    assert got == [(1, 0), (1, 2), (2, 3), (4, 0), (4, 1)]
+
+
 def test_lexicon_from_a_table(spark):
     from tutorlake.functions import lexicon
 

@@ -121,35 +121,42 @@ def cosine(a: Column, b: Column) -> Column:
 
 #: Query vectors that go to the tasks at once.
 QUERY_BLOCK = 2000
+#: Queries of one product, so that its scores stay small in memory.
+PRODUCT_ROWS = 250
 
 
-def vector_topk(queries: DataFrame, chunks: DataFrame, k: int, key: str = "chunk_id") -> DataFrame:
-    """(query_id, rank, chunk_id, score): exact top k by inner product. The queries are the stated
-    small set; they are taken in blocks of bounded size, each broadcast as a matrix. A batch of
-    chunks is one product and keeps k a query, so no chunk vector is shuffled."""
+def vector_topk(queries: DataFrame, chunks: DataFrame, k: int, key: str = "chunk_id", within: str | None = None) -> DataFrame:
+    """(query_id, rank, chunk_id, score): exact top k by inner product, among the chunks with the
+    query's value of ``within`` if a column is named. The queries are the stated small set; they are
+    taken in blocks of bounded size, each broadcast as a matrix. A batch of chunks is one product (one
+    for each value of ``within``) and keeps k a query, so no chunk vector is shuffled."""
     parts = []
     queries = queries.where("embedding is not null")
+    group = F.lit("") if within is None else F.col(within).cast("string")
     n = queries.count()
     blocks = max(1, -(-n // QUERY_BLOCK))
     kind = chunks.schema[key].dataType.simpleString()
     qkind = queries.schema["query_id"].dataType.simpleString()
     for b in range(blocks):
-        got = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).orderBy("query_id").toPandas()
-        shared = chunks.sparkSession.sparkContext.broadcast((got["query_id"].to_numpy(), np.array(got["embedding"].tolist(), np.float64).reshape(len(got), -1)))
+        got = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select("query_id", "embedding", group.alias("g")).where("g is not null").orderBy("query_id").toPandas()
+        matrices = {g: (rows["query_id"].to_numpy(), np.array(rows["embedding"].tolist(), np.float64)) for g, rows in got.groupby("g")}
+        shared = chunks.sparkSession.sparkContext.broadcast(matrices)
 
         def run(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, matrix = shared.value
             for frame in frames:
-                if not len(ids) or not len(frame):
-                    continue
-                score = np.round(matrix @ np.array(frame["embedding"].tolist(), np.float64).T, 6)  # as ranked below
-                m = min(k, score.shape[1])
-                own = frame["chunk_id"].to_numpy()
-                low = np.partition(score, -m, axis=1)[:, -m]
-                q, c = np.nonzero(score >= low[:, None])  # ties stay for the final ranking
-                yield pd.DataFrame({"query_id": ids[q], "chunk_id": own[c], "score": score[q, c]})
-
-        parts.append(chunks.where("embedding is not null").select(F.col(key).alias("chunk_id"), "embedding").mapInPandas(run, f"query_id {qkind}, chunk_id {kind}, score double"))
+                for g, rows in frame.groupby("g"):
+                    if g not in shared.value:
+                        continue
+                    ids, matrix = shared.value[g]
+                    own, vectors = rows["chunk_id"].to_numpy(), np.array(rows["embedding"].tolist(), np.float64).T
+                    for lo in range(0, len(ids), PRODUCT_ROWS):
+                        score = np.round(matrix[lo : lo + PRODUCT_ROWS] @ vectors, 6)  # as ranked below
+                        m = min(k, score.shape[1])
+                        low = np.partition(score, -m, axis=1)[:, -m]
+                        q, c = np.nonzero(score >= low[:, None])  # ties stay for the final ranking
+                        yield pd.DataFrame({"query_id": ids[lo + q], "chunk_id": own[c], "score": score[q, c]})
+
+        parts.append(chunks.where("embedding is not null").select(F.col(key).alias("chunk_id"), "embedding", group.alias("g")).mapInPandas(run, f"query_id {qkind}, chunk_id {kind}, score double"))
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
@@ -165,9 +172,7 @@ def search_filtered(queries: DataFrame, chunks: DataFrame, k: int, condition: Co
 def search_in_topic(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """Within the query's topic where chunks have it, else over all chunks."""
     known = chunks.select("topic").distinct()
-    inside = queries.join(known, "topic").join(chunks.select("topic", "chunk_id", F.col("embedding").alias("other")), "topic")
-    inside = inside.select("query_id", "chunk_id", F.round(dot(F.col("embedding"), F.col("other")), 6).alias("score"))
-    inside = ranked(inside, F.col("score"), k, "chunk_id").select("query_id", "rank", "chunk_id", "score")
+    inside = vector_topk(queries.join(known, "topic", "left_semi"), chunks, k, within="topic")
     return inside.unionByName(vector_topk(queries.join(known, "topic", "left_anti"), chunks, k))
 
 

@@ -18,7 +18,10 @@ from tutorlake.streaming import jobs as J
 def _folder(s) -> str:
     """A new folder among those that all executors share; on one machine, where the session names
     none, a temporary one."""
-    base = s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-tables-")
+    base = s.conf.get("spark.checkpoint.dir", None)
+    if not base and not s.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    base = base or tempfile.mkdtemp(prefix="spark-tables-")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
