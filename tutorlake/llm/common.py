@@ -28,11 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session. Only where the
-    session names none (tests on one machine) a temporary folder stands in for it."""
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session. Where the session
+    names none, a temporary folder stands in for it on one machine; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not found:
         found = tempfile.mkdtemp(prefix="spark-tutorlake-")
         spark.sparkContext.setCheckpointDir(found)
