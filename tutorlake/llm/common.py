@@ -102,6 +102,14 @@ def keyed(df: DataFrame, key: str, content: str, as_key: str = "doc_id", as_cont
     return df.select(F.col(key).alias(as_key), F.coalesce(F.col(content), F.lit("")).alias(as_content))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, longer by underscores until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def held_out(key: str = "doc_id"):
     """True for the rows that no training may look at: crc32 of the key as text, modulo 3, is 1."""
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 3 == 1, F.lit(False))

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tutorlake.llm import shingles
-from tutorlake.llm.common import keyed, map_columns, materialize, small_side
+from tutorlake.llm.common import keyed, map_columns, materialize, small_side, unused
 
 WORDS = 5
 PERCENT = 80
@@ -58,11 +58,11 @@ ROUNDS = 2
 BEFORE = 6
 
 
-def _signature(s: np.ndarray) -> int:
+def signature(s: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64))
 
 
-def _bitmap(s: np.ndarray) -> bytes:
+def bitmap(s: np.ndarray) -> bytes:
     bits = np.zeros(BITS, bool)
     bits[(s >> np.uint64(40)).astype(np.int64) % BITS] = True
     return np.packbits(bits).tobytes()
@@ -75,12 +75,12 @@ def nodes(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
     def run(c):
         got = shingles.sets(c["text"], words)
-        sigs = [_signature(s) for s in got]
+        sigs = [signature(s) for s in got]
         once = list({g: s for g, s in zip(sigs, got)}.values())
         seen, n = np.unique(np.concatenate(once), return_counts=True) if once else (np.zeros(0, np.uint64), np.zeros(0))
         often = n >= 3
         common = [[{"h": h, "n": k} for h, k in zip(seen[often].astype(np.int64).tolist(), n[often].tolist())]]
-        return {"doc_id": c["doc_id"], "n": [len(s) for s in got], "sig": sigs, "bits": [_bitmap(s) for s in got], "common": common + [None] * (len(got) - 1)}
+        return {"doc_id": c["doc_id"], "n": [len(s) for s in got], "sig": sigs, "bits": [bitmap(s) for s in got], "common": common + [None] * (len(got) - 1)}
 
     return map_columns(docs, f"doc_id {kind}, n int, sig long, bits binary, common array<struct<h:long,n:int>>", "text", lambda: run)
 
@@ -102,7 +102,7 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray, words: int, percent: int) -
             token, sig, size, early = [], [], [], []
             done = set()
             for s in shingles.sets(c["text"], words):
-                g = _signature(s)
+                g = signature(s)
                 if not len(s) or g in done:
                     continue
                 done.add(g)
@@ -143,12 +143,12 @@ def _grouped(rows: DataFrame) -> DataFrame:
     return rows.where("head <> tail and not (sig <=> prev)").drop("tail")
 
 
-def _may_link(n_a, n_b, percent: int):
+def may_link(n_a, n_b, percent: int):
     """Sizes alone allow a link."""
     return F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent
 
 
-def _verify(pairs: DataFrame, table: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+def verify(pairs: DataFrame, table: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """(a, b) of the pairs of signatures that link: bitmaps first, then the sorted arrays."""
     short = table.select("sig", "n", "bits")
     both = pairs.join(short.select(F.col("sig").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a")), "a")
@@ -175,6 +175,21 @@ def _verify(pairs: DataFrame, table: DataFrame, texts: DataFrame, words: int, pe
     return map_columns(near.select("a", "b", "text_a", "text_b"), "a long, b long", "text_a", lambda: exact)
 
 
+def signed_texts(docs: DataFrame, table: DataFrame, words: int) -> DataFrame:
+    """(sig, text): for each set of ``table`` (sig, first) one text that has it."""
+    texts = docs.join(small_side(table.select(F.col("first").alias("doc_id"))), "doc_id", "left_semi")
+    signed = lambda c: {"sig": [signature(s) for s in shingles.sets(c["text"], words)], "text": c["text"]}
+    texts = map_columns(texts.select("text"), "sig long, text string", "text", lambda: signed)
+    return materialize(texts.join(table.select("sig"), "sig", "left_semi").dropDuplicates(["sig"]))
+
+
+def named(links: DataFrame, table: DataFrame) -> DataFrame:
+    """Links (a, b) of signatures as links of the first keys that have them."""
+    first = table.select("sig", "first")
+    both = links.join(first.select(F.col("sig").alias("a"), F.col("first").alias("fa")), "a").join(first.select(F.col("sig").alias("b"), F.col("first").alias("fb")), "b")
+    return both.select(F.col("fa").alias("a"), F.col("fb").alias("b"))
+
+
 def classes(links: DataFrame) -> DataFrame:
     """(node, label): the smallest node that links (a, b) connect each node with. Minima travel
     along links and labels are followed to their own label, so rounds grow with the logarithm of
@@ -197,7 +212,7 @@ def _partners(groups: DataFrame, percent: int) -> DataFrame:
     leads the most of its groups; two pairs a set at most."""
     found = []
     for to, n in (("prev", "n_prev"), ("head", "n_head")):
-        rows = groups.where(_may_link(F.col("n"), F.col(n), percent)).where(F.col("sig") != F.col(to))
+        rows = groups.where(may_link(F.col("n"), F.col(n), percent)).where(F.col("sig") != F.col(to))
         often = rows.groupBy("sig", F.col(to).alias("to")).agg(F.count("*").alias("c")).groupBy("sig").agg(F.max(F.struct("c", "to"))["to"].alias("to"))
         found.append(often.select(F.least("sig", "to").alias("a"), F.greatest("sig", "to").alias("b")))
     return found[0].unionByName(found[1]).distinct()
@@ -283,24 +298,19 @@ def components(df: DataFrame, key: str = "doc_id", text: str = "text", words: in
 
     grouped = groups.select("sig").distinct()
     table = materialize(sets_of.join(grouped, "sig", "left_semi"))
-    texts = docs.join(small_side(table.select(F.col("first").alias("doc_id"))), "doc_id", "left_semi")
-    signed = lambda c: {"sig": [_signature(s) for s in shingles.sets(c["text"], words)], "text": c["text"]}
-    texts = map_columns(texts.select("text"), "sig long, text string", "text", lambda: signed)
-    texts = materialize(texts.join(table.select("sig"), "sig", "left_semi").dropDuplicates(["sig"]))
+    texts = signed_texts(docs, table, words)
 
-    links = materialize(_verify(pairs, table, texts, words, percent))
-    first = table.select("sig", "first")
-    named = lambda x: x.join(first.select(F.col("sig").alias("a"), F.col("first").alias("fa")), "a").join(first.select(F.col("sig").alias("b"), F.col("first").alias("fb")), "b").select(F.col("fa").alias("a"), F.col("fb").alias("b"))
-    label = classes(named(links))
+    links = materialize(verify(pairs, table, texts, words, percent))
+    label = classes(named(links, table))
     back = _looking_back(groups)
     for closest in (True, False):
         of_sig = table.join(label.withColumnRenamed("node", "first"), "first", "left").select("sig", "n", "bits", F.coalesce("label", "first").alias("label"))
         more = _tiles(back.join(of_sig, "sig"), percent, closest)
         more = materialize(more.join(pairs, ["a", "b"], "left_anti"))
-        found = materialize(_verify(more, table, texts, words, percent))
+        found = materialize(verify(more, table, texts, words, percent))
         if not found.isEmpty():
             links = links.unionByName(found)
-            label = classes(named(links))
+            label = classes(named(links, table))
         pairs = pairs.unionByName(more)
     final = sets_of.join(label.withColumnRenamed("node", "first"), "first", "left").select("sig", F.col("n").alias("m"), F.coalesce("label", "first").alias("component_id"))
     # from a table, so that a signature with very many copies can be split in the join
@@ -311,5 +321,6 @@ def components(df: DataFrame, key: str = "doc_id", text: str = "text", words: in
 
 def keep_first(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of ``df`` whose key is the smallest of its class; rows without a key stay."""
-    gone = components(df, key, text, words, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("__copy")).distinct()
-    return df.join(small_side(gone), F.col(key) == F.col("__copy"), "left_anti")
+    copy = unused(df, "copy")
+    gone = components(df, key, text, words, percent).where("component_id <> doc_id").select(F.col("doc_id").alias(copy)).distinct()
+    return df.join(small_side(gone), F.col(key) == F.col(copy), "left_anti")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tutorlake.llm import q_leaks, q_lines, q_media, q_models, q_near, q_pages, q_pii, q_suffixes, q_tokens, q_trie
+from tutorlake.llm import q_leaks, q_lines, q_media, q_models, q_near, q_pages, q_pii, q_suffixes, q_tokens, q_trie, q_whiten
 
-MODULES = (q_tokens, q_suffixes, q_pages, q_lines, q_media, q_leaks, q_near, q_models, q_pii, q_trie)
+MODULES = (q_tokens, q_suffixes, q_pages, q_lines, q_media, q_leaks, q_near, q_models, q_pii, q_trie, q_whiten)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
