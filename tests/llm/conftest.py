@@ -1,6 +1,6 @@
 import pytest
 
-SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, n int, sig bigint, token bigint, line string, spans string, tag string, label int, ids string, start int"
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, n int, sig bigint, token bigint, line string, spans string, tag string, label int, ids string, start int, __key bigint, __gone array<int>, __copy bigint, __leak bigint, __lang string, copy bigint, leak string, lost int, key_of_lost bigint, bits binary, bands int, first bigint, kept int"
 
 
 @pytest.fixture
@@ -8,7 +8,7 @@ def docs(spark):
     """Make a documents table with columns of clashing names from (doc_id, text[, lang]) rows."""
 
     def make(rows):
-        full = [(r[0], r[1], r[2] if len(r) > 2 else "en", "s", None, 1, 2, 3, "x", "y", "z", 1, "i", 4) for r in rows]
+        full = [(r[0], r[1], r[2] if len(r) > 2 else "en", "s", None, 1, 2, 3, "x", "y", "z", 1, "i", 4, 7, [0], 1, 1, "l", 1, "k", 0, 1, b"b", 5, 6, 8) for r in rows]
         return spark.createDataFrame(full, SCHEMA).repartition(3)
 
     return make

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tutorlake.llm import shingles
-from tutorlake.llm.common import keyed, map_columns, small_side
+from tutorlake.llm.common import keyed, map_columns, small_side, unused
 
 WORDS = 3
 PENALTY = 0.5
@@ -172,5 +172,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
 
 def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **how) -> DataFrame:
     """The documents that hold no test item; all columns stay, and so do rows without a key."""
-    gone = leaks(docs, benchmark, key=key, **how).select(F.col("doc_id").alias("__leak")).distinct()
-    return docs.join(small_side(gone), F.col(key) == F.col("__leak"), "left_anti")
+    leak = unused(docs, "leak")
+    gone = leaks(docs, benchmark, key=key, **how).select(F.col("doc_id").alias(leak)).distinct()
+    return docs.join(small_side(gone), F.col(key) == F.col(leak), "left_anti")

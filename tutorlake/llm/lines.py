@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tutorlake.llm.common import materialize
+from tutorlake.llm.common import materialize, unused
 
 MIN_WORDS = 5
 
@@ -167,10 +167,11 @@ def removed(df: DataFrame, key: str = "doc_id", text: str = "text", min_words: i
 def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``df`` with the removed lines taken out of ``text``; a text that loses all lines is empty,
     a null text stays null. All rows and other columns stay."""
-    gone = removed(df, key, text, min_words).groupBy("doc_id").agg(F.collect_set("line_no").alias("gone")).select(F.col("doc_id").alias("__key"), F.col("gone").alias("__gone"))
-    kept = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains("__gone", i)), "\n")
-    got = df.join(gone, F.col(key) == F.col("__key"), "left")
-    return got.withColumn(text, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(kept)).select(*df.columns)
+    own, lost = unused(df, "key_of_lost"), unused(df, "lost")
+    gone = removed(df, key, text, min_words).groupBy("doc_id").agg(F.collect_set("line_no").alias(lost)).withColumnRenamed("doc_id", own)
+    kept = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains(lost, i)), "\n")
+    got = df.join(gone, F.col(key) == F.col(own), "left")
+    return got.withColumn(text, F.when(F.col(lost).isNull(), F.col(text)).otherwise(kept)).select(*df.columns)
 
 
 def report(df: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
