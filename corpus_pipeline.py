@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tutorlake.llm import bpe, decon, jaccard, langid, lines
-from tutorlake.llm.common import materialize, table
+from tutorlake.llm.common import materialize, table, unused
 
 #: A document is rejected below this probability of its most likely language.
 LEAST_SURE = 0.5
@@ -28,8 +28,9 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     model = langid.train(docs)
     if model is None:  # no labelled text to learn from: nothing tells that a document has no language
         return docs
-    got = docs.withColumn("__lang", langid.language(docs, model))
-    return got.where((F.col("__lang.lang_pred") != "und") & (F.col("__lang.score") >= LEAST_SURE)).select(*docs.columns)
+    found = unused(docs, "language_found")
+    got = docs.withColumn(found, langid.language(docs, model))
+    return got.where((F.col(f"{found}.lang_pred") != "und") & (F.col(f"{found}.score") >= LEAST_SURE)).select(*docs.columns)
 
 
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
