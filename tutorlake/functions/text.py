@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -27,12 +28,25 @@ def clues(pattern: str) -> list[str]:
     return parts if min(map(len, parts)) > 1 else []
 
 
-def has(text: Column, pattern: str) -> Column:
-    """Whether the pattern occurs; where words tell that it cannot, it is not tried."""
+#: Tells of a pattern whether it needs to be tried on a row (see ``prefilter``), null if always.
+Gate = Callable[[str], Column | None]
+
+
+def has(text: Column, pattern: str, gate: Gate | None = None) -> Column:
+    """Whether the pattern occurs; where ``gate``, or words without one, tell that it cannot, it is not tried."""
     found = text.rlike(rx(pattern))
+    if gate is not None:
+        may = gate(pattern)
+        return found if may is None else may & found
     return contains_any(text, words_in) & found if (words_in := clues(pattern)) else found
 
 
+def may_any(patterns, gate: Gate) -> Column:
+    """Whether one of the patterns needs to be tried."""
+    tests = [gate(p) for p in patterns]
+    return F.lit(True) if any(t is None for t in tests) else reduce(Column.__or__, tests)
+
+
 def strip(text: Column) -> Column:
     """Without white space of any kind at either end."""
     return F.regexp_replace(text, rx(r"^\s+|\s+$"), "")
@@ -48,14 +62,14 @@ def chain(text: Column, rules) -> Column:
     return reduce(lambda c, r: F.regexp_replace(c, rx(r[0]), r[1]), rules, text)
 
 
-def count_hits(text: Column, patterns) -> Column:
+def count_hits(text: Column, patterns, gate: Gate | None = None) -> Column:
     """How many of the patterns occur."""
-    return reduce(Column.__add__, (has(text, p).cast("int") for p in patterns), F.lit(0))
+    return reduce(Column.__add__, (has(text, p, gate).cast("int") for p in patterns), F.lit(0))
 
 
-def first_label(text: Column, rules) -> Column:
+def first_label(text: Column, rules, gate: Gate | None = None) -> Column:
     """The label of the first pattern that occurs, in the order given; null if none does."""
-    return F.coalesce(*(F.when(has(text, p), F.lit(label)) for p, label in rules))
+    return F.coalesce(*(F.when(has(text, p, gate), F.lit(label)) for p, label in rules))
 
 
 def all_labels(text: Column, rules) -> Column:
@@ -71,6 +85,14 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*(F.col(c) for c in df.columns if c not in columns), made)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, longer by underscores until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def words(text: Column) -> Column:
     """Pieces between white space, none empty."""
     return F.filter(F.split(text, rx(r"\s+")), lambda w: w != "")
