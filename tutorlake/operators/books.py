@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from tutorlake.functions import lexicon
 from tutorlake.functions.text import has, rx, strip, words
+from tutorlake.operators import segments
 
 # How headings, passages, formulas and solutions begin and end.
 CHAPTER = r"(?mi)^Chapter\s*(\d+)\s*[:\-]?\s*(.+?)$"
@@ -20,6 +24,8 @@ SOLUTION = [r"(?i)Solution[:.]", r"(?i)Answer[:.]", r"(?i)Solve[:.]", r"(?i)We h
 PROOF = ["Proof:", "Proof.", "PROOF"]
 STEP = r"(?i)(Step\s*\d+[:.]|First[,:]|Second[,:]|Then[,:]|Finally[,:]|Therefore[,:])"
 MAX_CHUNK = 1000
+#: Pages of a range in which pages and chapters meet.
+PAGES = 64
 
 
 # --- pages --------------------------------------------------------------------------------------
@@ -32,34 +38,35 @@ def chapter_headings(pages: DataFrame) -> DataFrame:
 def chapter_ranges(heads: DataFrame, pages_of: DataFrame) -> DataFrame:
     """(book, pos, chapter_no, title, start_page, end_page) from heads (book, pos, title, page) and
     (book, total): a chapter ends on the page before the next begins, the last on the last page."""
-    w = Window.partitionBy("book").orderBy("pos")
-    number = F.coalesce(F.nullif(F.regexp_extract("title", r"(\d+)", 1), F.lit("")).try_cast("bigint"), F.row_number().over(w).cast("bigint"))
-    rows = heads.select("book", "pos", "title", F.col("page").alias("start_page"), number.alias("chapter_no"), F.lead("page").over(w).alias("next"))
+    rows = segments.scan(heads, ["book"], "pos", following={"next": F.col("page")}, number="nth")
+    number = F.coalesce(F.nullif(F.regexp_extract("title", r"(\d+)", 1), F.lit("")).try_cast("bigint"), F.col("nth"))
+    rows = rows.select("book", "pos", "title", F.col("page").alias("start_page"), number.alias("chapter_no"), "next")
     return rows.join(pages_of, "book").select("book", "pos", "chapter_no", "title", "start_page", F.coalesce(F.col("next") - 1, F.col("total")).alias("end_page"))
 
 
 def outline_sections(toc: DataFrame) -> DataFrame:
     """(book, chapter_pos, sections) of outline rows (book, pos, level, title, page): level 2 belongs
     to the level 1 before it; without one it is dropped."""
-    w = Window.partitionBy("book").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = toc.withColumn("chapter_pos", F.last(F.when(F.col("level") == 1, F.col("pos")), ignorenulls=True).over(w)).where("level = 2 and chapter_pos is not null")
+    rows = segments.scan(toc, ["book"], "pos", last={"chapter_pos": F.when(F.col("level") == 1, F.col("pos"))}).where("level = 2 and chapter_pos is not null")
     return rows.groupBy("book", "chapter_pos").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "title", "page"))), lambda x: F.struct(x["title"].alias("title"), x["page"].alias("page"))).alias("sections"))
 
 
 def pages_in_chapters(pages: DataFrame, chapters: DataFrame) -> DataFrame:
-    """Pages with each chapter that holds them (book, page_idx from start to end, total excluded)."""
-    c = chapters.select("book", F.col("pos").alias("chapter_pos"), F.col("title").alias("chapter"), "start_page", "end_page")
+    """Pages with each chapter that holds them (book, page_idx from start to end, total excluded). Both
+    sides meet by book and range of PAGES pages; a chapter comes once for each range it reaches."""
     total = pages.groupBy("book").agg((F.max("page_idx") + 1).alias("total"))
-    both = pages.join(c, "book").join(total, "book")
-    return both.where((F.col("page_idx") >= F.col("start_page")) & (F.col("page_idx") < F.least(F.col("end_page") + 1, F.col("total")))).drop("start_page", "end_page", "total")
+    c = chapters.join(total, "book").withColumn("stop", F.least(F.col("end_page") + 1, F.col("total"))).where(F.col("start_page") < F.col("stop"))
+    reach = F.sequence(F.floor(F.col("start_page") / PAGES), F.floor((F.col("stop") - 1) / PAGES))
+    c = c.select("book", F.col("pos").alias("chapter_pos"), F.col("title").alias("chapter"), "start_page", "stop", F.explode(reach).alias("pages_range"))
+    both = pages.withColumn("pages_range", segments.range_of("page_idx", PAGES)).join(c, ["book", "pages_range"])
+    return both.where((F.col("page_idx") >= F.col("start_page")) & (F.col("page_idx") < F.col("stop"))).drop("pages_range", "start_page", "stop")
 
 
 def carry_section(pages: DataFrame) -> DataFrame:
     """``pages`` (book, chapter_pos, page_idx, text) with the section that holds on each page: the
     last heading up to it within the chapter, 'Introduction' before the first."""
     own = F.when(has(F.col("text"), SECTION), F.concat_ws(" ", F.regexp_extract("text", rx(SECTION), 1), strip(F.regexp_extract("text", rx(SECTION), 2))))
-    w = Window.partitionBy("book", "chapter_pos").orderBy("page_idx").rowsBetween(Window.unboundedPreceding, 0)
-    return pages.withColumn("section", F.coalesce(F.last(own, ignorenulls=True).over(w), F.lit("Introduction")))
+    return segments.scan(pages, ["book", "chapter_pos"], "page_idx", last={"section": own}).fillna("Introduction", ["section"])
 
 
 def formulas(text: Column) -> Column:
@@ -131,15 +138,28 @@ def chunk_id(source: Column, page: Column, content: Column) -> Column:
 
 
 def pack_sentences(text: Column, most: int = MAX_CHUNK) -> Column:
-    """Sentences packed into parts of ``most`` characters; a longer sentence is a part of its own."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
-
-    def add(s, x):
-        fits = F.length(s["now"]) + F.length(x) <= most
-        done = F.when(fits | (s["now"] == ""), s["done"]).otherwise(F.concat(s["done"], F.array(strip(s["now"]))))
-        return F.struct(done.alias("done"), F.when(fits, F.concat(s["now"], x, F.lit(" "))).otherwise(F.concat(x, F.lit(" "))).alias("now"))
-
-    return F.aggregate(F.split(text, rx(r"(?<=[.!?])\s+")), start, add, lambda s: F.when(s["now"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(strip(s["now"])))))
+    """Sentences packed into parts of ``most`` characters; a longer sentence is a part of its own.
+    Only lengths of sentences go to Python, which tells where each part begins; linear in the text."""
+    sentences = F.split(text, rx(r"(?<=[.!?])\s+"))
+    return F.transform(_cuts(F.transform(sentences, F.length), F.lit(most)), lambda c: strip(F.array_join(F.slice(sentences, c["at"], c["n"]), " ")))
+
+
+@F.pandas_udf(ArrayType(StructType([StructField("at", IntegerType()), StructField("n", IntegerType())])))
+def _cuts(lengths: pd.Series, most: pd.Series) -> pd.Series:
+    """First sentence (from 1) and number of sentences of each part. Each sentence takes a place
+    more than its length; the end of a part is looked up in the running sums."""
+
+    def of(sizes, limit):
+        if sizes is None:
+            return None
+        upto, out, i = np.cumsum(np.asarray(sizes, np.int64) + 1), [], 0
+        while i < len(upto):
+            j = max(i + 1, int(np.searchsorted(upto, limit + 1 + (upto[i - 1] if i else 0), "right")))
+            out.append({"at": i + 1, "n": j - i})
+            i = j
+        return out
+
+    return pd.Series([of(s, m) for s, m in zip(lengths, most)], dtype=object)
 
 
 def split_steps(text: Column) -> Column:

@@ -3,30 +3,18 @@ the batch twins of the streams (T1 to T4). Streams run over the same jobs in the
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from tutorlake.operators import anchors, books
 from tutorlake.plans.inputs import CORRECTIONS, FEEDBACK, PROBLEMS, TEXTS, corrections, feedback, problems, table, texts
 from tutorlake.plans.q_books import TYPED, _rows, _typed, pages
 from tutorlake.sources import tables as T
+from tutorlake.sources.shared import new_folder
 from tutorlake.streaming import jobs as J
 
 
-def _folder(s) -> str:
-    """A new folder among those that all executors share; on one machine, where the session names
-    none, a temporary one."""
-    base = s.conf.get("spark.checkpoint.dir", None)
-    if not base and not s.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    base = base or tempfile.mkdtemp(prefix="spark-tables-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def s1(s, d):
-    pages(s, d).write.parquet(path := _folder(s))
+    pages(s, d).write.parquet(path := new_folder(s) + "/rows")
     return T.read_pages(s, path).select("book", "page_idx", F.length("text").alias("n"))
 
 
@@ -35,33 +23,33 @@ def s2(s, d):
     row = lambda k: F.struct(F.lit(k).alias("content_type"), "title", "content", "page_number", "chapter", "section")
     # a record holds at most 500 pages of a book
     rows = _rows(s, d).groupBy(F.col("source").alias("book"), F.floor(F.col("page_number") / 500).alias("part")).agg(F.count("*").cast("int").alias("total_pages"), *(F.collect_list(F.when(F.col("passage_id") % 3 == i, row(k))).alias(c) for c, k, i in kinds))
-    rows.write.json(path := _folder(s))
+    rows.write.json(path := new_folder(s) + "/rows")
     return T.read_books(s, path, False).groupBy("book", "content_type").agg(F.count("*").alias("n"))
 
 
 def s3(s, d):
     rows = table(s, d, "benchmark").select(F.lit("Entry").alias("title"), F.lit("formula").alias("type"), F.col("text").alias("content"), F.array(F.lit("k")).alias("keywords"))
-    rows.write.json(path := _folder(s))
+    rows.write.json(path := new_folder(s) + "/rows")
     return T.read_curated(s, path, False).select("title", "content", F.size("keywords").alias("n"), (F.col("topic") != "").alias("named"))
 
 
 def s4(s, d):
-    T.write_passages(_rows(s, d).withColumnRenamed("source", "book"), path := _folder(s))
+    T.write_passages(_rows(s, d).withColumnRenamed("source", "book"), path := new_folder(s) + "/rows")
     return s.read.parquet(path).groupBy("book").agg(F.count("*").alias("n"))
 
 
 def s5(s, d):
-    T.write_kb(_typed(s, d), path := _folder(s))
+    T.write_kb(_typed(s, d), path := new_folder(s) + "/rows")
     return s.read.parquet(f"{path}/metadata").select("total", F.array_join("topics", ",").alias("topics"))
 
 
 def s6(s, d):
-    T.write_topics(books.topic_rows(_typed(s, d)), path := _folder(s))
+    T.write_topics(books.topic_rows(_typed(s, d)), path := new_folder(s) + "/rows")
     return T.read_topics(s, path, "algebra").groupBy("topic", "bucket").agg(F.count("*").alias("n"))
 
 
 def s7(s, d):
-    T.write_log(problems(s, d), path := _folder(s))
+    T.write_log(problems(s, d), path := new_folder(s) + "/rows")
     return T.read_log(s, path, T.PROBLEMS, "2023-11-16").select("id", "topic", "confidence")
 
 
