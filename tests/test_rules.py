@@ -121,15 +121,6 @@ def test_expand(spark):
     assert got == {1: ("cards", ["standard deck", "deck of cards", "playing cards"]), 2: ("general", [])} or got[1][1][0] == "standard deck"
 
 
-def test_ann_recall(spark):
-    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
-    chunks = e.selectExpr("vec_id as chunk_id", "embedding", "label as topic")
-    queries = e.where("vec_id < 40").selectExpr("vec_id as query_id", "embedding")
-    exact = {(r["query_id"], r["chunk_id"]) for r in R.vector_topk(queries, chunks, 10).collect()}
-    near = {(r["query_id"], r["chunk_id"]) for r in R.ann_topk(queries, chunks, 10).collect()}
-    assert len(exact & near) / len(exact) >= 0.9
-
-
 @pytest.mark.parametrize("reply, want", [("CORRECT.", True), ("INCORRECT", False), (" correct", True), ("no", False)])
 def test_verdict(spark, reply, want):
     assert one(spark, V.judge_says_correct, reply) is want

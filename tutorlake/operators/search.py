@@ -13,14 +13,20 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tutorlake.functions.normalize import clean_for_tokens, tokens
 from tutorlake.functions.text import chain, has, once, rx, strip, words
+from tutorlake.operators import segments
+from tutorlake.sources.shared import kept
 
 K1, B, EPSILON = 1.5, 0.75, 0.25  # public BM25 defaults
 MIN_CONTENT, MAX_SECTION = 50, 3000
+#: Rows of a side that may be broadcast, once they are counted.
+SMALL = 200_000
 
 
 def ranked(df: DataFrame, by: Column, k: int, *ties: str) -> DataFrame:
@@ -119,48 +125,54 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(dot(a, b), norm(a) * norm(b)), F.lit(0.0))
 
 
-#: Query vectors that go to the tasks at once.
-QUERY_BLOCK = 2000
-#: Queries of one product, so that its scores stay small in memory.
-PRODUCT_ROWS = 250
+#: Chunks and queries of a cell of the grid, about, and queries of one product.
+CELL_CHUNKS, CELL_QUERIES, PRODUCT_ROWS = 50_000, 20_000, 250
 
 
 def vector_topk(queries: DataFrame, chunks: DataFrame, k: int, key: str = "chunk_id", within: str | None = None) -> DataFrame:
     """(query_id, rank, chunk_id, score): exact top k by inner product, among the chunks with the
-    query's value of ``within`` if a column is named. The queries are the stated small set; they are
-    taken in blocks of bounded size, each broadcast as a matrix. A batch of chunks is one product (one
-    for each value of ``within``) and keeps k a query, so no chunk vector is shuffled."""
-    parts = []
-    queries = queries.where("embedding is not null")
+    query's value of ``within`` if a column is named.
+
+    A grid: queries and chunks of a value of ``within`` are dealt into blocks of bounded size, as many
+    as their counted rows ask for, and each pair of blocks is a cell, which multiplies two matrices
+    and keeps k a query. Nothing is collected, and the plan is the same for any number of queries."""
     group = F.lit("") if within is None else F.col(within).cast("string")
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    kind = chunks.schema[key].dataType.simpleString()
-    qkind = queries.schema["query_id"].dataType.simpleString()
-    for b in range(blocks):
-        got = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select("query_id", "embedding", group.alias("g")).where("g is not null").orderBy("query_id").toPandas()
-        matrices = {g: (rows["query_id"].to_numpy(), np.array(rows["embedding"].tolist(), np.float64)) for g, rows in got.groupby("g")}
-        shared = chunks.sparkSession.sparkContext.broadcast(matrices)
-
-        def run(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                for g, rows in frame.groupby("g"):
-                    if g not in shared.value:
-                        continue
-                    ids, matrix = shared.value[g]
-                    own, vectors = rows["chunk_id"].to_numpy(), np.array(rows["embedding"].tolist(), np.float64).T
-                    for lo in range(0, len(ids), PRODUCT_ROWS):
-                        score = np.round(matrix[lo : lo + PRODUCT_ROWS] @ vectors, 6)  # as ranked below
-                        m = min(k, score.shape[1])
-                        low = np.partition(score, -m, axis=1)[:, -m]
-                        q, c = np.nonzero(score >= low[:, None])  # ties stay for the final ranking
-                        yield pd.DataFrame({"query_id": ids[lo + q], "chunk_id": own[c], "score": score[q, c]})
-
-        parts.append(chunks.where("embedding is not null").select(F.col(key).alias("chunk_id"), "embedding", group.alias("g")).mapInPandas(run, f"query_id {qkind}, chunk_id {kind}, score double"))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    return ranked(found.withColumn("score", F.round("score", 6)), F.col("score"), k, "chunk_id").select("query_id", "rank", "chunk_id", "score")
+    asked = queries.where("embedding is not null").select(F.col("query_id").alias("id"), F.col("embedding").alias("vector"), group.alias("g")).where("g is not null")
+    rows = chunks.where("embedding is not null").select(F.col(key).alias("id"), F.col("embedding").alias("vector"), group.alias("g")).where("g is not null")
+    size = lambda df, per, name: df.groupBy("g").agg(F.ceil(F.count("*") / per).cast("int").alias(name))
+    grid = size(asked, CELL_QUERIES, "down").join(size(rows, CELL_CHUNKS, "across"), "g")
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    other = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = asked.join(grid, "g").select("id", "vector", "g", own("down").alias("i"), other("across").alias("j"))
+    rows = rows.join(grid, "g").select("id", "vector", "g", own("across").alias("j"), other("down").alias("i"))
+    qkind, kind = queries.schema["query_id"].dataType.simpleString(), chunks.schema[key].dataType.simpleString()
+
+    def matrix(table: pa.Table) -> np.ndarray:
+        v = table.column("vector").combine_chunks()
+        return v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(v), -1)
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        q, c, score = [], [], []
+        if left.num_rows and right.num_rows:
+            a, b = matrix(left), matrix(right).T
+            # ranked by id, so that of equal scores the smallest ids are kept
+            order = right.column("id").combine_chunks()
+            order = pa.compute.sort_indices(order).to_numpy()
+            b, m = b[:, order], min(k, b.shape[1])
+            for lo in range(0, len(a), PRODUCT_ROWS):
+                s = np.round(a[lo : lo + PRODUCT_ROWS] @ b, 6)
+                low = np.partition(s, -m, axis=1)[:, -m][:, None]
+                above = s > low
+                ties = (s == low) & ((s == low).cumsum(1) <= m - above.sum(1, keepdims=True))
+                i, j = np.nonzero(above | ties)
+                q.append(lo + i)
+                c.append(order[j])
+                score.append(s[i, j])
+        take = lambda t, at: t.column("id").combine_chunks().take(pa.array(np.concatenate(at) if at else np.zeros(0, np.int64)))
+        return pa.table({"query_id": take(left, q), "chunk_id": take(right, c), "score": pa.array(np.concatenate(score) if score else np.zeros(0))})
+
+    cells = asked.groupBy("g", "i", "j").cogroup(rows.groupBy("g", "i", "j")).applyInArrow(best, f"query_id {qkind}, chunk_id {kind}, score double")
+    return ranked(cells, F.col("score"), k, "chunk_id").select("query_id", "rank", "chunk_id", "score")
 
 
 def search_filtered(queries: DataFrame, chunks: DataFrame, k: int, condition: Column) -> DataFrame:
@@ -176,32 +188,6 @@ def search_in_topic(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     return inside.unionByName(vector_topk(queries.join(known, "topic", "left_anti"), chunks, k))
 
 
-def ann_topk(queries: DataFrame, chunks: DataFrame, k: int, nprobe: int = 50, sample: int = 20_000, seed: int = 3) -> DataFrame:
-    """Approximate top k: chunks in min(100, n / 10) cells by k-means fitted on at most about
-    ``sample`` chunks (all are assigned), queries look into their ``nprobe`` nearest cells. The
-    default keeps nine tenths of the exact hits on vectors without clusters, the worst case."""
-    n = chunks.count()
-    cells = max(1, min(100, n // 10))
-    fit = chunks.select("embedding").sample(min(1.0, sample / max(1, n)), seed=seed).limit(2 * sample).toPandas()["embedding"]
-    data = np.array(fit.tolist(), np.float64)
-    centers = data[np.random.default_rng(seed).permutation(len(data))[:cells]]
-    for _ in range(10):
-        near = (data @ centers.T - 0.5 * (centers**2).sum(1)).argmax(1)
-        centers = np.array([data[near == i].mean(0) if (near == i).any() else centers[i] for i in range(len(centers))])
-    shared = chunks.sparkSession.sparkContext.broadcast(centers)
-
-    @F.pandas_udf("array<int>")
-    def cells_of(v: pd.Series, m: pd.Series) -> pd.Series:
-        c = shared.value
-        score = np.array(v.tolist(), np.float64) @ c.T - 0.5 * (c**2).sum(1)
-        return pd.Series(list(np.argsort(-score, axis=1)[:, : int(m.iloc[0])].astype(np.int32)))
-
-    left = queries.select("query_id", "embedding", F.explode(cells_of("embedding", F.lit(nprobe))).alias("cell"))
-    right = chunks.select("chunk_id", F.col("embedding").alias("other"), F.get(cells_of("embedding", F.lit(1)), F.lit(0)).alias("cell"))
-    found = right.join(left, "cell").select("query_id", "chunk_id", F.round(dot(F.col("embedding"), F.col("other")), 6).alias("score"))
-    return ranked(found, F.col("score"), k, "chunk_id").select("query_id", "rank", "chunk_id", "score")
-
-
 # --- fusion and display -------------------------------------------------------------------------
 def fuse(semantic: DataFrame, keyword: DataFrame, alpha: float = 0.6) -> DataFrame:
     """(query_id, chunk_id, semantic, keyword, combined): what either side has; 0.1 more if both exceed 0.3."""
@@ -224,14 +210,18 @@ def section_id(chapter: Column, section: Column) -> Column:
 def sections(chunks: DataFrame, most: int = MAX_SECTION) -> DataFrame:
     """(section_id, chapter, section, topic, subtopic, full_content) in order of ``pos``: chunks until
     ``most`` characters, the first that overflows cut if over 200 remain, later ones left out."""
-    rows = chunks.withColumn("section_id", section_id(F.col("chapter"), F.col("section")))
-    running = F.sum(F.length("content")).over(Window.partitionBy("section_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("upto", running).withColumn("before", F.col("upto") - F.length("content"))
-    cut = F.when(F.col("upto") <= most, F.col("content")).when((F.col("before") <= most) & (most - F.col("before") > 200), F.concat(F.expr(f"substring(content, 1, cast({most} - before as int))"), F.lit("...")))
-    # lengths may be zero: only the first overflowing row may be cut
-    first_over = F.min(F.when(F.col("upto") > most, F.col("pos"))).over(Window.partitionBy("section_id"))
-    kept = rows.withColumn("first_over", first_over).withColumn("part", F.when(F.col("first_over").isNull() | (F.col("pos") <= F.col("first_over")), cut)).where("part is not null or before = 0")
-    return kept.groupBy("section_id").agg(
+    rows = chunks.select("pos", "chapter", "section", "topic", "subtopic", "content", section_id(F.col("chapter"), F.col("section")).alias("section_id"), F.length("content").alias("n"), segments.range_of("pos").alias("at"))
+    # Which ranges of a section are reached before ``most`` is told by lengths alone; the texts of no
+    # others, and at most that much of each text, are moved.
+    ranges = rows.groupBy("section_id", "at").agg(F.sum("n").alias("total"))
+    before = F.coalesce(F.sum("total").over(Window.partitionBy("section_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    reached = kept(ranges.select("section_id", "at", before.alias("earlier")).where(F.col("earlier") <= most))
+    rows = rows.withColumn("content", F.substring("content", 1, most)).join(F.broadcast(reached) if reached.count() <= SMALL else reached, ["section_id", "at"])
+    running = F.sum("n").over(Window.partitionBy("section_id", "at").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("upto", F.col("earlier") + F.coalesce(running, F.lit(0))).withColumn("before", F.col("upto") - F.col("n")).where(F.col("before") <= most)
+    part = F.when(F.col("upto") <= most, F.col("content")).when(most - F.col("before") > 200, F.concat(F.expr(f"substring(content, 1, cast({most} - before as int))"), F.lit("...")))
+    found = rows.withColumn("part", part).where("part is not null or before = 0")
+    return found.groupBy("section_id").agg(
         F.min_by(clean_chapter(F.col("chapter")), "pos").alias("chapter"), F.min_by("section", "pos").alias("section"), F.min_by("topic", "pos").alias("topic"), F.min_by("subtopic", "pos").alias("subtopic"),
         F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("part").isNotNull(), F.struct("pos", "part")))), lambda x: x["part"]), "\n\n").alias("full_content"),
     )

@@ -6,9 +6,12 @@ from pyspark.sql import functions as F
 
 from tutorlake.functions import normalize as N
 from tutorlake.functions import rules as RU
+from tutorlake.operators import keyword_index as KI
 from tutorlake.operators import search as R
+from tutorlake.operators import vector_index as VI
 from tutorlake.plans import duck as D
 from tutorlake.plans.inputs import TEXTS, table, texts
+from tutorlake.sources.shared import new_folder
 
 TYPES = ["definition", "theorem", "theorem_statement", "proof", "example", "solved_example", "solved_example_step", "formula", "worked_out"]
 
@@ -53,8 +56,14 @@ BM25 = f"""{CHUNKS}, toks AS (SELECT chunk_id, {TOK('content')} AS t FROM chunks
     found AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank, chunk_id, score FROM scaled WHERE score > 0)"""
 
 
+def _index(s, d):
+    """A stored index of all chunks, made anew from the tables."""
+    KI.append(chunks(s, d), path := new_folder(s))
+    return path
+
+
 def _keyword(s, d, k=20):
-    return R.bm25_topk(R.bm25_scores(queries(s, d), chunks(s, d)), k)
+    return KI.topk(queries(s, d), _index(s, d), k)
 
 
 def _semantic(s, d):
@@ -155,6 +164,11 @@ def rr5(s, d):
     return R.maxsim_rerank(near.join(docs, "chunk_id").join(q, "query_id"), 5).select("query_id", "rank", "chunk_id", "combined")
 
 
+def e7(s, d):
+    VI.build(vectors(s, d), path := new_folder(s))
+    return VI.topk(asked(s, d).drop("topic"), path, 5)
+
+
 def r10(s, d):
     q = queries(s, d)
     e = R.encode(q, "query", "query_id")
@@ -172,8 +186,8 @@ def r13(s, d):
 QUERIES = {
     "k1_clean_for_tokens": lambda s, d: texts(s, d).select("doc_id", F.md5(N.clean_for_tokens(F.col("text"))).alias("clean")),
     "k2_tokens": lambda s, d: texts(s, d).select("doc_id", N.tokens(F.col("text")).alias("t")).select("doc_id", F.size("t").alias("n"), F.md5(F.array_join("t", " ")).alias("tokens")),
-    "k3_bm25_stats": lambda s, d: R.bm25_stats(chunks(s, d))[1].select("term", "df", F.round("idf", 6).alias("idf")),
-    "k4_bm25_scores": lambda s, d: R.bm25_scores(queries(s, d), chunks(s, d)).select("query_id", "chunk_id", F.round("score", 6).alias("score")),
+    "k3_bm25_stats": lambda s, d: KI.stats(s, _index(s, d))[1].select("term", "df", F.round("idf", 6).alias("idf")),
+    "k4_bm25_scores": lambda s, d: KI.scores(queries(s, d), _index(s, d)).select("query_id", "chunk_id", F.round("score", 6).alias("score")),
     "k5_bm25_topk": lambda s, d: _keyword(s, d, 5).select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score")),
     "e1_encode": lambda s, d: e1(s, d),
     "e2_normalize": lambda s, d: vectors(s, d).select("chunk_id", F.round(R.norm(R.normalize(F.transform("embedding", lambda x: x * 3))), 6).alias("norm")),
@@ -181,7 +195,7 @@ QUERIES = {
     "e4_vector_topk": lambda s, d: R.vector_topk(asked(s, d), vectors(s, d), 5),
     "e5_search_filtered": lambda s, d: R.search_filtered(asked(s, d).drop("topic"), vectors(s, d), 5, F.col("topic") < 5),
     "e6_search_in_topic": lambda s, d: R.search_in_topic(asked(s, d), vectors(s, d), 5),
-    "e7_ann_topk": lambda s, d: R.ann_topk(asked(s, d).drop("topic"), vectors(s, d), 5),
+    "e7_ann_topk": e7,
     "r1_expand": lambda s, d: R.expand(_texts_asked(s, d), _lexicon(s)).select("query_id", "topic", F.array_join("terms", "|").alias("terms")),
     "r2_fuse": lambda s, d: R.fuse(_semantic(s, d), _keyword(s, d)).select("query_id", "chunk_id", F.round("combined", 6).alias("combined")),
     "r3_section_id": lambda s, d: chunks(s, d).select("chunk_id", R.section_id(F.col("chapter"), F.col("section")).alias("section_id")),
