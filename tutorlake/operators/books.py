@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from tutorlake.functions import lexicon
-from tutorlake.functions.text import has, rx, strip, words
+from tutorlake.functions.text import has, once, rx, strip, words
 from tutorlake.operators import segments
 
 # How headings, passages, formulas and solutions begin and end.
@@ -141,7 +141,9 @@ def pack_sentences(text: Column, most: int = MAX_CHUNK) -> Column:
     """Sentences packed into parts of ``most`` characters; a longer sentence is a part of its own.
     Only lengths of sentences go to Python, which tells where each part begins; linear in the text."""
     sentences = F.split(text, rx(r"(?<=[.!?])\s+"))
-    return F.transform(_cuts(F.transform(sentences, F.length), F.lit(most)), lambda c: strip(F.array_join(F.slice(sentences, c["at"], c["n"]), " ")))
+    both = F.array(F.struct(sentences.alias("s"), _cuts(F.transform(sentences, F.length), F.lit(most)).alias("cuts")))  # split once, not for each part
+    parts = F.transform(both, lambda x: F.transform(x["cuts"], lambda c: strip(F.array_join(F.slice(x["s"], c["at"], c["n"]), " "))))
+    return F.get(parts, F.lit(0))
 
 
 @F.pandas_udf(ArrayType(StructType([StructField("at", IntegerType()), StructField("n", IntegerType())])))
@@ -169,75 +171,148 @@ def split_steps(text: Column) -> Column:
     return F.when(F.size(marked) > 1, marked).when(F.size(paragraphs) > 0, paragraphs).otherwise(F.array(text))
 
 
-PASSAGE = ("source", "page_number", "chapter", "section", "title", "content")
+#: What only chunks of some kinds have, with its type.
+EXTRAS = {"part": "int", "total_parts": "int", "has_proof": "boolean", "theorem_title": "string", "problem_only": "string", "solution_only": "string", "step_number": "int", "total_steps": "int", "raw_formula": "string", "formula_type": "string"}
 
 
-def _chunks(rows: DataFrame, body: Column, kind, ident: Column, **extra: Column) -> DataFrame:
-    c = rows.select(*(x for x in rows.columns if x in (*PASSAGE, "passage_id")), *(v.alias(k) for k, v in extra.items()), body.alias("body"), ident.alias("ident"), (kind if isinstance(kind, Column) else F.lit(kind)).alias("content_type"))
-    c = lexicon.with_topic(c, F.col("content"))
-    return c.select(
-        "passage_id", chunk_id(F.col("source"), F.col("page_number"), F.col("ident")).alias("chunk_id"), F.col("body").alias("content"), "content_type", "topic", "subtopic", "source", "page_number", "chapter", "section", *extra,
+def _piece(part_of: int, kind: str, body: Column, ident: Column, topic_of: Column | None = None, **extra: Column) -> Column:
+    """A chunk as a struct; ``topic_of`` is the text that tells its topic where that is not the passage's."""
+    none = F.lit(None)
+    fields = [F.lit(part_of).alias("part_of"), F.lit(kind).alias("content_type"), body.alias("body"), ident.alias("ident"), (none if topic_of is None else topic_of).cast("string").alias("topic_of")]
+    return F.struct(*fields, *(extra.get(k, none).cast(t).alias(k) for k, t in EXTRAS.items()))
+
+
+def _if(condition: Column, *pieces: Column) -> Column:
+    """An array of the pieces where the condition holds, else null."""
+    return F.when(condition, F.array(*pieces))
+
+
+def _long(part_of: int, kind: str) -> Column:
+    """Content over the limit: its parts (column ``parts``), labelled one by one."""
+
+    def one(piece, i):
+        label = F.format_string(f"{kind.capitalize()} (Part %d/%d):\n\n%s", i + 1, F.size("parts"), piece)
+        return _piece(part_of, kind, label, piece, part=i + 1, total_parts=F.size("parts"))
+
+    return F.transform("parts", one)
+
+
+def _definitions() -> list[Column]:
+    whole = F.format_string("Definition: %s\n\n%s", F.col("title"), F.col("content"))
+    return [_if(F.length("content") <= MAX_CHUNK, _piece(0, "definition", whole, F.col("content"))), _long(0, "definition")]
+
+
+def _theorems() -> list[Column]:
+    """A statement (any length) and a proof (left out over the limit) where a proof marker occurs,
+    the first of the list in its order; else whole or packed."""
+    title, content, statement, proof = (F.col(c) for c in ("title", "content", "statement", "proof"))
+    said, shown, marked = strip(statement), strip(proof), proof.isNotNull()
+    whole = _piece(1, "theorem", F.format_string("Theorem: %s\n\n%s", title, content), content)
+    return [
+        _if(marked & (said != ""), _piece(1, "theorem_statement", F.format_string("Theorem: %s\n\nStatement: %s", title, said), statement, has_proof=shown != "")),
+        _if(marked & (shown != "") & (F.length(proof) <= MAX_CHUNK), _piece(1, "proof", F.format_string("Proof of %s:\n\n%s", title, shown), proof, theorem_title=title)),
+        _if(~marked & (F.length(content) <= MAX_CHUNK), whole),
+        F.when(~marked, _long(1, "theorem")),
+    ]
+
+
+def _examples() -> list[Column]:
+    """Problem and solution together if they fit, else a chunk for each step with the problem again;
+    steps that do not fit are left out. Without both parts plain or packed."""
+    content, problem, solution, joined = (F.col(c) for c in ("content", "problem", "solution", "joined"))
+
+    def step(text, i):
+        body = F.format_string("Problem:\n%s\n\nSolution Step %d:\n%s", problem, i + 1, text)
+        return _piece(2, "solved_example_step", body, body, step_number=i + 1, total_steps=F.size("steps"))
+
+    return [
+        _if(F.length(joined) <= MAX_CHUNK, _piece(2, "solved_example", joined, joined, problem_only=problem, solution_only=solution)),
+        F.filter(F.transform("steps", step), lambda x: F.length(x["body"]) <= MAX_CHUNK),
+        _if(joined.isNull() & (F.length(content) <= MAX_CHUNK), _piece(2, "example", F.concat(F.lit("Example:\n"), content), content)),
+        F.when(joined.isNull(), _long(2, "example")),
+    ]
+
+
+def _formula_pieces() -> list[Column]:
+    chapter = F.coalesce("chapter", F.lit(""))
+
+    def one(f):
+        body = F.format_string("Formula: %s\n\nContext: Found in %s, \n\nType: %s", f["content"], chapter, f["type"])
+        return _piece(3, "formula", body, f["content"], F.concat_ws(" ", f["content"], chapter), raw_formula=f["content"], formula_type=f["type"])
+
+    return [F.transform("formulas", one)]
+
+
+def _prepared(rows: DataFrame, kinds: set[str]) -> DataFrame:
+    """``rows`` with what the pieces of these kinds are made of, each column computed once."""
+    content = F.col("content")
+    made = {}
+    if kinds & {"definition", "theorem", "example"}:
+        made["parts"] = F.when(F.length(content) > MAX_CHUNK, pack_sentences(content))
+    if "theorem" in kinds:
+        at = F.coalesce(*(F.when(F.contains(content, F.lit(m)), F.locate(m, content)) for m in PROOF))
+        made["statement"], made["proof"] = F.substring(content, F.lit(1), at - 1), F.substring(content, at, F.length(content))
+    if "example" in kinds:
+        both = (F.coalesce("problem", F.lit("")) != "") & (F.coalesce("solution", F.lit("")) != "")
+        made["joined"] = F.when(both, F.format_string("Problem:\n%s\n\nSolution:\n%s", F.col("problem"), F.col("solution")))
+        made["steps"] = F.when(F.length(made["joined"]) > MAX_CHUNK, split_steps(F.col("solution")))
+    return once(rows, **made) if made else rows
+
+
+#: The kinds of passages, with the pieces of each; formulas stand in an array beside a passage.
+KINDS = {"definition": _definitions, "theorem": _theorems, "example": _examples, "formula": _formula_pieces}
+
+
+def chunk_passages(rows: DataFrame, *kinds: str) -> DataFrame:
+    """Chunks of passages (passage_id, source, page_number, chapter, section, title, content, with
+    problem and solution for examples and an array ``formulas`` of (type, content)), with ``part_of``
+    0 to 3 for the kind. One pass: all pieces of a passage are an array made by one expression.
+    Where ``rows`` has an array ``kinds``, a passage is taken for those of ``kinds`` alone.
+
+    The topic is that of the passage, judged once, or that of the formula and its chapter; formula
+    chunks have page 0 and no section."""
+    kinds = kinds or tuple(KINDS)
+    held = lambda k, c: F.when(F.array_contains("kinds", k), c) if "kinds" in rows.columns and k != "formula" else c
+    rows = _prepared(lexicon.with_topic(rows, F.col("content")) if set(kinds) - {"formula"} else rows.withColumns({"topic": F.lit(None).cast("string"), "subtopic": F.lit(None).cast("string")}), set(kinds))
+    pieces = [F.coalesce(held(k, c), F.array().cast(_PIECES)) for k in kinds for c in KINDS[k]()]
+    keep = [F.col(c) for c in ("passage_id", "source", "page_number", "chapter", "section")]
+    found = rows.select(*keep, F.col("topic").alias("own_topic"), F.col("subtopic").alias("own_subtopic"), F.inline(F.flatten(F.array(*pieces))))
+    if "formula" in kinds:
+        found = lexicon.with_topic(found, F.col("topic_of"))
+        found = found.withColumns({c: F.when(F.col("topic_of").isNull(), F.col(f"own_{c}")).otherwise(F.col(c)) for c in ("topic", "subtopic")})
+    else:
+        found = found.withColumnsRenamed({"own_topic": "topic", "own_subtopic": "subtopic"})
+    formula = F.col("content_type") == "formula"
+    page = F.when(formula, 0).otherwise(F.col("page_number")) if "formula" in kinds else F.col("page_number")
+    section = F.when(formula, "").otherwise(F.col("section")) if "formula" in kinds else F.col("section")
+    return found.select(
+        "passage_id", chunk_id(F.col("source"), page, F.col("ident")).alias("chunk_id"), F.col("body").alias("content"), "content_type", "topic", "subtopic", "source", page.alias("page_number"), "chapter", section.alias("section"), "part_of", *EXTRAS,
     )
 
 
-def _long(rows: DataFrame, kind: str) -> DataFrame:
-    """Content over the limit, packed by sentences and labelled part by part."""
-    parts = rows.where(F.length("content") > MAX_CHUNK).withColumn("parts", pack_sentences(F.col("content"))).select("*", F.posexplode("parts").alias("i", "piece"))
-    label = F.format_string(f"{kind.capitalize()} (Part %d/%d):\n\n%s", F.col("i") + 1, F.size("parts"), F.col("piece"))
-    return _chunks(parts, label, kind, F.col("piece"), part=(F.col("i") + 1).cast("int"), total_parts=F.size("parts"))
+_PIECES = "array<struct<part_of:int,content_type:string,body:string,ident:string,topic_of:string," + ",".join(f"{k}:{t}" for k, t in EXTRAS.items()) + ">>"
+
+
+def _only(rows: DataFrame, kind: str, *extras: str) -> DataFrame:
+    return chunk_passages(rows, kind).drop("part_of", *(k for k in EXTRAS if k not in extras))
 
 
 def chunk_definitions(rows: DataFrame) -> DataFrame:
-    short = rows.where(F.length("content") <= MAX_CHUNK)
-    return _chunks(short, F.format_string("Definition: %s\n\n%s", F.col("title"), F.col("content")), "definition", F.col("content")).unionByName(_long(rows, "definition"), allowMissingColumns=True)
+    return _only(rows, "definition", "part", "total_parts")
 
 
 def chunk_theorems(rows: DataFrame) -> DataFrame:
-    """A statement (any length) and a proof (left out over the limit) where a proof marker occurs,
-    the first of the list in its order; else whole or packed."""
-    at = F.coalesce(*(F.when(F.contains("content", F.lit(m)), F.locate(m, F.col("content"))) for m in PROOF))
-    rows = rows.withColumn("at", at)
-    split = rows.where("at is not null").withColumn("statement", F.substring(F.col("content"), F.lit(1), F.col("at") - 1)).withColumn("proof", F.substring(F.col("content"), F.col("at"), F.length("content")))
-    statements = _chunks(split.where(strip(F.col("statement")) != ""), F.format_string("Theorem: %s\n\nStatement: %s", F.col("title"), strip(F.col("statement"))), "theorem_statement", F.col("statement"), has_proof=strip(F.col("proof")) != "")
-    proofs = _chunks(split.where((strip(F.col("proof")) != "") & (F.length("proof") <= MAX_CHUNK)), F.format_string("Proof of %s:\n\n%s", F.col("title"), strip(F.col("proof"))), "proof", F.col("proof"), theorem_title=F.col("title"))
-    whole = rows.where("at is null")
-    plain = _chunks(whole.where(F.length("content") <= MAX_CHUNK), F.format_string("Theorem: %s\n\n%s", F.col("title"), F.col("content")), "theorem", F.col("content"))
-    return statements.unionByName(proofs, True).unionByName(plain, True).unionByName(_long(whole, "theorem"), True)
+    return _only(rows, "theorem", "part", "total_parts", "has_proof", "theorem_title")
 
 
 def chunk_examples(rows: DataFrame) -> DataFrame:
-    """Problem and solution together if they fit, else a chunk for each step with the problem again;
-    steps that do not fit are left out. Without both parts plain or packed."""
-    both = (F.coalesce("problem", F.lit("")) != "") & (F.coalesce("solution", F.lit("")) != "")
-    joined = F.format_string("Problem:\n%s\n\nSolution:\n%s", F.col("problem"), F.col("solution"))
-    full = rows.where(both).withColumn("joined", joined)
-    fit = full.where(F.length("joined") <= MAX_CHUNK)
-    whole = _chunks(fit, F.col("joined"), "solved_example", F.col("joined"), problem_only=F.col("problem"), solution_only=F.col("solution"))
-    steps = full.where(F.length("joined") > MAX_CHUNK).withColumn("steps", split_steps(F.col("solution"))).select("*", F.posexplode("steps").alias("i", "step"))
-    steps = steps.withColumn("one", F.format_string("Problem:\n%s\n\nSolution Step %d:\n%s", F.col("problem"), F.col("i") + 1, F.col("step"))).where(F.length("one") <= MAX_CHUNK)
-    stepped = _chunks(steps, F.col("one"), "solved_example_step", F.col("one"), step_number=(F.col("i") + 1).cast("int"), total_steps=F.size("steps"))
-    rest = rows.where(~both)
-    plain = _chunks(rest.where(F.length("content") <= MAX_CHUNK), F.concat(F.lit("Example:\n"), F.col("content")), "example", F.col("content"))
-    return whole.unionByName(stepped, True).unionByName(plain, True).unionByName(_long(rest, "example"), True)
+    return _only(rows, "example", "part", "total_parts", "problem_only", "solution_only", "step_number", "total_steps")
 
 
 def chunk_formulas(rows: DataFrame) -> DataFrame:
     """Rows (passage_id, source, chapter, type, content): a chunk with its context, page 0, no section."""
-    body = F.format_string("Formula: %s\n\nContext: Found in %s, \n\nType: %s", F.col("content"), F.coalesce("chapter", F.lit("")), F.col("type"))
-    rows = lexicon.with_topic(rows, F.concat_ws(" ", "content", F.coalesce("chapter", F.lit(""))))
-    return rows.select(
-        "passage_id", chunk_id(F.col("source"), F.lit(0), F.col("content")).alias("chunk_id"), body.alias("content"), F.lit("formula").alias("content_type"), "topic", "subtopic", "source",
-        F.lit(0).alias("page_number"), "chapter", F.lit("").alias("section"), F.col("content").alias("raw_formula"), F.col("type").alias("formula_type"),
-    )
-
-
-def chunk_books(definitions: DataFrame, theorems: DataFrame, examples: DataFrame, formula_rows: DataFrame) -> DataFrame:
-    """All chunks, definitions, theorems, examples and formulas, with ``part_of`` 0 to 3 for their order."""
-    parts = (chunk_definitions(definitions), chunk_theorems(theorems), chunk_examples(examples), chunk_formulas(formula_rows))
-    out = parts[0].withColumn("part_of", F.lit(0))
-    for i, p in enumerate(parts[1:], 1):
-        out = out.unionByName(p.withColumn("part_of", F.lit(i)), allowMissingColumns=True)
-    return out
+    rows = rows.withColumns({"formulas": F.array(F.struct("type", "content")), "page_number": F.lit(0), "section": F.lit("")})
+    return _only(rows, "formula", "raw_formula", "formula_type")
 
 
 def bucket(content_type: Column) -> Column:

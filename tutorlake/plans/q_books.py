@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tutorlake.functions import lexicon, normalize as N
 from tutorlake.functions import rules as RU
+from tutorlake.functions.text import once
 from tutorlake.operators import books as B
 from tutorlake.operators import memory as M
 from tutorlake.plans import duck as D
@@ -50,9 +51,11 @@ def _formulas(s, d):
     return rows.select("passage_id", "source", "chapter", "f.type", "f.content")
 
 
-def _all(s, d):
-    part = lambda k: _rows(s, d).where(F.col("passage_id") % 3 == k)
-    return B.chunk_books(part(0), part(1), _examples(s, d).where("passage_id % 3 = 2"), _formulas(s, d))
+def c9(s, d):
+    """Every text as a definition, a theorem and an example, with its formulas."""
+    rows = once(_rows(s, d), x=B.split_example(F.col("content")), formulas=B.formulas(F.col("content"))).select("*", "x.problem", "x.solution").drop("x")
+    got = B.chunk_passages(rows)
+    return got.select("passage_id", "part_of", "content_type", "chunk_id", "topic", "subtopic", "page_number", "part", "step_number", F.md5("content").alias("content"))
 
 
 def _typed(s, d):
@@ -80,6 +83,34 @@ DEFS = PACKED.replace("FROM texts),", "FROM texts WHERE length(text) > 1000),",
     UNION ALL SELECT doc_id, 1, length('Definition: T' || doc_id) + 2 + length(text) FROM texts WHERE length(text) <= 1000"""
 STEPS = f"list_filter(list_transform(string_split(regexp_replace(t, '(?i)(Step\\s*[0-9]+[:.]|First[,:]|Second[,:]|Then[,:]|Finally[,:]|Therefore[,:])', chr(1) || '\\1', 'g'), chr(1)), lambda x: {D.strip('x')}), lambda x: x <> '')"
 PARAS = f"list_filter(list_transform(string_split(t, chr(10) || chr(10)), lambda x: {D.strip('x')}), lambda x: x <> '')"
+CUT_AT = " ".join(f"WHEN regexp_matches(text, {D.q(m)}) THEN length(regexp_extract(text, {D.q(f'(?s)^(.*?)(?:{m})')}, 1))" for m in B.SOLUTION)
+PROOF_AT = " ".join(f"WHEN contains(text, {D.q(m)}) THEN strpos(text, {D.q(m)})" for m in B.PROOF)
+FORMULA_ROWS = f"""f AS (SELECT doc_id, book, 'latex_inline' AS type, unnest(regexp_extract_all(text, '\\$([^$]+)\\$', 1)) AS x FROM texts UNION ALL SELECT doc_id, book, 'latex_display', unnest(regexp_extract_all(text, '\\$\\$([^$]+)\\$\\$', 1)) FROM texts
+    UNION ALL SELECT doc_id, book, 'expression', unnest(regexp_extract_all(text, {D.q(B.FORMULAS[2][1])})) FROM texts)"""
+#: Every chunk of every text: as a definition, a theorem and an example, with its formulas.
+PIECES = DEFS.split("\n    SELECT doc_id AS passage_id")[0] + f""",
+    own AS (SELECT *, {_best("text")} AS best FROM texts), packed AS (SELECT doc_id, unnest(parts) AS piece, generate_subscripts(parts, 1) AS i, len(parts) AS n FROM parts),
+    long AS (SELECT o, kind, doc_id, kind || ' (Part ' || i || '/' || n || '):' || chr(10) || chr(10) || piece AS body, piece AS ident, i AS part FROM packed, (VALUES (0, 'Definition'), (1, 'Theorem'), (2, 'Example')) AS k(o, kind)),
+    th AS (SELECT *, substr(text, 1, marked - 1) AS statement, substr(text, marked) AS proof FROM (SELECT *, CASE {PROOF_AT} END AS marked FROM texts)),
+    cutat AS (SELECT *, CASE {CUT_AT} END AS n FROM texts),
+    ex AS (SELECT doc_id, text, CASE WHEN n IS NULL THEN split_part(text, chr(10) || chr(10), 1) ELSE {D.strip("substr(text, 1, n)")} END AS problem,
+        CASE WHEN n IS NULL THEN CASE WHEN contains(text, chr(10) || chr(10)) THEN substr(text, strpos(text, chr(10) || chr(10)) + 2) ELSE '' END ELSE {D.strip("substr(text, n + 1)")} END AS t FROM cutat),
+    exj AS (SELECT *, CASE WHEN problem <> '' AND t <> '' THEN 'Problem:' || chr(10) || problem || chr(10) || chr(10) || 'Solution:' || chr(10) || t END AS joined FROM ex),
+    st AS (SELECT doc_id, problem, CASE WHEN len({STEPS}) > 1 THEN {STEPS} WHEN len({PARAS}) > 0 THEN {PARAS} ELSE [t] END AS s FROM exj WHERE length(joined) > 1000),
+    stepped AS (SELECT doc_id, i, n, 'Problem:' || chr(10) || problem || chr(10) || chr(10) || 'Solution Step ' || i || ':' || chr(10) || x AS body FROM (SELECT doc_id, problem, unnest(s) AS x, generate_subscripts(s, 1) AS i, len(s) AS n FROM st)),
+    {FORMULA_ROWS},
+    bodies AS (
+        SELECT doc_id, 0 AS part_of, 'definition' AS content_type, 'Definition: T' || doc_id || chr(10) || chr(10) || text AS body, text AS ident, NULL::BIGINT AS part, NULL::BIGINT AS step_number, NULL::BIGINT AS total_steps, NULL::BOOLEAN AS has_proof FROM texts WHERE length(text) <= 1000
+        UNION ALL SELECT doc_id, o, lower(kind), body, ident, part, NULL, NULL, NULL FROM long WHERE o = 0 OR (o = 1 AND doc_id IN (SELECT doc_id FROM th WHERE marked IS NULL)) OR (o = 2 AND doc_id IN (SELECT doc_id FROM exj WHERE joined IS NULL))
+        UNION ALL SELECT doc_id, 1, 'theorem_statement', 'Theorem: T' || doc_id || chr(10) || chr(10) || 'Statement: ' || {D.strip("statement")}, statement, NULL, NULL, NULL, {D.strip("proof")} <> '' FROM th WHERE {D.strip("statement")} <> ''
+        UNION ALL SELECT doc_id, 1, 'proof', 'Proof of T' || doc_id || ':' || chr(10) || chr(10) || {D.strip("proof")}, proof, NULL, NULL, NULL, NULL FROM th WHERE {D.strip("proof")} <> '' AND length(proof) <= 1000
+        UNION ALL SELECT doc_id, 1, 'theorem', 'Theorem: T' || doc_id || chr(10) || chr(10) || text, text, NULL, NULL, NULL, NULL FROM th WHERE marked IS NULL AND length(text) <= 1000
+        UNION ALL SELECT doc_id, 2, 'solved_example', joined, joined, NULL, NULL, NULL, NULL FROM exj WHERE length(joined) <= 1000
+        UNION ALL SELECT doc_id, 2, 'solved_example_step', body, body, NULL, i, n, NULL FROM stepped WHERE length(body) <= 1000
+        UNION ALL SELECT doc_id, 2, 'example', 'Example:' || chr(10) || text, text, NULL, NULL, NULL, NULL FROM exj WHERE joined IS NULL AND length(text) <= 1000),
+    pieces AS (
+        SELECT b.doc_id AS passage_id, part_of, content_type, substr(md5(book || '_' || b.doc_id || '_' || substr(ident, 1, 50)), 1, 12) AS chunk_id, best[3] AS topic, best[4] AS subtopic, b.doc_id::INT AS page_number, part, step_number, total_steps, has_proof, md5(body) AS content FROM bodies b JOIN own USING (doc_id)
+        UNION ALL SELECT doc_id, 3, 'formula', substr(md5(book || '_0_' || substr(x, 1, 50)), 1, 12), best[3], best[4], 0, NULL, NULL, NULL, NULL, md5('Formula: ' || x || chr(10) || chr(10) || 'Context: Found in Limits, ' || chr(10) || chr(10) || 'Type: ' || type) FROM (SELECT *, {_best("(x || ' Limits')")} AS best FROM f))"""
 SIMPLE = "|".join(f"(?:{p})" for p in RU.SIMPLE)
 
 
@@ -131,12 +162,12 @@ QUERIES = {
     "c1_classify_topic": lambda s, d: lexicon.with_topic(texts(s, d), F.col("text")).select("doc_id", "topic", "subtopic"),
     "c2_chunk_id": lambda s, d: _rows(s, d).select("passage_id", B.chunk_id(F.col("source"), F.col("page_number"), F.col("content")).alias("chunk_id")),
     "c3_chunk_definitions": lambda s, d: B.chunk_definitions(_rows(s, d)).groupBy("passage_id").agg(F.count("*").alias("n_chunks"), F.max(F.length("content")).alias("longest")),
-    "c4_chunk_theorems": lambda s, d: B.chunk_theorems(_rows(s, d)).groupBy("content_type").agg(F.count_distinct("passage_id").alias("n")),
-    "c5_chunk_examples": lambda s, d: B.chunk_examples(_examples(s, d)).groupBy("content_type").agg(F.count_distinct("passage_id").alias("n")),
+    "c4_chunk_theorems": lambda s, d: B.chunk_theorems(_rows(s, d)).select("passage_id", "content_type", "chunk_id", "topic", "part", "has_proof", F.md5("content").alias("content")),
+    "c5_chunk_examples": lambda s, d: B.chunk_examples(_examples(s, d)).select("passage_id", "content_type", "chunk_id", "topic", "part", "step_number", "total_steps", F.md5("content").alias("content")),
     "c6_chunk_formulas": lambda s, d: B.chunk_formulas(_formulas(s, d)).select("passage_id", "chunk_id", "topic", F.md5("content").alias("content")),
     "c7_pack_sentences": lambda s, d: texts(s, d).select("doc_id", B.pack_sentences(F.col("text")).alias("p")).select("doc_id", F.size("p").alias("n_parts"), F.md5(F.array_join("p", "|")).alias("parts")),
     "c8_split_steps": lambda s, d: phrases(s, d).select("doc_id", B.split_steps(F.col("text")).alias("p")).select("doc_id", F.size("p").alias("n"), F.array_join("p", "|").alias("steps")),
-    "c9_chunk_books": lambda s, d: _all(s, d).groupBy("part_of", "content_type", "topic").agg(F.count("*").alias("n")),
+    "c9_chunk_books": c9,
     "c10_topic_counts": lambda s, d: B.topic_counts(_typed(s, d)),
     "c11_kb_stats": lambda s, d: B.kb_stats(_typed(s, d)),
     "c12_latest_by_id": lambda s, d: B.latest_by_id(_typed(s, d)).select("chunk_id", "pos"),
@@ -172,6 +203,9 @@ ORACLE_SQL = {
     "c1_classify_topic": f"WITH {TEXTS}, b AS (SELECT doc_id, {_best('text')} AS best FROM texts) SELECT doc_id, best[3] AS topic, best[4] AS subtopic FROM b",
     "c2_chunk_id": f"WITH {TEXTS} SELECT doc_id AS passage_id, substr(md5(book || '_' || doc_id || '_' || substr(text, 1, 50)), 1, 12) AS chunk_id FROM texts",
     "c3_chunk_definitions": DEFS,
+    "c4_chunk_theorems": f"{PIECES} SELECT passage_id, content_type, chunk_id, topic, part, has_proof, content FROM pieces WHERE part_of = 1",
+    "c5_chunk_examples": f"{PIECES} SELECT passage_id, content_type, chunk_id, topic, part, step_number, total_steps, content FROM pieces WHERE part_of = 2",
+    "c9_chunk_books": f"{PIECES} SELECT passage_id, part_of, content_type, chunk_id, topic, subtopic, page_number, part, step_number, content FROM pieces",
     "c7_pack_sentences": PACKED,
     "c8_split_steps": f"WITH {ASKED}, t AS (SELECT doc_id, text AS t FROM asked), s AS (SELECT doc_id, CASE WHEN len({STEPS}) > 1 THEN {STEPS} WHEN len({PARAS}) > 0 THEN {PARAS} ELSE [t] END AS p FROM t) SELECT doc_id, len(p) AS n, array_to_string(p, '|') AS steps FROM s",
     "c10_topic_counts": f"WITH {TYPED} SELECT topic, subtopic, {BUCKET} AS bucket, count(*) AS n FROM kb WHERE {BUCKET} IS NOT NULL GROUP BY ALL",
