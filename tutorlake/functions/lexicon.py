@@ -1,54 +1,33 @@
 """Topic lexicon: topic, subtopic and keywords, in order of precedence.
 
-The full lexicon of a knowledge base is a parameter, as a list or from a table (``from_table``). The
-default is a short one with keywords of every subtopic; texts whose only keywords it lacks are
-classified otherwise than by a full one.
+A lexicon is a parameter: a list, a table (``from_table``) or a text file (``from_file``); the
+default is the file beside this module. One automaton finds all keywords in one pass over a text.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from functools import lru_cache
+from pathlib import Path
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
+
+from tutorlake.functions.text import once, unused
+
+
+def from_file(path: str | Path) -> list[tuple[str, str, list[str]]]:
+    """The lexicon in a file of lines ``topic | subtopic | keyword, keyword``; # begins a remark."""
+    lines = [x for x in Path(path).read_text("utf-8").splitlines() if x.strip() and not x.startswith("#")]
+    split = lambda s, by: [x.strip() for x in s.split(by)]
+    return [(topic, subtopic, split(keys, ",")) for topic, subtopic, keys in (re.split(r"\s+\|\s+", x, maxsplit=2) for x in lines)]
+
 
-from tutorlake.functions.text import once
-
-# What words name a subtopic.
-DEFAULT = [
-    ("calculus", "limits", ["limit", "approaches", "continuity"]),
-    ("calculus", "derivatives", ["derivative", "differentiate", "d/dx", "rate of change", "tangent line"]),
-    ("calculus", "integrals", ["integral", "integrate", "∫", "antiderivative", "area under"]),
-    ("calculus", "differential_equations", ["differential equation", "dy/dx", "separable"]),
-    ("calculus", "series", ["series", "convergence", "taylor", "maclaurin"]),
-    ("algebra", "quadratics", ["quadratic", "x²", "parabola", "discriminant", "roots"]),
-    ("algebra", "polynomials", ["polynomial", "degree", "factor", "zeros"]),
-    ("algebra", "logarithms", ["logarithm", "log", "ln", "exponential"]),
-    ("algebra", "complex_numbers", ["complex", "imaginary", "modulus", "conjugate"]),
-    ("algebra", "progressions", ["arithmetic progression", "geometric progression", "common ratio"]),
-    ("algebra", "matrices", ["matrix", "matrices", "determinant", "transpose", "eigenvalue"]),
-    ("algebra", "inequalities", ["inequality", "greater than", "less than"]),
-    ("trigonometry", "basic_ratios", ["sin", "cos", "tan", "sec", "cot"]),
-    ("trigonometry", "identities", ["identity", "sin²", "pythagorean"]),
-    ("trigonometry", "equations", ["trigonometric equation", "general solution"]),
-    ("trigonometry", "inverse", ["arcsin", "arccos", "arctan"]),
-    ("trigonometry", "properties", ["amplitude", "period", "phase shift"]),
-    ("coordinate_geometry", "lines", ["straight line", "slope", "intercept", "perpendicular"]),
-    ("coordinate_geometry", "circles", ["circle", "radius", "chord", "diameter"]),
-    ("coordinate_geometry", "conics", ["ellipse", "hyperbola", "directrix", "eccentricity"]),
-    ("vectors", "basics", ["vector", "magnitude", "direction"]),
-    ("vectors", "operations", ["dot product", "cross product"]),
-    ("vectors", "3d_geometry", ["plane", "direction cosines"]),
-    ("probability", "basic_probability", ["probability", "sample space", "event", "outcome"]),
-    ("probability", "conditional_probability", ["conditional probability", "given that", "bayes"]),
-    ("probability", "distributions", ["distribution", "binomial", "poisson", "gaussian"]),
-    ("probability", "random_variables", ["random variable", "expected value", "variance"]),
-    ("probability", "combinatorics", ["permutation", "combination", "factorial"]),
-    ("statistics", "descriptive", ["mean", "median", "mode", "average"]),
-    ("statistics", "dispersion", ["standard deviation", "dispersion", "quartile deviation"]),
-    ("statistics", "data_representation", ["histogram", "frequency", "bar graph"]),
-    ("statistics", "percentiles", ["quartile", "percentile", "decile"]),
-    ("statistics", "correlation_regression", ["correlation", "regression", "least squares"]),
-    ("statistics", "hypothesis_testing", ["hypothesis", "p-value", "confidence interval"]),
-]
+DEFAULT = from_file(Path(__file__).with_name("topics.txt"))
 
 
 def from_table(rows: DataFrame, most: int = 5_000) -> list[tuple[str, str, list[str]]]:
@@ -60,22 +39,49 @@ def from_table(rows: DataFrame, most: int = 5_000) -> list[tuple[str, str, list[
     return [(r["topic"], r["subtopic"], list(r["keywords"] or ())) for r in got]
 
 
+@lru_cache(16)
+def _judge(keywords: tuple[tuple[str, ...], ...]):
+    """A function of lower-case texts: the place of the entry with most of its keywords in a text, the
+    first of equals, -1 if none occurs. One automaton finds all keywords in one pass."""
+    entries = {}
+    for i, keys in enumerate(keywords):
+        for k in keys:
+            entries.setdefault(k.lower(), []).append(i)
+    words, n = sorted(entries), len(keywords)
+
+    @F.pandas_udf(IntegerType())
+    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+
+        found = ahocorasick.Automaton()
+        for i, w in enumerate(words):
+            found.add_word(w, i)
+        found.make_automaton()
+        for texts in batches:
+            out = np.full(len(texts), -1, np.int32)
+            for row, t in enumerate(texts):
+                seen = {i for _, i in found.iter(t)} if isinstance(t, str) and words else ()
+                if seen:
+                    out[row] = np.bincount([e for i in seen for e in entries[words[i]]], minlength=n).argmax()
+            yield pd.Series(out)
+
+    return judge
+
+
 def _best(low: Column, lexicon) -> Column:
-    rows = []
-    for i, (topic, subtopic, keys) in enumerate(lexicon):
-        score = sum((F.contains(low, F.lit(k.lower())).cast("int") for k in keys), F.lit(0))
-        rows.append(F.struct(score.alias("score"), F.lit(-i).alias("order"), F.lit(topic).alias("topic"), F.lit(subtopic).alias("subtopic")))
-    return F.array_max(F.array(*rows, F.struct(F.lit(0).alias("score"), F.lit(1).alias("order"), F.lit("general").alias("topic"), F.lit("miscellaneous").alias("subtopic"))))
+    place = _judge(tuple(tuple(keys) for _, _, keys in lexicon))(low)
+    names = [F.struct(F.lit(t).alias("topic"), F.lit(s).alias("subtopic")) for t, s, _ in [("general", "miscellaneous", ()), *lexicon]]
+    return F.get(F.array(*names), place + 1)
 
 
-def classify(text: Column, lexicon=DEFAULT) -> Column:
+def classify(text: Column, lexicon=None) -> Column:
     """struct<topic, subtopic>: of the subtopic with most keywords in the text (as substrings, any
     case), the earlier of equals; general / miscellaneous if none occurs."""
-    best = _best(F.lower(text), lexicon)
-    return F.struct(best["topic"].alias("topic"), best["subtopic"].alias("subtopic"))
+    return _best(F.lower(text), lexicon or DEFAULT)
 
 
-def with_topic(df: DataFrame, text: Column, lexicon=DEFAULT) -> DataFrame:
+def with_topic(df: DataFrame, text: Column, lexicon=None) -> DataFrame:
     """``df`` with topic and subtopic of ``text`` by ``classify``, the text lowered and judged once a row."""
-    df = once(once(df, __low=F.lower(text)), __best=_best(F.col("__low"), lexicon))
-    return df.withColumns({"topic": F.col("__best.topic"), "subtopic": F.col("__best.subtopic")}).drop("__low", "__best")
+    best = unused(df, "best_topic")
+    df = once(df, **{best: _best(F.lower(text), lexicon or DEFAULT)})
+    return df.withColumns({"topic": F.col(f"{best}.topic"), "subtopic": F.col(f"{best}.subtopic")}).drop(best)

@@ -193,3 +193,24 @@ COMPONENTS = ["step", "answer", "result", "solution", "therefore", "thus", "henc
 REFUSAL = [
     r"(?i)i (cannot|can't|won't|will not) (help|assist) with", r"(?i)i (don't|do not) have (access|information)", r"(?i)as an ai", r"(?i)i('m| am) (just )?(a|an) (language model|ai|assistant)",
 ]
+
+# --- expansion of questions ---------------------------------------------------------------------
+#: (topic, keywords, terms), in order.
+EXPANSIONS = [
+    ("probability", ["probability", "chance", "odds", "likelihood", "P("], ["favorable outcomes", "total outcomes", "sample space", "event", "random experiment"]),
+    ("cards", ["card", "cards", "deck", "king", "queen", "jack", "ace", "hearts", "spades", "diamonds", "clubs"], ["52 cards", "standard deck", "playing cards", "suits", "face cards", "probability cards"]),
+    ("coins", ["coin", "heads", "tails", "toss", "flip"], ["coin toss", "fair coin", "probability heads tails", "binomial", "bernoulli trial"]),
+    ("dice", ["dice", "die", "roll", "rolling"], ["six-sided", "fair dice", "probability rolling", "outcomes dice"]),
+    ("derivative", ["derivative", "differentiate", "differentiation", "d/dx", "dy/dx"], ["rate of change", "slope", "tangent", "differential", "chain rule", "product rule", "quotient rule"]),
+    ("integral", ["integral", "integrate", "integration", "antiderivative"], ["area under curve", "indefinite integral", "definite integral", "integration techniques", "substitution", "by parts"]),
+    ("limit", ["limit", "lim", "approaches", "tends to"], ["limit definition", "continuity", "L'Hopital", "squeeze theorem", "limit laws"]),
+    ("quadratic", ["quadratic", "x^2", "x²", "parabola"], ["quadratic formula", "roots", "discriminant", "factoring", "completing square", "ax² + bx + c"]),
+    ("equation", ["equation", "solve", "solution", "root", "zero"], ["find x", "solving equations", "algebraic equation"]),
+    ("polynomial", ["polynomial", "degree", "coefficient"], ["factor theorem", "remainder theorem", "roots polynomial"]),
+    ("trigonometry", ["sin", "cos", "tan", "sine", "cosine", "tangent", "trig", "trigonometric"], ["trigonometric functions", "trig identities", "unit circle", "radians degrees"]),
+    ("mean", ["mean", "average", "arithmetic mean"], ["central tendency", "sum divided by n", "expected value"]),
+    ("standard_deviation", ["standard deviation", "std", "σ", "variance"], ["dispersion", "spread", "deviation from mean", "variance square root"]),
+    ("matrix", ["matrix", "matrices", "determinant"], ["matrix operations", "inverse matrix", "transpose", "eigenvalue", "eigenvector"]),
+    ("area", ["area", "surface area"], ["formula area", "square units", "calculate area"]),
+    ("circle", ["circle", "radius", "diameter", "circumference"], ["pi r squared", "πr²", "2πr", "area circle"]),
+]

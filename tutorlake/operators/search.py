@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tutorlake.functions.normalize import clean_for_tokens, tokens
+from tutorlake.functions.rules import EXPANSIONS
 from tutorlake.functions.text import chain, has, once, rx, strip, words
 from tutorlake.operators import segments
 from tutorlake.sources.shared import kept
@@ -407,11 +408,15 @@ def retrieve(queries: DataFrame, chunks: DataFrame, k: int = 5, min_score: float
     return ranked(hits.drop("rank"), F.col("combined"), k, "chunk_id")
 
 
-def expand(queries: DataFrame, lexicon: DataFrame, most: int = 10) -> DataFrame:
+def expand(queries: DataFrame, lexicon: DataFrame | None = None, most: int = 10) -> DataFrame:
     """(query_id, topic, terms, expanded): terms of every lexicon entry with a keyword in the query,
     without those that share a word with it, in lexicon order, at most ``most``.
 
-    lexicon: pos, topic, keywords array, terms array - usually a few dozen rows."""
+    lexicon: pos, topic, keywords array, terms array - usually a few dozen rows; without one that of
+    ``rules.EXPANSIONS``."""
+    if lexicon is None:
+        rows = [(i, *e) for i, e in enumerate(EXPANSIONS)]
+        lexicon = queries.sparkSession.createDataFrame(rows, "pos int, topic string, keywords array<string>, terms array<string>")
     low = F.lower("query")
     rows = queries.join(lexicon, F.exists("keywords", lambda k: F.contains(low, F.lower(k))), "left")
     by = rows.groupBy("query_id", "query").agg(F.sort_array(F.collect_list(F.when(F.col("topic").isNotNull(), F.struct("pos", "topic", "terms")))).alias("found"))

@@ -128,24 +128,6 @@ def _replies(s, d):
     return _keyword(s, d, 10).select("query_id", "chunk_id", reply.alias("reply"))
 
 
-def _lexicon(s):
-    return s.createDataFrame(
-        [(i, t, k, x) for i, (t, k, x) in enumerate(LEXICON)], "pos int, topic string, keywords array<string>, terms array<string>"
-    )
-
-
-#: A small lexicon of expansions; users pass their own table.
-LEXICON = [
-    ("probability", ["probability", "chance", "odds"], ["favorable outcomes", "sample space"]),
-    ("cards", ["card", "deck", "king"], ["52 cards", "standard deck", "face cards"]),
-    ("derivative", ["derivative", "d/dx"], ["rate of change", "chain rule"]),
-    ("limit", ["limit", "approaches"], ["continuity", "squeeze theorem"]),
-    ("quadratic", ["quadratic", "x^2"], ["quadratic formula", "discriminant"]),
-    ("matrix", ["matrix", "determinant"], ["inverse matrix", "transpose"]),
-    ("equation", ["equation", "solve", "root"], ["find x", "algebraic equation"]),
-]
-
-
 def _texts_asked(s, d):
     return texts(s, d).select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
 
@@ -196,7 +178,7 @@ QUERIES = {
     "e5_search_filtered": lambda s, d: R.search_filtered(asked(s, d).drop("topic"), vectors(s, d), 5, F.col("topic") < 5),
     "e6_search_in_topic": lambda s, d: R.search_in_topic(asked(s, d), vectors(s, d), 5),
     "e7_ann_topk": e7,
-    "r1_expand": lambda s, d: R.expand(_texts_asked(s, d), _lexicon(s)).select("query_id", "topic", F.array_join("terms", "|").alias("terms")),
+    "r1_expand": lambda s, d: R.expand(_texts_asked(s, d)).select("query_id", "topic", F.array_join("terms", "|").alias("terms")),
     "r2_fuse": lambda s, d: R.fuse(_semantic(s, d), _keyword(s, d)).select("query_id", "chunk_id", F.round("combined", 6).alias("combined")),
     "r3_section_id": lambda s, d: chunks(s, d).select("chunk_id", R.section_id(F.col("chapter"), F.col("section")).alias("section_id")),
     "r4_sections": lambda s, d: R.sections(chunks(s, d)).select("section_id", "topic", F.md5("full_content").alias("full_content")),
@@ -220,12 +202,12 @@ QUERIES = {
 CLEAN = [(f"[{R.BOXES}─═║╔╗╚╝╠╣╦╩╬]+", ""), (r"\s+/\s+", "/"), (r"\n{3,}", "\n\n"), (r" {2,}", " "), (r"\t+", " "), (r"^(Example|Definition|Theorem)\s*\(Part \d+/\d+\):\s*", "")]
 CUT = D.strip("CASE WHEN length({t}) <= 3000 THEN {t} WHEN strpos(reverse(substr({t}, 1, 3000)), '.') > 0 AND 3000 - strpos(reverse(substr({t}, 1, 3000)), '.') > 2100 THEN substr({t}, 1, 3001 - strpos(reverse(substr({t}, 1, 3000)), '.')) ELSE substr({t}, 1, 3000) || '...' END")
 LIST_OF = lambda xs: "[" + ", ".join(map(D.q, xs)) + "]"
-FOUND = ", ".join(f"CASE WHEN {D.contains_any('low', [k.lower() for k in ks])} THEN {LIST_OF(ts)} ELSE []::VARCHAR[] END" for _, ks, ts in LEXICON)
+FOUND = ", ".join(f"CASE WHEN {D.contains_any('low', [k.lower() for k in ks])} THEN {LIST_OF(ts)} ELSE []::VARCHAR[] END" for _, ks, ts in RU.EXPANSIONS)
 ORACLE_SQL = {
     "r1_expand": f"""WITH {TEXTS}, l AS (SELECT doc_id AS query_id, text AS query, lower(text) AS low FROM texts),
         m AS (SELECT *, list_filter(string_split_regex(low, '\\s+'), lambda w: w <> '') AS own, flatten([{FOUND}, CASE WHEN regexp_matches(query, '\\b52\\b') THEN {LIST_OF(['deck of cards', 'standard deck', 'playing cards'])} ELSE []::VARCHAR[] END]) AS more FROM l),
         t AS (SELECT *, list_filter(more, lambda x, i: list_position(more, x) = i AND NOT list_has_any(string_split(lower(x), ' '), own)) AS terms FROM m)
-        SELECT query_id, CASE {' '.join(f"WHEN {D.contains_any('low', [k.lower() for k in ks])} THEN {D.q(t)}" for t, ks, _ in LEXICON)} ELSE 'general' END AS topic, array_to_string(terms[1:10], '|') AS terms FROM t""",
+        SELECT query_id, CASE {' '.join(f"WHEN {D.contains_any('low', [k.lower() for k in ks])} THEN {D.q(t)}" for t, ks, _ in RU.EXPANSIONS)} ELSE 'general' END AS topic, array_to_string(terms[1:10], '|') AS terms FROM t""",
     "r7_build_hits": f"""WITH {CANDS}, w AS (SELECT *, sum(length(content)) OVER (PARTITION BY section_id ORDER BY pos) AS upto FROM chunks),
         fo AS (SELECT *, upto - length(content) AS bef, min(CASE WHEN upto > 3000 THEN pos END) OVER (PARTITION BY section_id) AS fo FROM w),
         sec AS (SELECT section_id, string_agg(CASE WHEN upto <= 3000 THEN content WHEN pos = fo AND 3000 - bef > 200 THEN substr(content, 1, (3000 - bef)::BIGINT) || '...' END, chr(10) || chr(10) ORDER BY pos) AS full_content FROM fo GROUP BY section_id),
