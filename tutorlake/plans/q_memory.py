@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tutorlake.operators import log_index as LI
 from tutorlake.operators import memory as M
 from tutorlake.plans.inputs import CORRECTIONS, FEEDBACK, PROBLEMS, corrections, feedback, problems, table
+from tutorlake.sources import log_store as LS
+from tutorlake.sources.shared import new_folder
 
 NEWEST = "ORDER BY created_at DESC, id"
 
@@ -17,7 +20,19 @@ def _log(spark, sf):
 
 
 def m1(spark, sf):
-    return M.upsert(_log(spark, sf)).select("id", "topic", F.unix_timestamp("created_at").alias("at"))
+    """The log kept by batches: all problems, then those that were saved again."""
+    first = problems(spark, sf)
+    path = f"{new_folder(spark)}/log"
+    LS.merge(first, path)
+    again = _log(spark, sf).join(first.select("id", F.col("created_at").alias("was")), "id").where("created_at > was").drop("was")
+    LS.merge(again, path)
+    return LS.read(spark, path, first.schema.toDDL()).select("id", "topic", F.unix_timestamp("created_at").alias("at"))
+
+
+def _index(spark, sf):
+    """A stored index of all problems, made anew from the tables."""
+    LI.append(problems(spark, sf), path := new_folder(spark))
+    return path
 
 
 def _ids(spark, sf):
@@ -25,11 +40,12 @@ def _ids(spark, sf):
 
 
 def _queries(spark, sf):
-    """Words of the benchmark as queries: each item's first five characters."""
-    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 5).alias("query"), F.when(F.col("item_id") % 3 == 0, "algebra").alias("topic"))
+    """Every word of every benchmark item as a query, numbered within its item."""
+    words = table(spark, sf, "benchmark").select("item_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), r"[^\p{L}]+")).alias("i", "query"))
+    return words.where("query <> ''").select((F.col("item_id") * 10000 + F.col("i")).alias("query_id"), "query", F.when(F.col("item_id") % 3 == 0, "algebra").alias("topic"))
 
 
-QUERIES_SQL = "queries AS (SELECT item_id AS query_id, substr(text, 1, 5) AS query, CASE WHEN item_id % 3 = 0 THEN 'algebra' END AS topic FROM benchmark)"
+QUERIES_SQL = "queries AS (SELECT item_id * 10000 + i AS query_id, query, CASE WHEN item_id % 3 = 0 THEN 'algebra' END AS topic FROM (SELECT item_id, unnest(w) AS query, unnest(range(len(w))) AS i FROM (SELECT item_id, string_split_regex(coalesce(text, ''), '[^\\p{L}]+') AS w FROM benchmark)) WHERE query <> '')"
 HITS = f"""hits AS (SELECT query_id, row_number() OVER (PARTITION BY query_id {NEWEST}) AS rank, id FROM problems p JOIN queries q
     ON p.question ILIKE '%' || q.query || '%' OR coalesce(p.solution, '') ILIKE '%' || q.query || '%' OR coalesce(p.topic, '') ILIKE '%' || q.query || '%'"""
 COUNTS = f"{CORRECTIONS}, counts AS (SELECT input_type, original_text, corrected_text, count(*) AS frequency FROM corrections WHERE original_text <> corrected_text GROUP BY ALL)"
@@ -59,7 +75,7 @@ QUERIES = {
     "m2_by_ids": lambda s, d: M.by_ids(problems(s, d), _ids(s, d)).select("id", "topic"),
     "m3_recent": lambda s, d: M.recent(problems(s, d), 10).select("id", "topic"),
     "m4_recent_by_topic": lambda s, d: M.recent_by_topic(problems(s, d), 5).select("topic", "rank", "id"),
-    "m5_search": lambda s, d: M.search(_queries(s, d).select("query_id", "query"), problems(s, d), 5),
+    "m5_search": lambda s, d: LI.search(_queries(s, d).select("query_id", "query"), _index(s, d), 5),
     "m6_successful": lambda s, d: M.successful(problems(s, d), feedback(s, d), None, 20).select("id", "feedback_id"),
     "m7_feedback_for": lambda s, d: M.feedback_for(_ids(s, d), feedback(s, d)),
     "m8_feedback_stats": lambda s, d: M.feedback_stats(feedback(s, d)),
@@ -72,7 +88,7 @@ QUERIES = {
     "m13_user_counts": lambda s, d: M.user_counts(problems(s, d)),
     "m14_find_cached": m14,
     "m15_parse_json": m15,
-    "m16_similar": lambda s, d: M.similar(_queries(s, d), problems(s, d), 3),
+    "m16_similar": lambda s, d: M.similar(_queries(s, d), problems(s, d), 3, lambda q, n: LI.search(q, _index(s, d), n)),
 }
 
 ORACLE_SQL = {
