@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Characters handled at once inside a Python task; larger Arrow batches are cut to this.
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 1_000_000
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
