@@ -176,19 +176,25 @@ def test_maths_set(spark):
 @pytest.mark.parametrize(
     "pattern, groups",
     [
-        (r"\bhow\s+(many|much)\b", [{"how"}, {"many", "much"}]),
+        (r"\bhow\s+(many|much)\b", [{"how!"}, {"many!", "much!"}]),
         (r"(?i)DROP\s+TABLE", [{"drop"}, {"table"}]),
         (r"jail(break)?", [{"jail"}]),
+        (r"\bjail(break)?\b", [{"jail!", "jailbreak!"}]),
         (r"\d+\s*[+*]\s*\d+", [{"*", "+"}, {P.DIGIT}]),
         (r"a*b+|c", []),
         (r"(abc|de+f)g", [{"abc", "de"}]),
+        (r"\b(abc|de+f)g", [{"abc", "de"}]),
+        (r"(?i)\bsin\b|\bcos\b", [{"sin!", "cos!"}]),
+        (r"ab \bcd\b.*\befg\b", [{"ab cd"}, {"efg!"}]),
         (r"x(?!yz)uv", [{"xuv"}]),
         (r"#{3,}", [{"###"}]),
         (r"[^a]\w.", []),
     ],
 )
 def test_what_a_pattern_needs(pattern, groups):
-    assert sorted(map(sorted, P.needs(pattern))) == sorted(map(sorted, groups))
+    """Whole words are marked by an exclamation mark."""
+    got = [sorted(n.text + "!" * n.whole for n in g) for g in P.needs(pattern)]
+    assert sorted(got) == sorted(map(sorted, groups))
 
 
 def test_gated_patterns_find_the_same(spark):
@@ -198,7 +204,7 @@ def test_gated_patterns_find_the_same(spark):
 
     rng = random.Random(7)
     patterns = list(S._LITERALS.needs)
-    pieces = sorted({s for gs in S._LITERALS.needs.values() for g in gs for s in g if s != P.DIGIT}) + ["٣", "٣٤٥", "12", " ", "  ", "\n", "\t", "K", "ſ", "İ", "ı", "Σ", "a", "x", "é", ".", "SOLVE", "ſolve", "ſin", "KING", "Kill", "2 + 3", "x^2", "1 = 1", "me@x.org"]
+    pieces = sorted({n.text for gs in S._LITERALS.needs.values() for g in gs for n in g if n.text != P.DIGIT}) + ["٣", "٣٤٥", "12", " ", "  ", "\n", "\t", "K", "ſ", "İ", "ı", "Σ", "a", "x", "é", ".", "SOLVE", "ſolve", "ſin", "KING", "Kill", "2 + 3", "x^2", "1 = 1", "me@x.org", "_", "ß", "²", "\u0301", "-"]
     texts = [None, "", *pieces] + ["".join(rng.choice(pieces) + rng.choice(["", " ", " "]) for _ in range(rng.randint(2, 30))) for _ in range(400)]
     texts += [re.sub(r"\\[bsdwS]\+?\*?|\(\?[a-z:!<=]*|[()?^$\\|]|\{\d*,?\d*\}", lambda m: " " if "s" in m[0] else "", p).replace("+", "") for p in patterns]
     texts += [t.upper() for t in texts if t][::3]

@@ -1,8 +1,9 @@
 """One automaton over the literals of many patterns, run once a text, that tells which patterns need to be tried.
 
 From a pattern's syntax tree follow strings of which each match must hold one, usually several such
-groups ("how" and one of "many", "much"). All strings of all patterns go into one Aho-Corasick
-automaton; a pass over a text gives a bit for each string. A pattern is tried only on texts
+groups ("how" and one of "many", "much"). Strings that must stand as whole words are looked up among
+the words of a text, single characters among its characters; all others, of all patterns, go into one
+Aho-Corasick automaton. A pass over a text gives a bit for each string. A pattern is tried only on texts
 whose bits meet every one of its groups. That a group is met proves nothing; that one is not met
 proves that the pattern does not occur. So results are those of the patterns alone.
 
@@ -13,9 +14,8 @@ patterns take for ASCII letters, so one pass serves patterns on a text and on it
 from __future__ import annotations
 
 import re
-import sys
-import unicodedata
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from functools import reduce
 from re import _constants as K
 from re import _parser
@@ -31,21 +31,41 @@ MOST = 64
 BITS = 62
 #: Stands for any decimal digit of Unicode.
 DIGIT = ""
-_FOLD = {ord(a): b for a, b in (("ſ", "s"), ("ı", "i"), ("İ", "i"), ("K", "k"), ("Å", "å"), ("ς", "σ"))}
+_FOLDED = (("ſ", "s"), ("ı", "i"), ("İ", "i"), ("\u212a", "k"), ("\u212b", "å"))
 
 
 def fold(text: str) -> str:
-    return text.translate(_FOLD).lower().translate(_FOLD)
+    for c, to in _FOLDED:
+        if c in text:
+            text = text.replace(c, to)
+    return text.lower().replace("ς", "σ")
 
 
-def _weak(s: str) -> bool:
-    """One letter or space: in nearly every text."""
-    return not s or len(s) < 2 and (s.isalpha() and s.isascii() or s in " \t\r\n")
+@dataclass(frozen=True, order=True)
+class Need:
+    """A string that a match holds; ``whole``: as a word, with no part of a word on either side."""
 
+    text: str
+    whole: bool = False
 
-def _best(groups: list[frozenset[str]]) -> frozenset[str] | None:
+    @property
+    def weak(self) -> bool:
+        """In nearly every text: one letter or space, or nothing."""
+        s = self.text
+        return not s or len(s) < 2 and not self.whole and (s.isalpha() and s.isascii() or s in " \t\r\n")
+
+    @property
+    def common(self) -> bool:
+        return len(self.text) < 3 and self.text.isalpha() and self.text.isascii()
+
+
+#: Runs of what every pattern takes for parts of a word; a string is a whole word if it is such a run.
+_WORD = re.compile(r"[a-z0-9_\u00e0-\u00f6\u00f8-\u00ff]+")
+
+
+def _best(groups: list[frozenset[Need]]) -> frozenset[Need] | None:
     """The group that the fewest texts meet: its shortest string is the longest, then the smallest."""
-    return min(groups, key=lambda g: (-min(map(len, g)), len(g)), default=None)
+    return min(groups, key=lambda g: (-min(len(n.text) for n in g), len(g)), default=None)
 
 
 def _characters(items) -> set[str] | None:
@@ -63,24 +83,42 @@ def _characters(items) -> set[str] | None:
     return out
 
 
+def _is(node, at) -> bool:
+    return node[0] is K.AT and node[1] is at
+
+
+def _space(node) -> bool:
+    """White space, one or more."""
+    return node[0] in (K.MAX_REPEAT, K.MIN_REPEAT) and node[1][0] > 0 and list(node[1][2]) == [(K.IN, [(K.CATEGORY, K.CATEGORY_SPACE)])]
+
+
 class _Reader:
-    """Walks a sequence of nodes; ``run`` holds the strings that end where the walk is."""
+    """Walks a sequence of nodes. ``run`` holds the strings that end where the walk is; ``left`` tells
+    that a word begins where they begin, ``right`` that one ends here."""
 
     def __init__(self):
-        self.groups: list[frozenset[str]] = []
+        self.groups: list[frozenset[Need]] = []
         self.run: set[str] = {""}
+        self.left = self.right = False
 
-    def cut(self) -> None:
-        if self.run != {""} and not any(map(_weak, self.run)):
-            self.groups.append(frozenset(self.run))
-        self.run = {""}
+    def cut(self, border: bool = False) -> None:
+        """Ends the run; with ``border`` no part of a word stands here."""
+        if self.run != {""}:
+            whole = self.left and (self.right or border)
+            found = frozenset(Need(s, whole and bool(_WORD.fullmatch(s))) for s in self.run)
+            if not any(n.weak for n in found):
+                self.groups.append(found)
+        self.run, self.left, self.right = {""}, border, False
 
     def append(self, more: set[str]) -> None:
         if len(self.run) * len(more) > MOST:
             self.cut()
         if len(more) > MOST:
+            self.left = False
+            return
+        if more == {""}:
             return
-        self.run = {a + b for a in self.run for b in more}
+        self.run, self.right = {a + b for a in self.run for b in more}, False
 
     def walk(self, nodes) -> None:
         for op, arg in nodes:
@@ -96,10 +134,18 @@ class _Reader:
                     self.cut()
                 else:
                     self.append(found)
+            elif op is K.AT:
+                if arg is K.AT_BOUNDARY:
+                    if self.run == {""}:
+                        self.left = True
+                    else:
+                        self.right = True
             elif op is K.SUBPATTERN:
                 self.inner([arg[3]])
             elif op is K.BRANCH:
                 self.inner(arg[1])
+            elif _space((op, arg)):
+                self.cut(border=True)
             elif op in (K.MAX_REPEAT, K.MIN_REPEAT):
                 low, high, body = arg
                 if low == 0:
@@ -117,16 +163,20 @@ class _Reader:
                     self.cut()
                     self.inner([body])
                     self.cut()
-            elif op not in (K.AT, K.ASSERT, K.ASSERT_NOT):
+            elif op not in (K.ASSERT, K.ASSERT_NOT):
                 self.cut()
 
     def inner(self, branches) -> None:
         words = [_strings(b) for b in branches]
         if None not in words and len(set().union(*words)) <= MOST:
+            ends = [all(len(b) and _is(b[i], K.AT_BOUNDARY) for b in branches) for i in (0, -1)]
+            self.left = self.left or ends[0] and self.run == {""}
             self.append(set().union(*words))
+            self.right = ends[1]
             return
+        left = self.left and self.run == {""}
         self.cut()
-        each = [_groups(b) for b in branches]
+        each = [_groups(b, left) for b in branches]
         if len(each) == 1:
             self.groups += each[0]
         elif all(each):
@@ -154,17 +204,18 @@ def _open(nodes) -> bool:
     return False
 
 
-def _groups(nodes) -> list[frozenset[str]]:
+def _groups(nodes, left: bool = False) -> list[frozenset[Need]]:
     r = _Reader()
+    r.left = left
     r.walk(nodes)
     r.cut()
     return r.groups
 
 
-def needs(pattern: str) -> list[frozenset[str]]:
+def needs(pattern: str) -> list[frozenset[Need]]:
     """Groups of strings; a text without any string of some group has no match. None if nothing is known."""
-    groups = {frozenset(s for s in g if not any(t in s for t in g - {s})) for g in _groups(_parser.parse(pattern))}
-    strong = {g for g in groups if not any(len(s) < 3 and s.isalpha() and s.isascii() for s in g)}
+    groups = {frozenset(n for n in g if not any(m.text in n.text and not m.whole for m in g - {n})) for g in _groups(_parser.parse(pattern))}
+    strong = {g for g in groups if not any(n.common for n in g)}
     return sorted(strong or groups, key=sorted)
 
 
@@ -173,41 +224,46 @@ class Literals:
 
     def __init__(self, patterns: Iterable[str]):
         self.needs = {p: needs(p) for p in dict.fromkeys(patterns)}
-        self.at = {s: i for i, s in enumerate(sorted({s for gs in self.needs.values() for g in gs for s in g}))}
+        self.at = {s: i for i, s in enumerate(sorted({n for gs in self.needs.values() for g in gs for n in g}))}
         self.words = max(1, -(-len(self.at) // BITS))
         self._bits = None
         self.type = "struct<" + ",".join(f"w{i}:bigint" for i in range(self.words)) + ">"
 
-    def automaton(self):
-        """Gives a number for each string found; digits other than ASCII's have the number of DIGIT."""
+    def finder(self):
+        """A function of a text, giving the numbers of its strings."""
         import ahocorasick
 
-        found = ahocorasick.Automaton()
-        for s, i in self.at.items():
-            if s != DIGIT:
-                found.add_word(s, i)
-        if DIGIT in self.at:
-            for c in (chr(c) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Nd"):
-                if c not in self.at:
-                    found.add_word(c, self.at[DIGIT])
+        words = {n.text: i for n, i in self.at.items() if n.whole}
+        marks = {n.text: i for n, i in self.at.items() if not n.whole and len(n.text) == 1 and n.text != DIGIT}
+        digit, found = self.at.get(Need(DIGIT)), ahocorasick.Automaton()
+        for n, i in self.at.items():
+            if not n.whole and len(n.text) > 1:
+                found.add_word(n.text, i)
         found.make_automaton()
-        return found
+
+        def find(text: str) -> set[int]:
+            text = fold(text)
+            seen = {i for _, i in found.iter(text)} if len(found) else set()
+            seen.update(words[w] for w in words.keys() & set(_WORD.findall(text)))
+            characters = set(text)
+            seen.update(marks[c] for c in marks.keys() & characters)
+            if digit is not None and any(map(str.isdecimal, characters)):
+                seen.add(digit)
+            return seen
+
+        return find
 
     def bits(self, text: Column) -> Column:
         """The bit set of each text; all bits for a null."""
         if self._bits is None:  # one function, so that Spark sees that two uses of it are the same
-            at, n = self.at, self.words
-            digits = {at[c] for c in map(str, range(10)) if c in at}
+            every, n = set(range(len(self.at))), self.words
 
             def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-                found, every = self.automaton(), set(range(len(at)))
+                find = self.finder()
                 for texts in batches:
                     rows = np.zeros((len(texts), n), np.int64)
                     for row, t in zip(rows, texts):
-                        seen = {v for _, v in found.iter(fold(t))} if isinstance(t, str) else every
-                        if DIGIT in at and not seen.isdisjoint(digits):
-                            seen.add(at[DIGIT])
-                        for i in seen:
+                        for i in find(t) if isinstance(t, str) else every:
                             row[i // BITS] |= 1 << i % BITS
                     yield pd.DataFrame(rows, columns=[f"w{i}" for i in range(n)])
 

@@ -32,6 +32,8 @@ BUCKETS = 32
 SPREAD = 8
 #: Slots of a query that are scored first.
 SEEDS = 4
+#: Slots up to which all are scored.
+FEW = 32 * SEEDS
 
 
 def _bucket(term: Column) -> Column:
@@ -146,7 +148,10 @@ def top_slots(asked: DataFrame, path: str, k: int) -> tuple[DataFrame, DataFrame
 
 
 def topk(queries: DataFrame, path: str, k: int) -> DataFrame:
-    """(query_id, rank, chunk_id, score) as ``search.bm25_topk`` of all scores."""
+    """(query_id, rank, chunk_id, score) as ``search.bm25_topk`` of all scores; an index of few slots
+    has nothing to leave out, and all of it is scored."""
+    if sum(r["chunks"] for r in _segments(queries.sparkSession, path)) <= SLOT * FEW:
+        return bm25_topk(scores(queries, path), k)
     asked = kept(_asked(queries, path))
     postings, avg = _read(asked, path)
     first, rest = top_slots(asked, path, k)
