@@ -38,6 +38,7 @@ QUERIES = [(1, "w1 w2 w7"), (2, "w1 w1 w3 w9 w30 w200"), (3, "none of these"), (
 @pytest.mark.parametrize("k", [1, 5, 40])
 def test_keyword_index(spark, k, monkeypatch):
     monkeypatch.setattr(KI, "SLOT", 8)
+    monkeypatch.setattr(KI, "FEW", k % 2 * 1000)  # by bounds and all at once
     chunks = spark.createDataFrame(texts(300), "chunk_id long, content string")
     KI.append(chunks, path := new_folder(spark))
     q = asked(spark, QUERIES)

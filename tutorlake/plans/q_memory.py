@@ -40,12 +40,12 @@ def _ids(spark, sf):
 
 
 def _queries(spark, sf):
-    """Every word of five letters or more of every benchmark item as a query, numbered within its item."""
+    """Every word of seven letters or more of every benchmark item as a query, numbered within its item."""
     words = table(spark, sf, "benchmark").select("item_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), r"[^\p{L}]+")).alias("i", "query"))
-    return words.where("length(query) >= 5").select((F.col("item_id") * 10000 + F.col("i")).alias("query_id"), "query", F.when(F.col("item_id") % 3 == 0, "algebra").alias("topic"))
+    return words.where("length(query) >= 7").select((F.col("item_id") * 10000 + F.col("i")).alias("query_id"), "query", F.when(F.col("item_id") % 3 == 0, "algebra").alias("topic"))
 
 
-QUERIES_SQL = "queries AS (SELECT item_id * 10000 + i AS query_id, query, CASE WHEN item_id % 3 = 0 THEN 'algebra' END AS topic FROM (SELECT item_id, unnest(w) AS query, unnest(range(len(w))) AS i FROM (SELECT item_id, string_split_regex(coalesce(text, ''), '[^\\p{L}]+') AS w FROM benchmark)) WHERE length(query) >= 5)"
+QUERIES_SQL = "queries AS (SELECT item_id * 10000 + i AS query_id, query, CASE WHEN item_id % 3 = 0 THEN 'algebra' END AS topic FROM (SELECT item_id, unnest(w) AS query, unnest(range(len(w))) AS i FROM (SELECT item_id, string_split_regex(coalesce(text, ''), '[^\\p{L}]+') AS w FROM benchmark)) WHERE length(query) >= 7)"
 HITS = f"""hits AS (SELECT query_id, row_number() OVER (PARTITION BY query_id {NEWEST}) AS rank, id FROM problems p JOIN queries q
     ON p.question ILIKE '%' || q.query || '%' OR coalesce(p.solution, '') ILIKE '%' || q.query || '%' OR coalesce(p.topic, '') ILIKE '%' || q.query || '%'"""
 COUNTS = f"{CORRECTIONS}, counts AS (SELECT input_type, original_text, corrected_text, count(*) AS frequency FROM corrections WHERE original_text <> corrected_text GROUP BY ALL)"
