@@ -7,13 +7,14 @@ plus (9 to 15 digits). A match that fails its check is dropped without a second
 Disguises are undone by transducers: each reads tokens and emits, for a token, what it writes and
 the span it came from (``Traced``). Lookalike letters, full-width and other decimal digits become
 ASCII and invisible characters vanish; digits spelled in words, alone or mixed with figures, become
-digits; ``at`` and ``dot`` in brackets or between words become signs, on either side of the at.
+digits; words for the signs in four languages, in brackets or between words, become signs, on either
+side of the at; spaces around signs vanish; so do brackets and words between the parts of an IP address.
 Identifiers found in what was written are mapped back through the spans, of which only those of
 rewritten places are kept. No length is bounded, and a text is read in one pass by each transducer.
 Spans that the plain patterns found always stay; found ones that lie inside a plain one of the
-same kind add nothing. Bare words count as disguise only where both ``at`` and ``dot`` are
-words, and spelled digits only in runs of seven digits or more, at least half of the tokens and
-three of them words, so that prose is left alone.
+same kind add nothing. A bare ``at`` counts as disguise only where the first dot is disguised too or
+it alone is in capitals, and spelled digits only in runs of seven digits or more, at least half of
+the tokens and three of them words, so that prose is left alone.
 
 Null texts count as empty, which has no spans; repeated rows are judged each; an empty table gives
 an empty one; no row is dropped; positions are code points, ends exclusive.
@@ -53,9 +54,12 @@ INVISIBLE = "­​‌‍⁠﻿"
 DIGIT_WORDS = {
     "zero": 0, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9,
     "null": 0, "eins": 1, "zwei": 2, "zwo": 2, "drei": 3, "vier": 4, "fünf": 5, "sechs": 6, "sieben": 7, "acht": 8, "neun": 9,
-    "zéro": 0, "deux": 2, "trois": 3, "quatre": 4, "cinq": 5, "sept": 7, "huit": 8, "neuf": 9,
+    "zéro": 0, "un": 1, "deux": 2, "trois": 3, "quatre": 4, "cinq": 5, "sept": 7, "huit": 8, "neuf": 9,
     "cero": 0, "uno": 1, "dos": 2, "tres": 3, "cuatro": 4, "cinco": 5, "seis": 6, "siete": 7, "ocho": 8, "nueve": 9,
+    "oh": 0,
 }
+#: Words that tell the next digit several times.
+TIMES = {"double": 2, "triple": 3}
 #: A shorter run of spelled digits is prose.
 LEAST_SPELLED = 7
 
@@ -64,22 +68,39 @@ _ASCII_OF = {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}  # full-wid
 _PLAIN = LOOKALIKES | _DIGITS_OF | _ASCII_OF
 _ODD = re.compile("[" + "".join(map(re.escape, [*_PLAIN, *INVISIBLE])) + "]")
 _WORDS = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
-_TOKEN, _GAP = rf"(?:{_WORDS}|[0-9]++)(?!\w)", r"[ \t\r\n,.-]++"
+_TOKEN, _GAP = rf"(?:{_WORDS}|{'|'.join(TIMES)}|[0-9]++)(?!\w)", r"[ \t\r\n,.-]++"
 _SPELLED = re.compile(rf"(?<!\w)(?:plus{_GAP})?+{_TOKEN}(?:{_GAP}{_TOKEN})++", re.I)
 #: Two spelled digits in a row, with something before and after them, are in every such run; this
 #: is looked for first, in lower case, because it passes over prose many times faster.
 _TAILS = "|".join(f"{c}(?:{'|'.join(sorted((w[1:] for w in DIGIT_WORDS if w[0] == c), key=len, reverse=True))})" for c in sorted({w[0] for w in DIGIT_WORDS}))
 _PAIR = re.compile(rf"[ \t\r\n,.-](?:{_TAILS})[ \t\r\n,.-]+(?:{_TAILS})[ \t\r\n,.-]")
-_ONE = re.compile(rf"plus|{_WORDS}|[0-9]++", re.I)
+_ONE = re.compile(rf"plus|{_WORDS}|{'|'.join(TIMES)}|[0-9]++", re.I)
 _HOST, _LOCAL = r"[A-Za-z0-9-]++", r"[A-Za-z0-9._%+-]++"
-_SEPARATOR = r"(?:\s*+[\[({<]\s*+(?:dot|\.)\s*+[\])}>]\s*+|\s++dot\s++)"
-_AT = re.compile(r"[\[({<]\s*+(?:at|@)\s*+[\])}>]|(?<=\s)at(?=\s)|@", re.I)
-#: What follows the at: in brackets it is disguise enough, a bare one wants the first dot disguised.
-_AFTER = re.compile(rf"\s*+({_HOST}(?:(?:\.|{_SEPARATOR}){_HOST})++)", re.I)
+# Words for the signs (fixed values): those that prose has too, and all.
+_DOTS, _ALL_DOTS, _ATS = "dot|punkt", "dot|punkt|point|punto", "arobase|arroba|klammeraffe"
+
+
+def _separator(words: str, around: str = r"\s*+[\[({<]\s*+(?:%s|\.)\s*+[\])}>]\s*+|\s++(?:%s)\s++|\s++\.\s++") -> str:
+    return "(?:" + around % (_ALL_DOTS, words) + ")"
+
+
+def _backwards(words: str) -> str:
+    return "|".join(w[::-1] for w in words.split("|"))
+
+
+_SEPARATOR, _ANY_SEPARATOR = _separator(_DOTS), _separator(_ALL_DOTS)
+_AT = re.compile(rf"[\[({{<]\s*+(?:at|{_ATS}|@)\s*+[\])}}>]|(?<=\s)(?:at|{_ATS})(?=\s)|@", re.I)
+#: What follows the at: in brackets, by a word that prose lacks, in capitals, or as a sign between
+#: spaces it is disguise enough; a bare one wants the first dot disguised.
+_AFTER = re.compile(rf"\s*+({_HOST}(?:(?:\.|{_ANY_SEPARATOR}){_HOST})++)", re.I)
 _AFTER_BARE = re.compile(rf"\s*+({_HOST}{_SEPARATOR}{_HOST}(?:(?:\.|{_SEPARATOR}){_HOST})*+)", re.I)
 #: What stands before it, read backwards.
-_BEFORE = re.compile(rf"\s*+{_LOCAL}(?:(?:\s*+[\])}}>]\s*+(?:tod|\.)\s*+[\[({{<]\s*+|\s++tod\s++){_LOCAL})*+", re.I)
-_PIECE = re.compile(rf"(?P<dot>{_SEPARATOR})|{_LOCAL}", re.I)
+_BEFORE = re.compile(rf"\s*+{_LOCAL}(?:(?:\s*+[\])}}>]\s*+(?:{_backwards(_ALL_DOTS)}|\.)\s*+[\[({{<]\s*+|\s++(?:{_backwards(_DOTS)})\s++){_LOCAL})*+", re.I)
+_PIECE = re.compile(rf"(?P<dot>{_ANY_SEPARATOR})|{_LOCAL}", re.I)
+_PART = r"[0-9]{1,3}"
+_SPACED_IP = re.compile(rf"(?<![0-9.])({_PART})(?:\.|{_ANY_SEPARATOR})({_PART})(?:\.|{_ANY_SEPARATOR})({_PART})(?:\.|{_ANY_SEPARATOR})({_PART})(?![0-9])", re.I)
+#: In every text with a disguised dot or a worded at.
+_SIGNS = re.compile(rf"[\[({{<]\s*+(?:{_ALL_DOTS}|at|{_ATS}|[.@])\s*+[\])}}>]|\s(?:{_ALL_DOTS}|at|{_ATS}|[.@])\s", re.I)
 
 
 def luhn(digits: str) -> bool:
@@ -172,13 +193,23 @@ def _pieces(text: str, start: int, end: int) -> Iterator[tuple[str, int, int | N
         yield (".", *m.span()) if m["dot"] else (m.group(), m.start(), None)
 
 
+def _is_disguise(text: str, at: re.Match) -> bool:
+    """An at that nobody writes in prose."""
+    said = at.group()
+    if said == "AT":
+        return text[max(0, at.start() - 2) : at.start() - 1].islower() and text[at.end() + 1 : at.end() + 2].islower()
+    if said == "@":
+        return text[at.start() - 1 : at.start()].isspace() and text[at.end() : at.end() + 1].isspace()
+    return said.lower() != "at"
+
+
 def _addresses(text: str) -> Iterator[Traced]:
     """Addresses with disguised signs, leftmost first, as they read without the disguise."""
     free = 0
     for m in _AT.finditer(text):
         if m.start() < free:
             continue
-        after = (_AFTER if m.group()[0] in "[({<" else _AFTER_BARE).match(text, m.end())
+        after = (_AFTER if _is_disguise(text, m) else _AFTER_BARE).match(text, m.end())
         if not after:
             continue
         before = _BEFORE.match(text[free : m.start()][::-1])
@@ -192,7 +223,8 @@ def _spelled(text: str) -> Iterator[tuple[int, int, int]]:
     for m in _SPELLED.finditer(text):
         tokens = [x.group().lower() for x in _ONE.finditer(m.group())]
         words = sum(x in DIGIT_WORDS for x in tokens)
-        digits = "".join(str(DIGIT_WORDS.get(x, x)) for x in tokens if x != "plus")
+        words += sum(x in TIMES for x in tokens)
+        digits = "".join(str(DIGIT_WORDS.get(x, x)) * TIMES.get(before, 1) for before, x in zip(["", *tokens], tokens) if x != "plus" and x not in TIMES)
         if len(digits) < LEAST_SPELLED or words < 3 or 2 * words < len(tokens):
             continue
         if tokens[0] != "plus" and 12 <= len(digits) <= 19 and luhn(digits):
@@ -212,7 +244,10 @@ def disguised(text: str) -> list[tuple[int, int, int]]:
         for span in plain(text):
             keep(*span)
     lower = text.lower()
-    if "dot" in lower or any(sign in text for sign in "[({<") and _AT.search(text):
+    if _SIGNS.search(text):
+        for m in _SPACED_IP.finditer(text):
+            if all(int(p) <= 255 for p in m.groups()) and not _IP.fullmatch(m.group()):
+                keep(m.start(), 1, m.end())
         for address in _addresses(text):
             for start, end in _emails(address.text):
                 first, last = address.cover(start, end)
