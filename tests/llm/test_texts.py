@@ -214,6 +214,51 @@ def test_main_text(body, text):
     assert sitetree.text_of(sitetree.parse(PAGE.format(body))) == text
 
 
+TELLS = "This sentence is part of the story that readers came for. "
+
+
+@pytest.mark.parametrize(
+    "body, text",
+    [
+        ("<article><p>One</p><div class='ad-hoc-analysis'><p>Real analysis</p></div></article>", "One\n\nReal analysis"),
+        ("<article><p>One</p><section class='notice-period'><p>Two</p></section><div class='share-price-history'><p>Three</p></div></article>", "One\n\nTwo\n\nThree"),
+        ("<article><section id='related-work'><p>Prior art</p></section></article>", "Prior art"),
+        ("<article><p>One</p><figure class='banner'><img src=x><figcaption>A caption</figcaption></figure></article>", "One\n\nA caption"),
+        ("<div class='story'><h1>Title</h1><p>Lead</p></div><article class='card'><p>Teaser</p></article>", "Title\n\nLead"),
+        ("<nav><ul><li>Home</ul><div class='content'><p>Whole article</p><p>More</p></div>", "Whole article\n\nMore"),
+        ("<div class='top'><a>Home</a> <a>News</a></div><p>Story</p><div class='bottom'>All rights reserved</div>", "Story"),
+        ("<div class='promo'><p>" + TELLS * 5 + "</p></div><div class='promo'><p>Buy</p></div>", (TELLS * 5).strip()),
+        ("<p>Story</p><div class='ad-box'>Buy</div><div class='nav main-menu'><ul><li>Home</ul></div><div id='cookie-banner'>We use</div><div class='post-comments'><p>First!</p></div>", "Story"),
+        ("<article><p>Short</p></article><div><p>" + TELLS * 6 + "</p></div>", (TELLS * 6).strip()),
+        ("<footer><p>Never closed", ""),
+    ],
+)
+def test_a_page_alone_keeps_its_story(body, text):
+    assert sitetree.text_of(sitetree.parse(f"<html><body>{body}</body></html>")) == text
+
+
+def test_counts_overrule_names_and_layout(spark):
+    """On a site of many pages: a stock in a division of no name goes, fresh links stay although links
+    alone are a sign of noise, a name without doubt goes although its texts are fresh; on a site of one
+    page the same names and links are all there is to go by."""
+    body = "<body><div class='top'><a>Links {0}</a></div><div class='k'><p>Story {0}</p></div><div class='zz'>Stock {1}</div><div class='ad'>Fresh offer {0}</div></body>"
+    rows = [(i, f"http://{'one.example' if i == 99 else 'many.example'}/{i}", body.format(i, i % 3)) for i in [*range(30), 99]]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in sitetree.extract(df).collect()}
+    assert all(got[i] == f"Links {i}\n\nStory {i}" for i in range(30))
+    assert got[99] == "Story 99\n\nStock 0"
+    alone = {r["page_id"]: r["text"] for r in sitetree.extract(df, counts=False).collect()}
+    assert alone[3] == "Story 3\n\nStock 0"
+    counted = {r["page_id"]: r["text"] for r in sitetree.extract(df, names=False).collect()}
+    assert counted[3] == "Links 3\n\nStory 3\n\nFresh offer 3"
+
+
+def test_two_near_copies_on_one_site_keep_their_story(spark):
+    body = "<body><div><h1>Title {0}</h1><p>" + TELLS * 3 + "</p></div><div>Same</div></body>"
+    df = spark.createDataFrame([(i, f"http://h.example/{i}", body.format(i)) for i in range(2)], "page_id long, url string, html string")
+    assert all(TELLS.strip() in r["text"] for r in sitetree.extract(df).collect())
+
+
 def test_site_tree_cuts_what_recurs(spark):
     rows = [(i, f"http://h.example/{i}", f"<body><div class='top'>Same words on each page</div><div class='c{i}'>Own text {i}</div></body>") for i in range(9)]
     rows += [(10, None, None), (11, "no url", ""), (None, "http://h.example/x", "<p>p"), (12, "http://g.example/", "<body><div class='top'>Same words on each page</div></body>")]
