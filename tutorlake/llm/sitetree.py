@@ -85,7 +85,7 @@ VARIES = 0.6
 NAMED, PLAINLY_NAMED, OUTSIDE, ONLY_LINKS, COPYRIGHT, LONG_TEXT = 3.0, 2.0, 2.0, 0.75, 0.75, -0.5
 #: Characters of running text in a paragraph and in an element that speak for content.
 LONG, FILLED = 80, 200
-#: A node with a place below this score has clean text in it.
+#: A node with a place of this score or less has clean text in it; so has one with long running text at 0 or less.
 CLEAN_PLACE = -0.5
 #: Judged nodes that may be broadcast.
 MOST_NODES = 500_000
@@ -338,6 +338,7 @@ def style_tree(pages: DataFrame, least: float = LEAST, often: float = OFTEN, nam
     sure = lambda n: (n - 1) / (n + 1)
     recurs = F.col("again") / F.col("texts") / often - 1
     own = own.withColumn("cleanest", sure(F.col("texts")) * bound(recurs) + F.col("prior") / F.col("texts"))
+    own = own.withColumn("cleanest", F.when((F.col("prior") < 0) & (F.col("cleanest") <= 0), CLEAN_PLACE).otherwise(F.col("cleanest")))
     nodes = F.transform("chain", lambda c: F.struct(c.alias("node"), c.alias("of")))
     place = F.array(F.struct(_place(F.col("chain")).alias("node"), F.element_at("chain", -1).alias("of")))
     texts = own.select("host", F.inline(F.concat(nodes, place)), "texts", "shared", "again", "prior", "cleanest")
