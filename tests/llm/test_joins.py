@@ -279,3 +279,33 @@ def test_leaks_in_many_documents(docs, spark):
     assert {(k, i) for k, i in want} >= {(200 + i, 0) for i in range(50)} | {(300 + i, 1) for i in range(50)}
     found = decon.leaks(docs(rows), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert len(found) == len(want) and {(r["doc_id"], r["item_id"]): r["score"] for r in found} == want
+
+
+def test_leaks_whatever_was_edited(docs, spark):
+    """Every document against every item by brute force, with no condition on seeds: words replaced,
+    left out and put in, every third one or at random, of one item or of all items' stock words."""
+    rng = random.Random(17)
+    common = "of the in to and a is that".split()
+    items = [(i, " ".join(rng.choice(common) if rng.random() < 0.4 else prose(rng, 1) for _ in range(rng.randint(12, 40)))) for i in range(8)]
+    rows = [(i, " ".join(rng.choice(common) if rng.random() < 0.5 else prose(rng, 1) for _ in range(60))) for i in range(40)]
+    for i in range(160):
+        words = items[i % 8][1].split()
+        if i < 8:
+            words[2::3] = [f"x{i}" for _ in words[2::3]]
+        elif i < 16:
+            words = [w for x in words for w in (x, f"x{i}")]
+        else:
+            rate = rng.choice([0.1, 0.2, 0.3, 0.4])
+            words = [w for x in words for w in ([x] if rng.random() > rate else rng.choice([["new"], [], [x, "more"]]))]
+        rows.append((100 + i, prose(rng, 10) + " " + " ".join(words) + " " + prose(rng, 10)))
+    want = {}
+    for k, text in rows:
+        for item, t in items:
+            score = brute_align(t.lower().split(), text.lower().split())
+            if score >= decon.LEAST:
+                want[k, item] = pytest.approx(score)
+    assert {(100 + i, i) for i in range(8)} <= set(want) and len(want) > 100
+    bench = spark.createDataFrame([(*x, 1) for x in [*items, items[0]]], "item_id long, text string, score int")
+    found = decon.leaks(docs(rows), bench).collect()
+    assert {(r["doc_id"], r["item_id"]): r["score"] for r in found} == want
+    assert len(found) == len(want) + sum(item == 0 for _, item in want)
