@@ -19,8 +19,8 @@ signs). Suffixes in a row with the same sign form a run and travel as one record
    third of all documents hold is one record a slice.
 2. Of the last kind, the first run of each content is fetched as bytes and goes, again by sign,
    to an index of its single suffixes, which finds the parts that earlier documents have. Equal
-   fingerprints are compared byte by byte there. A sign with very many runs is split: each part
-   takes the suffixes whose fingerprint falls to it.
+   fingerprints are compared byte by byte there. A sign with very many runs is split: its suffixes
+   travel one by one, each to the part that its bytes fall to.
 3. Covered spans are gathered per document and taken out of its bytes.
 
 Copies, however many, end in step 1; step 2 sees each content once. Nothing is compared pair by
@@ -285,10 +285,6 @@ def _judge_suffixes(runs: DataFrame, width: int, bits: int = 64) -> DataFrame:
             raw.append(b"".join(own))
             prints = _Hashes(np.frombuffer(raw[-1], np.uint8)).of(at, at + width) >> np.uint64(64 - bits)
             row = np.repeat(np.arange(len(size)), size)
-            parts, part = (batch.column(k).to_numpy().astype(np.uint64) for k in ("parts", "part"))
-            if (parts > 1).any():
-                mine = prints % parts[row] == part[row]
-                prints, row, nth, at = prints[mine], row[mine], nth[mine], at[mine]
             kept.append((prints, row, nth, at + offset, *(batch.column(k).to_numpy().astype(np.int64) for k in ("doc_id", "tag", "start"))))
             offset += len(raw[-1])
         if not kept:
@@ -323,7 +319,13 @@ def repeats(df: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     asked = judged.where("sign is not null").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "size", "sign", "parts")).alias("asked"))
     texts = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "tag", "text").dropDuplicates(["doc_id", "tag"]).join(asked, ["doc_id", "tag"])
     fetched = texts.select("doc_id", "tag", F.col("text").cast("binary").alias("raw"), F.explode("asked").alias("a"))
-    fetched = fetched.select("doc_id", "tag", "a.start", "a.sign", "a.parts", F.explode(F.sequence(F.lit(0), F.col("a.parts") - 1)).alias("part"), F.substring("raw", F.col("a.start").cast("int") + 1, F.col("a.size").cast("int") + F.lit(width - 1)).alias("bytes"))
+    run = F.substring("raw", F.col("a.start").cast("int") + 1, F.col("a.size").cast("int") + F.lit(width - 1))
+    fetched = fetched.select("doc_id", "tag", "a.*", run.alias("run"))
+    one = lambda i: F.struct((F.col("start") + i).alias("start"), F.substring("run", i + 1, F.lit(width)).alias("bytes"))
+    alone = F.transform(F.sequence(F.lit(0), F.col("size").cast("int") - 1), one)
+    pieces = F.when(F.col("parts") > 1, alone).otherwise(F.array(F.struct("start", F.col("run").alias("bytes"))))
+    part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("bytes"), F.col("parts"))).otherwise(0)
+    fetched = fetched.select("doc_id", "tag", "sign", "parts", F.inline(pieces)).withColumn("part", part).drop("parts")
     parts = materialize(_judge_suffixes(fetched, width, bits))
     return covered.unionByName(parts)
 
