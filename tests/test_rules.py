@@ -3,6 +3,7 @@
 import random
 from difflib import SequenceMatcher
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from tutorlake.operators import evaluation as V
 from tutorlake.operators import memory as M
 from tutorlake.operators import review as H
 from tutorlake.operators import search as R
+from tutorlake.plans import registry
 
 
 def one(spark, column, *values):
@@ -66,6 +68,19 @@ def test_spoken_math(spark, text, want):
     assert one(spark, N.spoken_math, text) == want
 
 
+def test_spoken_math_beside_accented_letters(spark, tmp_path):
+    """The query's SQL takes ASCII for parts of words alone; the operator does so where it is asked to."""
+    texts = ["vueldeltaí plus óplus", "édelta del deltañ Deltaó", "pié épi pi", "squaredé x squared"]
+    docs = [(i, f"{t} in {i}", "es", "a", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(registry.oracle_sql()["n1_spoken_math"]).fetchall()
+    got = registry.queries()["n1_spoken_math"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and any("δí" in r["text"] or "δñ" in r["text"] for r in got)
+    assert one(spark, N.spoken_math, "deltañ pi") == "deltañ π"
+
+
 @pytest.mark.parametrize("text, level", [("2 + 2", "simple"), ("prove that e is irrational by induction on n terms", "complex"), ("find the area of the circle with radius three", None)])
 def test_difficulty(spark, text, level):
     assert one(spark, N.difficulty, text) == level

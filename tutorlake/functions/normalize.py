@@ -12,9 +12,14 @@ from tutorlake.functions import rules as R
 from tutorlake.functions.text import chain, contains_any, count_contained, has, rx, squeeze, strip, words
 
 
-def spoken_math(text: Column) -> Column:
-    """Spoken maths as signs: lower case, rule after rule, white space squeezed."""
-    return squeeze(chain(F.lower(text), [(p, r.replace("$", "\\$")) for p, r in R.SPOKEN]))
+def spoken_math(text: Column, ascii_words: bool = False) -> Column:
+    """Spoken maths as signs: lower case, rule after rule, white space squeezed. With ``ascii_words``
+    only ASCII letters, digits and underscores are parts of a word, so that a rule's word also ends
+    before an accented letter."""
+    rules = [(p, r.replace("$", "\\$")) for p, r in R.SPOKEN]
+    if ascii_words:  # every rule begins and ends with a border
+        rules = [("(?<![0-9A-Za-z_])" + p.removeprefix(r"\b").removesuffix(r"\b") + "(?![0-9A-Za-z_])", r) for p, r in rules]
+    return squeeze(chain(F.lower(text), rules))
 
 
 def cache_key(text: Column) -> Column:
