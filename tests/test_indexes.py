@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tutorlake.operators import keyword_index as KI
 from tutorlake.operators import search as R
 from tutorlake.operators import vector_index as VI
-from tutorlake.sources.shared import new_folder
+from tutorlake.sources.shared import kept, new_folder
 
 
 def texts(n, seed=1):
@@ -45,6 +45,34 @@ def test_keyword_index(spark, k, monkeypatch):
     assert top(KI.topk(q, path, k)) == plain(q.where("query is not null"), chunks, k)
 
 
+def test_scores_stay_where_they_are_made(spark, monkeypatch):
+    """Parts of few slots, copies of a text, and slots left out by their bounds give the same hits; scores
+    are not shuffled before all but a part's best are gone."""
+    monkeypatch.setattr(KI, "SLOT", 4)
+    monkeypatch.setattr(KI, "GROUP", 2)
+    monkeypatch.setattr(KI, "FEW", 0)
+    rows = texts(300, 3)
+    rows += [(1000 + i, rows[7][1]) for i in range(60)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, content string")
+    KI.append(chunks, path := new_folder(spark))
+    q = asked(spark, QUERIES)
+    want = plain(q.where("query is not null"), chunks, 5)
+    assert top(KI.topk(q, path, 5)) == want == top(KI.topk(q, path, 5, leave_out=True))
+    plan = KI.scores(q, path)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(segment") == 1 and "hashpartitioning(query_id" not in plan
+    terms = kept(KI._asked(q, path))
+    postings, avg, tasks = KI._read(terms, path)
+    assert tasks > 30 and KI._best(KI._scored(postings, terms, avg, tasks), terms, 1).count() < KI.scores(q, path).count() / 3
+
+
+def test_embedding_as_a_column(spark):
+    """The same vectors as a table and as a column, in slices of any size; nulls as empty texts."""
+    rows = spark.createDataFrame(texts(40), "id long, text string")
+    want = sorted(map(tuple, R.encode(rows).collect()))
+    assert sorted(map(tuple, R.encoded(rows).select("id", "embedding").collect())) == want and len(want) == 44
+    assert "ArrowEvalPython" not in R.encoded(rows).select("id")._jdf.queryExecution().executedPlan().toString()
+
+
 def test_slots_are_left_out(spark, monkeypatch):
     """With many slots most are never scored, and those that are hold the first hits."""
     monkeypatch.setattr(KI, "SLOT", 4)

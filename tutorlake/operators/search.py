@@ -22,12 +22,21 @@ from tutorlake.functions.normalize import clean_for_tokens, tokens
 from tutorlake.functions.rules import EXPANSIONS
 from tutorlake.functions.text import chain, has, once, rx, strip, words
 from tutorlake.operators import segments
-from tutorlake.sources.shared import kept
+from tutorlake.sources.shared import kept, new_folder
 
 K1, B, EPSILON = 1.5, 0.75, 0.25  # public BM25 defaults
 MIN_CONTENT, MAX_SECTION = 50, 3000
 #: Rows of a side that may be broadcast, once they are counted.
 SMALL = 200_000
+#: Texts that are encoded at once.
+ENCODED = 512
+
+
+def few(df: DataFrame) -> DataFrame:
+    """``df`` written once, and broadcast where its counted rows are few, so that the other side of a
+    join, which has the texts, is not moved."""
+    df = kept(df)
+    return F.broadcast(df) if df.count() <= SMALL else df
 
 
 def ranked(df: DataFrame, by: Column, k: int, *ties: str) -> DataFrame:
@@ -87,12 +96,28 @@ def encode(df: DataFrame, text: str = "text", key: str = "id", encoder: Callable
     deterministic hashed bag of words, L2-normalised."""
     kind = df.schema[key].dataType.simpleString()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = encoder or (lambda t: hashed_bag(t, size))
+        for batch in batches:
+            for lo in range(0, batch.num_rows, ENCODED):  # Python holds the strings of a slice alone
+                ids, texts = batch.slice(lo, ENCODED).columns
+                v = np.asarray(f([t or "" for t in texts.to_pylist()]), np.float32)
+                ends = pa.array(np.arange(len(v) + 1) * v.shape[1], pa.int32())
+                yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(ends, pa.array(v.ravel(), pa.float32()))], names=["id", "embedding"])
+
+    return df.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, embedding array<float>")
+
+
+def encoded(df: DataFrame, text: str = "text", encoder: Callable | None = None, size: int = 64) -> DataFrame:
+    """``df`` with ``embedding`` as a column, which steps that do not read it do not compute."""
+
+    @F.pandas_udf("array<float>")
+    def run(texts: pd.Series) -> pd.Series:
         f = encoder or (lambda t: hashed_bag(t, size))
-        for frame in frames:
-            yield pd.DataFrame({"id": frame["id"], "embedding": list(np.asarray(f(frame["text"].fillna("").tolist()), np.float32))})
+        t = [x if isinstance(x, str) else "" for x in texts]
+        return pd.Series([v for lo in range(0, len(t), ENCODED) for v in np.asarray(f(t[lo : lo + ENCODED]), np.float32)], dtype=object)
 
-    return df.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInPandas(run, f"id {kind}, embedding array<float>")
+    return df.withColumn("embedding", run(F.col(text)))
 
 
 @lru_cache(100_000)
@@ -126,8 +151,9 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(dot(a, b), norm(a) * norm(b)), F.lit(0.0))
 
 
-#: Chunks and queries of a cell of the grid, about, and queries of one product.
-CELL_CHUNKS, CELL_QUERIES, PRODUCT_ROWS = 50_000, 20_000, 250
+#: Chunks and queries of a cell of the grid, about, and queries of one product, which bound what a
+#: task's Python holds: a product takes 8 MB.
+CELL_CHUNKS, CELL_QUERIES, PRODUCT_ROWS = 16_384, 20_000, 64
 
 
 def vector_topk(queries: DataFrame, chunks: DataFrame, k: int, key: str = "chunk_id", within: str | None = None) -> DataFrame:
@@ -231,7 +257,7 @@ def sections(chunks: DataFrame, most: int = MAX_SECTION) -> DataFrame:
 def candidates(fused: DataFrame, chunks: DataFrame, most: int, min_score: float, topic: str | None = None) -> DataFrame:
     """Best first: score, topic and length conditions, the first of equal 200-character beginnings,
     then the first of each section, the first ``most`` of a query."""
-    rows = fused.where(F.col("combined") >= min_score).join(chunks, "chunk_id").where(F.length("content") >= MIN_CONTENT)
+    rows = few(fused.where(F.col("combined") >= min_score)).join(chunks, "chunk_id").where(F.length("content") >= MIN_CONTENT)
     if topic is not None:
         rows = rows.where(F.contains(F.lower("topic"), F.lit(topic.lower())))
     rows = rows.withColumn("section_id", section_id(F.col("chapter"), F.col("section")))
@@ -398,8 +424,11 @@ def retrieve(queries: DataFrame, chunks: DataFrame, k: int = 5, min_score: float
 
     queries: query_id, query, embedding; chunks: chunk_id, pos, content, content_type, topic,
     subtopic, chapter, section, embedding."""
+    from tutorlake.operators import keyword_index  # which builds on this module
+
     wide = (4 if rerank else 2) * k
-    near, keyed = vector_topk(queries, chunks, wide), bm25_topk(bm25_scores(queries, chunks), wide)
+    keyword_index.append(chunks, path := new_folder(chunks.sparkSession))
+    near, keyed = vector_topk(queries, chunks, wide), keyword_index.topk(queries, path, wide)
     rows = candidates(fuse(near, keyed), chunks.drop("embedding"), 3 * k, min_score / 2 if rerank else min_score, topic)
     hits = build_hits(rows, sections(chunks)).join(queries.select("query_id", "query"), "query_id")
     if rerank:

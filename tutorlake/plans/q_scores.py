@@ -9,6 +9,7 @@ from tutorlake.functions.text import words
 from tutorlake.operators import evaluation as V
 from tutorlake.operators import memory as M
 from tutorlake.operators import review as H
+from tutorlake.operators import search as R
 from tutorlake.plans import duck as D
 from tutorlake.plans.inputs import FEEDBACK, PROBLEMS, corrections, feedback, problems, table, texts
 from tutorlake.plans.q_memory import COUNTS
@@ -32,7 +33,7 @@ CASES = f"""cases AS (SELECT item_id AS case_id, ['algebra', 'calculus', 'statis
 def hits(s, d):
     """The ten best documents of each case by BM25, over all documents."""
     docs = table(s, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.when(F.col("doc_id") % 5 == 0, "Algebra II").otherwise(F.col("lang")).alias("topic"), F.col("text").alias("content"))
-    return _keyword(s, d, 10).join(docs, "chunk_id").select(F.col("query_id").alias("case_id"), "rank", "topic", "content", "score")
+    return R.few(_keyword(s, d, 10)).join(docs, "chunk_id").select(F.col("query_id").alias("case_id"), "rank", "topic", "content", "score")
 
 
 HITS = f"""{BM25}, hits AS (SELECT query_id AS case_id, rank, CASE WHEN d.doc_id % 5 = 0 THEN 'Algebra II' ELSE d.lang END AS topic, d.text AS content, score
