@@ -60,7 +60,7 @@ def append(chunks: DataFrame, path: str, text: str = "content", key: str = "chun
     segment = f"s{uuid.uuid4().hex}"  # no number, as Spark guesses the type of partition values
     out = by.select(_bucket(F.col("term")).alias("bucket"), "term", "slot", F.col("l.chunk_id").alias("ids"), F.col("l.tf").alias("tfs"), F.col("l.size").alias("sizes"), F.size("l").alias("n"), "max_tf", "min_size", "total")
     parts = -(-slots // SPREAD)
-    out = out.repartition((BUCKETS + 1) * parts, "bucket", F.col("slot") % parts).sortWithinPartitions("bucket", "term", "slot")
+    out = out.repartition(min((BUCKETS + 1) * parts, slots), "bucket", F.col("slot") % parts).sortWithinPartitions("bucket", "term", "slot")
     out.write.partitionBy("bucket").parquet(f"{path}/postings/segment={segment}")
     written = spark.read.schema(out.schema).parquet(f"{path}/postings/segment={segment}")
     terms = written.where("bucket >= 0").groupBy("term").agg(F.sum("n").cast("long").alias("df"))
