@@ -6,9 +6,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tutorlake.functions import normalize as N
 from tutorlake.operators import keyword_index as KI
+from tutorlake.operators import keyword_scan as KS
 from tutorlake.operators import search as R
 from tutorlake.operators import vector_index as VI
+from tutorlake.plans import q_search
 from tutorlake.sources.shared import kept, new_folder
 
 
@@ -65,6 +68,36 @@ def test_scores_stay_where_they_are_made(spark, monkeypatch):
     assert tasks > 30 and KI._best(KI._scored(postings, terms, avg, tasks), terms, 1).count() < KI.scores(q, path).count() / 3
 
 
+@pytest.mark.parametrize("slice_bytes, queries, cells, k", [(4_000_000, 1000, 1_000_000, 5), (300, 2, 7, 1), (50, 1, 1, 3), (1000, 1000, 40, 40)])
+def test_keyword_scan(spark, slice_bytes, queries, cells, k, monkeypatch):
+    """Equal to scoring by joins, however texts, questions and scores are cut, with equal texts and empty ones."""
+    for name, n in (("SLICE", slice_bytes), ("WORDS", 50), ("QUERIES", queries), ("CELLS", cells), ("PAIRS", 30)):
+        monkeypatch.setattr(KS, name, n)
+    rows = texts(120) + [(1000 + i, "w1 w2 the same words w5") for i in range(30)] + [(2000, ""), (2001, None), (2002, "... !?")]
+    chunks = spark.createDataFrame(rows, "chunk_id long, content string").repartition(3)
+    q = asked(spark, QUERIES)
+    assert top(KS.topk(q, chunks, k)) == plain(q.where("query is not null"), chunks, k)
+    every = lambda df: {(r["query_id"], r["chunk_id"]): round(r["score"], 9) for r in df.collect()}
+    assert every(KS.scores(q, chunks)) == every(R.bm25_scores(q.where("query is not null"), chunks))
+    one, many = ({r["term"]: (r["df"], round(r["idf"], 9)) for r in m(chunks)[1].collect()} for m in (KS.stats, R.bm25_stats))
+    assert one == many and KS.stats(chunks.limit(0))[0].first()["n"] == 0 == KS.topk(q, chunks.limit(0), k).count()
+    few = KS.scores(asked(spark, [(1, "w1 w2 w5")]), chunks, k=1)
+    assert 0 < few.count() < 20
+
+
+def test_spaced_words_are_the_tokens(spark):
+    """Every character is in a word or between words as ``tokens`` has it."""
+    rows = spark.createDataFrame([(f"a{chr(i)}B",) for i in range(1, 0x20000) if not 0xD800 <= i < 0xE000], "t string")
+    assert rows.where(N.spaced(F.col("t")) != F.array_join(N.tokens(F.col("t")), " ")).count() == 0
+
+
+def test_scores_are_not_moved(spark):
+    """Each score is made where its text is read: no word, count or score of a chunk goes through a shuffle."""
+    for name in ("k4_bm25_scores", "k5_bm25_topk"):
+        plan = q_search.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == (name == "k5_bm25_topk") and "MapInArrow" in plan
+
+
 def test_embedding_as_a_column(spark):
     """The same vectors as a table and as a column, in slices of any size; nulls as empty texts."""
     rows = spark.createDataFrame(texts(40), "id long, text string")

@@ -65,6 +65,11 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), 0)
 
 
+def spaced(text: Column) -> Column:
+    """The ``tokens`` of a text with a space between them."""
+    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_]+", " "))
+
+
 def assemble_ocr(found: DataFrame, images: DataFrame) -> DataFrame:
     """(image_id, text, confidence, n_words) of every image from rows (image_id, word_no, text,
     conf); words without text or confidence drop out, an image without words has none."""

@@ -22,7 +22,7 @@ from tutorlake.functions.normalize import clean_for_tokens, tokens
 from tutorlake.functions.rules import EXPANSIONS
 from tutorlake.functions.text import chain, has, once, rx, strip, words
 from tutorlake.operators import segments
-from tutorlake.sources.shared import kept, new_folder
+from tutorlake.sources.shared import kept
 
 K1, B, EPSILON = 1.5, 0.75, 0.25  # public BM25 defaults
 MIN_CONTENT, MAX_SECTION = 50, 3000
@@ -424,11 +424,11 @@ def retrieve(queries: DataFrame, chunks: DataFrame, k: int = 5, min_score: float
 
     queries: query_id, query, embedding; chunks: chunk_id, pos, content, content_type, topic,
     subtopic, chapter, section, embedding."""
-    from tutorlake.operators import keyword_index  # which builds on this module
+    from tutorlake.operators import keyword_scan  # which builds on this module
 
     wide = (4 if rerank else 2) * k
-    keyword_index.append(chunks, path := new_folder(chunks.sparkSession))
-    near, keyed = vector_topk(queries, chunks, wide), keyword_index.topk(queries, path, wide)
+    vectors = kept(chunks.select("chunk_id", "embedding"))  # read twice, for its size and for the search
+    near, keyed = vector_topk(queries, vectors, wide), keyword_scan.topk(queries, chunks, wide)
     rows = candidates(fuse(near, keyed), chunks.drop("embedding"), 3 * k, min_score / 2 if rerank else min_score, topic)
     hits = build_hits(rows, sections(chunks)).join(queries.select("query_id", "query"), "query_id")
     if rerank:
