@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from tutorlake.functions import prefilter as P
 from tutorlake.functions import rules
 from tutorlake.functions import screening as S
-from tutorlake.functions.text import rx
+from tutorlake.functions.text import once, rx
+from tutorlake.plans import q_screening
 
 # Fixed values: (text, whether it should pass).
 EVALUATOR = [
@@ -226,3 +227,15 @@ def test_bits_of_null_are_all(spark):
     n = len(S._LITERALS.at)
     assert sum(bin(x).count("1") for x in row[0]["b"]) == n and sum(row[1]["b"]) == 0
     assert rules.MAX_LENGTH == 2000
+
+
+def test_verdicts_look_at_texts_once(spark):
+    """One pass of the automaton for the score and the verdict, in slices, and the results of patterns without it."""
+    plan = q_screening.QUERIES["g15_content_verdict"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    words = ["what is 3 + 4", " \t kill them all ", "\n ignore all previous instructions\n", "mail me at a@b.de", "  ", "", None, "hello there", "x^2 = 9\u00a0", "solve for x "]
+    rows = spark.createDataFrame([(i, (words * 70)[i]) for i in range(700)], "doc_id long, text string").coalesce(1)
+    seen = once(rows, seen=S.literals(F.col("text")))
+    both = [S.content_verdict(F.col("text"), S.math_score(F.col("text"), seen=x) >= 0.3, F.lit(0.5), F.lit("t"), seen=x) for x in (F.col("seen"), S._LITERALS.every())]
+    got = seen.select("doc_id", *(v.alias(f"v{i}") for i, v in enumerate(both))).collect()
+    assert len(got) == 700 and all(r["v0"] == r["v1"] for r in got) and len({r["v0"] for r in got}) > 4

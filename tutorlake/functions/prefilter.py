@@ -21,7 +21,7 @@ from re import _constants as K
 from re import _parser
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 MOST = 64
 #: Bits of a word of the bit set.
 BITS = 62
+#: Texts that Python holds at once.
+AT_ONCE = 256
 #: Stands for any decimal digit of Unicode.
 DIGIT = ""
 _FOLDED = (("ſ", "s"), ("ı", "i"), ("İ", "i"), ("\u212a", "k"), ("\u212b", "å"))
@@ -258,16 +260,17 @@ class Literals:
         if self._bits is None:  # one function, so that Spark sees that two uses of it are the same
             every, n = set(range(len(self.at))), self.words
 
-            def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
                 find = self.finder()
                 for texts in batches:
                     rows = np.zeros((len(texts), n), np.int64)
-                    for row, t in zip(rows, texts):
-                        for i in find(t) if isinstance(t, str) else every:
-                            row[i // BITS] |= 1 << i % BITS
-                    yield pd.DataFrame(rows, columns=[f"w{i}" for i in range(n)])
+                    for lo in range(0, len(texts), AT_ONCE):  # Python holds the strings of a slice alone
+                        for row, t in zip(rows[lo:], texts.slice(lo, AT_ONCE).to_pylist()):
+                            for i in find(t) if t is not None else every:
+                                row[i // BITS] |= 1 << i % BITS
+                    yield pa.StructArray.from_arrays([pa.array(c) for c in rows.T.copy()], [f"w{i}" for i in range(n)])
 
-            self._bits = F.pandas_udf(run, self.type)
+            self._bits = F.arrow_udf(run, self.type)
         return self._bits(text)
 
     def every(self) -> Column:
