@@ -4,11 +4,15 @@ import hashlib
 import html as html_lib
 import random
 import re
+import subprocess
+import sys
 import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -362,3 +366,30 @@ def test_quality_model(docs, spark):
     assert np.mean([got[i]["predicted"] == i % 2 for i in tested]) > 0.95
     assert got[500]["score"] == got[501]["score"] == 0.0
     assert quality.train(df, labels.where("quality = 1")) is None
+
+
+def test_languages_of_a_batch_are_found_slice_by_slice(docs, monkeypatch):
+    """No more than a slice of a batch is held as Python strings, without pandas; nulls and texts longer than a slice stay in place."""
+    rows = _many(90)
+    model = langid.train(docs(rows))
+    sizes = []
+    classify = langid._classify
+    monkeypatch.setattr(langid, "_classify", lambda m, texts: sizes.append(sum(map(len, texts))) or classify(m, texts))
+    monkeypatch.setattr("tutorlake.llm.common.SLICE_CHARS", 500)
+    texts = [t for _, t, *_ in rows] + [None, "", "the " * 300, "12 34"]
+    names, score = classify(model, [t or "" for t in texts])
+    of = langid.sliced(model)(pa.array(texts, pa.string()))
+    assert of.field("lang_pred").to_pylist() == names and np.allclose(of.field("score").to_numpy(), score)
+    assert len(sizes) > 3 and sum(x > 500 for x in sizes) == 1
+    assert langid.sliced(model)(pa.array([], pa.string())).to_pylist() == []
+    code = "import sys, tutorlake.llm.langid; sys.exit('pandas' in sys.modules)"
+    assert subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[2]).returncode == 0
+
+
+def test_language_column_is_that_of_predict(docs, odd_rows):
+    rows = [(k, t, lang) for k, t, lang in _many(90)] + [(k and k + 1000, t, None) for k, t in odd_rows]
+    df = docs(rows)
+    model = langid.train(df)
+    column = df.select("doc_id", langid.language(df, model).alias("l")).select("doc_id", "l.lang_pred", F.round("l.score", 9))
+    whole = langid.predict(df, model).select("doc_id", "lang_pred", F.round("score", 9))
+    assert sorted(map(tuple, column.collect()), key=str) == sorted(map(tuple, whole.collect()), key=str)

@@ -15,12 +15,12 @@ nothing to learn from. No row is dropped.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tutorlake.llm import grams
-from tutorlake.llm.common import SLICE_CHARS, held_out, keyed, map_columns, sample_order, small_side
+from tutorlake.llm.common import held_out, keyed, map_columns, sample_order, slices, small_side
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
@@ -177,23 +177,27 @@ def predict(df: DataFrame, model: dict | None, key: str = "doc_id", text: str =
     return map_columns(keyed(df, key, text), f"doc_id {kind}, lang_pred string, score double", "text", lambda: run)
 
 
+def sliced(model: dict | None):
+    """A function from an Arrow array of texts to their languages and probabilities, which holds a
+    slice of them at a time as Python strings."""
+
+    def of(texts: pa.Array) -> pa.Array:
+        names, score = [], [np.zeros(0)]
+        for part in slices(pa.RecordBatch.from_arrays([texts], names=["text"]), "text"):
+            got = _classify(model, [t or "" for t in part.column("text").to_pylist()])
+            names += got[0]
+            score.append(got[1])
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.concatenate(score))], names=["lang_pred", "score"])
+
+    return of
+
+
 def language(df: DataFrame, model: dict | None, text: str = "text") -> Column:
     """The prediction as a column (lang_pred, score) of ``df``, to filter rows without a join."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
-    def of(texts: pd.Series) -> pd.DataFrame:
-        names, score, at = [], [], 0
-        values = texts.fillna("").tolist()
-        while at < len(values):
-            end, size = at, 0
-            while end < len(values) and (end == at or size + len(values[end]) <= SLICE_CHARS):
-                size += len(values[end])
-                end += 1
-            got = _classify(shared.value, values[at:end])
-            names += got[0]
-            score += got[1].tolist()
-            at = end
-        return pd.DataFrame({"lang_pred": names, "score": score})
+    @F.arrow_udf("lang_pred string, score double")
+    def of(texts: pa.Array) -> pa.Array:
+        return sliced(shared.value)(texts)
 
     return of(F.col(text))
