@@ -12,6 +12,8 @@ language to learn from, that stage rejects none, and they go in the second. A ta
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +23,19 @@ from tutorlake.llm.common import materialize, table, unused
 
 #: A document is rejected below this probability of its most likely language.
 LEAST_SURE = 0.5
+#: Bytes of an Arrow batch, about: a task's JVM holds one outside its heap, its Python worker another.
+BATCH_BYTES = 4 << 20
+
+
+def bounded(stage: Callable) -> Callable:
+    """The stage, after which the session hands batches of BATCH_BYTES to Python (Spark's default is 64 MB):
+    its rows are only made when they are written."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+        return stage(spark, docs, sf_dir)
+
+    return run
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +71,7 @@ def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True).select("doc_id", "n_tokens", "ids", "decoded_sha256")
 
 
-STAGES = [("language", language_stage), ("lines", lines_stage), ("near", near_stage), ("benchmark", benchmark_stage), ("tokens", tokens_stage)]
+STAGES = [(name, bounded(stage)) for name, stage in (("language", language_stage), ("lines", lines_stage), ("near", near_stage), ("benchmark", benchmark_stage), ("tokens", tokens_stage))]
 
 #: SQL can express neither the trained language model nor tokens; tests use brute force.
 ORACLE_SQL = None

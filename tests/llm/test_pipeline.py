@@ -49,3 +49,29 @@ def test_queries_are_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14))
     assert set(__spark_entry__.oracle_sql()) <= set(names)
+
+
+def test_stages_hand_small_batches_to_python(docs, spark, tmp_path):
+    """After a stage, Arrow batches of the session are bounded in bytes, whatever the texts."""
+    given = docs([(k, "word " * 100_000, None) for k in range(40)]).coalesce(1)
+    kept = corpus_pipeline.STAGES[0][1](spark, given, str(tmp_path))
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    found = [r["n"] for r in kept.select("text").mapInArrow(sizes, "n long").collect()]
+    assert sum(found) > 15_000_000 and max(found) < 5_200_000
+
+
+def test_language_classifies_small_slices(monkeypatch):
+    import pyarrow as pa
+
+    from tutorlake.llm import langid
+
+    seen = []
+    monkeypatch.setattr(langid, "_classify", lambda model, texts: (seen.append(sum(map(len, texts))), ["en"] * len(texts), [0.5] * len(texts))[1:])
+    got = langid.sliced({})(pa.array(["x" * 100_000] * 9 + [None], pa.string()))
+    assert len(got) == 10 and max(seen) <= 250_000

@@ -33,8 +33,8 @@ from tutorlake.llm.common import keyed, map_columns
 
 #: The public pre-splitting pattern of byte-level vocabularies (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words of up to 64 characters kept in a worker's cache before it starts anew (about 40 MB).
-CACHE_WORDS = 150_000
+#: Words of up to 64 characters kept in a worker's cache before it starts anew (about 45 MB).
+CACHE_WORDS = 100_000
 #: The transition table has 2 ** TABLE_BITS slots of 8 bytes, whatever texts come (8 MB).
 TABLE_BITS = 20
 _SLOTS, _SPREAD = (1 << TABLE_BITS) - 1, 0x9E3779B97F4B

@@ -62,11 +62,11 @@ def small_side(df: DataFrame, most: int = 500_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
-def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """Cut a batch so that a slice holds SLICE_CHARS characters of ``column``, or one row."""
-    start = size = 0
+def slices(batch: pa.RecordBatch, column: str, most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Cut a batch so that a slice holds SLICE_CHARS characters of ``column``, or ``most`` if fewer, or one row."""
+    start, size, most = 0, 0, min(SLICE_CHARS, most or SLICE_CHARS)
     for i, length in enumerate(pa.compute.binary_length(batch.column(column)).to_pylist()):
-        if size and size + (length or 0) > SLICE_CHARS:
+        if size and size + (length or 0) > most:
             yield batch.slice(start, i - start)
             start, size = i, 0
         size += length or 0

@@ -26,6 +26,8 @@ BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
 ROWS_PER_LANG = 600
 ALPHA, BETA, L1, L2, EPOCHS, SCALE = 0.5, 0.1, 0.02, 0.01, 4, 10.0
+#: Characters that are classified at once (about 30 bytes each).
+CLASSIFIED = 250_000
 
 
 def _grams(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
@@ -183,7 +185,7 @@ def sliced(model: dict | None):
 
     def of(texts: pa.Array) -> pa.Array:
         names, score = [], [np.zeros(0)]
-        for part in slices(pa.RecordBatch.from_arrays([texts], names=["text"]), "text"):
+        for part in slices(pa.RecordBatch.from_arrays([texts], names=["text"]), "text", CLASSIFIED):
             got = _classify(model, [t or "" for t in part.column("text").to_pylist()])
             names += got[0]
             score.append(got[1])
